@@ -26,6 +26,7 @@ def get_spark(app: str = "statewave", cores: int | str = "*", partitions: int =
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
