@@ -6,14 +6,16 @@ a recording of any length is spread over as many tasks as it has blocks.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statewave.session import maybe_broadcast
+from statewave.session import cut_lineage, maybe_broadcast
 
 REC = "recording_id"
 SIGNAL_BLOCK = 16384
-ROW_BLOCK = 2048
+ROW_BLOCK = 4096
 
 
 def recording_lengths(samples: DataFrame, index: str = "sample_idx") -> DataFrame:
@@ -45,19 +47,62 @@ def signal_blocks(samples: DataFrame, lengths: DataFrame, n_recordings: int,
     )
 
 
+@dataclass
+class Blocks:
+    """Feature rows packed for model fitting.
+
+    ``df`` holds ``recording_id, block, start_idx, n_rows, x`` with ``x`` a flat row-major
+    array of at most ``size`` rows of ``width`` values; ``lengths`` the rows per recording.
+    """
+
+    df: DataFrame
+    lengths: DataFrame
+    width: int
+    size: int
+    n_recordings: int
+    n_long: int
+    max_blocks: int
+
+    def short(self) -> "Blocks":
+        """Recordings that fit one block: a model sees all of their rows in one task."""
+        return Blocks(self.df.filter(F.col("n_rows") <= self.size),
+                      self.lengths.filter(F.col("n_rows") <= self.size), self.width, self.size,
+                      self.n_recordings - self.n_long, 0, 1)
+
+    def long(self) -> "Blocks":
+        """Recordings of several blocks: models are fitted by passes over all blocks."""
+        return Blocks(self.df.filter(F.col("n_rows") > self.size),
+                      self.lengths.filter(F.col("n_rows") > self.size), self.width, self.size,
+                      self.n_long, self.n_long, self.max_blocks)
+
+    def with_state(self, state: DataFrame, row_bytes: int) -> DataFrame:
+        """Bring each recording's model state to its blocks.
+
+        The state is broadcast while its counted size fits the session's limit and joined
+        by shuffle (AQE splits skewed recordings) beyond it.
+        """
+        return self.df.join(maybe_broadcast(state, self.n_recordings, row_bytes), REC)
+
+
 def feature_blocks(table: DataFrame, index: str, columns: list[str],
-                   size: int = ROW_BLOCK) -> DataFrame:
-    """Pack feature rows into ``x``: a flat row-major array of ``n x len(columns)`` values."""
+                   size: int = ROW_BLOCK) -> Blocks:
+    """Pack the feature rows of every recording; ``index`` is dense from 0."""
+    lengths = cut_lineage(recording_lengths(table, index))
+    n, longest, n_long = lengths.agg(
+        F.count(F.lit(1)), F.max("n_rows"), F.sum((F.col("n_rows") > size).cast("int"))).first()
     packed = (
         table.select(REC, F.col(index).alias("_i"),
                      F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
         .groupBy(REC, F.expr(f"_i div {size}").alias("block"))
         .agg(F.sort_array(F.collect_list(F.struct("_i", "_x"))).alias("rows"))
+        .join(maybe_broadcast(lengths, n, 64), REC)
     )
-    return packed.select(
-        REC, "block", F.col("rows")[0]["_i"].alias("start_idx"),
+    df = packed.select(
+        REC, "block", F.col("rows")[0]["_i"].alias("start_idx"), "n_rows",
         F.flatten(F.col("rows._x")).alias("x"),
     )
+    return Blocks(cut_lineage(df), lengths, len(columns), size, n, n_long or 0,
+                  ((longest or 1) - 1) // size + 1)
 
 
 def sum_vectors(parts: DataFrame, vector: str) -> DataFrame:

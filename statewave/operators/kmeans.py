@@ -1,6 +1,8 @@
-"""K-means with many restarts fitted together, one pass over the blocks per iteration.
+"""K-means with many restarts.
 
-Centres live in a small state table with one row per recording; every restart (and every
+A recording that fits one block is fitted where the block lies, in one pass and without a
+shuffle. Longer recordings take one pass over all of their blocks per iteration: centres
+live in a small state table with one row per recording; every restart (and every
 state count a hidden Markov model wants to try) is a slice of the same array, so all of
 them share each pass. Rows never leave their block: a pass returns sums per block, Spark
 adds them up with map-side partial sums.
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from statewave.config import ClusterConfig
 from statewave.functions.arrays import list_column, rows_of
 from statewave.functions.draws import own_streams, shared_stream, spare_rows
-from statewave.operators.blocks import REC, ROW_BLOCK, sum_vectors
-from statewave.session import cut_lineage, maybe_broadcast
+from statewave.operators.blocks import REC, Blocks, sum_vectors
+from statewave.session import cut_lineage
 
 RTOL, ATOL = 1e-5, 1e-8
 
@@ -51,19 +53,11 @@ def sq_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_state(blocks: DataFrame, state: DataFrame, n_recordings: int, row_bytes: int) -> DataFrame:
-    """Bring each recording's model state to its blocks.
-
-    The state is broadcast while its counted size fits the session's limit and joined by
-    shuffle beyond it.
-    """
-    return blocks.join(maybe_broadcast(state, n_recordings, row_bytes), REC)
-
-
-def rows_at(blocks: DataFrame, wanted: DataFrame, width: int, size: int = ROW_BLOCK) -> DataFrame:
+def rows_at(blocks: Blocks, wanted: DataFrame) -> DataFrame:
     """Fetch feature rows by number: ``recording_id, slot, idx`` -> ``recording_id, slot, row``."""
-    keyed = wanted.withColumn("block", F.expr(f"idx div {size}"))
-    return keyed.join(blocks, [REC, "block"]).select(
+    width = blocks.width
+    keyed = wanted.withColumn("block", F.expr(f"idx div {blocks.size}"))
+    return keyed.join(blocks.df, [REC, "block"]).select(
         REC, "slot",
         F.slice("x", ((F.col("idx") - F.col("start_idx")) * width + 1).cast("int"),
                 F.lit(width)).alias("row"))
@@ -96,19 +90,19 @@ def _chosen(starts: Starts, step: int) -> list[range]:
     return out
 
 
-def seed_centers(blocks: DataFrame, lengths: DataFrame, width: int, starts: Starts,
-                 n_recordings: int, size: int = ROW_BLOCK) -> DataFrame:
+def seed_centers(blocks: Blocks, starts: Starts) -> DataFrame:
     """Distance-weighted seeding (k-means++): ``recording_id, slot, row``.
 
     A centre is drawn by locating a uniform number in the running total of distances: the
     block totals say which block holds it, then that block alone finds the row.
     """
-    draws = cut_lineage(lengths.select(REC, "n_rows", _draws(starts)("n_rows").alias("d"))
+    width, size = blocks.width, blocks.size
+    draws = cut_lineage(blocks.lengths.select(REC, "n_rows", _draws(starts)("n_rows").alias("d"))
                         .select(REC, "n_rows", "d.*"))
     first = draws.select(REC, F.posexplode("first").alias("m", "idx"))
     offsets = F.array(*[F.lit(o) for o in starts.offsets[:-1]])
     wanted = first.select(REC, offsets[F.col("m")].alias("slot"), F.col("idx").cast("bigint"))
-    seeds = cut_lineage(rows_at(blocks, wanted, width, size))
+    seeds = cut_lineage(rows_at(blocks, wanted))
     later_base = np.concatenate([[0], np.cumsum([k - 1 for k in starts.ks])]).tolist()
     for step in range(1, max(starts.ks)):
         parts = _chosen(starts, step)
@@ -137,7 +131,7 @@ def seed_centers(blocks: DataFrame, lengths: DataFrame, width: int, starts: Star
             F.sort_array(F.collect_list(F.struct("slot", "row"))).alias("s")
         ).select(REC, F.flatten("s.row").alias("c"))
         row_bytes = 8 * width * sum(starts.ks) + 64
-        near = with_state(blocks, centers, n_recordings, row_bytes)
+        near = blocks.with_state(centers, row_bytes)
         totals = near.select(REC, "block", F.posexplode(
             F.arrow_udf(nearest, "array<double>")("x", "c")).alias("i", "mass"))
         running = W.partitionBy(REC, "i").orderBy("block")
@@ -168,62 +162,104 @@ def seed_centers(blocks: DataFrame, lengths: DataFrame, width: int, starts: Star
     return seeds
 
 
-def _lloyd(starts: Starts, width: int):
-    """Block answer: per centre the row count and row sum, per model the changed labels."""
+def lloyd_sums(x: np.ndarray, c: np.ndarray, prev: np.ndarray | None,
+               starts: Starts) -> np.ndarray:
+    """One block's answer: per centre the row count and row sum, per model the labels that
+    changed since ``prev``."""
+    d = sq_distances(x, c)
+    old = None if starts.shared or prev is None else sq_distances(x, prev)
+    counts, sums, moved = [], [], []
+    for m, k in enumerate(starts.ks):
+        cols = list(starts.slots(m))
+        label = d[:, cols].argmin(axis=1)
+        was = 0 if old is None else old[:, cols].argmin(axis=1)
+        moved.append(float((label != was).sum()))
+        member = (label[None, :] == np.arange(k)[:, None]).astype(float)
+        counts.append(member.sum(axis=1))
+        sums.append((member @ x).ravel())
+    return np.concatenate(counts + sums + [np.array(moved)])
+
+
+def recentre(c: np.ndarray, done: np.ndarray, stat: np.ndarray, fills: dict[int, np.ndarray],
+             starts: Starts) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """New centres, per-model done flags (1/0) and the slots of empty clusters without a fill."""
+    total, width = len(c), c.shape[1]
+    counts = stat[:total]
+    sums = stat[total: total + total * width].reshape(-1, width)
+    moved = stat[total + total * width:]
+    fresh = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], c)
+    flags, empty = done.copy(), []
+    for m in range(len(starts.ks)):
+        cols = list(starts.slots(m))
+        if done[m]:
+            fresh[cols] = c[cols]
+            continue
+        for s in cols:
+            if counts[s] == 0:
+                fresh[s] = fills.get(s, c[s])
+                if s not in fills:
+                    empty.append(s)
+        close = np.all(np.abs(fresh[cols] - c[cols]) <= ATOL + RTOL * np.abs(c[cols]))
+        flags[m] = float(close and (starts.shared or moved[m] == 0))
+    return fresh, flags, empty
+
+
+def fit_in_block(x: np.ndarray, starts: Starts, iterations: int) -> np.ndarray:
+    """All models for a recording whose rows are all here, same draws and steps."""
+    n, rngs = len(x), [np.random.default_rng(s) for s in starts.seeds]
+    seeds = []
+    for m, k in enumerate(starts.ks):
+        rng = rngs[0] if starts.shared else rngs[m]
+        chosen = [int(rng.integers(n))]
+        while len(chosen) < k:
+            mass = sq_distances(x, x[chosen]).min(axis=1)
+            if mass.sum() > 0:
+                chosen.append(int(rng.choice(n, p=mass / mass.sum())))
+            else:
+                chosen.append(int(rng.choice(n) if starts.shared else rng.integers(n)))
+        seeds.append(x[chosen])
+    c, prev, done = np.concatenate(seeds), None, np.zeros(len(starts.ks))
+    for _ in range(iterations):
+        stat = lloyd_sums(x, c, prev, starts)
+        fresh, flags, empty = recentre(c, done, stat, {}, starts)
+        if empty:
+            model = {s: m for m in range(len(starts.ks)) for s in starts.slots(m)}
+            fills = {}
+            for s in empty:
+                if starts.shared:
+                    near = sq_distances(x, c[list(starts.slots(model[s]))]).min(axis=1)
+                    fills[s] = x[near.argmax()]
+                else:
+                    fills[s] = x[int(rngs[model[s]].integers(n))]
+            fresh, flags, _ = recentre(c, done, stat, fills, starts)
+        c, prev, done = fresh, c, flags
+        if done.all():
+            break
+    return c
 
+
+def _lloyd(starts: Starts, width: int):
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x_col, c_col, p_col in batches:
-            out = []
-            for x, c, p in zip(rows_of(x_col), rows_of(c_col), rows_of(p_col)):
-                x = x.reshape(-1, width)
-                d = sq_distances(x, c.reshape(-1, width))
-                old = None if starts.shared or not len(p) else sq_distances(x, p.reshape(-1, width))
-                counts, sums, moved = [], [], []
-                for m, k in enumerate(starts.ks):
-                    cols = list(starts.slots(m))
-                    label = d[:, cols].argmin(axis=1)
-                    was = 0 if old is None else old[:, cols].argmin(axis=1)
-                    moved.append(float((label != was).sum()))
-                    member = label[None, :] == np.arange(k)[:, None]
-                    counts.append(member.sum(axis=1).astype(float))
-                    sums.append((member.astype(float) @ x).ravel())
-                out.append(np.concatenate(counts + sums + [np.array(moved)]))
-            yield list_column(out)
+            yield list_column([
+                lloyd_sums(x.reshape(-1, width), c.reshape(-1, width),
+                           p.reshape(-1, width) if len(p) else None, starts)
+                for x, c, p in zip(rows_of(x_col), rows_of(c_col), rows_of(p_col))])
 
     return F.arrow_udf(run, "array<double>")
 
 
 def _recentre(starts: Starts, width: int):
-    """New centres, per-model ``done`` flags (1/0), and the numbers of empty slots."""
-    total = sum(starts.ks)
-
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for c_col, done_col, stat_col, fill_col in batches:
             new_c, new_done, holes = [], [], []
             for c, done, stat, fill in zip(rows_of(c_col), rows_of(done_col), rows_of(stat_col),
                                            rows_of(fill_col)):
-                c = c.reshape(-1, width)
-                counts = stat[:total]
-                sums = stat[total: total + total * width].reshape(-1, width)
-                moved = stat[total + total * width:]
-                fresh = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], c)
                 fills = {int(r[0]): r[1:] for r in fill.reshape(-1, width + 1)}
-                flags, empty = done.copy(), []
-                for m in range(len(starts.ks)):
-                    cols = list(starts.slots(m))
-                    if done[m]:
-                        fresh[cols] = c[cols]
-                        continue
-                    for s in cols:
-                        if counts[s] == 0:
-                            fresh[s] = fills.get(s, c[s])
-                            if s not in fills:
-                                empty.append(float(s))
-                    close = np.all(np.abs(fresh[cols] - c[cols]) <= ATOL + RTOL * np.abs(c[cols]))
-                    flags[m] = float(close and (starts.shared or moved[m] == 0))
+                fresh, flags, empty = recentre(c.reshape(-1, width), done, stat, fills, starts)
                 new_c.append(fresh.ravel())
                 new_done.append(flags)
-                holes.append(np.array(empty))
+                holes.append(np.array(empty, dtype=float))
             yield pa.StructArray.from_arrays(
                 [list_column(new_c), list_column(new_done), list_column(holes)],
                 names=["c", "done", "holes"])
@@ -249,16 +285,16 @@ def _farthest(starts: Starts, width: int):
     return F.arrow_udf(run, "array<double>")
 
 
-def _fill_rows(blocks: DataFrame, holed: DataFrame, lengths: DataFrame, width: int,
-               starts: Starts, n_recordings: int, size: int) -> DataFrame:
+def _fill_rows(blocks: Blocks, holed: DataFrame, starts: Starts) -> DataFrame:
     """Rows that replace the centres of empty clusters: ``recording_id, fill``."""
+    width = blocks.width
     model_of = np.repeat(np.arange(len(starts.ks)), starts.ks).tolist()
     holes = holed.select(REC, F.explode("holes").alias("slot")).select(
         REC, F.col("slot").cast("int"),
         F.array(*[F.lit(m) for m in model_of])[F.col("slot").cast("int")].alias("m"))
     if starts.shared:
-        far = with_state(blocks, holed.select(REC, F.col("prev").alias("c")), n_recordings,
-                         8 * width * sum(starts.ks) + 64).select(
+        far = blocks.with_state(holed.select(REC, F.col("prev").alias("c")),
+                                8 * width * sum(starts.ks) + 64).select(
             REC, "start_idx", _farthest(starts, width)("x", "c").alias("f"))
         cell = far.select(REC, "start_idx", "f", F.explode(
             F.sequence(F.lit(0), F.lit(len(starts.ks) - 1))).alias("m")).select(
@@ -280,49 +316,63 @@ def _fill_rows(blocks: DataFrame, holed: DataFrame, lengths: DataFrame, width: i
         rank = F.row_number().over(W.partitionBy(REC, "m").orderBy("slot")) - 1
         used = holed.select(REC, "spent")
         wanted = (
-            holes.withColumn("rank", rank).join(used, REC).join(lengths, REC)
+            holes.withColumn("rank", rank).join(used, REC).join(blocks.lengths, REC)
             .select(REC, "slot", F.arrow_udf(draw, "bigint")(
                 "n_rows", "m", F.element_at("spent", F.col("m") + 1), "rank").alias("idx")))
-    rows = rows_at(blocks, wanted, width, size)
+    rows = rows_at(blocks, wanted)
     return rows.groupBy(REC).agg(F.flatten(F.collect_list(
         F.concat(F.array(F.col("slot").cast("double")), F.col("row")))).alias("fill"))
 
 
-def fit_kmeans(blocks: DataFrame, lengths: DataFrame, width: int, starts: Starts,
-               iterations: int, n_recordings: int, size: int = ROW_BLOCK) -> DataFrame:
+def fit_kmeans(blocks: Blocks, starts: Starts, iterations: int) -> DataFrame:
     """Fit every model of ``starts``: ``recording_id, c`` (all centres, flattened)."""
+    width = blocks.width
+
+    def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for x_col in batches:
+            yield list_column([fit_in_block(x.reshape(-1, width), starts, iterations).ravel()
+                               for x in rows_of(x_col)])
+
+    short = blocks.short().df.select(REC, F.arrow_udf(whole, "array<double>")("x").alias("c"))
+    if not blocks.n_long:
+        return short
+    return short.unionByName(_fit_by_passes(blocks.long(), starts, iterations))
+
+
+def _fit_by_passes(blocks: Blocks, starts: Starts, iterations: int) -> DataFrame:
+    width = blocks.width
     row_bytes = 16 * width * sum(starts.ks) + 64
     models = len(starts.ks)
     zeros = F.array(*[F.lit(0.0)] * models)
     nothing = F.array().cast("array<double>")
-    state = seed_centers(blocks, lengths, width, starts, n_recordings, size).groupBy(REC).agg(
+    state = seed_centers(blocks, starts).groupBy(REC).agg(
         F.sort_array(F.collect_list(F.struct("slot", "row"))).alias("s")
     ).select(REC, F.flatten("s.row").alias("c"), nothing.alias("prev"), zeros.alias("done"),
              zeros.alias("spent"))
     finished = None
+    move = _recentre(starts, width)
     for _ in range(iterations):
         active = state
-        parts = with_state(blocks, active.select(REC, "c", "prev"), n_recordings, row_bytes).select(
+        parts = blocks.with_state(active.select(REC, "c", "prev"), row_bytes).select(
             REC, _lloyd(starts, width)("x", "c", "prev").alias("v"))
         stats = active.join(sum_vectors(parts, "v"), REC)
-        recentre = _recentre(starts, width)
         step = stats.select(
             REC, F.col("c").alias("prev"), "spent", F.col("done").alias("was"), "stats",
-            recentre("c", "done", "stats", nothing).alias("n"),
+            move("c", "done", "stats", nothing).alias("n"),
         ).select(REC, "prev", "spent", "was", "stats", "n.*")
         step = cut_lineage(step)
         left, holes = step.agg(
             F.sum(F.expr("exists(done, d -> d = 0)").cast("int")),
             F.sum(F.size("holes"))).first()
         if holes:
-            fill = _fill_rows(blocks, step, lengths, width, starts, n_recordings, size)
+            fill = _fill_rows(blocks, step, starts)
             counts = [F.aggregate(F.filter("holes", lambda h, a=o, b=o + k: (h >= a) & (h < b)),
                                   F.lit(0.0), lambda acc, h: acc + 1)
                       for o, k in zip(starts.offsets, starts.ks)]
             step = cut_lineage(
                 step.join(fill, REC, "left").select(
                     REC, "prev", "holes", "spent",
-                    recentre("prev", "was", "stats", F.coalesce("fill", nothing)).alias("n"))
+                    move("prev", "was", "stats", F.coalesce("fill", nothing)).alias("n"))
                 .select(REC, "prev", F.zip_with("spent", F.array(*counts), lambda a, b: a + b)
                         .alias("spent"), "n.c", "n.done"))
             left = step.agg(F.sum(F.expr("exists(done, d -> d = 0)").cast("int"))).first()[0]
@@ -344,9 +394,9 @@ class KMeansFit:
     labels: DataFrame  # recording_id, window_index, label
 
 
-def best_restart(blocks: DataFrame, fits: DataFrame, width: int, starts: Starts,
-                 n_recordings: int) -> DataFrame:
+def best_restart(blocks: Blocks, fits: DataFrame, starts: Starts) -> DataFrame:
     """Lowest inertia wins, the earliest restart on ties."""
+    width = blocks.width
 
     def cost(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x_col, c_col in batches:
@@ -357,7 +407,7 @@ def best_restart(blocks: DataFrame, fits: DataFrame, width: int, starts: Starts,
                                      for m in range(len(starts.ks))]))
             yield list_column(out)
 
-    parts = with_state(blocks, fits, n_recordings, 8 * width * sum(starts.ks) + 64).select(
+    parts = blocks.with_state(fits, 8 * width * sum(starts.ks) + 64).select(
         REC, F.arrow_udf(cost, "array<double>")("x", "c").alias("v"))
     pick = F.array_position("stats", F.array_min("stats")) - 1
     k = starts.ks[0]
@@ -367,9 +417,9 @@ def best_restart(blocks: DataFrame, fits: DataFrame, width: int, starts: Starts,
         F.array_min("stats").alias("inertia"))
 
 
-def assign_rows(blocks: DataFrame, model: DataFrame, width: int, n_recordings: int,
-                k: int) -> DataFrame:
+def assign_rows(blocks: Blocks, model: DataFrame, k: int) -> DataFrame:
     """Nearest centre of every row (first on ties): ``recording_id, window_index, label``."""
+    width = blocks.width
 
     def label(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for x_col, c_col in batches:
@@ -377,8 +427,7 @@ def assign_rows(blocks: DataFrame, model: DataFrame, width: int, n_recordings: i
                    for x, c in zip(rows_of(x_col), rows_of(c_col))]
             yield list_column(out).cast(pa.list_(pa.int32()))
 
-    tagged = with_state(blocks, model.select(REC, "centroids"), n_recordings,
-                        8 * width * k + 64).select(
+    tagged = blocks.with_state(model.select(REC, "centroids"), 8 * width * k + 64).select(
         REC, "start_idx", F.arrow_udf(label, "array<int>")("x", "centroids").alias("l"))
     return explode_labels(tagged, "l", "label")
 
@@ -388,12 +437,11 @@ def explode_labels(tagged: DataFrame, column: str, name: str) -> DataFrame:
         REC, (F.col("start_idx") + F.col("at")).alias("window_index"), name)
 
 
-def kmeans(blocks: DataFrame, lengths: DataFrame, width: int, n_recordings: int,
-           config: ClusterConfig | None = None, size: int = ROW_BLOCK) -> KMeansFit:
-    """K-means with shared-stream restarts; ``blocks`` should be materialised."""
+def kmeans(blocks: Blocks, config: ClusterConfig | None = None) -> KMeansFit:
+    """K-means with shared-stream restarts."""
     cfg = config or ClusterConfig()
     starts = Starts((cfg.n_clusters,) * cfg.kmeans_restarts,
                     (cfg.random_seed,) * cfg.kmeans_restarts, shared=True)
-    fits = fit_kmeans(blocks, lengths, width, starts, cfg.kmeans_iterations, n_recordings, size)
-    model = cut_lineage(best_restart(blocks, fits, width, starts, n_recordings))
-    return KMeansFit(model, assign_rows(blocks, model, width, n_recordings, cfg.n_clusters))
+    fits = cut_lineage(fit_kmeans(blocks, starts, cfg.kmeans_iterations))
+    model = cut_lineage(best_restart(blocks, fits, starts))
+    return KMeansFit(model, assign_rows(blocks, model, cfg.n_clusters))
