@@ -157,3 +157,11 @@ def filter_blocks(blocks: DataFrame, fs: float, max_blocks: int, has_emg: bool,
             if flt is not None:
                 blocks = materialise(zero_phase(blocks, channel, flt, max_blocks))
     return blocks
+
+
+def unpack_blocks(blocks: DataFrame) -> DataFrame:
+    """Block arrays back to ``recording_id, sample_idx, eeg, emg`` rows."""
+    pairs = F.arrays_zip(F.col("eeg").alias("eeg"), F.col("emg").alias("emg"))
+    return blocks.select(REC, "start_idx", F.posexplode(pairs).alias("at", "v")).select(
+        REC, (F.col("start_idx") + F.col("at")).alias("sample_idx"),
+        F.col("v.eeg").alias("eeg"), F.col("v.emg").alias("emg"))

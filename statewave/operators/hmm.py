@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from statewave.config import HMMConfig
 from statewave.functions.arrays import list_column, rows_of
-from statewave.functions.semiring import logsumexp
+from statewave.functions.semiring import logsumexp, product
 from statewave.operators.blocks import REC, Blocks, sum_vectors
 from statewave.operators.em import run_passes, settle
 from statewave.operators.index import run_lengths
@@ -540,6 +540,56 @@ def _by_passes(blocks: Blocks, fam: Family, starts: Starts, iterations: int) ->
     return done.select(REC, "p").join(last, REC)
 
 
+def log_emissions(blocks: Blocks, params: DataFrame, fam: Family) -> DataFrame:
+    """Log density of every window under every state of every model."""
+    width = blocks.width
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x_col, p_col in batches:
+            out = []
+            for x, p in zip(rows_of(x_col), rows_of(p_col)):
+                _, _, mu, var = fam.unpack(p)
+                out.append(emissions(x.reshape(-1, width), mu, var, fam.mask).ravel())
+            yield list_column(out)
+
+    per_row = fam.m * fam.k
+    flat = blocks.with_state(params, 8 * fam.size + 64).select(
+        REC, (F.col("start_idx") * per_row).alias("start_idx"),
+        F.arrow_udf(run, "array<double>")("x", "p").alias("e"))
+    ks = F.array(*[F.lit(k) for k in fam.ks])
+    cells = explode_labels(flat, "e", "log_density")
+    spot = F.col("window_index") % per_row
+    return cells.select(
+        REC, ks[F.floor(spot / fam.k).cast("int")].alias("n_states"),
+        (spot % fam.k).cast("int").alias("state"),
+        F.expr(f"window_index div {per_row}").alias("window_index"), "log_density",
+    ).filter(F.col("state") < F.col("n_states"))
+
+
+def log_likelihood(blocks: Blocks, params: DataFrame, fam: Family) -> DataFrame:
+    """Forward likelihood under given parameters: ``recording_id, n_states, log_likelihood``."""
+    shape = (fam.m, fam.k)
+
+    def close(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for m_col, c_col in batches:
+            yield list_column([
+                logsumexp(product(c.reshape(shape), m.reshape(*shape, fam.k), "log"), axis=-1)
+                for m, c in zip(rows_of(m_col), rows_of(c_col))])
+
+    row_bytes = 8 * fam.size + 64
+    hops = cut_lineage(blocks.with_state(params, row_bytes).select(
+        REC, "block", "n_rows", F.when(F.col("block") == 0, _log_initial(fam)("p")).alias("start"),
+        _transfers(fam, False)("x", "p", "block").alias("t")).select(
+        REC, "block", "n_rows", "start", F.col("t.ahead").alias("m")))
+    carry = block_scan(hops.select(REC, "block", "start", "m"), (fam.m,), fam.k, "log",
+                       blocks.max_blocks)
+    last = F.col("block") == F.expr(f"(n_rows - 1) div {blocks.size}")
+    ks = F.array(*[F.lit(k) for k in fam.ks])
+    return hops.filter(last).join(carry, [REC, "block"]).select(REC, F.posexplode(
+        F.arrow_udf(close, "array<double>")("m", "carry")).alias("i", "log_likelihood")).select(
+        REC, ks[F.col("i")].alias("n_states"), "log_likelihood")
+
+
 def _decode_passes(blocks: Blocks, params: DataFrame, fam: Family, row_bytes: int) -> DataFrame:
     """Best paths of long recordings: scores forward, then back pointers composed per block."""
     width, m, k, size = blocks.width, fam.m, fam.k, blocks.size

@@ -103,13 +103,19 @@ def _wide(coords: DataFrame, c: int) -> DataFrame:
         REC, "window_index", *[F.col("row")[i].alias(f"dim_{i + 1}") for i in range(c)])
 
 
-def diffusion_coordinates(x: np.ndarray, n_components: int, epsilon: float | None):
-    """Coordinates and eigenvalues of the random walk with a Gaussian kernel."""
+def gaussian_kernel(x: np.ndarray, epsilon: float | None) -> tuple[np.ndarray, float]:
+    """Kernel matrix and its width: given, or the median positive squared distance."""
     d = sq_distances(x, x)
     if epsilon is None:
         positive = d[d > 0]
         epsilon = float(np.median(positive)) if positive.size else 1.0
-    kernel = np.exp(-d / max(epsilon, 1e-6))
+    epsilon = max(epsilon, 1e-6)
+    return np.exp(-d / epsilon), epsilon
+
+
+def diffusion_coordinates(x: np.ndarray, n_components: int, epsilon: float | None):
+    """Coordinates and eigenvalues of the random walk with a Gaussian kernel."""
+    kernel, _ = gaussian_kernel(x, epsilon)
     root = np.sqrt(np.maximum(kernel.sum(axis=1), 1e-12))
     # the walk matrix is similar to a symmetric one: same spectrum, rescaled eigenvectors
     w, v = np.linalg.eigh(kernel / np.outer(root, root))
@@ -138,6 +144,18 @@ def _one_task(blocks: Blocks, name: str, embed) -> tuple[DataFrame, DataFrame]:
         run, f"{REC} string, start_idx bigint, e array<double>, eigenvalues array<double>"))
 
 
+def kernel_row_sums(blocks: Blocks, epsilon: float | None = None) -> DataFrame:
+    """``recording_id, window_index, epsilon, row_sum`` of the diffusion kernel."""
+    def measure(x):
+        kernel, width = gaussian_kernel(x, epsilon)
+        return kernel.sum(axis=1, keepdims=True), np.array([width])
+
+    frame = _one_task(blocks, "Diffusion map", measure)
+    return _wide(frame, 1).join(
+        frame.select(REC, F.col("eigenvalues")[0].alias("epsilon")), REC).select(
+        REC, "window_index", "epsilon", F.col("dim_1").alias("row_sum"))
+
+
 def manifold(blocks: Blocks, config: ManifoldConfig | None = None) -> Manifold:
     cfg = config or ManifoldConfig()
     c, meta = cfg.n_components, {"n_components": cfg.n_components}
