@@ -32,7 +32,7 @@ n_{channel} AS (SELECT w, o, {channel} AS v, lag({channel}) OVER q AS p, lead({c
 t_{channel} AS (SELECT w, sum((v * v + p * p) / 2) / 10.0 AS energy, max(v) - min(v) AS peak_to_peak,
              sum(CASE WHEN p IS NOT NULL AND signbit(v) <> signbit(p) THEN 1.0 ELSE 0.0 END) / 99 AS zcr,
              sum(CASE WHEN abs(v) > abs(p) AND abs(v) >= abs(f)
-                       AND abs(v) >= greatest(0.75 * sd, 1e-8) THEN 1.0 ELSE 0.0 END) AS peak_count,
+                       AND abs(v) >= greatest(0.75 * sd, 1e-8) THEN 1.0::DOUBLE ELSE 0.0 END) AS peak_count,
              sum((v * v + p * p) / 2) / 100 AS iemg2
       FROM n_{channel} GROUP BY w)"""
 
@@ -47,7 +47,7 @@ pw AS (SELECT x.w, v.b, (pow(sum(x.eeg * t.h * v.c), 2) + pow(sum(x.eeg * t.h *
 tot AS (SELECT w, (sum(p) - (sum(CASE WHEN b IN (0, 50) THEN p ELSE 0 END)) / 2) * 0.1 AS total
         FROM pw GROUP BY w),
 spec AS (SELECT p.w, any_value(t.total) AS total,
-                min(CASE WHEN p.p = m.top THEN p.b END) * 0.1 AS dominant,
+                min(CASE WHEN p.p = m.top THEN p.b END) * 0.1::DOUBLE AS dominant,
                 -sum(CASE WHEN p.p > 0 THEN p.p / greatest(t.total, 1e-12)
                           * log2(p.p / greatest(t.total, 1e-12)) ELSE 0 END) AS entropy
          FROM pw p JOIN tot t ON t.w = p.w
@@ -229,15 +229,15 @@ both_ AS (SELECT c, d, t, 0 AS side, '<=' AS direction, l AS tp, nl AS picked, a
           UNION ALL SELECT c, d, t, 1, '>', a - l, nr, a FROM hit),
 sc AS (SELECT *, tp / greatest(picked, 1)::DOUBLE AS p, tp / greatest(a, 1)::DOUBLE AS r FROM both_),
 f1 AS (SELECT c, d, t, side, direction,
-              CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS score FROM sc),
+              CASE WHEN p + r = 0 THEN 0.0 ELSE 2.0 * p * r / (p + r) END AS score FROM sc),
 top AS (SELECT * FROM f1 QUALIFY row_number() OVER (
-        PARTITION BY c, d ORDER BY round(score, 12) DESC, t, side) = 1)"""
+        PARTITION BY c, d ORDER BY score DESC, t, side) = 1)"""
 
 
 def _filter_sql(sections, pad: int) -> str:
     """Forward and backward recursion of a section cascade per user, one level per sample."""
     n = len(sections)
-    states = [f"{v}{s}" for s in range(n) for v in ("p", "q")]
+    sections = [[float(c) for c in section] for section in sections]
     rest, scale = [], 1.0
     for b0, b1, b2, _, a1, a2 in sections:
         gain = (b0 + b1 + b2) / (1 + a1 + a2)
@@ -247,13 +247,11 @@ def _filter_sql(sections, pad: int) -> str:
 
     def level(prev: str, x: str) -> str:
         u, cells = x, []
-        exprs = []
         for s, (b0, b1, b2, _, a1, a2) in enumerate(sections):
             p, q = f"{prev}p{s}", f"{prev}q{s}"
             y = f"({b0!r} * {u} + {p})"
             cells += [f"({b1!r} * {u} - {a1!r} * {y} + {q}) AS p{s}",
                       f"({b2!r} * {u} - {a2!r} * {y}) AS q{s}"]
-            exprs.append(y)
             u = y
         return ", ".join([f"{u} AS y"] + cells)
 
@@ -316,9 +314,9 @@ def _boxes() -> str:
         f"SELECT 'eeg_{n}' AS feature, CAST(peak_count AS INT) % {STATES} AS label, {n} AS v FROM t_eeg"
         for n in ("energy", "peak_to_peak", "zcr", "peak_count", "iemg2"))
     return TIMED + f""", c AS ({cells})
-SELECT feature, label, round(min(v), 6) AS low, round(quantile_cont(v, 0.25), 6) AS q1,
-       round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3,
-       round(max(v), 6) AS high FROM c GROUP BY feature, label"""
+SELECT feature, label, round(min(v), 8) AS low, round(quantile_cont(v, 0.25), 8) AS q1,
+       round(quantile_cont(v, 0.5), 8) AS median, round(quantile_cont(v, 0.75), 8) AS q3,
+       round(max(v), 8) AS high FROM c GROUP BY feature, label"""
 
 
 def _shape_out(channel: str) -> str:
@@ -356,15 +354,15 @@ SELECT 'all' AS recording_id, i AS sample_idx,
 SELECT n AS n_rows, least(n // 20, 1) AS window_size,
        CAST(floor(least(n // 20, 1) * 0.25) AS BIGINT) AS overlap FROM len""",
     "window_metadata": WINDOWED + """
-SELECT 'all' AS recording_id, w AS window_index, round(w * 5.0, 6) AS start_time_sec,
-       round(w * 5.0 + 10.0, 6) AS end_time_sec FROM wins""",
+SELECT 'all' AS recording_id, w AS window_index, round(w * 5.0::DOUBLE, 6) AS start_time_sec,
+       round(w * 5.0::DOUBLE + 10.0, 6) AS end_time_sec FROM wins""",
     "window_matrix": WINDOWED + """
 SELECT w AS window_index, CAST(count(*) AS INT) AS size, round(sum(eeg * (o + 1)), 3) AS eeg,
        round(sum(emg * (o + 1)), 3) AS emg FROM x GROUP BY w""",
     "time_features_eeg": _shape_out("eeg"),
     "time_features_emg": _shape_out("emg"),
     "spectrum_power": SPECTRAL + """
-SELECT w AS window_index, b AS bin, round(b * 0.1, 6) AS freq, round(p, 4) AS power FROM pw""",
+SELECT w AS window_index, b AS bin, round(b * 0.1::DOUBLE, 6) AS freq, round(p, 4) AS power FROM pw""",
     "spectrum_features": SPECTRAL + """
 SELECT w AS window_index, round(total, 5) AS eeg_total_power, round(dominant, 5) AS eeg_dominant_frequency,
        round(entropy, 5) AS eeg_spectral_entropy FROM spec""",
@@ -378,8 +376,8 @@ leg AS (SELECT w, peak_to_peak, zcr AS zero_crossing_rate, peak_count, iemg2 FRO
 SELECT w AS window_index, """ + minmaxed(
         ["peak_to_peak", "zero_crossing_rate", "peak_count", "iemg2"]) + " FROM leg",
     "features_inverse_scaling": BOTH + """
-SELECT e.w AS window_index, round(e.energy, 4) AS eeg_energy, round(e.peak_to_peak, 4) AS eeg_peak_to_peak,
-       round(m.energy, 4) AS emg_energy, round(m.peak_to_peak, 4) AS emg_peak_to_peak
+SELECT e.w AS window_index, round(e.energy, 6) AS eeg_energy, round(e.peak_to_peak, 6) AS eeg_peak_to_peak,
+       round(m.energy, 6) AS emg_energy, round(m.peak_to_peak, 6) AS emg_peak_to_peak
 FROM t_eeg e JOIN t_emg m ON m.w = e.w""",
     "nearest_centroid": NEAREST + " SELECT i AS window_index, CAST(label AS INT) AS label FROM near",
     "lloyd_step": NEAREST + f""",
@@ -481,7 +479,7 @@ p AS (SELECT method, label, count(*) / sum(count(*)) OVER (PARTITION BY method)
 SELECT method, round(-sum(p * log2(p)), 6) AS balance_entropy,
        CASE WHEN method = 'gmm' THEN count(DISTINCT label) END AS classes FROM p GROUP BY method""",
     "top_windows": TIMED + """
-SELECT w AS window_index, round(energy, 4) AS eeg_energy FROM t_eeg ORDER BY energy DESC, w LIMIT 8""",
+SELECT w AS window_index, round(energy, 6) AS eeg_energy FROM t_eeg ORDER BY energy DESC, w LIMIT 8""",
     "signal_opening": "WITH" + SIGNAL + """
 SELECT i AS sample_idx, round(eeg, 6) AS eeg, emg FROM sig WHERE i < 200""",
     "window_stride": TIMED + " SELECT w AS window_index, round(zcr, 6) AS eeg_zcr FROM t_eeg WHERE w % 5 = 0",

@@ -239,7 +239,7 @@ def features_inverse_scaling(spark, d):
     joined = f.scaled.join(f.scaler, REC)
     names = [n for n in f.names if n.endswith(("_energy", "_peak_to_peak"))]
     return joined.select("window_index", *[
-        r(scaling.inverse_scale(F.col(n), F.col(f"center_{n}"), F.col(f"scale_{n}")), 4).alias(n)
+        r(scaling.inverse_scale(F.col(n), F.col(f"center_{n}"), F.col(f"scale_{n}")), 6).alias(n)
         for n in names])
 
 
@@ -545,7 +545,7 @@ def feature_box_stats(spark, d):
     labels = window_labels(spark, d).filter("method = 'kmeans'").select(REC, "window_index", "label")
     cells = summary.unpivot(t.join(labels, [REC, "window_index"]), names, ["label"])
     out = summary.box_stats(cells, ["feature", "label"], "value", t.count())
-    return rounded(out, out.columns[2:])
+    return rounded(out, out.columns[2:], 8)
 
 
 def _threshold_table(spark, d):
@@ -575,7 +575,7 @@ def method_metrics(spark, d):
 
 def top_windows(spark, d):
     """The eight windows with the most energy."""
-    return time_table(spark, d).select("window_index", r("eeg_energy", 4).alias("eeg_energy")).orderBy(
+    return time_table(spark, d).select("window_index", r("eeg_energy").alias("eeg_energy")).orderBy(
         F.desc("eeg_energy"), "window_index").limit(8)
 
 
