@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from statewave.session import cut_lineage, maybe_broadcast
 
 REC = "recording_id"
-SIGNAL_BLOCK = 16384
+SIGNAL_BLOCK = 131072
 ROW_BLOCK = 4096
 
 

@@ -51,12 +51,12 @@ def binned_counts(rows: DataFrame, k: int, limit: int, max_rows: int) -> DataFra
     candidates = split_candidates(cells, keys, "value", limit, max_rows)
     bins = cells.join(candidates, keys).groupBy(
         *keys, F.expr("size(filter(thresholds, t -> t < value))").alias("bin")
-    ).agg(*_class_counts(k))
+    ).agg(F.first("thresholds").alias("thresholds"), *_class_counts(k))
     # bins may be empty: one packed row per group carries the sparse bins to every threshold
-    packed = bins.groupBy(*keys).agg(F.collect_list(F.struct(
-        "bin", *[f"c{c}" for c in range(k)])).alias("bins"))
-    grid = candidates.join(packed, keys).select(
-        *keys, "bins", F.posexplode("thresholds").alias("at", "threshold"))
+    packed = bins.groupBy(*keys).agg(
+        F.first("thresholds").alias("thresholds"),
+        F.collect_list(F.struct("bin", *[f"c{c}" for c in range(k)])).alias("bins"))
+    grid = packed.select(*keys, "bins", F.posexplode("thresholds").alias("at", "threshold"))
     upto = [F.expr(f"aggregate(filter(bins, b -> b.bin <= at), 0L, (s, b) -> s + b.c{c})")
             .alias(f"l{c}") for c in range(k)]
     return grid.select(*keys, "threshold", *upto)
@@ -79,9 +79,9 @@ def best_splits(candidates: DataFrame, nodes: DataFrame, k: int, min_leaf: int)
         .filter((n_left >= min_leaf) & (n_right >= min_leaf))
         .withColumn("gain", _gini([F.col(f"c{c}") for c in range(k)], F.col("n")) - weighted)
     )
-    rank = W.partitionBy(*NODE).orderBy(F.desc("gain"), "f", "threshold")
-    return priced.withColumn("_r", F.row_number().over(rank)).filter("_r = 1").select(
-        *NODE, "f", "threshold", "gain")
+    best = F.max_by(F.struct("f", "threshold", "gain"),
+                    F.struct("gain", -F.col("f"), -F.col("threshold")))
+    return priced.groupBy(*NODE).agg(best.alias("b")).select(*NODE, "b.*")
 
 
 def f1_thresholds(candidates: DataFrame, totals: DataFrame, k: int) -> DataFrame:
@@ -110,10 +110,10 @@ def f1_thresholds(candidates: DataFrame, totals: DataFrame, k: int) -> DataFrame
     recall = F.col("tp") / F.greatest(F.col("all"), F.lit(1))
     score = F.when(precision + recall == 0, F.lit(0.0)).otherwise(
         2.0 * precision * recall / F.greatest(precision + recall, F.lit(1e-300)))
-    order = W.partitionBy(REC, "method", "cluster", "f").orderBy(
-        F.desc("score"), "threshold", "side")
-    return rules.withColumn("score", score).withColumn("_r", F.row_number().over(order)).filter(
-        "_r = 1").select(REC, "method", "cluster", "f", "direction", "threshold", "score")
+    best = F.max_by(F.struct("direction", "threshold", "score"),
+                    F.struct("score", -F.col("threshold"), -F.col("side")))
+    return rules.withColumn("score", score).groupBy(REC, "method", "cluster", "f").agg(
+        best.alias("b")).select(REC, "method", "cluster", "f", "b.*")
 
 
 def _scaler_long(scaler: DataFrame, columns: list[str]) -> DataFrame:

@@ -143,20 +143,45 @@ def zero_phase(blocks: DataFrame, channel: str, flt: LinearFilter, max_blocks: i
         *[filtered if c == channel else F.col(c) for c in blocks.columns])
 
 
+def _whole(stages: list[LinearFilter]):
+    """All filters of a channel on recordings that are one block."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        runners = [(flt, BlockRunner(flt)) for flt in stages]
+        for x_col in batches:
+            out = []
+            for x in rows_of(x_col):
+                for flt, runner in runners:
+                    u, skip = _padded(x, flt.pad, True, True)
+                    y, _ = runner.run(u, flt.rest * u[0])
+                    x = runner.run(y[::-1], flt.rest * y[-1])[0][::-1][skip: skip + len(x)]
+                out.append(x)
+            yield list_column(out)
+
+    return F.arrow_udf(run, "array<double>")
+
+
 def filter_blocks(blocks: DataFrame, fs: float, max_blocks: int, has_emg: bool,
                   config: FilterConfig | None = None, materialise=lambda df: df) -> DataFrame:
-    """Band-pass, then notch, on every channel; each stage is materialised once."""
+    """Band-pass, then notch, on every channel of ``signal_blocks`` output.
+
+    Recordings of one block are filtered in place. For longer ones every stage is
+    materialised once, because the scan and the second pass both read it.
+    """
     cfg = config or FilterConfig()
     channels = [("eeg", cfg.eeg_band)] + ([("emg", cfg.emg_band)] if has_emg else [])
-    stages = [
-        [(c, bandpass_filter(cfg.filter_order, *band, fs)) for c, band in channels],
-        [(c, notch_filter(cfg.notch_freq, cfg.notch_quality, fs)) for c, _ in channels],
-    ]
-    for stage in stages:
-        for channel, flt in stage:
-            if flt is not None:
-                blocks = materialise(zero_phase(blocks, channel, flt, max_blocks))
-    return blocks
+    notch = notch_filter(cfg.notch_freq, cfg.notch_quality, fs)
+    plan = {c: [f for f in (bandpass_filter(cfg.filter_order, *band, fs), notch) if f is not None]
+            for c, band in channels}
+    short = blocks.filter("last_block = 0").select(*[
+        _whole(plan[c])(c).alias(c) if plan.get(c) else F.col(c) for c in blocks.columns])
+    if max_blocks <= 1:
+        return materialise(short)
+    long = blocks.filter("last_block > 0")
+    for channel, stages in plan.items():
+        for flt in stages:
+            long = materialise(zero_phase(long, channel, flt, max_blocks))
+    return materialise(short).unionByName(long)
 
 
 def unpack_blocks(blocks: DataFrame) -> DataFrame:

@@ -23,6 +23,25 @@ def zscore_signal(samples: DataFrame, channels: list[str], n_recordings: int) ->
     return joined.select(*samples.columns)
 
 
+def _standardised(array: str, mean: Column, spread: Column) -> Column:
+    return F.transform(array, lambda v: (v - mean) / spread)
+
+
+def zscore_blocks(blocks: DataFrame, channels: list[str], n_recordings: int) -> DataFrame:
+    """The same on signal blocks; statistics are combined per value, arrays stay arrays."""
+    stats = None
+    for c in channels:
+        cell = blocks.select(REC, F.explode(c).alias("v")).groupBy(REC).agg(
+            F.avg("v").alias(f"_m_{c}"), F.stddev_pop("v").alias(f"_s_{c}"))
+        stats = cell if stats is None else stats.join(cell, REC)
+    joined = blocks.join(maybe_broadcast(stats, n_recordings, 32 + 16 * len(channels)), REC)
+    for c in channels:
+        mean = F.col(f"_m_{c}")
+        spread = F.when(F.col(f"_s_{c}") < 1e-8, F.lit(1.0)).otherwise(F.col(f"_s_{c}"))
+        joined = joined.withColumn(c, _standardised(c, mean, spread))
+    return joined.select(*blocks.columns)
+
+
 def _unless_flat(width: Column) -> Column:
     return F.when(width < 1e-8, F.lit(1.0)).otherwise(width)
 

@@ -118,7 +118,7 @@ def _user_filter(spark, d, flt):
     lengths = B.cut_lineage(B.recording_lengths(s))
     n, top = lengths.agg(F.count(F.lit(1)), F.max("n_rows")).first()
     packed = B.cut_lineage(B.signal_blocks(s, lengths, n))
-    out = filters.zero_phase(packed, "eeg", flt, top // B.SIGNAL_BLOCK + 1)
+    out = filters.zero_phase(packed, "eeg", flt, max(top // B.SIGNAL_BLOCK, 1))
     return out.select(REC, "start_idx", F.posexplode("eeg").alias("i", "v")).select(
         REC, (F.col("start_idx") + F.col("i")).alias("sample_idx"), r("v", 5).alias("eeg"))
 
@@ -137,7 +137,7 @@ def signal_preprocess(spark, d):
     top = lengths.agg(F.max("n_rows")).first()[0]
     packed = B.cut_lineage(B.signal_blocks(s, lengths, 1))
     cfg = FilterConfig(eeg_band=QUERY_BAND, emg_band=(1.0, 100.0), notch_freq=QUERY_NOTCH)
-    out = filters.filter_blocks(packed, FS, top // B.SIGNAL_BLOCK + 1, True, cfg, B.cut_lineage)
+    out = filters.filter_blocks(packed, FS, max(top // B.SIGNAL_BLOCK, 1), True, cfg, B.cut_lineage)
     flat = filters.unpack_blocks(out)
     return scaling.zscore_signal(flat, ["eeg", "emg"], 1)
 
