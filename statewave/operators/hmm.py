@@ -295,9 +295,13 @@ def _trace(back: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def stationary_distribution(a: np.ndarray) -> np.ndarray:
-    """Long-run state shares: the eigenvector of the transposed matrix at eigenvalue 1."""
+    """Long-run state shares: the eigenvector of the transposed matrix at eigenvalue 1.
+
+    Its sign is arbitrary, so it is turned positive before rounding noise is clipped.
+    """
     values, vectors = np.linalg.eig(a.T)
-    v = np.maximum(np.real(vectors[:, np.abs(values - 1.0).argmin()]), 0.0)
+    v = np.real(vectors[:, np.abs(values - 1.0).argmin()])
+    v = np.maximum(v if v.sum() >= 0 else -v, 0.0)
     return v / v.sum() if v.sum() > 0 else np.full(len(a), 1.0 / len(a))
 
 

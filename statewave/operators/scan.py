@@ -42,11 +42,8 @@ def _scan(level: DataFrame, lead, dim: int, algebra: str, n: int, fanout: int) -
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
-        state, out = None, []
-        first = pdf["start"].iloc[0] if "carry_in" not in pdf else None
-        if first is None and "carry_in" in pdf:
-            first = pdf["carry_in"].iloc[0]
-        state = np.asarray(first, dtype=float).reshape(vector)
+        first = pdf["carry_in" if "carry_in" in pdf else "start"].iloc[0]
+        state, out = np.asarray(first, dtype=float).reshape(vector), []
         for m in pdf["m"]:
             out.append(state.ravel())
             state = product(state, np.asarray(m).reshape(matrix), algebra)
@@ -69,6 +66,6 @@ def _scan(level: DataFrame, lead, dim: int, algebra: str, n: int, fanout: int) -
     runs = level.withColumn("run", F.floor(F.col("at") / F.lit(float(fanout))).cast("bigint"))
     coarse = runs.groupBy(REC, "run").applyInPandas(
         multiply, f"{REC} string, block bigint, at bigint, start array<double>, m array<double>")
-    entry = _scan(coarse, lead, dim, algebra, n // fanout + 2, fanout).select(
+    entry = _scan(coarse, lead, dim, algebra, -(-(n - 1) // fanout) + 1, fanout).select(
         REC, F.col("block").alias("run"), F.col("carry").alias("carry_in"))
     return runs.join(entry, [REC, "run"]).groupBy(REC, "run").applyInPandas(walk, schema)
