@@ -118,11 +118,13 @@ class BlockRunner:
             into[i] = z
             z = self.leap @ z + push[i]
         out = (main @ self.toeplitz.T + into @ self.observe.T).ravel()
-        tail = []
-        for v in u[n * CHUNK:]:
-            tail.append(self.f.c @ z + self.f.d * v)
-            z = self.f.a @ z + self.f.b * v
-        return np.concatenate([out, tail]), z
+        tail = u[n * CHUNK:]
+        r = len(tail)
+        if r:
+            last = self.toeplitz[:r, :r] @ tail + self.observe[:r] @ z
+            z = self.power(r) @ z + self.reach[:, CHUNK - r:] @ tail
+            out = np.concatenate([out, last])
+        return out, z
 
 
 def odd_extension(x: np.ndarray, pad: int, left: bool) -> np.ndarray:

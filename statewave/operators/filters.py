@@ -161,18 +161,13 @@ def _whole(stages: list[LinearFilter]):
     return F.arrow_udf(run, "array<double>")
 
 
-def filter_blocks(blocks: DataFrame, fs: float, max_blocks: int, has_emg: bool,
-                  config: FilterConfig | None = None, materialise=lambda df: df) -> DataFrame:
-    """Band-pass, then notch, on every channel of ``signal_blocks`` output.
+def apply_filters(blocks: DataFrame, plan: dict[str, list[LinearFilter]], max_blocks: int,
+                  materialise=lambda df: df) -> DataFrame:
+    """Run each channel's filters in turn, forwards and backwards.
 
     Recordings of one block are filtered in place. For longer ones every stage is
     materialised once, because the scan and the second pass both read it.
     """
-    cfg = config or FilterConfig()
-    channels = [("eeg", cfg.eeg_band)] + ([("emg", cfg.emg_band)] if has_emg else [])
-    notch = notch_filter(cfg.notch_freq, cfg.notch_quality, fs)
-    plan = {c: [f for f in (bandpass_filter(cfg.filter_order, *band, fs), notch) if f is not None]
-            for c, band in channels}
     short = blocks.filter("last_block = 0").select(*[
         _whole(plan[c])(c).alias(c) if plan.get(c) else F.col(c) for c in blocks.columns])
     if max_blocks <= 1:
@@ -184,6 +179,17 @@ def filter_blocks(blocks: DataFrame, fs: float, max_blocks: int, has_emg: bool,
     return materialise(short).unionByName(long)
 
 
+def filter_blocks(blocks: DataFrame, fs: float, max_blocks: int, has_emg: bool,
+                  config: FilterConfig | None = None, materialise=lambda df: df) -> DataFrame:
+    """Band-pass, then notch, on every channel of ``signal_blocks`` output."""
+    cfg = config or FilterConfig()
+    channels = [("eeg", cfg.eeg_band)] + ([("emg", cfg.emg_band)] if has_emg else [])
+    notch = notch_filter(cfg.notch_freq, cfg.notch_quality, fs)
+    plan = {c: [f for f in (bandpass_filter(cfg.filter_order, *band, fs), notch) if f is not None]
+            for c, band in channels}
+    return apply_filters(blocks, plan, max_blocks, materialise)
+
+
 def unpack_blocks(blocks: DataFrame) -> DataFrame:
     """Block arrays back to ``recording_id, sample_idx, eeg, emg`` rows."""
     pairs = F.arrays_zip(F.col("eeg").alias("eeg"), F.col("emg").alias("emg"))

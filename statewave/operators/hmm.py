@@ -88,25 +88,105 @@ def _unit(log_v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(log_v - mass[..., None]), mass
 
 
-def forward(e: np.ndarray, top: np.ndarray, a: np.ndarray, enter: np.ndarray, first: bool):
+def _filter(e: np.ndarray, a: np.ndarray, now: np.ndarray):
+    """Filtered probabilities row by row along the second axis of ``e``: segments x rows."""
+    out = np.empty_like(e)
+    scale = np.empty(e.shape[:3])
+    for t in range(e.shape[1]):
+        now = np.matmul(now[:, :, None, :], a)[:, :, 0, :] * e[:, t]
+        s = now.sum(axis=2)
+        now = now / s[:, :, None]
+        out[:, t], scale[:, t] = now, s
+    return out, np.log(scale).sum(axis=(0, 1))
+
+
+def _smooth(e: np.ndarray, a: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """Backward messages (any scale) along the second axis, ``now`` at the last rows."""
+    out = np.empty_like(e)
+    out[:, -1] = now
+    for t in range(e.shape[1] - 2, -1, -1):
+        now = np.matmul(a, (e[:, t + 1] * now)[:, :, :, None])[:, :, :, 0]
+        now = now / now.max(axis=2, keepdims=True)
+        out[:, t] = now
+    return out
+
+
+def _segments(e: np.ndarray, a: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """Cut rows into about sqrt(n) segments of equal length and multiply each one up.
+
+    All segments advance together, so a pass takes about sqrt(n) array steps instead of n.
+    Returns the segment count and length and the row-scaled transfer matrices.
+    """
+    n, m, k = e.shape
+    length = max(1, int(np.sqrt(n)))
+    count = n // length
+    parts = e[: count * length].reshape(count, length, m, k)
+    out = np.broadcast_to(np.eye(k), (count, m, k, k))
+    mass = np.zeros((count, m, k))
+    for t in range(length):
+        out = np.matmul(out, a) * parts[:, t, :, None, :]
+        s = out.sum(axis=3)
+        safe = np.where(s > 0, s, 1.0)
+        out, mass = out / safe[..., None], mass + np.log(safe)
+    # rows share one scale per segment and model, so a vector can be moved with one product
+    return count, length, out * np.exp(mass - mass.max(axis=2, keepdims=True))[..., None]
+
+
+def forward(e: np.ndarray, top: np.ndarray, a: np.ndarray, enter: np.ndarray, first: bool,
+            cuts=None):
     """Filtered state probabilities per row and the log mass gained.
 
     ``enter`` is the initial distribution for a first block, else the filtered probabilities
     of the row before it.
     """
-    n = len(e)
-    out = np.empty_like(e)
     gain = top.sum(axis=0)
-    now = enter
-    scale = np.empty((n, e.shape[1]))
-    for t in range(n):
-        step = now if first and t == 0 else np.matmul(now[:, None, :], a)[:, 0, :]
-        now = step * e[t]
+    parts = []
+    if first:
+        now = enter * e[0]
         s = now.sum(axis=1)
-        scale[t] = s
-        now = now / s[:, None]
-        out[t] = now
-    return out, gain + np.log(scale).sum(axis=0)
+        enter, gain, e = now / s[:, None], gain + np.log(s), e[1:]
+        parts.append(enter[None])
+    if len(e):
+        count, length, hops = cuts or _segments(e, a)
+        starts = np.empty((count, *enter.shape))
+        now = enter
+        for i in range(count):
+            starts[i] = now
+            now = np.matmul(now[:, None, :], hops[i])[:, 0, :]
+            now = now / now.sum(axis=1, keepdims=True)
+        body = e[: count * length].reshape(count, length, *e.shape[1:])
+        out, mass = _filter(body, a, starts)
+        gain = gain + mass
+        parts.append(out.reshape(-1, *e.shape[1:]))
+        if len(e) > count * length:
+            out, mass = _filter(e[None, count * length:], a, parts[-1][None, -1])
+            gain = gain + mass
+            parts.append(out[0])
+    return np.concatenate(parts), gain
+
+
+def backward(e: np.ndarray, a: np.ndarray, leave: np.ndarray, first: bool, cuts) -> np.ndarray:
+    """Backward messages per row; ``leave`` is the one at the last row."""
+    inner = e[1:] if first else e
+    if not len(inner):
+        return leave[None]
+    count, length, hops = cuts
+    parts = []
+    now = leave
+    rest = inner[count * length:]
+    if len(rest):
+        tail = _smooth(rest[None], a, now[None])[0]
+        parts.append(tail)
+        now = np.matmul(a, (rest[0] * tail[0])[:, :, None])[:, :, 0]
+    ends = np.empty((count, *now.shape))
+    for i in range(count - 1, -1, -1):
+        ends[i] = now = now / now.max(axis=1, keepdims=True)
+        now = np.matmul(hops[i], now[:, :, None])[:, :, 0]
+    body = inner[: count * length].reshape(count, length, *inner.shape[1:])
+    parts.append(_smooth(body, a, ends).reshape(-1, *inner.shape[1:]))
+    if first:
+        parts.append((now / now.max(axis=1, keepdims=True))[None])
+    return np.concatenate(parts[::-1])
 
 
 def block_sums(x: np.ndarray, p: np.ndarray, fam: Family, enter: np.ndarray, leave: np.ndarray,
@@ -117,13 +197,10 @@ def block_sums(x: np.ndarray, p: np.ndarray, fam: Family, enter: np.ndarray, lea
     """
     pi, a, mu, var = fam.unpack(p)
     e, top = _scaled(emissions(x, mu, var, fam.mask))
-    alpha, gain = forward(e, top, a, enter, first)
-    n = len(x)
-    beta = np.empty_like(alpha)
-    beta[-1] = leave
-    for t in range(n - 2, -1, -1):
-        back = np.matmul(a, (e[t + 1] * beta[t + 1])[:, :, None])[:, :, 0]
-        beta[t] = back / back.max(axis=1, keepdims=True)
+    inner = e[1:] if first else e
+    cuts = _segments(inner, a) if len(inner) else None
+    alpha, gain = forward(e, top, a, enter, first, cuts)
+    beta = backward(e, a, leave, first, cuts)
     gamma = alpha * beta
     gamma /= gamma.sum(axis=2, keepdims=True)
     ahead = e * beta

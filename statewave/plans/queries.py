@@ -118,7 +118,7 @@ def _user_filter(spark, d, flt):
     lengths = B.cut_lineage(B.recording_lengths(s))
     n, top = lengths.agg(F.count(F.lit(1)), F.max("n_rows")).first()
     packed = B.cut_lineage(B.signal_blocks(s, lengths, n))
-    out = filters.zero_phase(packed, "eeg", flt, max(top // B.SIGNAL_BLOCK, 1))
+    out = filters.apply_filters(packed, {"eeg": [flt]}, max(top // B.SIGNAL_BLOCK, 1), B.cut_lineage)
     return out.select(REC, "start_idx", F.posexplode("eeg").alias("i", "v")).select(
         REC, (F.col("start_idx") + F.col("i")).alias("sample_idx"), r("v", 5).alias("eeg"))
 
