@@ -16,7 +16,7 @@ from statewave.session import cut_lineage, maybe_broadcast
 REC = "recording_id"
 SIGNAL_BLOCK = 131072
 ROW_BLOCK = 4096
-BLOCKS_PER_TASK = 16
+ROWS_PER_TASK = 16 * ROW_BLOCK
 
 
 def recording_lengths(samples: DataFrame, index: str = "sample_idx") -> DataFrame:
@@ -89,13 +89,12 @@ def feature_blocks(table: DataFrame, index: str, columns: list[str],
                    size: int = ROW_BLOCK) -> Blocks:
     """Pack the feature rows of every recording; ``index`` is dense from 0."""
     lengths = cut_lineage(recording_lengths(table, index))
-    blocks_of = F.ceil(F.col("n_rows") / size)
-    n, longest, n_long, total = lengths.agg(
+    n, longest, n_long, total, rows = lengths.agg(
         F.count(F.lit(1)), F.max("n_rows"), F.sum((F.col("n_rows") > size).cast("int")),
-        F.sum(blocks_of)).first()
-    # fitting costs far more than its bytes suggest: ask for tasks by blocks, not by size
+        F.sum(F.ceil(F.col("n_rows") / size)), F.sum("n_rows")).first()
+    # fitting costs far more than its bytes suggest: ask for tasks by rows, not by size
     shuffle = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(total or 1, max(shuffle, (total or 1) // BLOCKS_PER_TASK)))
+    tasks = max(1, min(total or 1, max(shuffle, (rows or 1) // ROWS_PER_TASK)))
     packed = (
         table.select(REC, F.col(index).alias("_i"), F.expr(f"{index} div {size}").alias("block"),
                      F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))

@@ -7,7 +7,7 @@ cross block borders through ``block_scan``; a pass then needs two small vectors
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Iterator
 
 import numpy as np
@@ -111,11 +111,11 @@ def _smooth(e: np.ndarray, a: np.ndarray, now: np.ndarray) -> np.ndarray:
     return out
 
 
-def _segments(e: np.ndarray, a: np.ndarray) -> tuple[int, int, np.ndarray]:
+def _segments(e: np.ndarray, a: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
     """Cut rows into about sqrt(n) segments of equal length and multiply each one up.
 
     All segments advance together, so a pass takes about sqrt(n) array steps instead of n.
-    Returns the segment count and length and the row-scaled transfer matrices.
+    Returns the segment count and length, the transfer matrices and their log scales.
     """
     n, m, k = e.shape
     length = max(1, int(np.sqrt(n)))
@@ -129,7 +129,8 @@ def _segments(e: np.ndarray, a: np.ndarray) -> tuple[int, int, np.ndarray]:
         safe = np.where(s > 0, s, 1.0)
         out, mass = out / safe[..., None], mass + np.log(safe)
     # rows share one scale per segment and model, so a vector can be moved with one product
-    return count, length, out * np.exp(mass - mass.max(axis=2, keepdims=True))[..., None]
+    peak = mass.max(axis=2, keepdims=True)
+    return count, length, out * np.exp(mass - peak)[..., None], peak[:, :, 0]
 
 
 def forward(e: np.ndarray, top: np.ndarray, a: np.ndarray, enter: np.ndarray, first: bool,
@@ -147,7 +148,7 @@ def forward(e: np.ndarray, top: np.ndarray, a: np.ndarray, enter: np.ndarray, fi
         enter, gain, e = now / s[:, None], gain + np.log(s), e[1:]
         parts.append(enter[None])
     if len(e):
-        count, length, hops = cuts or _segments(e, a)
+        count, length, hops, _ = cuts or _segments(e, a)
         starts = np.empty((count, *enter.shape))
         now = enter
         for i in range(count):
@@ -170,7 +171,7 @@ def backward(e: np.ndarray, a: np.ndarray, leave: np.ndarray, first: bool, cuts)
     inner = e[1:] if first else e
     if not len(inner):
         return leave[None]
-    count, length, hops = cuts
+    count, length, hops, _ = cuts
     parts = []
     now = leave
     rest = inner[count * length:]
@@ -297,16 +298,27 @@ def fit_whole(x: np.ndarray, fam: Family, starts: Starts, iterations: int):
     """Fit all models of a recording whose rows are all here: parameters and likelihoods."""
     c = fit_in_block(x, starts, 50)
     p = start_parameters(c, start_sums(x, c, None, fam, starts), fam, starts)
-    aux = np.concatenate([np.full(fam.m, -np.inf), np.zeros(fam.m)])
-    open_end = np.ones((fam.m, fam.k))
+    parts = [v.copy() for v in fam.unpack(p)]
+    before, active = np.full(fam.m, -np.inf), np.arange(fam.m)
     for _ in range(iterations):
-        stat = block_sums(x, p, fam, fam.unpack(p)[0], open_end, True)
-        p, aux = update(p, aux, stat, fam)
-        if aux[fam.m:].all():
+        # converged models drop out, the others keep their arrays and their own state count
+        sub = replace(fam, ks=tuple(fam.ks[i] for i in active))
+        k = sub.k
+        mine = [v[active, :k] for v in parts]
+        mine[1] = mine[1][:, :, :k]
+        q = sub.pack(*mine)
+        stat = block_sums(x, q, sub, mine[0], np.ones((sub.m, k)), True)
+        q, aux = update(q, np.concatenate([before[active], np.zeros(sub.m)]), stat, sub)
+        pi, a, mu, var = sub.unpack(q)
+        parts[0][active, :k], parts[2][active, :k], parts[3][active, :k] = pi, mu, var
+        parts[1][active, :k, :k] = a
+        before[active] = aux[: sub.m]
+        active = active[aux[sub.m:] == 0]
+        if not len(active):
             break
-    pi, a, mu, var = fam.unpack(p)
+    pi, a, mu, var = parts
     _, ll = forward(*_scaled(emissions(x, mu, var, fam.mask)), a, pi, True)
-    return p, ll
+    return fam.pack(*parts), ll
 
 
 def _floor_log(v: np.ndarray) -> np.ndarray:
@@ -331,16 +343,21 @@ def transfer(x: np.ndarray, p: np.ndarray, fam: Family, first: bool, best: bool)
         return now
     e, top = _scaled(log_e)
     now = np.eye(k)[None].repeat(fam.m, 0)
-    mass = np.zeros((fam.m, k))
-    for t in range(len(e)):
-        if not (first and t == 0):
-            now = np.matmul(now, a)
-        now = now * e[t][:, None, :]
+    mass = np.zeros((fam.m, k)) + top.sum(axis=0)[:, None]
+    if first:
+        now, e = now * e[0][:, None, :], e[1:]
+
+    def rescale(now, mass):
         s = now.sum(axis=2)
-        good = s > 0
-        now = np.divide(now, s[:, :, None], out=np.zeros_like(now), where=good[:, :, None])
-        with np.errstate(divide="ignore"):
-            mass = mass + np.where(good, np.log(np.where(good, s, 1.0)), -np.inf) + top[t][:, None]
+        safe = np.where(s > 0, s, 1.0)
+        return now / safe[:, :, None], mass + np.log(safe)
+
+    if len(e):
+        count, length, hops, scale = _segments(e, a)
+        for hop, extra in zip(hops, scale):
+            now, mass = rescale(np.matmul(now, hop), mass + extra[:, None])
+        for row in e[count * length:]:
+            now, mass = rescale(np.matmul(now, a) * row[:, None, :], mass)
     with np.errstate(divide="ignore"):
         return np.log(now) + mass[:, :, None]
 
@@ -662,8 +679,13 @@ def log_likelihood(blocks: Blocks, params: DataFrame, fam: Family) -> DataFrame:
         REC, "block", "n_rows", F.when(F.col("block") == 0, _log_initial(fam)("p")).alias("start"),
         _transfers(fam, False)("x", "p", "block").alias("t")).select(
         REC, "block", "n_rows", "start", F.col("t.ahead").alias("m")))
-    carry = block_scan(hops.select(REC, "block", "start", "m"), (fam.m,), fam.k, "log",
-                       blocks.max_blocks)
+    # a single block is entered in its start state; only longer recordings need the scan
+    carry = hops.filter(F.col("n_rows") <= blocks.size).select(
+        REC, "block", F.col("start").alias("carry"))
+    if blocks.n_long:
+        carry = carry.unionByName(block_scan(
+            hops.filter(F.col("n_rows") > blocks.size).select(REC, "block", "start", "m"),
+            (fam.m,), fam.k, "log", blocks.max_blocks))
     last = F.col("block") == F.expr(f"(n_rows - 1) div {blocks.size}")
     ks = F.array(*[F.lit(k) for k in fam.ks])
     return hops.filter(last).join(carry, [REC, "block"]).select(REC, F.posexplode(
