@@ -1,0 +1,5 @@
+"""Intentionally empty.
+
+The pipeline is batch by construction: zero-phase filters need the end of a recording and
+scalers need all of its windows. New recordings are processed by another run over their files.
+"""
