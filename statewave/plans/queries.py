@@ -49,6 +49,7 @@ def signal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embeddings(spark: SparkSession, d: str) -> DataFrame:
+    """Embedding vectors as one column per dimension."""
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     return e.select(F.lit("all").alias(REC), F.col("vec_id").alias("window_index"),
                     F.col("label").cast("int").alias("label"),
@@ -114,7 +115,7 @@ def signal_by_user(spark, d):
 
 
 def _user_filter(spark, d, flt):
-    s = events_signal(spark, d, by="user")
+    s = B.cut_lineage(events_signal(spark, d, by="user"))
     lengths = B.cut_lineage(B.recording_lengths(s))
     n, top = lengths.agg(F.count(F.lit(1)), F.max("n_rows")).first()
     packed = B.cut_lineage(B.signal_blocks(s, lengths, n))
@@ -366,7 +367,7 @@ def label_relabel(spark, d):
 # --- hidden Markov models -----------------------------------------------------------------
 
 def _user_model(spark, d) -> tuple[B.Blocks, DataFrame, M.Family]:
-    raw = events_signal(spark, d, by="user")
+    raw = B.cut_lineage(events_signal(spark, d, by="user"))
     s = scaling.zscore_signal(raw, ["eeg"], raw.select(REC).distinct().count())
     b = B.feature_blocks(s, "sample_idx", ["eeg"])
     fam = M.Family((STATES,), 1)
