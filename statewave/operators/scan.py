@@ -8,8 +8,6 @@ runs, so a task sees at most ``fanout`` matrices however long a recording is.
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from statewave.functions.iir import butterworth_bandpass, notch_section
 from statewave.plans.queries import (
     CLASSES, DIMS, MODEL_MEANS, MODEL_MOVE, MODEL_STAY, MODEL_VARIANCE, QUERY_BAND, QUERY_NOTCH,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from statewave.operators.blocks import REC
 from statewave.operators.filters import unpack_blocks
 from statewave.operators.scaling import feature_subset
-from statewave.operators.summary import box_stats, histogram, threshold_pivot, transition_edges, unpivot
+from statewave.operators.summary import box_stats, histogram, threshold_pivot, unpivot
 from statewave.sinks import svg
 from statewave.sinks.svg import Chart, colour
 
