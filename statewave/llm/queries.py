@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from statewave.llm.mixing import mix_digest
+from statewave.llm.packing import pack
 from statewave.llm.pii import pii_digest
 from statewave.llm.quality_rules import rules_digest
+from statewave.llm.vptree import vector_digest
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,5 +29,13 @@ def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules_digest(table(spark, d, "documents"))
 
 
+def op9_packing(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"))
+
+
+def op10_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return vector_digest(table(spark, d, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_mixing, op7_quality_rules)}
+    f.__name__: f for f in (op1_pii, op2_mixing, op7_quality_rules, op9_packing, op10_nearest)}
