@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from statewave.llm.mixing import mix_digest
+from statewave.llm.ngram_join import join_digest
 from statewave.llm.packing import pack
 from statewave.llm.pii import pii_digest
 from statewave.llm.quality_rules import rules_digest
@@ -25,6 +26,10 @@ def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mix_digest(table(spark, d, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    return join_digest(table(spark, d, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules_digest(table(spark, d, "documents"))
 
@@ -38,4 +43,4 @@ def op10_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_mixing, op7_quality_rules, op9_packing, op10_nearest)}
+    f.__name__: f for f in (op1_pii, op2_mixing, op3_ngram_join, op7_quality_rules, op9_packing, op10_nearest)}
