@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from statewave.llm.langid import language_digest
 from statewave.llm.mixing import mix_digest
 from statewave.llm.ngram_join import join_digest
 from statewave.llm.packing import pack
 from statewave.llm.pii import pii_digest
+from statewave.llm.quality_fm import quality_digest
 from statewave.llm.quality_rules import rules_digest
 from statewave.llm.vptree import vector_digest
 
@@ -30,6 +32,14 @@ def op3_ngram_join(spark: SparkSession, d: str) -> DataFrame:
     return join_digest(table(spark, d, "documents"))
 
 
+def op4_langid(spark: SparkSession, d: str) -> DataFrame:
+    return language_digest(table(spark, d, "documents"))
+
+
+def op6_quality_fm(spark: SparkSession, d: str) -> DataFrame:
+    return quality_digest(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules_digest(table(spark, d, "documents"))
 
@@ -43,4 +53,4 @@ def op10_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_mixing, op3_ngram_join, op7_quality_rules, op9_packing, op10_nearest)}
+    f.__name__: f for f in (op1_pii, op2_mixing, op3_ngram_join, op4_langid, op6_quality_fm, op7_quality_rules, op9_packing, op10_nearest)}
