@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from statewave.llm.html_text import extract
 from statewave.llm.langid import language_digest
 from statewave.llm.mixing import mix_digest
 from statewave.llm.ngram_join import join_digest
@@ -36,6 +37,10 @@ def op4_langid(spark: SparkSession, d: str) -> DataFrame:
     return language_digest(table(spark, d, "documents"))
 
 
+def op5_html_text(spark: SparkSession, d: str) -> DataFrame:
+    return extract(table(spark, d, "pages"))
+
+
 def op6_quality_fm(spark: SparkSession, d: str) -> DataFrame:
     return quality_digest(table(spark, d, "documents"), table(spark, d, "labels"))
 
@@ -53,4 +58,4 @@ def op10_nearest(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_mixing, op3_ngram_join, op4_langid, op6_quality_fm, op7_quality_rules, op9_packing, op10_nearest)}
+    f.__name__: f for f in (op1_pii, op2_mixing, op3_ngram_join, op4_langid, op5_html_text, op6_quality_fm, op7_quality_rules, op9_packing, op10_nearest)}
