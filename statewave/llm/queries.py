@@ -10,6 +10,7 @@ from statewave.llm.html_text import extract
 from statewave.llm.langid import language_digest
 from statewave.llm.mixing import mix_digest
 from statewave.llm.ngram_join import join_digest
+from statewave.llm.ngram_lm import lm_digest
 from statewave.llm.packing import pack
 from statewave.llm.pii import pii_digest
 from statewave.llm.quality_fm import quality_digest
@@ -49,6 +50,10 @@ def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return rules_digest(table(spark, d, "documents"))
 
 
+def op8_ngram_lm(spark: SparkSession, d: str) -> DataFrame:
+    return lm_digest(table(spark, d, "documents"))
+
+
 def op9_packing(spark: SparkSession, d: str) -> DataFrame:
     return pack(table(spark, d, "documents"))
 
@@ -57,5 +62,6 @@ def op10_nearest(spark: SparkSession, d: str) -> DataFrame:
     return vector_digest(table(spark, d, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_mixing, op3_ngram_join, op4_langid, op5_html_text, op6_quality_fm, op7_quality_rules, op9_packing, op10_nearest)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_pii, op2_mixing, op3_ngram_join, op4_langid, op5_html_text, op6_quality_fm, op7_quality_rules, op8_ngram_lm,
+    op9_packing, op10_nearest)}
