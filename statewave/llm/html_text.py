@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statewave.llm.text import plain
+
 #: Element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
@@ -110,7 +112,8 @@ class Blocks(HTMLParser):
                 break
 
     def close_to(self, place: int) -> None:
-        self.count.subtract(t for t, _, _ in self.open[place:])
+        for tag, _, _ in self.open[place:]:
+            self.count[tag] -= 1
         del self.open[place:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -191,6 +194,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
+    return plain(pages, ("page_id", "url", "html")).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html")).mapInArrow(
         run, "page_id bigint, url string, text string, n_chars bigint")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statewave.llm.hashing import mix
-from statewave.llm.text import doc_bucket
+from statewave.llm.text import doc_bucket, plain
 
 BUCKETS = 1 << 14
 ORDERS = (1, 2, 3)
@@ -217,5 +217,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def language_digest(docs: DataFrame) -> DataFrame:
     """One row per document, as ``op4_langid`` returns it: held out where crc32 mod 3 is 1."""
-    rows = docs.select("doc_id", "text", "lang", (doc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"))
+    rows = plain(docs).select("doc_id", "text", "lang", (doc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"))
     return predict(rows, fit(rows.where(~F.col("held_out")).select("doc_id", "text", "lang")))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewave.llm.store import saved
-from statewave.llm.text import count_words
+from statewave.llm.text import count_words, plain
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -146,17 +146,18 @@ def mix(docs: DataFrame) -> DataFrame:
     A document that is read twice appears twice. One that is read in part has its text cut
     after the last word read; ``n_chars``, if there, follows the text.
     """
-    rows = readings(saved(plan_mix(sized(docs))))
+    own = plain(docs)
+    rows = readings(saved(plan_mix(sized(own))))
     text = F.when(F.col("__words") < F.col("__size"), first_words(F.col("text"), F.col("__words"))).otherwise(F.col("text"))
     out = {"text": text}
-    if "n_chars" in docs.columns:
+    if "n_chars" in own.columns:
         out["n_chars"] = F.when(F.col("__words") < F.col("__size"), F.length(text).cast("long")).otherwise(F.col("n_chars"))
-    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
+    return rows.select(*[out[c].alias(c) if c in out else F.col(c) for c in own.columns]).toDF(*docs.columns)
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """One row per document, as ``op2_mixing`` returns it, in order of first finish time."""
-    plan = plan_mix(saved(sized(docs.select("doc_id", "text", "source")).drop("text", "source")))
+    plan = plan_mix(saved(sized(plain(docs).select("doc_id", "text", "source")).drop("text", "source")))
     return plan.select(
         "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
         F.col("__target").alias("target"), F.col("__taken").alias("taken"),

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from statewave.llm.elias_fano import EliasFano, Levels
 from statewave.llm.hashing import hashed_texts, mix
-from statewave.llm.text import doc_bucket
+from statewave.llm.text import doc_bucket, plain
 
 PRIOR = 100.0
 BYTES_PER_SHARD = 16_000_000
@@ -294,4 +294,4 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
 def lm_digest(docs: DataFrame) -> DataFrame:
     """One row per document, as ``op8_ngram_lm`` returns it: held out where crc32 mod 5 is 1."""
-    return lm_scores(docs.select("doc_id", "text", (doc_bucket(F.col("doc_id"), 5) == 1).alias("held_out")))
+    return lm_scores(plain(docs).select("doc_id", "text", (doc_bucket(F.col("doc_id"), 5) == 1).alias("held_out")))

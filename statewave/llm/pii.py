@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewave.llm.text import let
+from statewave.llm.text import let, plain
 
 MIN_SCORE = 0.5
 CONTEXT_CHARS = 40
@@ -176,9 +176,10 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Kinds are masked one after the other in the order of ``KINDS``, each in what the ones
     before have left.
     """
+    out = plain(docs, (text_col,))
     for kind in KINDS:
-        docs = docs.withColumn(text_col, masked(F.col(text_col), kind))
-    return docs
+        out = out.withColumn(text_col, masked(F.col(text_col), kind))
+    return out.toDF(*docs.columns)
 
 
 def span_list(spans: Column) -> Column:
@@ -189,7 +190,7 @@ def span_list(spans: Column) -> Column:
 
 def pii_digest(docs: DataFrame) -> DataFrame:
     """One row per document with counts and positions, as ``op1_pii`` returns them."""
-    found = find_pii(docs.select("doc_id", "text")).select("doc_id", "pii")
+    found = find_pii(plain(docs).select("doc_id", "text")).select("doc_id", "pii")
     base = len(BASE_KINDS)
     counts = [F.size(F.get("pii", F.lit(i))).cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE_KINDS)]
     return found.select(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from statewave.llm.hashing import bytes_of, hashed_texts
 from statewave.llm.langid import bounded_sample
-from statewave.llm.text import doc_bucket
+from statewave.llm.text import doc_bucket, plain
 
 BUCKETS = 1 << 14
 FACTORS = 8
@@ -150,6 +150,6 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document, as ``op6_quality_fm`` returns it: held out where crc32 mod 5 is 0."""
-    rows = docs.select("doc_id", "text", (doc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"))
-    seen = labels.select("doc_id", F.col("quality").alias("label")).where(doc_bucket(F.col("doc_id"), 5) != 0)
+    rows = plain(docs).select("doc_id", "text", (doc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"))
+    seen = plain(labels, ("doc_id", "quality")).select("doc_id", F.col("quality").alias("label")).where(doc_bucket(F.col("doc_id"), 5) != 0)
     return score(rows, fit(rows.select("doc_id", "text"), seen))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statewave.llm.text import let, words
+from statewave.llm.text import let, plain, words
 
 #: Common function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -127,13 +127,14 @@ def any_failed(rules: tuple[Rule, ...]) -> Column:
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Documents that fail no rule, with their own columns."""
-    return measured(docs).where(~any_failed(rules)).select(*docs.columns)
+    own = plain(docs)
+    return measured(own).where(~any_failed(rules)).select(*own.columns).toDF(*docs.columns)
 
 
 def rules_digest(docs: DataFrame) -> DataFrame:
     """One row per document, as ``op7_quality_rules`` returns it."""
     base = tuple(r for r in RULES if r.base)
     shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return measured(docs.select("doc_id", "text")).select(
+    return measured(plain(docs).select("doc_id", "text")).select(
         "doc_id", *[counts()[n].alias(n) for n in shown],
         any_failed(base).alias("base_failed"), (~any_failed(RULES)).alias("kept"))

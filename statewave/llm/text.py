@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -14,6 +14,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def plain(rows: DataFrame, known: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """The same columns under names that clash with nothing: all but the known ones get new names."""
+    return rows.toDF(*[c if c in known else f"extra{i}" for i, c in enumerate(rows.columns)])
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, whatever number of times the body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewave.llm.store import saved
+from statewave.llm.text import plain
 
 LEAF = 512
 ROWS_PER_SHARD = 16_384
@@ -37,6 +38,7 @@ FOUND = "query_id bigint, vec_id bigint, score double"
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): id as a long and the vector as doubles."""
+    rows = plain(rows, (id_col, vector_col))
     v = F.col(vector_col)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     return rows.where(F.col(id_col).isNotNull() & v.isNotNull() & sound).select(
@@ -218,4 +220,5 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, slack: float = 1.0
 
 def vector_digest(embeddings: DataFrame) -> DataFrame:
     """Queries are the rows whose id is divisible by 20, as ``op10_nearest`` takes them."""
-    return nearest(embeddings, embeddings.where(F.col("vec_id") % 20 == 0))
+    rows = plain(embeddings, ("vec_id", "embedding"))
+    return nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
