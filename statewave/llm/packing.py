@@ -16,10 +16,10 @@ separate documents. An empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statewave.llm.store import saved
+from statewave.llm.text import plain
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -35,9 +36,9 @@ PIECES_PER_GROUP = 50_000
 #: Words whose ids a task keeps; beyond it, it starts anew.
 CACHED_WORDS = 1_000_000
 WORDS_PER_CALL = 30
+RUN_CHARS = 500_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
-SPACE = re.compile("[ \t-\r]+")
 
 
 def default_tokenizer() -> str:
@@ -66,13 +67,13 @@ class CachedEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, dtype="<u4")
         self.used = 0
         self.first = np.empty(1 << 14, dtype=np.int64)
         self.size = np.empty(1 << 14, dtype=np.int64)
 
-    def add(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+    def add(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
         k = len(self.place)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
@@ -87,7 +88,7 @@ class CachedEncoder:
     def one_by_one(self, words: list[str]) -> None:
         if words:
             codes = [c.ids for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            self.add(words, np.array([i for c in codes for i in c], dtype="<u4"), np.array([len(c) for c in codes]))
+            self.add([w.encode() for w in words], np.array([i for c in codes for i in c], dtype="<u4"), np.array([len(c) for c in codes]))
 
     def in_groups(self, words: list[str]) -> None:
         groups = [words[i:i + WORDS_PER_CALL] for i in range(0, len(words), WORDS_PER_CALL)]
@@ -96,33 +97,46 @@ class CachedEncoder:
             ids = np.array(code.ids, dtype="<u4")
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(group):
-                self.add(group, ids, np.diff(last, prepend=-1))
+                self.add([w.encode() for w in group], ids, np.diff(last, prepend=-1))
             else:
                 self.one_by_one(group)
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Words none of which is known."""
-        whole, parts = [], []
-        for word in words:
+        letters, mixed, parts = [], [], []
+        for raw in words:
+            word = raw.decode()
+            if word.isalpha():
+                letters.append(word)
+                continue
             core = word.rstrip(".,")
-            if core == word or not core.isalpha():
-                whole.append(word)
+            if len(core) < len(word) and core.isalpha():
+                parts.append((raw, core.encode(), raw[len(core.encode()):]))
             else:
-                parts.append((word, core, word[len(core):]))
-        new = dict.fromkeys(whole) | {x: None for _, core, rest in parts for x in (core, rest) if x not in self.place}
-        letters = [w for w in new if w.isalpha()]
+                mixed.append(word)
+        new = set(letters)
+        letters += [c for c in dict.fromkeys(core.decode() for _, core, _ in parts)
+                    if c not in new and c.encode() not in self.place]
+        new = set(mixed)
+        mixed += [r for r in dict.fromkeys(rest.decode() for _, _, rest in parts)
+                  if r not in new and r.encode() not in self.place]
         self.in_groups(letters)
-        self.one_by_one([w for w in new if not w.isalpha()])
+        self.one_by_one(mixed)
         if parts:
-            codes = [np.concatenate([self.known(core), self.known(rest)]) for _, core, rest in parts]
-            self.add([word for word, _, _ in parts], np.concatenate(codes), np.array([len(c) for c in codes]))
+            at = np.array([[self.place[core], self.place[rest]] for _, core, rest in parts])
+            size = self.size[at]
+            self.add([raw for raw, _, _ in parts], self.gather(at.ravel()), size.sum(axis=1))
 
-    def known(self, word: str) -> np.ndarray:
-        k = self.place[word]
-        return self.ids[self.first[k]:self.first[k] + self.size[k]]
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """Ids of known words one after the other."""
+        size = self.size[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(total) + np.repeat(self.first[at] - (ends - size), size)]
 
-    def encode(self, text: str) -> np.ndarray:
-        words = [w for w in SPACE.split(text) if w]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        lists = [text.encode().split() for text in texts]  # bytes split at ASCII white space only
+        words = list(chain.from_iterable(lists))
         unknown = [w for w in dict.fromkeys(words) if w not in self.place]
         if len(self.place) + len(unknown) > CACHED_WORDS and self.place:
             self.clear()
@@ -130,11 +144,9 @@ class CachedEncoder:
         if unknown:
             self.learn(unknown)
         at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        index = np.arange(total) + np.repeat(self.first[at] - (ends - size), size)
-        return self.ids[index]
+        ends = np.cumsum([0, *map(len, lists)])
+        sizes = np.concatenate([[0], np.cumsum(self.size[at])])[ends]
+        return np.split(self.gather(at), sizes[1:-1])
 
 
 @cache
@@ -143,17 +155,32 @@ def encoder(path: str) -> CachedEncoder:
     return CachedEncoder(path)
 
 
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+    """Ids and texts of some rows at a time, about ``RUN_CHARS`` characters."""
+    docs, texts, held = [], [], 0
+    for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        docs.append(doc)
+        texts.append(text.as_py() or "")
+        held += len(texts[-1])
+        if held >= RUN_CHARS:
+            yield docs, texts
+            docs, texts, held = [], [], 0
+    if docs:
+        yield docs, texts
+
+
 def piece_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
     """Arrow batches (doc_id, text) to pieces."""
     encode = encoder(path).encode
     end = np.array([SEPARATOR], dtype="<u4")
     for batch in batches:
         rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = np.concatenate([encode(text.as_py() or ""), end])
-            for piece, start in enumerate(range(0, len(ids), capacity)):
-                part = ids[start:start + capacity]
-                rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
+        for docs, texts in runs(batch):
+            for doc, ids in zip(docs, encode(texts)):
+                ids = np.concatenate([ids, end])
+                for piece, start in enumerate(range(0, len(ids), capacity)):
+                    part = ids[start:start + capacity]
+                    rows.append((doc, piece, start, len(part), zlib.crc32(part.tobytes())))
         if rows:
             columns = list(zip(*rows))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -163,7 +190,7 @@ def piece_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece; the ids themselves are given by their crc32."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = plain(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(lambda batches: piece_batches(batches, tokenizer_path, capacity), PIECES)
 
 
