@@ -38,7 +38,7 @@ def spare_rows(n: int, k: int, seed: int, used: int, count: int) -> list[int]:
 
 
 def sample_rows(n: int, size: int, seed: int) -> np.ndarray:
-    """Sorted row numbers of a sample without replacement; all rows where they fit."""
-    if n <= size:
-        return np.arange(n)
-    return np.sort(np.random.default_rng(seed).choice(n, size=size, replace=False))
+    """Sorted row numbers of a sample without replacement, which is all rows if there are no more."""
+    drawn = np.random.default_rng(seed).choice(n, min(n, size), replace=False)
+    drawn.sort()
+    return drawn

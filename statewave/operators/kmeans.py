@@ -15,7 +15,7 @@ from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -216,7 +216,8 @@ def fit_in_block(x: np.ndarray, starts: Starts, iterations: int) -> np.ndarray:
             if mass.sum() > 0:
                 chosen.append(int(rng.choice(n, p=mass / mass.sum())))
             else:
-                chosen.append(int(rng.choice(n) if starts.shared else rng.integers(n)))
+                # all rows coincide with a centre: a shared stream draws by equal weights, as before
+                chosen.append(int(rng.choice(n, p=np.full(n, 1 / n)) if starts.shared else rng.integers(n)))
         seeds.append(x[chosen])
     c, prev, done = np.concatenate(seeds), None, np.zeros(len(starts.ks))
     for _ in range(iterations):
@@ -339,6 +340,11 @@ def fit_kmeans(blocks: Blocks, starts: Starts, iterations: int) -> DataFrame:
     return short.unionByName(_fit_by_passes(blocks.long(), starts, iterations))
 
 
+def _count_between(column: str, low: int, high: int) -> Column:
+    """How many entries of an array lie from ``low`` to below ``high``."""
+    return F.size(F.filter(column, lambda h: (h >= low) & (h < high))).cast("double")
+
+
 def _fit_by_passes(blocks: Blocks, starts: Starts, iterations: int) -> DataFrame:
     width = blocks.width
     row_bytes = 16 * width * sum(starts.ks) + 64
@@ -366,9 +372,7 @@ def _fit_by_passes(blocks: Blocks, starts: Starts, iterations: int) -> DataFrame
             F.sum(F.size("holes"))).first()
         if holes:
             fill = _fill_rows(blocks, step, starts)
-            counts = [F.aggregate(F.filter("holes", lambda h, a=o, b=o + k: (h >= a) & (h < b)),
-                                  F.lit(0.0), lambda acc, h: acc + 1)
-                      for o, k in zip(starts.offsets, starts.ks)]
+            counts = [_count_between("holes", o, o + k) for o, k in zip(starts.offsets, starts.ks)]
             step = cut_lineage(
                 step.join(fill, REC, "left").select(
                     REC, "prev", "holes", "spent",

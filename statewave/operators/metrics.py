@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from statewave.functions.draws import sample_rows
 from statewave.operators.blocks import REC
 from statewave.operators.kmeans import sq_distances
+from statewave.session import cut_lineage
 
 KEYS = [REC, "method"]
 
@@ -53,6 +54,51 @@ def silhouette_of(x: np.ndarray, labels: np.ndarray, classes: int) -> float:
     return float(score.mean())
 
 
+def full_silhouette(table: DataFrame, columns: list[str], labels: DataFrame, tile: int = 1024) -> DataFrame:
+    """``recording_id, method, silhouette`` over all rows.
+
+    Rows are dealt to tiles by a hash and every two tiles of a group meet in one task, which
+    adds up each row's distances by cluster; no task holds more than two tiles.
+    """
+    rows = labels.join(table.select(REC, "window_index", F.array(*columns).alias("x")), [REC, "window_index"])
+    sizes = rows.groupBy(*KEYS, "label").agg(F.count("*").alias("size"))
+    groups = sizes.groupBy(*KEYS).agg(F.count("*").alias("classes"), F.ceil(F.sum("size") / tile).cast("int").alias("tiles"))
+    rows = cut_lineage(rows.join(groups, KEYS).withColumn("tile", F.pmod(F.xxhash64("window_index"), F.col("tiles")).cast("int")))
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        *KEYS, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "window_index", "label", "x")
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        names, inverse = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+        x, tiles = np.stack(pdf["x"].to_list()), pdf["tile"].to_numpy()
+        out = []
+        for a, b in {(i, j), (j, i)}:
+            mine, theirs = np.flatnonzero(tiles == a), np.flatnonzero(tiles == b)
+            member = (inverse[theirs][:, None] == np.arange(len(names))).astype(float)
+            d = np.sqrt(sq_distances(x[mine], x[theirs]))
+            d[mine[:, None] == theirs[None, :]] = 0.0
+            total, positive = d @ member, (d > 0).astype(float) @ member
+            row, other = np.indices(total.shape)
+            out.append(pd.DataFrame({
+                "window_index": pdf["window_index"].to_numpy()[mine][row.ravel()], "label": inverse[mine][row.ravel()],
+                "other": other.ravel(), "total": total.ravel(), "positive": positive.ravel()}))
+        both = pd.concat(out)
+        both["label"], both["other"] = names[both["label"]], names[both["other"]]
+        return both.assign(**{REC: pdf[REC].iloc[0], "method": pdf["method"].iloc[0]})
+
+    parts = dealt.groupBy(*KEYS, "i", "j").applyInPandas(
+        add, f"{REC} string, method string, window_index bigint, label int, other int, total double, positive double")
+    sums = parts.groupBy(*KEYS, "window_index", "label", "other").agg(F.sum("total").alias("total"), F.sum("positive").alias("positive")).join(
+        sizes.withColumnRenamed("label", "other"), [*KEYS, "other"])
+    own = F.col("label") == F.col("other")
+    each = sums.groupBy(*KEYS, "window_index").agg(
+        F.max(F.when(own, F.when(F.col("positive") > 0, F.col("total") / F.col("positive")).otherwise(0.0))).alias("a"),
+        F.max(F.when(own, F.col("size"))).alias("size"), F.min(F.when(~own, F.col("total") / F.col("size"))).alias("b"))
+    top = F.greatest("a", "b")
+    score = F.when((F.col("size") > 1) & F.col("b").isNotNull() & (top > 0), (F.col("b") - F.col("a")) / top).otherwise(0.0)
+    return each.groupBy(*KEYS).agg(F.avg(score).alias("silhouette"))
+
+
 def silhouette(table: DataFrame, columns: list[str], labels: DataFrame, lengths: DataFrame,
                size: int = 2000, seed: int = 42) -> DataFrame:
     """``recording_id, method, silhouette``.

@@ -471,7 +471,7 @@ SELECT i AS sample_idx, CAST(least(greatest(round_even((eeg - min(eeg) OVER ())
     "threshold_summary": RULES + """
 SELECT 'd' || d AS feature, round(avg(abs(t)), 6) AS mean_abs_threshold FROM top GROUP BY d""",
     "threshold_pivot": RULES + " SELECT c AS cluster, " + ", ".join(
-        f"round(max(CASE WHEN d = {i} THEN t END), 6) AS d{i}" for i in range(8)) + " FROM top GROUP BY c",
+        f"round(max(CASE WHEN d = {i} THEN t END), 6) AS d{i}" for i in range(DIMS)) + " FROM top GROUP BY c",
     "method_metrics": LABELS + """,
 p AS (SELECT method, label, count(*) / sum(count(*)) OVER (PARTITION BY method) AS p FROM lab GROUP BY method, label)
 SELECT method, round(-sum(p * log2(p)), 6) AS balance_entropy,

@@ -320,9 +320,7 @@ def hierarchical_fit(spark, d):
 
 def silhouette(spark, d):
     e = embeddings(spark, d)
-    lengths = B.recording_lengths(e, "window_index")
-    return rounded(metrics.silhouette(e, EMB, embedding_labels(spark, d), lengths)
-                   .drop(REC), ["silhouette"])
+    return rounded(metrics.full_silhouette(e, EMB, embedding_labels(spark, d)).drop(REC), ["silhouette"])
 
 
 def davies_bouldin(spark, d):
@@ -561,8 +559,8 @@ def threshold_summary(spark, d):
 
 
 def threshold_pivot(spark, d):
-    out = summary.threshold_pivot(_threshold_table(spark, d), [], EMB[:8])
-    return rounded(out.withColumn("cluster", F.col("cluster").cast("bigint")), EMB[:8])
+    out = summary.threshold_pivot(_threshold_table(spark, d), [], EMB)
+    return rounded(out.withColumn("cluster", F.col("cluster").cast("bigint")), EMB)
 
 
 def method_metrics(spark, d):

@@ -31,13 +31,13 @@ def save_json(payload, path: Path) -> Path:
 
 
 def markdown_table(frame: pd.DataFrame) -> str:
-    def cell(v) -> str:
-        return f"{v:.4f}" if isinstance(v, float) else str(v)
-
-    head = "| " + " | ".join(frame.columns) + " |"
-    rule = "| " + " | ".join("---" for _ in frame.columns) + " |"
-    body = ["| " + " | ".join(map(cell, row)) + " |" for row in frame.itertuples(index=False)]
-    return "\n".join([head, rule, *body])
+    """Numbers with four decimals; columns as wide as their widest cell."""
+    columns = []
+    for name in frame.columns:
+        cells = [format(v, ".4f") if isinstance(v, float) else str(v) for v in frame[name]]
+        width = max(map(len, [name, "---", *cells]))
+        columns.append([c.ljust(width) for c in (name, "-" * width, *cells)])
+    return "\n".join(f"| {' | '.join(row)} |" for row in zip(*columns))
 
 
 def write_report(path: Path, config: PipelineConfig, metrics: pd.DataFrame, chains: pd.DataFrame,

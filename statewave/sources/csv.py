@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import posixpath
+from urllib.parse import unquote, urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +80,16 @@ def pair_channels(rows: DataFrame, order: str, eeg: Column, emg: Column | None,
     return left.join(channel(emg, "emg"), ["recording_id", "sample_idx"])
 
 
+def recording_name(table: DataFrame) -> Column:
+    """The file's path below the folder that holds all files; the base name if they lie in one."""
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    if len(folders) < 2:
+        return F.col("_metadata.file_name")
+    shared = posixpath.commonpath([unquote(urlsplit(f).path) for f in folders])
+    path = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z]+:/+", "/")
+    return F.substring(path, len(shared) + 2, 1 << 20)
+
+
 def read_csv(spark: SparkSession, path: str, config: InputConfig | None = None) -> DataFrame:
     """Read one file, or a glob of files of the same layout, as one recording per file."""
     cfg = config or InputConfig()
@@ -95,7 +108,7 @@ def read_csv(spark: SparkSession, path: str, config: InputConfig | None = None)
     eeg = resolve_column(names, numeric, normalize_selector(cfg.csv_eeg_column), "eeg", True)
     emg = resolve_column(names, numeric, normalize_selector(cfg.csv_emg_column), "emg", False)
     tagged = table.select(
-        F.col("_metadata.file_name").alias("recording_id"),
+        recording_name(table).alias("recording_id"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
         F.col(f"`{eeg}`").alias("_eeg"),

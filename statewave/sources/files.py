@@ -35,9 +35,16 @@ def expand(path: str) -> list[str]:
     return found
 
 
+def recording_names(paths: list[str]) -> dict[str, str]:
+    """Recording ids: paths below the folder that holds all files, so equal base names stay apart."""
+    folder = os.path.commonpath([os.path.dirname(os.path.abspath(p)) for p in paths])
+    return {p: os.path.relpath(os.path.abspath(p), folder).replace(os.sep, "/") for p in paths}
+
+
 @dataclass
 class SampleRange(InputPartition):
     path: str
+    name: str
     first: int
     last: int
 
@@ -131,16 +138,16 @@ class RecordingReader(DataSourceReader):
     def partitions(self) -> list[SampleRange]:
         step = int(self.options.get("samplespertask", SAMPLES_PER_TASK))
         out = []
-        for path in expand(self.options["path"]):
+        for path, name in recording_names(expand(self.options["path"])).items():
             n = inspect(path, self.options).n
             # level 4/5 MAT files cannot be cut: at most 2 GB by format, so one task each
             size = max(n, 1) if path.lower().endswith(".mat") else step
-            out += [SampleRange(path, a, min(a + size, n)) for a in range(0, n, size)]
+            out += [SampleRange(path, name, a, min(a + size, n)) for a in range(0, n, size)]
         return out
 
     def read(self, partition: SampleRange) -> Iterator[pa.RecordBatch]:
         info = inspect(partition.path, self.options)
-        name = os.path.basename(partition.path)
+        name = partition.name
         whole = partition.path.lower().endswith(".mat")
         step = partition.last - partition.first if whole else BATCH
         for a in range(partition.first, partition.last, max(step, 1)):

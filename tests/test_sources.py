@@ -222,6 +222,17 @@ def test_several_files_are_several_recordings(spark, tmp_path):
         load_signals(spark, str(tmp_path / "r*.npz"))
 
 
+def test_equal_names_in_two_folders(spark, tmp_path):
+    for k, folder in enumerate(("s1", "s2")):
+        (tmp_path / folder).mkdir()
+        np.savez(tmp_path / folder / "rec.npz", eeg=np.arange(50.0) + k, fs=10.0)
+        (tmp_path / folder / "rec.csv").write_text("eeg,emg\n" + "\n".join(f"{i + k},{i}" for i in range(20)))
+    rows = load_signals(spark, str(tmp_path / "*" / "rec.npz")).samples.groupBy("recording_id").count().collect()
+    assert sorted(map(tuple, rows)) == [("s1/rec.npz", 50), ("s2/rec.npz", 50)]
+    rows = csv.read_csv(spark, str(tmp_path / "*" / "rec.csv")).groupBy("recording_id").count().collect()
+    assert sorted(map(tuple, rows)) == [("s1/rec.csv", 20), ("s2/rec.csv", 20)]
+
+
 def test_demo_is_seeded():
     eeg, emg = synthetic_arrays(128.0, 30.0, 7)
     again, _ = synthetic_arrays(128.0, 30.0, 7)
