@@ -76,6 +76,12 @@ def write_window_tables(result, out: Path, single: bool) -> list[Path]:
                     save(metrics, "method_comparison_metrics.csv", ["method"])]
 
 
+def aligned_spectra(result) -> DataFrame:
+    """Mean spectra under the labels that figures and page show."""
+    return result.clustering.average_spectra.join(result.alignment.mapping, [REC, "method", "label"], "left").select(
+        REC, "method", F.coalesce("aligned_label", "label").alias("label"), "bin", "power")
+
+
 def model_tables(result) -> dict[str, pd.DataFrame]:
     """Model-sized tables of a one-recording result."""
     x = result.explain
@@ -84,7 +90,7 @@ def model_tables(result) -> dict[str, pd.DataFrame]:
     rank = {m: i for i, m in enumerate(METHODS)}
     return {
         "metrics": metrics.sort_values("method", key=lambda c: c.map(rank)),
-        "spectra": result.clustering.average_spectra.toPandas(),
+        "spectra": aligned_spectra(result).toPandas(),
         "before": result.alignment.before.toPandas(),
         "after": result.alignment.after.toPandas(),
         "nodes": x.nodes.orderBy("method", "node_id").toPandas(),

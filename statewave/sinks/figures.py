@@ -23,7 +23,6 @@ from statewave.sinks.svg import Chart, colour
 TRACE_SEC = 20.0  # length of the raw/filtered trace
 BOUNDARY_SEC = 60.0  # least length of the window figure
 MAX_COLUMNS = 400  # columns of a heat map or a state timeline
-MAX_POINTS = 4000  # points of a scatter
 ARROWS = 120
 
 
@@ -234,8 +233,7 @@ def hmm_figures(result, tables: dict, out: Path, n_windows: int) -> list[Path]:
 
 
 def manifold_figures(result, tables: dict, out: Path, n_windows: int, methods: list[str]) -> list[Path]:
-    stride = max(1, -(-n_windows // MAX_POINTS))
-    points = result.manifold.embedding.filter(F.col("window_index") % stride == 0)
+    points = result.manifold.embedding
     labels = result.alignment.labels.groupBy(REC, "window_index").pivot("method", methods).agg(
         F.first("aligned_label"))
     frame = points.join(labels, [REC, "window_index"]).orderBy("window_index").toPandas()

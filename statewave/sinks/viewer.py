@@ -1,8 +1,7 @@
 """Self-contained interactive session page.
 
 Signals are shown from a min/max pyramid whose finest level is bounded, so the page has the
-same size for an hour and for a year. Epoch lists longer than ``MAX_EPOCHS`` are thinned to
-every n-th epoch and the page says so; the tables next to it stay complete.
+same size for an hour and for a year. Epochs are all there.
 """
 
 from __future__ import annotations
@@ -20,7 +19,6 @@ from statewave.operators.filters import unpack_blocks
 from statewave.operators.summary import minmax_pyramid, pyramid_blocks, quantise_column
 from statewave.sinks.svg import PALETTE
 
-MAX_EPOCHS = 20_000
 MAX_BINS = 160
 
 
@@ -51,7 +49,6 @@ def _levels(result, channel: str) -> dict:
 
 def session_payload(result, tables: dict, n_windows: int, methods: list[str]) -> dict:
     data, cut = result.preprocess, result.windows
-    stride = max(1, -(-n_windows // MAX_EPOCHS))
     f = result.features
     keep = spectrum_bins(len(f.freqs))
     picked = F.transform(F.array(*[F.lit(int(i)) for i in keep]), lambda i: F.round(F.col("power")[i], 6))
@@ -59,7 +56,7 @@ def session_payload(result, tables: dict, n_windows: int, methods: list[str]) ->
     labels = result.alignment.labels.groupBy(REC, "window_index").pivot("method", methods).agg(
         F.first("aligned_label"))
     epochs = (
-        f.spectra.filter(F.col("window_index") % stride == 0)
+        f.spectra
         .select(REC, "window_index", picked.alias("power"))
         .join(result.manifold.embedding, [REC, "window_index"])
         .join(labels, [REC, "window_index"]).orderBy("window_index").toPandas())
@@ -68,13 +65,13 @@ def session_payload(result, tables: dict, n_windows: int, methods: list[str]) ->
     means = {}
     for m in methods:
         mine = tables["spectra"][tables["spectra"]["method"] == m].pivot(
-            index="label", columns="bin", values="power").to_numpy()
+            index="label", columns="bin", values="power").reindex(range(top), fill_value=0.0).to_numpy()
         means[m] = mine[:, keep].round(6).tolist()
     return {
         "session_name": result.output_dir.name,
         "source_name": result.config.input.filename or result.output_dir.name,
         "fs": data.fs, "sample_count": data.longest, "duration_sec": data.longest / data.fs,
-        "window_sec": cut.window_sec, "epoch_stride": stride,
+        "window_sec": cut.window_sec,
         "manifold_method": result.manifold.method_used,
         "epoch_starts_sec": starts.round(6).tolist(),
         "epoch_centers_sec": (starts + cut.window_sec / 2).round(6).tolist(),
@@ -119,7 +116,7 @@ for (const s of Object.values(S.signals)) if (s) for (const l of s.levels) {
 let method = S.default_background_method, view = [0, S.duration_sec], picked = 0;
 for (const m of S.method_order) $("method").add(new Option(m, m, m === method, m === method));
 $("about").textContent = S.source_name + " - " + S.fs + " Hz, " + S.epoch_starts_sec.length + " epochs" +
-  (S.epoch_stride > 1 ? " (every " + S.epoch_stride + "th shown)" : "") + ", embedding: " + S.manifold_method;
+  ", embedding: " + S.manifold_method;
 if (!S.signals.emg) $("emg-card").remove();
 const paint = id => { const c = $(id); c.width = c.clientWidth; const g = c.getContext("2d");
   g.clearRect(0, 0, c.width, c.height); g.font = "11px sans-serif"; return [g, c.width, c.height]; };
