@@ -2,44 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewave.llm.store import saved
 
 
-def smallest_neighbour(sym: DataFrame) -> DataFrame:
-    """``low``: the smaller of a node and its smallest neighbour."""
-    return sym.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-
-
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def with_least(edges: DataFrame) -> DataFrame:
+    """``low``: the least of a node and its neighbours. One shuffle, by node."""
+    return edges.withColumn("low", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+
+
+def downward(edges: DataFrame) -> DataFrame:
+    """Distinct edges from larger nodes to smaller ones."""
+    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): the smallest node of its component.
 
     A large-star step ties each node's larger neighbours to its smallest one, a small-star step
-    the smaller ones; both only aggregate and join by node. They end when every edge leads to
-    its component's smallest node.
+    its smaller neighbours and itself. They end when every edge leads to its component's smallest
+    node, which leaves the edges as they were.
     """
-    edges = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while (now := mark(edges)) != before:
+    edges, before = saved(downward(edges)), None
+    while (now := mark(edges)) != before and now[0]:
         before = now
-        if not now[0]:
-            break
-        sym = both_ways(edges)
-        large = sym.where("v > u").join(smallest_neighbour(sym), "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v")))
-        edges = saved(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        large = with_least(both_ways(edges)).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        small = with_least(large)
+        ties = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v"))))
+        edges = saved(downward(small.select(ties.alias("e")).select("e.u", "e.v")))
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

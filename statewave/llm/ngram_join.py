@@ -5,8 +5,9 @@ universe of shingles is hashed into segments, as many as the least size of a ban
 (bands are powers of two). By the pigeonhole principle two similar sets agree in one of any H + 1
 segments of theirs, so each set is indexed under that many of its segments' subsets:
 
-* Segments are allocated by cost. A subset of more shingles is rarer, so larger ones come first;
-  the order depends on the subset alone, so the first one two sets share is in both their lists.
+* Segments are allocated by cost. Subsets with more shingles that are not frequent in the corpus
+  are rarer, so they come first, then larger ones; the order depends on the subset alone, so the
+  first one two sets share is in both their lists.
 * A set with too few segments buys one-deletion neighbourhoods: all its segments' subsets and
   each of them without one element, which counts twice in the pigeonhole sum. Where even that
   doesn't suffice, which needs many hash collisions, every single shingle is an index entry.
@@ -14,8 +15,12 @@ segments of theirs, so each set is indexed under that many of its segments' subs
 
 Sets that meet under an entry are candidates. Entries of up to ``SMALL_GROUP`` sets give all
 pairs. Larger ones first tie every member to the smallest one; what is not in one component
-after that is compared pair by pair in tiles, by parity sketches that never exceed the true
-difference. All candidates are verified on the whole sets.
+after that is compared in tiles, by parity sketches that never exceed the true difference: in
+rounds, members outside the main component each propose their nearest set of another one, until
+no round ties any; then all pairs that are left are candidates. All candidates are verified on
+the whole sets.
+
+The frequent shingles only steer the order, so the result doesn't depend on which ones were found.
 
 Documents with equal sets are one node throughout, so exact copies cost nothing; a node is named
 by a 64-bit hash of its set. Nulls count as empty; documents without words, or without an id, have
@@ -36,11 +41,13 @@ from pyspark.sql import functions as F
 from statewave.llm.components import components
 from statewave.llm.hashing import hashed_texts, mix, shingles
 from statewave.llm.store import saved
+from statewave.llm.text import plain
 
 WIDTH = 5
 SMALL_GROUP = 32
 TILE = 1024
-SKETCH_BITS = 1024
+#: A shingle counts as frequent from so many different sets of one batch, and of all, on; the most frequent ones are used.
+FREQUENT_IN_BATCH, FREQUENT, MOST_FREQUENT = 4, 8, 1 << 17
 ENTRIES_PER_SHARD = 1 << 18
 ENTRIES_PER_BLOCK = 1 << 20
 
@@ -63,12 +70,26 @@ def node_of(s: np.ndarray) -> np.int64:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parity of the number of elements in each of ``SKETCH_BITS`` classes.
+    """Parity of the number of elements in each of two to four times as many classes as elements.
 
-    Two sketches differ in no more bits than their sets do in elements.
+    Two sketches differ in no more bits than their sets do in elements. The number of classes is
+    a power of two, and a sketch folds to half of it by the exclusive or of its halves.
     """
-    bits = np.bincount((mix(s + np.uint64(7)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    classes = 1 << max(9, (2 * len(s) - 1).bit_length())
+    bits = np.bincount((mix(s + np.uint64(7)) & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while len(bits) > words:
+        bits = bits[:len(bits) // 2] ^ bits[len(bits) // 2:]
+    return bits
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    least = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, least) ^ folded(y, least)).sum())
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +105,21 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["doc_id", "n", "node", "sketch"])
 
 
+def frequent_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of many different sets of a batch and their numbers."""
+    for batch in batches:
+        sets = {int(node_of(s)): s for _, s in text_sets(batch.column(0)) if len(s)}
+        token, n = np.unique(np.concatenate([np.empty(0, np.uint64), *sets.values()]), return_counts=True)
+        often = n >= FREQUENT_IN_BATCH
+        yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
+
+
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    found = docs.select("text").mapInArrow(frequent_in_batch, "token bigint, n bigint").groupBy("token").agg(
+        F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "token").limit(MOST_FREQUENT).select("token")
+    return np.sort(found.toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def segments(s: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Elements by segment, where each segment begins, its number and its size."""
     number = (s >> np.uint64(40)) % np.uint64(count)
@@ -93,34 +129,37 @@ def segments(s: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return s[order], start, number[start], np.diff(np.r_[start, len(s)])
 
 
-def band_entries(s: np.ndarray, band: int) -> np.ndarray:
+def band_entries(s: np.ndarray, band: int, often: np.ndarray) -> np.ndarray:
     """Index entries of a set among sets of which the smaller has from 2^band to 2^(band + 1) - 1 elements."""
     n, least = len(s), 1 << band
     most = min(4 * n // 3, 2 * least - 1)
     differ = (n + most) // 7
     elements, start, number, size = segments(s, least)
+    at = np.minimum(np.searchsorted(often, elements), max(len(often) - 1, 0))
+    rare = np.add.reduceat((often[at] != elements).astype(np.int64), start) if len(often) else size
     place = mix(number + (np.uint64(band) << np.uint64(50)))
     subset = np.add.reduceat(mix(elements), start)
     entry = mix(subset + place)
     if len(start) > differ:
-        return entry[np.lexsort((entry, -size))[:differ + 1]]
+        return entry[np.lexsort((entry, -size, -rare))[:differ + 1]]
     # Deficient: its list is all there is. Similar sets that are deficient too meet below.
     large = size >= 2
     without = (np.repeat(subset + place, size) - mix(elements))[np.repeat(large, size)]
     near = mix(np.concatenate([subset + place, without]) + np.uint64(1))
-    alone = mix(elements + place[0] * np.uint64(0) + np.uint64(band + 2)) if len(start) + large.sum() <= differ else elements[:0]
+    alone = mix(elements + np.uint64(band + 2)) if len(start) + large.sum() <= differ else elements[:0]
     return np.unique(np.concatenate([entry, near, alone]))
 
 
-def entries(s: np.ndarray) -> np.ndarray:
+def entries(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """``often``: frequent shingles, sorted."""
     band = len(s).bit_length() - 1
-    out = [band_entries(s, band)]
+    out = [band_entries(s, band, often)]
     if band and 3 * len(s) <= 4 * ((1 << band) - 1):
-        out.append(band_entries(s, band - 1))
+        out.append(band_entries(s, band - 1, often))
     return np.concatenate(out)
 
 
-def index_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
+def index_blocks(batches: Iterator[pa.RecordBatch], shards: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Index entries of many documents in one row per shard: arrays as bytes."""
     nodes: list[int] = []
     sizes: list[int] = []
@@ -153,7 +192,7 @@ def index_blocks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.
             seen.add(node)
             nodes.append(node)
             sizes.append(len(s))
-            lists.append(entries(s))
+            lists.append(entries(s, often))
             held += len(lists[-1])
             if held >= ENTRIES_PER_BLOCK:
                 yield flush()
@@ -208,37 +247,36 @@ def meet(rows: pd.DataFrame) -> pd.DataFrame:
 MET = "a bigint, b bigint, star boolean, entry bigint"
 
 
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
-
-
-def sketch_pass(na, nb, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
-    return 7 * popcount(sa ^ sb) <= na + nb
-
-
 def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, na, nb, sa, sb) to the pairs (a, b) that the sketches don't rule out."""
-    words = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(-1, SKETCH_BITS // 64)
     for batch in batches:
-        na, nb = (batch.column(i).to_numpy() for i in (2, 3))
-        keep = sketch_pass(na, nb, words(batch.column(4)), words(batch.column(5)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+        most = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        pairs = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())
+        keep = [7 * sketch_distance(a, b) <= m for (a, b), m in zip(pairs, most)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
 
+def tile_pairs(rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
+    """Pairs across two tiles of one large group that lie in different components and pass the sketches.
 
-def tile_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across two tiles of one large group that lie in different components and pass the sketches."""
+    ``nearest``: only the nearest other set of each one outside the group's main component.
+    """
     i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-    left, right = rows[rows["tile"] == i], rows[rows["tile"] == j]
-    words = lambda part: np.frombuffer(b"".join(part["sketch"]), np.uint64).reshape(-1, SKETCH_BITS // 64)
-    ln, rn, lr, rr = left["n"].to_numpy(), right["n"].to_numpy(), left["root"].to_numpy(), right["root"].to_numpy()
-    la, ra, ls, rs = left["node"].to_numpy(), right["node"].to_numpy(), words(left), words(right)
-    found = []
-    for k in range(len(left)):
-        ok = np.flatnonzero((rr != lr[k]) & (ra != la[k]) & (4 * np.minimum(rn, ln[k]) >= 3 * np.maximum(rn, ln[k])))
-        if len(ok):
-            ok = ok[sketch_pass(ln[k], rn[ok], ls[k], rs[ok])]
-            found.append(np.stack([np.minimum(la[k], ra[ok]), np.maximum(la[k], ra[ok])], axis=1))
-    pairs = np.unique(np.concatenate([np.empty((0, 2), np.int64), *found]), axis=0)
+    sketches = [np.frombuffer(b, np.uint64) for b in rows["sketch"]]
+    bits = np.stack([folded(b, min(map(len, sketches))) for b in sketches])
+    tile, node, n, root, main = (rows[c].to_numpy() for c in ("tile", "node", "n", "root", "main"))
+    found = [np.empty((0, 2), np.int64)]
+    for a, b in {(i, j), (j, i)} if nearest else {(i, j)}:
+        right = np.flatnonzero(tile == b)
+        for k in np.flatnonzero((tile == a) & (root != main) if nearest else tile == a):
+            ok = right[(root[right] != root[k]) & (4 * np.minimum(n[right], n[k]) >= 3 * np.maximum(n[right], n[k]))]
+            distance = np.bitwise_count(bits[ok] ^ bits[k]).sum(axis=1, dtype=np.int64)
+            near = 7 * distance <= n[ok] + n[k]
+            ok, distance = ok[near], distance[near]
+            if nearest and len(ok):
+                ok = ok[[int(np.lexsort((node[ok], distance))[0])]]
+            found.append(np.stack([np.minimum(node[ok], node[k]), np.maximum(node[ok], node[k])], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -270,7 +308,7 @@ class Join:
     """The steps over one table of documents (doc_id, text)."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = plain(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.rows = saved(self.docs.mapInArrow(describe, "doc_id bigint, n bigint, node bigint, sketch binary"))
         known = self.rows.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
         self.nodes = saved(known.groupBy("node").agg(
@@ -279,45 +317,60 @@ class Join:
     def met(self) -> DataFrame:
         total = self.nodes.agg(F.sum("n")).first()[0] or 0
         shards = max(1, total // (2 * ENTRIES_PER_SHARD))
+        often = frequent_shingles(self.docs)
         blocks = self.docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(
-            lambda batches: index_blocks(batches, shards), "shard int, entry binary, owner binary, node binary, size binary")
+            lambda batches: index_blocks(batches, shards, often), "shard int, entry binary, owner binary, node binary, size binary")
         return saved(blocks.groupBy("shard").applyInPandas(meet, MET))
 
-    def similar_pairs(self, pairs: DataFrame, sketched: bool = False) -> DataFrame:
+    def similar_pairs(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are similar, as (u, v); the larger node is looked up last."""
-        if not sketched:
-            of = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-            pairs = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
-                near_by_sketch, "a bigint, b bigint")
-        pairs = saved(pairs)
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        of = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        pairs = saved(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
+            near_by_sketch, "a bigint, b bigint"))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         texts = wanted.join(self.nodes.select("node", "doc_id"), "node").join(self.docs, "doc_id").select("node", "text")
         sets = saved(texts.mapInArrow(sets_of, "node bigint, elements binary"))
         of = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"e{c}"))
         return saved(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ea", "eb").mapInArrow(
             verify, "u bigint, v bigint"))
 
+    def across(self, members: DataFrame, tied: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of members (entry, node) of large groups that lie in different components."""
+        members = members.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = members.groupBy("entry").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.mode("root", True).alias("main"), F.count("*").alias("size")).where(
+            "low <> high").select("entry", "main", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+        members = members.join(mixed, "entry").join(self.nodes.select("node", "n", "sketch"), "node").withColumn(
+            "tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+        tiles = members.withColumn("other", other).select(
+            "entry", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "root", "main", "n", "sketch")
+        found = tiles.groupBy("entry", "i", "j").applyInPandas(lambda rows: tile_pairs(rows, nearest), "a bigint, b bigint")
+        return saved(found.distinct())
+
+    def tie(self, tied: DataFrame, links: DataFrame) -> DataFrame:
+        return saved(components(links.union(tied.select(F.col("node").alias("u"), F.col("root").alias("v")))))
+
     def roots(self) -> DataFrame:
         """(node, root) for every node with a link."""
         met = self.met()
-        stars = self.similar_pairs(met.where("star").select("a", "b").distinct())
-        tied = saved(components(stars))
+        tied = saved(components(self.similar_pairs(met.where("star").select("a", "b").distinct())))
+        members = met.where("entry is not null").select("entry", F.col("a").alias("node"))
+        large = not members.isEmpty()
+        while large:
+            pairs = self.across(members, tied, True)
+            if pairs.isEmpty() or (links := self.similar_pairs(pairs)).isEmpty():
+                break
+            tied = self.tie(tied, links)
         named = lambda c: tied.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        apart = met.where("entry is null and not star").select("a", "b").distinct().join(named("a"), "a", "left").join(
+        apart = met.where("entry is null and not star").select("a", "b").join(named("a"), "a", "left").join(
             named("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        links = stars.union(self.similar_pairs(apart))
-        members = met.where("entry is not null").select("entry", F.col("a").alias("node")).join(tied, "node", "left").withColumn(
-            "root", F.coalesce("root", "node"))
-        mixed = members.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where(
-            "low <> high").select("entry", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
-        members = members.join(mixed, "entry").join(self.nodes.select("node", "n", "sketch"), "node").withColumn(
-            "tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        tiles = members.withColumn("other", other).select(
-            "entry", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "root", "n", "sketch")
-        across = tiles.groupBy("entry", "i", "j").applyInPandas(tile_pairs, "a bigint, b bigint").distinct()
-        links = links.union(self.similar_pairs(across, sketched=True))
-        return components(links)
+        if large and not pairs.isEmpty():
+            apart = apart.union(self.across(members, tied, False))
+        apart = saved(apart.distinct())
+        if apart.isEmpty() or (links := self.similar_pairs(apart)).isEmpty():
+            return tied
+        return self.tie(tied, links)
 
     def classes(self) -> DataFrame:
         """A row per input row: doc_id, n_shingles, component_id."""
@@ -343,5 +396,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     classes = Join(docs).classes()
     kept = classes.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return rows.union(docs.where(F.col("doc_id").isNull()))
+    own = plain(docs)
+    rows = own.join(kept, "doc_id", "left_semi").select(*own.columns).dropDuplicates(["doc_id"])
+    return rows.union(own.where(F.col("doc_id").isNull())).toDF(*docs.columns)
