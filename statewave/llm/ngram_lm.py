@@ -37,7 +37,7 @@ from statewave.llm.hashing import hashed_texts, mix
 from statewave.llm.text import doc_bucket, plain
 
 PRIOR = 100.0
-BYTES_PER_SHARD = 16_000_000
+BYTES_PER_SHARD = 12_000_000
 TOKENS_PER_BLOCK = 1_000_000
 TEXTS_PER_BLOCK = 60_000
 #: A word with more tokens than this is dealt by word and context.
@@ -48,6 +48,7 @@ CONTEXT_MASK = (np.uint64(1) << CONTEXT_BITS) - np.uint64(1)
 #: Log values are kept in steps of 1/STEPS above LEAST.
 LEAST, STEPS = -24.0, 1500.0
 BLOCK = "shard int, block bigint, words binary, sizes binary, contexts binary, times binary, texts binary, learning binary, about binary"
+SUM = np.dtype([("model", "<f4"), ("base", "<f8"), ("known", "<u4")])
 SUMS = "block bigint, texts binary, sums binary, about binary"
 
 
@@ -212,8 +213,8 @@ class Trie:
 
 def score_shard(rows: pd.DataFrame, totals: Totals) -> pd.DataFrame:
     """Sums by block and text: model value, base value and number of known tokens."""
-    word, context, times, text, learned, source = [], [], [], [], [], []
-    for i, r in enumerate(rows.itertuples()):
+    word, context, times, learned = [], [], [], []
+    for r in rows.itertuples():
         w, n = np.frombuffer(r.words, np.uint64), np.frombuffer(r.sizes, np.int32)
         c = np.zeros((n.sum(), 8), dtype=np.uint8)
         c[:, :5] = np.frombuffer(r.contexts, np.uint8).reshape(-1, 5)
@@ -222,19 +223,19 @@ def score_shard(rows: pd.DataFrame, totals: Totals) -> pd.DataFrame:
         word.append(np.repeat(w, n))
         context.append(c.view("<u8")[:, 0])
         times.append(m)
-        text.append(t)
-        learned.append(np.add.reduceat(learning[t], np.cumsum(m) - m, dtype=np.int64) if len(m) else m)
-        source.append(np.full(len(t), i, dtype=np.int32))
-    word, context, times, learned = (np.concatenate(x) for x in (word, context, times, learned))
-    unique, rank = np.unique(word, return_inverse=True)
+        learned.append(np.add.reduceat(learning[t], np.cumsum(m) - m, dtype=np.int32) if len(m) else m)
+    unique, rank = np.unique(np.concatenate(word), return_inverse=True)
+    key, at = np.unique((rank.astype(np.uint64) << CONTEXT_BITS) | np.concatenate(context), return_inverse=True)
+    del word, context
+    entries = np.concatenate([[0], np.cumsum([len(m) for m in times])])
+    learned = np.concatenate(learned)
     often = totals.place(unique)
     count = np.where(often >= 0, totals.counts[often], np.bincount(rank, learned, len(unique)).astype(np.int64))
+    together = np.bincount(at, learned, len(key)) if len(key) else np.empty(0)
+    del rank, learned
     known = count > 0
     # Trie of what was learned: places are those among the known words.
     place = np.cumsum(known) - 1
-    pair = (rank.astype(np.uint64) << CONTEXT_BITS) | context
-    key, at = np.unique(pair, return_inverse=True)
-    together = np.bincount(at, learned, len(key)) if len(key) else np.empty(0)
     key_rank = (key >> CONTEXT_BITS).astype(np.int64)
     prior = PRIOR * (count + 0.5) / totals.mass
     seen = together > 0
@@ -246,18 +247,22 @@ def score_shard(rows: pd.DataFrame, totals: Totals) -> pd.DataFrame:
     unseen = np.log10(PRIOR * (c + 0.5) / totals.mass)
     value = trie.value(where[key_rank], key & CONTEXT_MASK)
     value = np.where(np.isnan(value), unseen[key_rank], value)
-    value -= np.where(unique[key_rank] == END, 0.0, np.log10(c[key_rank] + PRIOR))
-    each = np.repeat(at, times)
-    token = key_rank[each]
-    parts = np.stack([value[each], np.log10(c[token] + 0.5), (c[token] > 0).astype(float)])
-    text, source = np.concatenate(text).astype(np.int64), np.concatenate(source).astype(np.int64)
-    to, group = np.unique((source << 16) | text, return_inverse=True)
-    sums = np.stack([np.bincount(group, p, len(to)) for p in parts], axis=1) if len(to) else np.empty((0, 3))
-    cut = np.searchsorted(to >> 16, np.arange(len(rows) + 1))
-    return pd.DataFrame({
-        "block": rows["block"].to_numpy(),
-        "texts": [(to[a:b] & 0xFFFF).astype(np.uint16).tobytes() for a, b in zip(cut, cut[1:])],
-        "sums": [sums[a:b].tobytes() for a, b in zip(cut, cut[1:])], "about": rows["about"].to_numpy()})
+    value -= np.where(unique == END, 0.0, np.log10(c + PRIOR))[key_rank]
+    base, found = np.log10(c + 0.5), (c > 0).astype(float)
+    texts, sums = [], []
+    for i, m in enumerate(times):
+        keys = at[entries[i]:entries[i + 1]]
+        words = key_rank[keys]
+        text = np.frombuffer(rows["texts"].iloc[i], np.uint16)
+        each = np.repeat(np.arange(len(m)), m)
+        total = [np.bincount(text, x[each]) for x in (value[keys], base[words], found[words])] if len(text) else [np.empty(0)] * 3
+        there = np.unique(text)
+        texts.append(there.tobytes())
+        packed = np.empty(len(there), dtype=SUM)
+        for name, x in zip(SUM.names, total):
+            packed[name] = x[there] if len(there) else x
+        sums.append(packed.tobytes())
+    return pd.DataFrame({"block": rows["block"].to_numpy(), "texts": texts, "sums": sums, "about": rows["about"].to_numpy()})
 
 
 def block_scores(rows: pd.DataFrame, totals: Totals) -> pd.DataFrame:
@@ -266,7 +271,8 @@ def block_scores(rows: pd.DataFrame, totals: Totals) -> pd.DataFrame:
     out = pa.ipc.read_record_batch(pa.py_buffer(about), ABOUT).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
     total = np.zeros((len(out), 3))
     for texts, sums in zip(rows["texts"], rows["sums"]):
-        total[np.frombuffer(texts, np.uint16)] += np.frombuffer(sums, float).reshape(-1, 3)
+        part = np.frombuffer(sums, SUM)
+        total[np.frombuffer(texts, np.uint16)] += np.stack([part[name] for name in SUM.names], axis=1)
     n = out["n_tokens"].to_numpy(dtype=np.int64)
     return out.assign(
         n_known=np.rint(total[:, 2]).astype(np.int64), train_tokens=totals.tokens,
