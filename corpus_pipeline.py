@@ -17,6 +17,7 @@ from statewave.llm.packing import pack
 from statewave.llm.pii import mask_pii
 from statewave.llm.quality_rules import keep_good
 from statewave.llm.store import saved
+from statewave.llm.text import plain
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +32,10 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with personal data masked and their lengths brought up to date."""
-    masked = mask_pii(docs)
-    if "n_chars" in docs.columns:
+    masked = plain(mask_pii(docs))
+    if "n_chars" in masked.columns:
         masked = masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return masked.select(*docs.columns)
+    return masked.toDF(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
