@@ -16,8 +16,8 @@ segments of theirs, so each set is indexed under that many of its segments' subs
 Sets that meet under an entry are candidates. Entries of up to ``SMALL_GROUP`` sets give all
 pairs. Larger ones first tie every member to the smallest one; what is not in one component
 after that is compared in tiles, by parity sketches that never exceed the true difference: in
-rounds, members outside the main component each propose their nearest set of another one, until
-no round ties any; then all pairs that are left are candidates. All candidates are verified on
+rounds, members outside the main component of a group each propose their nearest set of another
+one, until no round ties any; then all pairs that are left in any group are candidates. All candidates are verified on
 the whole sets.
 
 The frequent shingles only steer the order, so the result doesn't depend on which ones were found.
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewave.llm.components import components
@@ -337,9 +337,13 @@ class Join:
     def across(self, members: DataFrame, tied: DataFrame, nearest: bool) -> DataFrame:
         """Pairs of members (entry, node) of large groups that lie in different components."""
         members = members.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = members.groupBy("entry").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"), F.mode("root", True).alias("main"), F.count("*").alias("size")).where(
-            "low <> high").select("entry", "main", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+        group = Window.partitionBy("entry")
+        parts = members.groupBy("entry", "root").agg(F.count("*").alias("n")).select(
+            "entry", "root", F.sum("n").over(group).alias("size"), F.max(F.struct("n", "root")).over(group)["root"].alias("main"),
+            F.count("*").over(group).alias("parts")).where("parts > 1")
+        if nearest:  # one group, the smallest, for each component that is not the main one there
+            parts = parts.where("root <> main").groupBy("root").agg(F.min(F.struct("size", "entry", "main")).alias("g")).select("g.*")
+        mixed = parts.select("entry", "main", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")).distinct()
         members = members.join(mixed, "entry").join(self.nodes.select("node", "n", "sketch"), "node").withColumn(
             "tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
@@ -365,7 +369,7 @@ class Join:
         named = lambda c: tied.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
         apart = met.where("entry is null and not star").select("a", "b").join(named("a"), "a", "left").join(
             named("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        if large and not pairs.isEmpty():
+        if large:
             apart = apart.union(self.across(members, tied, False))
         apart = saved(apart.distinct())
         if apart.isEmpty() or (links := self.similar_pairs(apart)).isEmpty():
