@@ -132,7 +132,8 @@ def segments(s: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 def band_entries(s: np.ndarray, band: int, often: np.ndarray) -> np.ndarray:
     """Index entries of a set among sets of which the smaller has from 2^band to 2^(band + 1) - 1 elements."""
     n, least = len(s), 1 << band
-    most = min(4 * n // 3, 2 * least - 1)
+    # In its own band a set may be the smaller one, with a partner from the next band.
+    most = 4 * n // 3 if n < 2 * least else 2 * least - 1
     differ = (n + most) // 7
     elements, start, number, size = segments(s, least)
     at = np.minimum(np.searchsorted(often, elements), max(len(often) - 1, 0))

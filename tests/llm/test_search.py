@@ -82,6 +82,18 @@ def test_every_similar_pair_shares_an_entry():
             assert len(np.intersect1d(ngram_join.entries(x, often), ngram_join.entries(y, often))), (n, len(x), len(y), common)
 
 
+@pytest.mark.parametrize("power", [2, 4, 8, 16, 32])
+def test_subsets_across_bands_share_an_entry(power):
+    rng = np.random.default_rng(power)
+    none = np.empty(0, np.uint64)
+    for a in range(max(1, power - 3), power + 4):
+        for b in range(a, 4 * a // 3 + 1):
+            for _ in range(60):
+                y = np.unique(rng.integers(0, 1 << 63, b, dtype=np.uint64))
+                x = np.sort(rng.permutation(y)[:a])
+                assert len(np.intersect1d(ngram_join.entries(x, none), ngram_join.entries(y, none))), (a, b)
+
+
 def test_deficient_sets_share_an_entry(monkeypatch):
     few = lambda s, count: real(s, max(1, count // 16))
     real = ngram_join.segments
