@@ -9,7 +9,8 @@ content, with everything in it, or else all from the first content block to the
 heading before it.
 
 A null or empty page has an empty text. Broken markup never fails: an end tag closes what is
-open inside its element, and one without a beginning is passed over. Repeated rows give
+open inside its element, one without a beginning is passed over, and a marked section other than
+CDATA is a comment up to the next ``>``. Repeated rows give
 repeated results; other columns are ignored.
 """
 
@@ -72,6 +73,12 @@ class Blocks(HTMLParser):
         self.articles = 0
         self.now: Block | None = None
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Python's parser raises an error on unknown sections and searches far for the end of known ones."""
+        if self.rawdata[i + 3:i + 9].lower() == "cdata[" and self.rawdata.find("]]>", i + 9) >= 0:
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i)
+
     def state(self) -> tuple[bool, int]:
         return self.open[-1][1:] if self.open else (False, 0)
 
@@ -164,11 +171,8 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
 def main_text(html: str | None) -> str:
     """Blocks of the content regions, in page order, joined by two line ends."""
     parser = Blocks()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except AssertionError:  # a declaration that the parser can't read: what came before it counts
-        pass
+    parser.feed(html or "")
+    parser.close()
     parser.end_block()
     blocks = parser.blocks
     if not blocks:

@@ -138,6 +138,12 @@ def test_odd_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mark", ["<![x[", "<![1] >", "<![ if >", "<![", "<![endif]-->", "<![if x >"])
+def test_marked_sections_lose_no_text(mark):
+    page = f"<p>before {mark} b></p><p>" + "tail of the page " * 20 + "</p><p>x[0]></p>"
+    assert html_text.main_text(page).startswith("before") and "tail of the page" in html_text.main_text(page)
+
+
 def test_random_articles():
     rng = np.random.default_rng(9)
     for _ in range(30):
