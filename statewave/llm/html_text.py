@@ -4,7 +4,9 @@ Parser events cut a page into blocks, the text between block-level tags; they st
 lines of the page, which may have none. A block's ratio is its number of characters by its number
 of tags, smoothed over its neighbours with a Gaussian; blocks above one standard deviation of the
 smoothed ratios are content. Menus, footers, forms, adverts, notices and reader comments are told
-by their elements and names and never count. A content region is the article element that holds
+by their elements and names and don't count. A name is a whole token of class or id or the last
+word of one, and drops an element only if that holds less than half of the page's text and neither
+article nor main but those so named; if such elements have all of the text, none drops. A content region is the article element that holds
 content, with everything in it, or else all from the first content block to the last, with a
 heading before it.
 
@@ -38,7 +40,7 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIPPED = frozenset(
     "head script style noscript template nav footer aside form button select textarea iframe svg object canvas dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Words in class or id that name parts of a page other than its article.
+#: Tokens of class or id, or their last words, that name parts of a page other than its article.
 NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices "
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments commentlist disqus replies respond "
@@ -50,26 +52,64 @@ OUTER_NAMES = frozenset("header topbar".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WHITE = re.compile(r"\s+")
 NAME_PARTS = re.compile(r"[a-z]+")
+#: First words of tokens that tell what an element has or lacks, not what it is.
+STATES = frozenset("no not has have with without is hide show".split())
 SIGMA = 1.0
 
 
+@dataclass
+class Named:
+    """An element with a name of ``NAMES``, within ``outer``; ``chars`` without white space."""
+
+    outer: Named | None
+    chars: int = 0
+    main: bool = False
+    dropped: bool = False
+
+
 @dataclass
 class Block:
+    """``parts``: texts, each with its named element and whether it is a heading; None for an inline tag."""
+
     article: int
-    heading: bool
-    parts: list[str] = field(default_factory=list)
+    parts: list[tuple[str, Named | None, bool] | None] = field(default_factory=list)
+    heading: bool = False
     tags: int = 1
     text: str = ""
 
+    def finish(self) -> None:
+        """Text and number of tags from the first part on that isn't dropped."""
+        texts = []
+        for part in self.parts:
+            if part is None:
+                self.tags += bool(texts)
+            elif part[1] is None or not part[1].dropped:
+                if not texts:
+                    self.heading = part[2]
+                texts.append(part[0])
+        self.text = WHITE.sub(" ", "".join(texts)).strip()
+
+
+def names(value: str) -> set[str]:
+    """Tokens and last words of them that may be names."""
+    found = set()
+    for token in value.split():
+        words = NAME_PARTS.findall(token)
+        if words and words[0] not in STATES:
+            found |= {"".join(words), words[-1]}
+    return found
+
 
 class Blocks(HTMLParser):
-    """Collects the blocks of a page. ``open`` holds (tag, skipped, article) of the open elements."""
+    """Collects the blocks of a page. ``open`` holds (tag, skipped, article, named) of the open elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []
+        self.open: list[tuple[str, bool, int, Named | None]] = []
         self.count: Counter[str] = Counter()
         self.blocks: list[Block] = []
+        self.named: list[Named] = []
+        self.chars = 0
         self.articles = 0
         self.now: Block | None = None
 
@@ -79,20 +119,43 @@ class Blocks(HTMLParser):
             return super().parse_marked_section(i, report)
         return self.parse_bogus_comment(i)
 
-    def state(self) -> tuple[bool, int]:
-        return self.open[-1][1:] if self.open else (False, 0)
+    def state(self) -> tuple[bool, int, Named | None]:
+        return self.open[-1][1:] if self.open else (False, 0, None)
 
     def end_block(self) -> None:
         if self.now is not None:
-            self.now.text = WHITE.sub(" ", "".join(self.now.parts)).strip()
-            if self.now.text:
-                self.blocks.append(self.now)
+            self.blocks.append(self.now)
             self.now = None
 
     def add(self, text: str) -> None:
+        _, article, named = self.state()
         if self.now is None:
-            self.now = Block(self.state()[1], any(t in HEADING for t, _, _ in self.open[-3:]))
-        self.now.parts.append(text)
+            self.now = Block(article)
+        self.now.parts.append((text, named, any(t[0] in HEADING for t in self.open[-3:])))
+        n = sum(map(len, text.split()))
+        self.chars += n
+        if named is not None:
+            named.chars += n
+
+    def whole(self) -> list[Block]:
+        """The blocks with text, without what names drop."""
+        self.end_block()
+        for named in reversed(self.named):  # inner ones come after outer ones
+            if named.outer is not None:
+                named.outer.chars += named.chars
+                named.outer.main |= named.main
+        for named in self.named:
+            named.dropped = not named.main and 2 * named.chars < self.chars or named.outer is not None and named.outer.dropped
+        if self.chars == sum(n.chars for n in self.named if n.dropped and not (n.outer and n.outer.dropped)):
+            for named in self.named:
+                named.dropped = False
+        for block in self.blocks:
+            block.finish()
+        return [b for b in self.blocks if b.text]
+
+    def is_named(self, attrs: list, article: int) -> bool:
+        found = set().union(*(names((value or "").lower()) for name, value in attrs if name in ("class", "id")))
+        return bool(found & NAMES or not article and found & OUTER_NAMES)
 
     def noise(self, tag: str, attrs: list, article: int) -> bool:
         if tag in SKIPPED or tag == "header" and not article:
@@ -103,10 +166,6 @@ class Blocks(HTMLParser):
                 return True
             if name == "style" and "display:none" in value.replace(" ", ""):
                 return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                words = set(NAME_PARTS.findall(value))
-                if words & NAMES or not article and words & OUTER_NAMES:
-                    return True
         return False
 
     def end_like(self, tags: set[str]) -> None:
@@ -119,7 +178,7 @@ class Blocks(HTMLParser):
                 break
 
     def close_to(self, place: int) -> None:
-        for tag, _, _ in self.open[place:]:
+        for tag, *_ in self.open[place:]:
             self.count[tag] -= 1
         del self.open[place:]
 
@@ -128,17 +187,27 @@ class Blocks(HTMLParser):
             self.end_block()
             self.end_like({"p"} if tag not in SIBLINGS else SIBLINGS[tag] | {"p"})
         elif self.now is not None:
-            self.now.tags += 1
+            self.now.parts.append(None)
         if tag == "br":
             self.handle_data(" ")
         if tag in VOID:
             return
-        skipped, article = self.state()
+        skipped, article, named = self.state()
+        outer = article
         if tag in ("article", "main") and not skipped and not article:
             self.articles += 1
             article = self.articles
+        skipped = skipped or self.noise(tag, attrs, article)
+        if not skipped and tag not in ("html", "body"):
+            by_name = self.is_named(attrs, outer)
+            if tag in ("article", "main"):
+                if named is not None and not by_name:
+                    named.main = True
+            elif by_name:
+                named = Named(named)
+                self.named.append(named)
         self.count[tag] += 1
-        self.open.append((tag, skipped or self.noise(tag, attrs, article), article))
+        self.open.append((tag, skipped, article, named))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -173,8 +242,7 @@ def main_text(html: str | None) -> str:
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
-    parser.end_block()
-    blocks = parser.blocks
+    blocks = parser.whole()
     if not blocks:
         return ""
     ratio = smoothed(np.array([len(b.text) / b.tags for b in blocks]))

@@ -144,6 +144,21 @@ def test_marked_sections_lose_no_text(mark):
     assert html_text.main_text(page).startswith("before") and "tail of the page" in html_text.main_text(page)
 
 
+@pytest.mark.parametrize("name", ['class="layout has-sidebar"', 'class="no-comments"', 'class="with-ads"', 'id="page" class="widget-area-none"',
+                                  'class="social-studies"', 'class="main-sidebar"'])
+@pytest.mark.parametrize("tag", ["article", "section"])
+def test_names_empty_no_page(name, tag):
+    text = "a long sentence of the page " * 10
+    page = f'<body><div {name}><{tag}><p>{text}</p></{tag}><div class="ad">Buy now</div></div><div class="cookie-notice">Cookies</div></body>'
+    assert html_text.main_text(page) == text.strip()
+
+
+def test_sections_with_words_of_names_stay():
+    text = "a long sentence of the page " * 10
+    page = f'<article><p>{text}</p><section class="social-studies"><p>Studied.</p></section><p class="related">More</p><span class="share">Share</span></article>'
+    assert html_text.main_text(page) == text.strip() + "\n\nStudied."
+
+
 def test_random_articles():
     rng = np.random.default_rng(9)
     for _ in range(30):
