@@ -48,6 +48,30 @@ def test_added_spans(docs):
     assert not spans[0] and not spans[1]
 
 
+FOUND = {
+    "SSN 123-45-6789, 234-56-7890": "SSN [US_SSN], [US_SSN]",
+    "SSN 123-45-6789, 234-56-7890; 345-67-8901": "SSN [US_SSN], [US_SSN]; [US_SSN]",
+    "SSN 000-45-6789 or 234-56-7890": "SSN 000-45-6789 or [US_SSN]",
+    "123-45-6789 SSN": "123-45-6789 SSN",
+    "ssn " + "1 " * 20 + " 123-45-6789": "ssn " + "1 " * 20 + " 123-45-6789",
+    "card 22: 3782 822463 10005": "card 22: [SHORT_CARD]",
+    "card 2: 3782 822463 10005": "card 2: [SHORT_CARD]",
+    "IBAN DE89 3704 0044 0532 0130 00 Bitte zahlen": "IBAN [IBAN] Bitte zahlen",
+    "IBAN DE89370400440532013000 Take 2": "IBAN [IBAN] Take 2",
+    "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32 7": "[IBAN] [IBAN] 7",
+    "AB12 DE89 3704 0044 0532 0130 00.": "AB12 [IBAN].",
+    "DE89 3704 0044 0532 0130 01 Bitte": "DE89 3704 0044 0532 0130 01 Bitte"}
+
+
+def test_added_kinds_in_context(spark):
+    rows = spark.createDataFrame(list(enumerate(FOUND)), "doc_id bigint, text string")
+    masked = [r["text"] for r in pii.mask_pii(rows).orderBy("doc_id").collect()]
+    assert masked == list(FOUND.values())
+    for text, spans, want in zip(FOUND, pii.pii_digest(rows).orderBy("doc_id").collect(), masked):
+        added = [s for s in spans["spans"].split(",") if s.split(":")[0] in ("iban", "short_card", "us_ssn")]
+        assert len(added) == want.count("["), (text, added)
+
+
 def test_many_spans_in_one_text(spark):
     text = "x 10.0.0.1, " * 2000
     row = pii.pii_digest(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
