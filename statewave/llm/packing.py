@@ -16,6 +16,7 @@ separate documents. An empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -51,7 +52,7 @@ class CachedEncoder:
     """Ids of texts from the ids of their words.
 
     The tokenizer splits at white space and drops it, so a text's ids are those of its words one
-    after the other; it also splits between letters and what follows them. Ids of all known words
+    after the other; it also splits between letters and what follows them (where lower case and NFC leave letters). Ids of all known words
     lie in one array; a text is a gather from it. New words of letters only go to the tokenizer
     many at a time: each is one unit for it, whose last id alone is that of a word end.
     """
@@ -110,7 +111,7 @@ class CachedEncoder:
                 letters.append(word)
                 continue
             core = word.rstrip(".,")
-            if len(core) < len(word) and core.isalpha():
+            if len(core) < len(word) and core.isalpha() and (core.isascii() or unicodedata.normalize("NFC", core.lower()).isalpha()):
                 parts.append((raw, core.encode(), raw[len(core.encode()):]))
             else:
                 mixed.append(word)

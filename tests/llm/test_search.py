@@ -195,6 +195,12 @@ def test_encoder_equals_tokenizer():
         assert [x.tolist() for x in encoder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_where_lower_case_is_no_letter():
+    encoder, tokenizer = packing.CachedEncoder(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    for text in ("BEL\u0130.", "BEL\u0130, \u0130. x", "\u0958. \u0958 a.", "\u00c9t\u00c9."):
+        assert encoder.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_sum_of_squares_fills_sequences():
     rng = np.random.default_rng(0)
     lengths = np.sort(rng.integers(1, 700, 5000))[::-1]
