@@ -112,5 +112,53 @@ p AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS sco
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
 FROM p QUALIFY rank <= 20"""
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM (
+    SELECT lang, unnest(string_split_regex({LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (
+    SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS k)) GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.*, cut, l.f AS l, r.f AS r, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+    JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(ws[:cut], ' ')
+    JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_ AS (SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(ws[i:i + 1], ' ') AS phrase FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3)) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN inner_ USING (lang, phrase) JOIN n USING (lang)
+WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000"""
+
+#: crc32 by its table of 256 values, which its rule of eight steps gives; h holds the text's bytes as hex digits.
+CRC_STEP = "CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+OP12 = f"""
+WITH RECURSIVE steps(k, b, x) AS (
+    SELECT 0, b, b FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b) UNION ALL SELECT k + 1, b, {CRC_STEP} FROM steps WHERE k < 8),
+crc AS (SELECT list(x ORDER BY b) AS t FROM steps WHERE k = 8),
+w AS (SELECT 'd' AS side, row_number() OVER () AS row, doc_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+    UNION ALL SELECT 'b', NULL, NULL, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+f AS (SELECT side, row, feature, count(*) AS n FROM (
+    SELECT side, row, unnest(ws) AS feature FROM w
+    UNION ALL SELECT side, row, ws[i] || ' ' || ws[i + 1] FROM (SELECT side, row, ws, unnest(range(1, len(ws))) AS i FROM w)) GROUP BY ALL),
+hashed AS (SELECT feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))),
+        lambda c, v: xor(t[1 + (xor(c, v) & 255)], c >> 8)), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT feature, hex(encode(feature)) AS h FROM f), crc),
+counts AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t
+    FROM f JOIN hashed USING (feature) GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * ((SELECT coalesce(sum(s), 0) FROM counts) + 10000)
+    / ((CAST(s AS DOUBLE) + 1) * ((SELECT coalesce(sum(t), 0) FROM counts) + 10000)))) AS BIGINT) AS gain FROM counts),
+sums AS (SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight
+    FROM f JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row),
+d AS (SELECT doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), ''))[:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+    FROM w LEFT JOIN sums USING (row) WHERE side = 'd'),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS place,
+    count(*) OVER (PARTITION BY words >= 20) AS enough FROM d)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND place <= enough * 25 // 100 THEN place END AS rank FROM r"""
+
 ORACLES: dict[str, str] = {
-    "op1_pii": OP1, "op2_mixing": OP2, "op3_ngram_join": OP3, "op7_quality_rules": OP7, "op10_nearest": OP10}
+    "op1_pii": OP1, "op2_mixing": OP2, "op3_ngram_join": OP3, "op7_quality_rules": OP7, "op10_nearest": OP10,
+    "op11_phrases": OP11, "op12_resample": OP12}

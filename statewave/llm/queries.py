@@ -12,9 +12,12 @@ from statewave.llm.mixing import mix_digest
 from statewave.llm.ngram_join import join_digest
 from statewave.llm.ngram_lm import lm_digest
 from statewave.llm.packing import pack
+from statewave.llm.phrases import phrases
 from statewave.llm.pii import pii_digest
 from statewave.llm.quality_fm import quality_digest
 from statewave.llm.quality_rules import rules_digest
+from statewave.llm.repair import ids_digest
+from statewave.llm.resample import resample_digest
 from statewave.llm.vptree import vector_digest
 
 
@@ -62,6 +65,18 @@ def op10_nearest(spark: SparkSession, d: str) -> DataFrame:
     return vector_digest(table(spark, d, "embeddings"))
 
 
+def op11_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return phrases(table(spark, d, "documents"))
+
+
+def op12_resample(spark: SparkSession, d: str) -> DataFrame:
+    return resample_digest(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+def op13_token_files(spark: SparkSession, d: str) -> DataFrame:
+    return ids_digest(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_pii, op2_mixing, op3_ngram_join, op4_langid, op5_html_text, op6_quality_fm, op7_quality_rules, op8_ngram_lm,
-    op9_packing, op10_nearest)}
+    op9_packing, op10_nearest, op11_phrases, op12_resample, op13_token_files)}
