@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statewave.llm.store import saved
@@ -13,8 +13,13 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def with_least(edges: DataFrame) -> DataFrame:
-    """``low``: the least of a node and its neighbours. One shuffle, by node."""
-    return edges.withColumn("low", F.least("u", F.min("v").over(Window.partitionBy("u"))))
+    """``low``: the least of a node and its neighbours.
+
+    Minima are aggregated before they are shuffled, and a node with many edges is a skewed key of a
+    join with one row for each node, which Spark splits.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("least"))
+    return edges.join(least, "u").select("u", "v", F.least("u", "least").alias("low"))
 
 
 def downward(edges: DataFrame) -> DataFrame:

@@ -14,11 +14,15 @@ segments of theirs, so each set is indexed under that many of its segments' subs
 * A set also appears in the band below its own if a similar smaller set can lie there.
 
 Sets that meet under an entry are candidates. Entries of up to ``SMALL_GROUP`` sets give all
-pairs. Larger ones first tie every member to the smallest one; what is not in one component
-after that is compared in tiles, by parity sketches that never exceed the true difference: in
-rounds, members outside the main component of a group each propose their nearest set of another
-one, until no round ties any; then all pairs that are left in any group are candidates. All candidates are verified on
-the whole sets.
+pairs. Larger ones first tie every member to the smallest one, their pivot; entries with one pivot
+are one group from then on. Members outside their pivot's component are then compared with all
+others of the group that lie in other components, by parity sketches that never exceed the true
+difference: in rounds each of them proposes its nearest one, until no round ties any; then all
+pairs that the sketches let pass are candidates. Members in their pivot's component, nearly all of a family of
+near copies, are only compared with those outside it. The comparisons of one group are dealt over blocks of
+``BLOCK`` sets on either side, so they grow with its size times the number of sets that stay apart.
+
+All candidates are verified on the whole sets.
 
 The frequent shingles only steer the order, so the result doesn't depend on which ones were found.
 
@@ -35,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewave.llm.components import components
@@ -45,7 +49,7 @@ from statewave.llm.text import plain
 
 WIDTH = 5
 SMALL_GROUP = 32
-TILE = 1024
+BLOCK = 4096
 #: A shingle counts as frequent from so many different sets of one batch, and of all, on; the most frequent ones are used.
 FREQUENT_IN_BATCH, FREQUENT, MOST_FREQUENT = 4, 8, 1 << 17
 ENTRIES_PER_SHARD = 1 << 18
@@ -93,7 +97,7 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, n, node, sketch)."""
+    """(doc_id, text, mark) to (doc_id, n, node, sketch, mark)."""
     for batch in batches:
         n, node, bits = [], [], []
         for _, s in text_sets(batch.column(1)):
@@ -101,8 +105,8 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node.append(int(node_of(s)) if len(s) else None)
             bits.append(sketch(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary())],
-            names=["doc_id", "n", "node", "sketch"])
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), batch.column(2)],
+            names=["doc_id", "n", "node", "sketch", "mark"])
 
 
 def frequent_in_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,61 +164,75 @@ def entries(s: np.ndarray, often: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def index_blocks(batches: Iterator[pa.RecordBatch], shards: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Index entries of many documents in one row per shard: arrays as bytes."""
-    nodes: list[int] = []
-    sizes: list[int] = []
-    lists: list[np.ndarray] = []
-    seen: set[int] = set()
-    held = 0
-
-    def flush() -> pa.RecordBatch:
-        entry = np.concatenate(lists)
-        owner = np.repeat(np.arange(len(lists), dtype=np.uint32), [len(x) for x in lists])
-        shard = ((entry >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+class Blocks:
+    """Index entries of many sets, dealt into one row per shard: arrays as bytes."""
+
+    SCHEMA = "shard int, entry binary, owner binary, node binary, size binary"
+
+    def __init__(self, shards: int):
+        self.shards = shards
+        self.clear()
+
+    def clear(self) -> None:
+        self.owners: list[tuple[int, int]] = []
+        self.lists: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, entry: np.ndarray, node: int, size: int) -> bool:
+        """Whether the block is full."""
+        self.owners.append((node, size))
+        self.lists.append(entry)
+        self.held += len(entry)
+        return self.held >= ENTRIES_PER_BLOCK
+
+    def flush(self) -> pa.RecordBatch:
+        entry = np.concatenate(self.lists)
+        owner = np.repeat(np.arange(len(self.lists), dtype=np.uint32), [len(x) for x in self.lists])
+        shard = ((entry >> np.uint64(32)) * np.uint64(self.shards) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         entry, owner, shard = entry[order], owner[order], shard[order]
-        cut = np.searchsorted(shard, np.arange(shards + 1))
-        node, size = np.array(nodes, np.int64), np.array(sizes, np.int32)
+        cut = np.searchsorted(shard, np.arange(self.shards + 1))
+        node, size = (np.array(c, t) for c, t in zip(zip(*self.owners), (np.int64, np.int32)))
         rows: list[tuple] = []
         for k in np.flatnonzero(np.diff(cut)):
             part = slice(cut[k], cut[k + 1])
             used, local = np.unique(owner[part], return_inverse=True)
             local = local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32)
-            rows.append((int(k), entry[part].tobytes(), local.tobytes(), node[used].tobytes(), size[used].tobytes()))
-        types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
+            rows.append((int(k), *(x.tobytes() for x in (entry[part], local, node[used], size[used]))))
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i else pa.int32()) for i, c in enumerate(zip(*rows))],
                                           names=["shard", "entry", "owner", "node", "size"])
 
+
+def index_blocks(batches: Iterator[pa.RecordBatch], shards: int, often: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(text) to index entries; equal sets of one block are indexed once."""
+    blocks, seen = Blocks(shards), set()
     for batch in batches:
         for _, s in text_sets(batch.column(0)):
             if not len(s) or (node := int(node_of(s))) in seen:
                 continue
             seen.add(node)
-            nodes.append(node)
-            sizes.append(len(s))
-            lists.append(entries(s, often))
-            held += len(lists[-1])
-            if held >= ENTRIES_PER_BLOCK:
-                yield flush()
-                nodes, sizes, lists, seen, held = [], [], [], set(), 0
-    if lists:
-        yield flush()
+            if blocks.add(entries(s, often), node, len(s)):
+                yield blocks.flush()
+                seen.clear()
+    if blocks.owners:
+        yield blocks.flush()
 
 
-def meet(rows: pd.DataFrame) -> pd.DataFrame:
-    """Nodes that meet under one shard's entries.
+#: What rows of ``meet`` are: other pairs and star pairs of small groups, pivot and member of a large one.
+OTHER, STAR, MEMBER = 0, 1, 2
+MET = "a bigint, b bigint, kind tinyint"
 
-    Rows (a, b, entry): pairs of small groups have no entry, star pairs of all groups have
-    ``star``, and members of large groups come as (node, None, entry).
-    """
+
+def meet(rows: pd.DataFrame) -> pd.DataFrame:
+    """Nodes that meet under one shard's entries, as (a, b, kind). The pivot is the smallest node of a group."""
     entry, node, size = [], [], []
     for e, o, nd, sz in zip(rows["entry"], rows["owner"], rows["node"], rows["size"]):
-        e, nd, sz = np.frombuffer(e, np.uint64), np.frombuffer(nd, np.int64), np.frombuffer(sz, np.int32)
+        nd = np.frombuffer(nd, np.int64)
         o = np.frombuffer(o, np.uint16 if len(nd) < 1 << 16 else np.uint32)
-        entry.append(e)
+        entry.append(np.frombuffer(e, np.uint64))
         node.append(nd[o])
-        size.append(sz[o])
+        size.append(np.frombuffer(sz, np.int32)[o])
     entry, node, size = np.concatenate(entry), np.concatenate(node), np.concatenate(size)
     order = np.lexsort((node, entry))
     entry, node, size = entry[order], node[order], size[order]
@@ -225,27 +243,38 @@ def meet(rows: pd.DataFrame) -> pd.DataFrame:
     first = np.repeat(start, length)
     place = np.arange(len(entry)) - first
     group = np.repeat(length, length)
-    pairs = [np.empty((0, 3), np.int64)]
+    found = [np.empty((0, 3), np.int64)]
     for gap in range(1, SMALL_GROUP):
         at = np.flatnonzero((group <= SMALL_GROUP) & (place >= gap))
         if not len(at):
             break
-        a = at - gap
-        ok = (4 * np.minimum(size[a], size[at]) >= 3 * np.maximum(size[a], size[at]))
-        pairs.append(np.stack([node[a], node[at], (a == first[at]).astype(np.int64)], axis=1)[ok])
+        at = at[4 * np.minimum(size[at - gap], size[at]) >= 3 * np.maximum(size[at - gap], size[at])]
+        found.append(np.stack([node[at - gap], node[at], np.where(at - gap == first[at], STAR, OTHER)], axis=1))
     at = np.flatnonzero((group > SMALL_GROUP) & (place > 0))
-    a = first[at]
-    ok = 4 * np.minimum(size[a], size[at]) >= 3 * np.maximum(size[a], size[at])
-    pairs.append(np.stack([node[a], node[at], np.ones_like(at)], axis=1)[ok])
-    pairs = np.unique(np.concatenate(pairs), axis=0)
-    members = np.flatnonzero(group > SMALL_GROUP)
-    return pd.concat([
-        pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "star": pairs[:, 2] == 1, "entry": pd.Series([None] * len(pairs), dtype="Int64")}),
-        pd.DataFrame({"a": node[members], "b": pd.Series([None] * len(members), dtype="Int64"), "star": False,
-                      "entry": pd.Series(entry[members].view(np.int64), dtype="Int64")})])
+    found.append(np.stack([node[first[at]], node[at], np.full_like(at, MEMBER)], axis=1))
+    found = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1], "kind": found[:, 2].astype(np.int8)})
 
 
-MET = "a bigint, b bigint, star boolean, entry bigint"
+def compare(rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
+    """Pairs of a block of sets outside their pivot's component (``apart``) and a block of others that the sketches let pass.
+
+    ``nearest``: for each of the former only the nearest one.
+    """
+    sketches = [np.frombuffer(b, np.uint64) for b in rows["sketch"]]
+    bits = np.stack([folded(b, min(map(len, sketches))) for b in sketches])
+    apart, node, n, root = (rows[c].to_numpy() for c in ("apart", "node", "n", "root"))
+    others, found = np.flatnonzero(~apart), [np.empty((0, 2), np.int64)]
+    for k in np.flatnonzero(apart):
+        ok = others[(root[others] != root[k]) & (4 * np.minimum(n[others], n[k]) >= 3 * np.maximum(n[others], n[k]))]
+        distance = np.bitwise_count(bits[ok] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        near = 7 * distance <= n[ok] + n[k]
+        ok, distance = ok[near], distance[near]
+        if nearest and len(ok):
+            ok = ok[[int(np.lexsort((node[ok], distance))[0])]]
+        found.append(np.stack([np.minimum(node[ok], node[k]), np.maximum(node[ok], node[k])], axis=1))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,30 +286,6 @@ def near_by_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def tile_pairs(rows: pd.DataFrame, nearest: bool) -> pd.DataFrame:
-    """Pairs across two tiles of one large group that lie in different components and pass the sketches.
-
-    ``nearest``: only the nearest other set of each one outside the group's main component.
-    """
-    i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-    sketches = [np.frombuffer(b, np.uint64) for b in rows["sketch"]]
-    bits = np.stack([folded(b, min(map(len, sketches))) for b in sketches])
-    tile, node, n, root, main = (rows[c].to_numpy() for c in ("tile", "node", "n", "root", "main"))
-    found = [np.empty((0, 2), np.int64)]
-    for a, b in {(i, j), (j, i)} if nearest else {(i, j)}:
-        right = np.flatnonzero(tile == b)
-        for k in np.flatnonzero((tile == a) & (root != main) if nearest else tile == a):
-            ok = right[(root[right] != root[k]) & (4 * np.minimum(n[right], n[k]) >= 3 * np.maximum(n[right], n[k]))]
-            distance = np.bitwise_count(bits[ok] ^ bits[k]).sum(axis=1, dtype=np.int64)
-            near = 7 * distance <= n[ok] + n[k]
-            ok, distance = ok[near], distance[near]
-            if nearest and len(ok):
-                ok = ok[[int(np.lexsort((node[ok], distance))[0])]]
-            found.append(np.stack([np.minimum(node[ok], node[k]), np.maximum(node[ok], node[k])], axis=1))
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
 def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) to (node, its set), where the text has that set."""
     for batch in batches:
@@ -309,85 +314,112 @@ class Join:
     """The steps over one table of documents (doc_id, text)."""
 
     def __init__(self, docs: DataFrame):
-        self.docs = plain(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.rows = saved(self.docs.mapInArrow(describe, "doc_id bigint, n bigint, node bigint, sketch binary"))
+        own = plain(docs)
+        self.docs = own.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.rows = saved(self.docs.withColumn("mark", text_mark()).mapInArrow(
+            describe, "doc_id bigint, n bigint, node bigint, sketch binary, mark string"))
         known = self.rows.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
         self.nodes = saved(known.groupBy("node").agg(
             F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+        self.often = frequent_shingles(self.docs)
 
-    def met(self) -> DataFrame:
-        total = self.nodes.agg(F.sum("n")).first()[0] or 0
-        shards = max(1, total // (2 * ENTRIES_PER_SHARD))
-        often = frequent_shingles(self.docs)
-        blocks = self.docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(
-            lambda batches: index_blocks(batches, shards, often), "shard int, entry binary, owner binary, node binary, size binary")
-        return saved(blocks.groupBy("shard").applyInPandas(meet, MET))
+    def sketched(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that sizes and sketches don't rule out."""
+        of = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(
+            4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
+            near_by_sketch, "a bigint, b bigint")
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """(node, elements) of nodes, from the texts."""
+        texts = nodes.distinct().join(self.nodes.select("node", "doc_id"), "node").join(self.docs, "doc_id").select("node", "text")
+        return saved(texts.mapInArrow(sets_of, "node bigint, elements binary").dropDuplicates(["node"]))
 
     def similar_pairs(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are similar, as (u, v); the larger node is looked up last."""
-        of = lambda c: self.nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-        pairs = saved(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(
-            near_by_sketch, "a bigint, b bigint"))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = wanted.join(self.nodes.select("node", "doc_id"), "node").join(self.docs, "doc_id").select("node", "text")
-        sets = saved(texts.mapInArrow(sets_of, "node bigint, elements binary"))
+        pairs = saved(self.sketched(pairs))
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         of = lambda c: sets.select(F.col("node").alias(c), F.col("elements").alias(f"e{c}"))
         return saved(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ea", "eb").mapInArrow(
             verify, "u bigint, v bigint"))
 
-    def across(self, members: DataFrame, tied: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs of members (entry, node) of large groups that lie in different components."""
-        members = members.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        group = Window.partitionBy("entry")
-        parts = members.groupBy("entry", "root").agg(F.count("*").alias("n")).select(
-            "entry", "root", F.sum("n").over(group).alias("size"), F.max(F.struct("n", "root")).over(group)["root"].alias("main"),
-            F.count("*").over(group).alias("parts")).where("parts > 1")
-        if nearest:  # one group, the smallest, for each component that is not the main one there
-            parts = parts.where("root <> main").groupBy("root").agg(F.min(F.struct("size", "entry", "main")).alias("g")).select("g.*")
-        mixed = parts.select("entry", "main", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")).distinct()
-        members = members.join(mixed, "entry").join(self.nodes.select("node", "n", "sketch"), "node").withColumn(
-            "tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-        tiles = members.withColumn("other", other).select(
-            "entry", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "root", "main", "n", "sketch")
-        found = tiles.groupBy("entry", "i", "j").applyInPandas(lambda rows: tile_pairs(rows, nearest), "a bigint, b bigint")
-        return saved(found.distinct())
-
-    def tie(self, tied: DataFrame, links: DataFrame) -> DataFrame:
-        return saved(components(links.union(tied.select(F.col("node").alias("u"), F.col("root").alias("v")))))
+    def met(self) -> DataFrame:
+        """What meets in the index of all sets."""
+        total = self.nodes.agg(F.sum("n")).first()[0] or 0
+        shards, often = max(1, total // (2 * ENTRIES_PER_SHARD)), self.often
+        blocks = self.docs.where(F.col("doc_id").isNotNull()).select("text").mapInArrow(
+            lambda batches: index_blocks(batches, shards, often), Blocks.SCHEMA)
+        return saved(blocks.groupBy("shard").applyInPandas(meet, MET))
+
+    def tie(self, tied: DataFrame | None, links: DataFrame) -> DataFrame:
+        if tied is not None:
+            links = links.union(tied.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        return saved(components(links))
+
+    def open_groups(self, members: DataFrame, tied: DataFrame) -> DataFrame:
+        """Large groups (pivot, node, root, late) with members outside their pivot's component, which are not ``late``."""
+        named = lambda c: tied.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        groups = members.join(named("a"), "a", "left").join(named("b"), "b", "left").select(
+            F.col("a").alias("pivot"), F.col("b").alias("node"), F.coalesce("rb", "b").alias("root"),
+            (F.coalesce("ra", "a") == F.coalesce("rb", "b")).alias("late"))
+        mixed = groups.groupBy("pivot").agg(F.count_if(~F.col("late")).alias("apart"), F.count("*").alias("size")).where("apart > 0")
+        return saved(groups.join(mixed, "pivot"))
+
+    def compared(self, groups: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs (a, b) of open groups that may be similar and lie in different components."""
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        own = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+        every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+        rows = groups.join(self.nodes.select("node", "n", "sketch"), "node")
+        keep = ["pivot", "i", "j", "node", "root", "n", "sketch"]
+        apart = rows.where(~F.col("late")).withColumn("i", own("apart")).withColumn("j", every("size")).select(*keep, F.lit(True).alias("apart"))
+        others = rows.withColumn("j", own("size")).withColumn("i", every("apart")).select(*keep, F.lit(False).alias("apart"))
+        return saved(apart.union(others).groupBy("pivot", "i", "j").applyInPandas(
+            lambda pdf: compare(pdf, nearest), "a bigint, b bigint").distinct())
 
     def roots(self) -> DataFrame:
         """(node, root) for every node with a link."""
         met = self.met()
-        tied = saved(components(self.similar_pairs(met.where("star").select("a", "b").distinct())))
-        members = met.where("entry is not null").select("entry", F.col("a").alias("node"))
-        large = not members.isEmpty()
-        while large:
-            pairs = self.across(members, tied, True)
+        tied = self.tie(None, self.similar_pairs(met.where(F.col("kind") != OTHER).select("a", "b").distinct()))
+        members = saved(met.where(F.col("kind") == MEMBER).select("a", "b").distinct())
+        while not (groups := self.open_groups(members, tied)).isEmpty():
+            pairs = self.compared(groups, True)
             if pairs.isEmpty() or (links := self.similar_pairs(pairs)).isEmpty():
                 break
             tied = self.tie(tied, links)
         named = lambda c: tied.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-        apart = met.where("entry is null and not star").select("a", "b").join(named("a"), "a", "left").join(
-            named("b"), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        if large:
-            apart = apart.union(self.across(members, tied, False))
+        apart = met.where(F.col("kind") == OTHER).select("a", "b").join(named("a"), "a", "left").join(named("b"), "b", "left").where(
+            F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+        if not groups.isEmpty():
+            apart = apart.union(self.compared(groups, False))
         apart = saved(apart.distinct())
-        if apart.isEmpty() or (links := self.similar_pairs(apart)).isEmpty():
-            return tied
-        return self.tie(tied, links)
+        return tied if apart.isEmpty() else self.tie(tied, self.similar_pairs(apart))
+
+    def node_roots(self) -> DataFrame:
+        """(node, root) for every node."""
+        return self.nodes.select("node").join(saved(self.roots()), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
     def classes(self) -> DataFrame:
         """A row per input row: doc_id, n_shingles, component_id."""
-        roots = saved(self.roots())
-        ids = self.nodes.select("node", "doc_id").join(roots, "node", "left").select(
-            "node", F.coalesce("root", "node").alias("root"), "doc_id")
+        ids = saved(self.node_roots().join(self.nodes.select("node", "doc_id"), "node"))
         least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         named = ids.join(least, "root").select("node", "component_id")
         return self.rows.join(named, "node", "left").select(
             "doc_id", F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
+    def kept(self) -> DataFrame:
+        """(doc_id, mark) of the rows that stay: the smallest of each component, and each one without words."""
+        known = self.rows.where(F.col("doc_id").isNotNull())
+        first = F.min(F.struct("doc_id", "mark")).alias("first")
+        linked = known.join(self.node_roots(), "node").groupBy("root").agg(first).select("first.*")
+        return linked.union(known.where(F.col("node").isNull()).select("doc_id", "mark")).distinct()
+
+
+def text_mark() -> Column:
+    """Tells texts of one id apart."""
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+
 
 def join_digest(docs: DataFrame) -> DataFrame:
     """One row per document, as ``op3_ngram_join`` returns it."""
@@ -397,10 +429,13 @@ def join_digest(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each component, that of the smallest id, and all without links; own columns.
 
-    Of rows that share the kept id, one stays. Rows without an id stay.
+    An id may have several texts: each counts as a document of its own, and of those that are
+    similar the one of the smallest id stays, then of the smallest md5. Of rows that share id and
+    text one stays, the first by a hash of all columns. Rows without an id stay.
     """
-    classes = Join(docs).classes()
-    kept = classes.where("doc_id = component_id").select("doc_id").distinct()
+    kept = Join(docs).kept().select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"))
     own = plain(docs)
-    rows = own.join(kept, "doc_id", "left_semi").select(*own.columns).dropDuplicates(["doc_id"])
-    return rows.union(own.where(F.col("doc_id").isNull())).toDF(*docs.columns)
+    marked = own.withColumn("__mark", text_mark()).withColumn("__doc", F.col("doc_id").cast("bigint"))
+    one = Window.partitionBy("__doc", "__mark").orderBy(F.xxhash64(*own.columns))
+    rows = marked.join(kept, ["__doc", "__mark"], "left_semi").withColumn("__row", F.row_number().over(one)).where("__row = 1")
+    return rows.select(*own.columns).union(own.where(F.col("doc_id").isNull())).toDF(*docs.columns)

@@ -160,22 +160,30 @@ def replaced(symbols: np.ndarray, last: np.ndarray, new: int) -> tuple[np.ndarra
     """One round: symbols with frequent pairs replaced by ``new`` and up, document ends, the pairs.
 
     A pair is taken where it is more frequent than the one that overlaps it on the left and at
-    least as frequent as the one on the right; equal counts are ordered by the symbols.
+    least as frequent as the one on the right; equal counts are ordered by the symbols. In a run of
+    one symbol every second pair is taken.
     """
     nothing = np.empty((0, 2), dtype=np.uint32)
     if len(symbols) < 2:
         return symbols, last, nothing
     pair, place = ordered_pairs(symbols, np.flatnonzero(~last[:-1]))
-    start = np.flatnonzero(np.concatenate([[len(pair) > 0], pair[1:] != pair[:-1]])[:len(pair)])
-    count = np.diff(np.concatenate([start, [len(pair)]]))
+    new_pair = np.flatnonzero(np.concatenate([[len(pair) > 0], pair[1:] != pair[:-1]])[:len(pair)])
+    count = np.diff(np.concatenate([new_pair, [len(pair)]]))
     often = np.flatnonzero(count >= LEAST_USES)
     often = often[np.argsort(-count[often], kind="stable")]
     none = len(often)
-    rank_of = np.full(len(start), none, dtype=np.int32)
+    rank_of = np.full(len(new_pair), none, dtype=np.int32)
     rank_of[often] = np.arange(none, dtype=np.int32)
     rank = np.full(len(symbols) + 1, none, dtype=np.int32)
     rank[1 + place] = np.repeat(rank_of, count)
-    taken = np.flatnonzero((rank[1:-1] < rank[:-2]) & (rank[1:-1] <= rank[2:]))
+    first = rank[1:-1] < rank[:-2]
+    again = np.flatnonzero((rank[1:-1] == rank[:-2]) & (rank[1:-1] < none))
+    if len(again):  # a symbol repeated many times: every second place of the run
+        start = np.arange(len(first))
+        start[again] = 0
+        start = np.maximum.accumulate(start)
+        first[again] = first[start[again]] & ((again - start[again]) % 2 == 0)
+    taken = np.flatnonzero(first & (rank[1:-1] <= rank[2:]))
     chosen = rank[1 + taken]
     kept = np.flatnonzero(np.bincount(chosen, minlength=none) >= LEAST_USES)
     number = np.zeros(none, dtype=np.uint32)
@@ -186,7 +194,7 @@ def replaced(symbols: np.ndarray, last: np.ndarray, new: int) -> tuple[np.ndarra
     out[taken] = to
     stay[taken + 1] = False
     ends[taken] = last[taken + 1]
-    pair = pair[start[often[kept]]]
+    pair = pair[new_pair[often[kept]]]
     bits = np.uint64(int(symbols.max()).bit_length())
     return out[stay], ends[stay], np.stack([pair >> bits, pair & ((np.uint64(1) << bits) - np.uint64(1))], axis=1).astype(np.uint32)
 

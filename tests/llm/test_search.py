@@ -63,7 +63,6 @@ def family(rng, n):
 @pytest.mark.parametrize("small", [32, 2])
 def test_join_of_large_groups(spark, monkeypatch, small):
     monkeypatch.setattr(ngram_join, "SMALL_GROUP", small)
-    monkeypatch.setattr(ngram_join, "TILE", 16)
     rows = family(np.random.default_rng(small), 60)
     want, _ = classes([(i, t, None) for i, t in rows])
     got = ngram_join.join_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
@@ -249,3 +248,21 @@ def test_empty_and_clashing(docs, empty, clashing):
     assert sorted(map(repr, ngram_lm.lm_digest(docs).select("doc_id", "n_known").collect())) == sorted(
         map(repr, ngram_lm.lm_digest(clashing).select("doc_id", "n_known").collect()))
     assert sorted(map(repr, ngram_join.join_digest(docs).collect())) == sorted(map(repr, ngram_join.join_digest(clashing).collect()))
+
+
+def test_one_id_with_two_texts(spark):
+    """Rows (1, A), (1, B), (2, B), and repeated ones: B stays though its smaller id has another text."""
+    a, b = "a b c d e f g h", "q r s t u v w x y"
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "y"), (3, a + " i", "z"), (1, a, "x"), (4, None, "n"), (4, "", "n"), (None, a, "k")]
+    out = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(
+        [(1, a, "x"), (1, b, "x"), (4, None, "n"), (None, a, "k")], key=repr)
+
+
+def test_join_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rows = family(np.random.default_rng(9), 50)
+    want, _ = classes([(i, t, None) for i, t in rows])
+    got = ngram_join.join_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
