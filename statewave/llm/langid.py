@@ -8,7 +8,9 @@ sparse), on at most ``SAMPLE`` learning documents; a fifth of them sets the temp
 calibrates the probabilities.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything if there is
-nothing to learn from. Other columns are ignored.
+nothing to learn from. Equal probabilities go to the first label by code points. Repeated rows count
+each time and get the same result; so do rows of one id, or without one, by their own texts. Texts
+of any length count whole; an empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from statewave.llm.hashing import mix
@@ -88,11 +90,26 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:BUCKETS], int(out[BUCKETS])
 
 
+def sample_order(*more: str) -> Column:
+    """Rows in order of a hash of their ids, those of one id by a hash of other columns."""
+    return F.struct(F.xxhash64("doc_id", F.lit("sample")).alias("h"), F.xxhash64(*more).alias("g"))
+
+
 def bounded_sample(rows: DataFrame, most: int) -> DataFrame:
-    """The ``most`` rows whose ids have the smallest hashes (all that share the last one's)."""
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    last = rows.select(order.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
-    return rows.where(order <= (last if last is not None else 0))
+    """The ``most`` first rows (doc_id, text, ...) in sample order, with all that equal the last one in id and text.
+
+    ``first_rows`` bounds what is learned from them.
+    """
+    order = sample_order("text")
+    last = rows.select(order.alias("o")).orderBy("o").limit(most).agg(F.max("o").alias("o")).select("o.*").first()
+    if last["h"] is None:
+        return rows.limit(0)
+    return rows.where(order <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["g"]).alias("g")))
+
+
+def first_rows(rows: DataFrame, most: int) -> list[Row]:
+    """At most ``most`` rows, by a hash of all their columns."""
+    return rows.orderBy(F.xxhash64(*rows.columns)).limit(most).collect()
 
 
 def sparse_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +199,8 @@ def fit(learning: DataFrame) -> Model:
     idf = np.log((1 + n) / (1 + frequency)) + 1.0
     sample = bounded_sample(learning.where("lang is not null and text is not null"), SAMPLE)
     rows = sample.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(
-        sparse_grams, "buckets binary, counts binary, label string").collect()
+        sparse_grams, "buckets binary, counts binary, label string")
+    rows = first_rows(rows, SAMPLE)
     rows.sort(key=lambda r: (r["label"], bytes(r["buckets"]), bytes(r["counts"])))
     labels = sorted({r["label"] for r in rows})
     model = Model(labels, idf, np.zeros((BUCKETS, len(labels))), np.zeros(len(labels)))

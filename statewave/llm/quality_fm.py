@@ -8,7 +8,9 @@ square of the sum and the sum of the squares.
 
 Fitted by AdaGrad on at most ``SAMPLE`` labelled documents. Null and empty texts have a score
 too, that of their (zero) features. Without labels every score is 0.5. Several labels of one id
-are separate examples; rows with a null label are left out. Other columns are ignored.
+are separate examples, as are several documents; rows with a null label are left out. Repeated rows
+get the same score, texts of any length count whole, and an empty table gives no rows. A score of just
+the threshold counts as good. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statewave.llm.hashing import bytes_of, hashed_texts
-from statewave.llm.langid import bounded_sample
+from statewave.llm.langid import first_rows, sample_order
 from statewave.llm.text import doc_bucket, plain
 
 BUCKETS = 1 << 14
@@ -123,10 +125,15 @@ def sparse_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Machine:
-    """Learn from docs (doc_id, text) and labels (doc_id, label). The sample is small and broadcast."""
-    sample = bounded_sample(labels.where("label is not null and doc_id is not null"), SAMPLE)
-    rows = docs.join(F.broadcast(sample), "doc_id").select("text", F.col("label").cast("int").alias("label")).mapInArrow(
-        sparse_features, "index binary, x binary, label int").collect()
+    """Learn from docs (doc_id, text) and labels (doc_id, label).
+
+    At most ``SAMPLE`` labels are taken and broadcast, and at most as many examples learned from,
+    whatever number of documents share their ids.
+    """
+    known = labels.where("label is not null and doc_id is not null")
+    sample = known.orderBy(sample_order("label")).limit(SAMPLE)
+    rows = first_rows(docs.join(F.broadcast(sample), "doc_id").select("text", F.col("label").cast("int").alias("label")).mapInArrow(
+        sparse_features, "index binary, x binary, label int"), SAMPLE)
     rows.sort(key=lambda r: (r["label"], bytes(r["index"]), bytes(r["x"])))
     if not rows:
         return Machine(0.0, np.zeros(SIZE), np.zeros((SIZE, FACTORS)))
