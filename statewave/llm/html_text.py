@@ -3,17 +3,21 @@
 Parser events cut a page into blocks, the text between block-level tags; they stand for the
 lines of the page, which may have none. A block's ratio is its number of characters by its number
 of tags, smoothed over its neighbours with a Gaussian; blocks above one standard deviation of the
-smoothed ratios are content. Menus, footers, forms, adverts, notices and reader comments are told
-by their elements and names and don't count. A name is a whole token of class or id or the last
-word of one, and drops an element only if that holds less than half of the page's text and neither
-article nor main but those so named; if such elements have all of the text, none drops. A content region is the article element that holds
-content, with everything in it, or else all from the first content block to the last, with a
-heading before it.
+smoothed ratios are content. Each content block gives its characters to all elements around it,
+one and a half times as many within article or main. The content region is the innermost element that gets
+at least ``SHARE`` of them all, with everything in it, so short paragraphs beside long ones stay, and an
+article that is a mere teaser is none. Where only the whole page gets so much, it is
+the articles that hold content, if that is half of it, or else all from the first content block to the last. A heading right before a region that is no article belongs to it.
+
+Menus, footers, forms, adverts, notices and reader comments are told by their elements and names
+and don't count. A name is a whole token of class or id or the last word of one. It drops an element
+that holds less than half of the page's text and neither article nor main but those so named;
+comments and adverts go whatever they hold. If such elements have all of the text, none drops.
 
 A null or empty page has an empty text. Broken markup never fails: an end tag closes what is
 open inside its element, one without a beginning is passed over, and a marked section other than
-CDATA is a comment up to the next ``>``. Repeated rows give
-repeated results; other columns are ignored.
+CDATA is a comment up to the next ``>``. Pages of any length are parsed whole. Repeated rows give
+repeated results, an empty table none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,6 +50,10 @@ NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments commentlist disqus replies respond "
     "newsletter subscribe subscription signup login share sharing social related recommended popup modal overlay pagination pager "
     "widget toolbar masthead skip".split())
+#: Those of reader comments and adverts, which go whatever they hold.
+ALWAYS = frozenset("comment comments commentlist disqus replies respond ad ads adbox adslot advert adverts advertisement sponsored".split())
+#: Elements that regions are made of.
+BOXES = frozenset("article main section div center blockquote td table".split())
 #: Only outside an article: inside, its own head may be called so.
 OUTER_NAMES = frozenset("header topbar".split())
 #: Elements that end where one of the same kind begins.
@@ -55,6 +63,7 @@ NAME_PARTS = re.compile(r"[a-z]+")
 #: First words of tokens that tell what an element has or lacks, not what it is.
 STATES = frozenset("no not has have with without is hide show".split())
 SIGMA = 1.0
+SHARE, IN_ARTICLE = 0.8, 1.5
 
 
 @dataclass
@@ -62,6 +71,7 @@ class Named:
     """An element with a name of ``NAMES``, within ``outer``; ``chars`` without white space."""
 
     outer: Named | None
+    always: bool = False
     chars: int = 0
     main: bool = False
     dropped: bool = False
@@ -72,6 +82,7 @@ class Block:
     """``parts``: texts, each with its named element and whether it is a heading; None for an inline tag."""
 
     article: int
+    box: int
     parts: list[tuple[str, Named | None, bool] | None] = field(default_factory=list)
     heading: bool = False
     tags: int = 1
@@ -101,11 +112,16 @@ def names(value: str) -> set[str]:
 
 
 class Blocks(HTMLParser):
-    """Collects the blocks of a page. ``open`` holds (tag, skipped, article, named) of the open elements."""
+    """Collects the blocks of a page. ``open`` holds (tag, skipped, article, named, box) of the open elements.
+
+    ``around`` has the box around each box; box 0 is the page, and inner ones come after outer ones.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, Named | None]] = []
+        self.open: list[tuple[str, bool, int, Named | None, int]] = []
+        self.around = [0]
+        self.articled = [False]
         self.count: Counter[str] = Counter()
         self.blocks: list[Block] = []
         self.named: list[Named] = []
@@ -119,8 +135,8 @@ class Blocks(HTMLParser):
             return super().parse_marked_section(i, report)
         return self.parse_bogus_comment(i)
 
-    def state(self) -> tuple[bool, int, Named | None]:
-        return self.open[-1][1:] if self.open else (False, 0, None)
+    def state(self) -> tuple[bool, int, Named | None, int]:
+        return self.open[-1][1:] if self.open else (False, 0, None, 0)
 
     def end_block(self) -> None:
         if self.now is not None:
@@ -128,9 +144,9 @@ class Blocks(HTMLParser):
             self.now = None
 
     def add(self, text: str) -> None:
-        _, article, named = self.state()
+        _, article, named, box = self.state()
         if self.now is None:
-            self.now = Block(article)
+            self.now = Block(article, box)
         self.now.parts.append((text, named, any(t[0] in HEADING for t in self.open[-3:])))
         n = sum(map(len, text.split()))
         self.chars += n
@@ -145,7 +161,8 @@ class Blocks(HTMLParser):
                 named.outer.chars += named.chars
                 named.outer.main |= named.main
         for named in self.named:
-            named.dropped = not named.main and 2 * named.chars < self.chars or named.outer is not None and named.outer.dropped
+            named.dropped = (named.always or not named.main and 2 * named.chars < self.chars
+                             or named.outer is not None and named.outer.dropped)
         if self.chars == sum(n.chars for n in self.named if n.dropped and not (n.outer and n.outer.dropped)):
             for named in self.named:
                 named.dropped = False
@@ -153,9 +170,10 @@ class Blocks(HTMLParser):
             block.finish()
         return [b for b in self.blocks if b.text]
 
-    def is_named(self, attrs: list, article: int) -> bool:
+    def is_named(self, attrs: list, article: int) -> tuple[bool, bool]:
+        """Whether an element has a name, and whether it is one that always goes."""
         found = set().union(*(names((value or "").lower()) for name, value in attrs if name in ("class", "id")))
-        return bool(found & NAMES or not article and found & OUTER_NAMES)
+        return bool(found & NAMES or not article and found & OUTER_NAMES), bool(found & ALWAYS)
 
     def noise(self, tag: str, attrs: list, article: int) -> bool:
         if tag in SKIPPED or tag == "header" and not article:
@@ -192,22 +210,26 @@ class Blocks(HTMLParser):
             self.handle_data(" ")
         if tag in VOID:
             return
-        skipped, article, named = self.state()
+        skipped, article, named, box = self.state()
         outer = article
         if tag in ("article", "main") and not skipped and not article:
             self.articles += 1
             article = self.articles
         skipped = skipped or self.noise(tag, attrs, article)
         if not skipped and tag not in ("html", "body"):
-            by_name = self.is_named(attrs, outer)
-            if tag in ("article", "main"):
-                if named is not None and not by_name:
+            by_name, always = self.is_named(attrs, outer)
+            if tag in ("article", "main") and not always:
+                if named is not None and not by_name and not named.always:
                     named.main = True
             elif by_name:
-                named = Named(named)
+                named = Named(named, always or named is not None and named.always)
                 self.named.append(named)
+        if tag in BOXES and not skipped:
+            self.around.append(box)
+            self.articled.append(tag in ("article", "main"))
+            box = len(self.around) - 1
         self.count[tag] += 1
-        self.open.append((tag, skipped, article, named))
+        self.open.append((tag, skipped, article, named, box))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -237,8 +259,21 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return total / np.convolve(np.ones(len(ratios)), weights)[reach:len(ratios) + reach]
 
 
+def region(blocks: list[Block], content: np.ndarray, around: list[int]) -> int:
+    """The innermost box with at least ``SHARE`` of the content's characters; 0 is the page."""
+    mass = np.zeros(len(around))
+    for i in content:
+        mass[blocks[i].box] += len(blocks[i].text) * (IN_ARTICLE if blocks[i].article else 1.0)
+    total, found = mass.sum(), 0
+    for box in range(len(around) - 1, 0, -1):
+        if not found and mass[box] >= SHARE * total:
+            found = box
+        mass[around[box]] += mass[box]
+    return found
+
+
 def main_text(html: str | None) -> str:
-    """Blocks of the content regions, in page order, joined by two line ends."""
+    """Blocks of the content region, in page order, joined by two line ends."""
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
@@ -247,13 +282,24 @@ def main_text(html: str | None) -> str:
         return ""
     ratio = smoothed(np.array([len(b.text) / b.tags for b in blocks]))
     content = np.flatnonzero(ratio >= min(ratio.std(), ratio.max()))
-    articles = {blocks[i].article for i in content} - {0} or {b.article for b in blocks} - {0}
-    if articles:
-        return "\n\n".join(b.text for b in blocks if b.article in articles)
-    first, last = content[0], content[-1]
-    while first and blocks[first - 1].heading:
+    box = region(blocks, content, parser.around)
+    articles = {blocks[i].article for i in content} - {0}
+    size = {kind: sum(len(blocks[i].text) for i in content if bool(blocks[i].article) == kind) for kind in (True, False)}
+    if box:
+        inside = [False] * len(parser.around)
+        for k in range(box, len(parser.around)):
+            inside[k] = k == box or inside[parser.around[k]]
+        chosen = [i for i, b in enumerate(blocks) if inside[b.box]]
+        alone = parser.articled[box]
+    elif size[True] >= size[False]:
+        chosen, alone = [i for i, b in enumerate(blocks) if b.article in articles], True
+    else:
+        chosen, alone = list(range(content[0], content[-1] + 1)), False
+    first = chosen[0]
+    while not alone and first and blocks[first - 1].heading:
         first -= 1
-    return "\n\n".join(b.text for b in blocks[first:last + 1])
+        chosen.insert(0, first)
+    return "\n\n".join(blocks[i].text for i in chosen)
 
 
 def extract(pages: DataFrame) -> DataFrame:

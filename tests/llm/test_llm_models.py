@@ -188,3 +188,52 @@ def test_pipeline(spark, docs, clashing, tmp_path):
     assert set(out["doc_id"]) <= good and out.groupby("sequence_id")["length"].sum().max() <= 2048
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, clashing, str(tmp_path)).columns == clashing.columns
+
+
+def test_samples_are_bounded(spark, monkeypatch):
+    """Rows without an id, repeated rows and repeated ids don't widen what is learned from."""
+    rows = [(None, f"word{i % 7} text", "en") for i in range(600)] + [(1, "same words", "de")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    learned = []
+    monkeypatch.setattr(langid, "SAMPLE", 10)
+    monkeypatch.setattr(langid, "ftrl", lambda x, y, k: learned.append(len(x)) or (np.zeros((langid.BUCKETS, k)), np.zeros(k)))
+    langid.fit(docs)
+    monkeypatch.setattr(quality_fm, "SAMPLE", 12)
+    monkeypatch.setattr(quality_fm, "train", lambda x, y: learned.append(len(x)))
+    labels = spark.createDataFrame([(1, 1)] * 50 + [(1, 0)] * 50 + [(2, 1)] * 5, "doc_id bigint, label int")
+    quality_fm.fit(docs.select("doc_id", "text"), labels)
+    assert learned[0] <= 10 and learned[1] == 12
+
+
+STORY = ["Lead.", "Two.", "A long first paragraph " * 12, "and a second one with many words " * 9, "No.", "Ok. End."]
+
+
+def tidy(paragraphs):
+    return "\n\n".join(p.strip() for p in paragraphs)
+
+
+def test_short_paragraphs_beside_long_ones():
+    body = "".join(f"<p>{p}</p>" for p in STORY)
+    menu = "".join(f"<a href=/{i}>Link {i}</a><br>" for i in range(40))
+    assert html_text.main_text(f"<body><div>{menu}</div><h1>Title</h1><div class=story>{body}</div><div>{menu}</div>") == "Title\n\n" + tidy(STORY)
+
+
+def test_comments_of_blogs():
+    """Comments in article elements of their own, and comments that are most of a page."""
+    body = "".join(f"<p>{p}</p>" for p in STORY)
+    for one in ('<li class="comment"><article class="comment-body"><p>%s</p></article></li>', '<article class="comment"><p>%s</p></article>'):
+        many = one % ("I say so and so, again and again. " * 12) * 9
+        for story in (f"<div class=story>{body}</div>", f"<article>{body}</article>"):
+            page = f'<body>{story}<div id="comments"><h2>Nine comments</h2><ol class="comment-list">{many}</ol></div>'
+            assert html_text.main_text(page) == tidy(STORY)
+    assert "only words" in html_text.main_text('<div id="comments"><p>The only words of a page.</p></div>')
+
+
+def test_ratios_decide(monkeypatch):
+    """A teaser in an article element is no content; with equal ratios the page is another one."""
+    links = "".join(f"<div><a href=/{i}><b>Read <i>more</i></b></a> of <a href=/x>part {i}</a></div>" for i in range(60))
+    body = "".join(f"<p>{p}</p>" for p in STORY)
+    page = f"<body><article><a href=/t>See also this</a></article><div class=list>{links}</div><div class=story>{body}</div></body>"
+    assert html_text.main_text(page) == tidy(STORY)
+    monkeypatch.setattr(html_text, "smoothed", np.ones_like)
+    assert "part 30" in html_text.main_text(page)
