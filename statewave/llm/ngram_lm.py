@@ -1,24 +1,27 @@
-"""A bigram language model over the corpus, and the log10 probability of every text under it.
+"""A trigram language model over the corpus, and the log10 probability of every text under it.
 
 With c the counts in the learning texts, N their number of tokens, V of distinct ones,
 
-    p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),   p(w | h) = (c(h w) + K p(w)) / (c(h) + K).
+    p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
+    p(w | g h) = (c(g h w) + A c(h w) + B p(w)) / (c(g h) + A c(h) + B).
 
-A text is its words and one end token; the first context is the text's beginning. Every token
-but the end is the context of exactly one token, so log p of a text is a sum of terms that each
-belong to one word: log(c(h w) + K p(w)) - log(c(w) + K), and the beginning's own term.
+A text is its words and one end token; what goes before its first word is the beginning, twice.
+Every token but the end is the context of exactly one token, so log p of a text is a sum of terms
+that each belong to one word and what stands before it: log(c(g h w) + A c(h w) + B p(w)) of the
+token itself less log(c(h w) + A c(w) + B), the denominator of the next one; and the beginning's own term.
 
 So tokens are dealt to shards by their word, once, packed as arrays by blocks of texts. A
 frequent word's tokens are dealt by word and context, and its count comes from a first pass over
-unigrams. A shard builds its part of the trie: words, then their contexts relative to the word
-(words first, so that a word's contexts are one range). Both levels are Elias-Fano lists, the
-monotone pointers too; the contexts carry quantised log values, and everything is memory-mapped.
-A token is looked up by successor search in its word's range; one without an entry has the value
-of the unseen context. Sums by text go back by blocks.
-
-Contexts are named by 40-bit hashes relative to their word. Nulls count as empty texts, which
+unigrams. A shard builds its part of the trie in three levels: words, the words before them relative to
+the word (so that a word's contexts are one range), and the words before those relative to the
+pair. Each level is an Elias-Fano list of keys that begin with the parent's place, the upper levels carry
+quantised log values of numerator and denominator, the last one of its numerator, and everything is memory-mapped.
+A token is looked up level by level by successor search in its parent's range; where a level has
+no entry, the value of the level above without it holds.
+
+Contexts are named by hashes relative to what follows them, of 40 bits and, before a pair, of 32. Nulls count as empty texts, which
 have the end token alone. Repeated rows are separate texts. Rows without an id are scored too.
-An empty table gives an empty result; other columns are ignored.
+Texts of any length count whole. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,18 +39,20 @@ from statewave.llm.elias_fano import EliasFano, Levels
 from statewave.llm.hashing import hashed_texts, mix
 from statewave.llm.text import doc_bucket, plain
 
-PRIOR = 100.0
+#: A and B above: the best of 12 pairs on held-out documents.
+PAIRS, SINGLES = 0.01, 2.0
 BYTES_PER_SHARD = 12_000_000
 TOKENS_PER_BLOCK = 1_000_000
 TEXTS_PER_BLOCK = 60_000
 #: A word with more tokens than this is dealt by word and context.
 FREQUENT = 300_000
 END, BEGINNING = np.uint64(1), np.uint64(2)
-CONTEXT_BITS = np.uint64(40)
+CONTEXT_BITS, BEFORE_BITS = np.uint64(40), np.uint64(32)
 CONTEXT_MASK = (np.uint64(1) << CONTEXT_BITS) - np.uint64(1)
 #: Log values are kept in steps of 1/STEPS above LEAST.
 LEAST, STEPS = -24.0, 1500.0
-BLOCK = "shard int, block bigint, words binary, sizes binary, contexts binary, times binary, texts binary, learning binary, about binary"
+BLOCK = ("shard int, block bigint, words binary, sizes binary, contexts binary, spread binary, befores binary, times binary, texts binary, "
+         "learning binary, about binary")
 SUM = np.dtype([("model", "<f4"), ("base", "<f8"), ("known", "<u4")])
 SUMS = "block bigint, texts binary, sums binary, about binary"
 
@@ -139,13 +144,17 @@ def token_blocks(batches: Iterator[pa.RecordBatch], shards: int, totals: Totals)
         inner[ends] = False
         token = np.full(len(text), END)
         token[inner] = word
-        context = np.empty_like(token)
+        context, before = np.empty_like(token), np.empty_like(token)
         context[1:] = token[:-1]
         context[ends - count] = BEGINNING
-        context = mix(context + token * np.uint64(0x9E3779B97F4A7C15)) & CONTEXT_MASK
+        before[1:] = context[:-1]
+        before[ends - count] = BEGINNING
+        context = mix(context + token * np.uint64(0x9E3779B97F4A7C15))
+        before = (mix(before + context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+        context &= CONTEXT_MASK
         shard = shard_of(np.where(totals.place(token) >= 0, token ^ (context << np.uint64(20)), token), shards)
-        order = np.lexsort((context, token, shard))
-        token, context, shard, text = token[order], context[order], shard[order], text[order]
+        order = np.lexsort((before, context, token, shard))
+        token, context, before, shard, text = token[order], context[order], before[order], shard[order], text[order]
         learning = np.packbits(~np.array(held_out, dtype=bool)).tobytes()
         about = [pa.array(ids, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(count + 1, pa.int64())]
         about = pa.RecordBatch.from_arrays(about, names=["doc_id", "held_out", "n_tokens"]).serialize().to_pybytes()
@@ -153,16 +162,18 @@ def token_blocks(batches: Iterator[pa.RecordBatch], shards: int, totals: Totals)
         rows = []
         for k in sorted({*np.flatnonzero(np.diff(cut)).tolist(), block % shards}):
             part = slice(cut[k], cut[k + 1])
-            t, c = token[part], context[part]
-            new = np.ones(len(t), dtype=bool)
-            new[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
-            first = np.flatnonzero(new)
+            t, c, g = token[part], context[part], before[part]
+            pair, triple = np.ones(len(t), dtype=bool), np.ones(len(t), dtype=bool)
+            pair[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
+            triple[1:] = pair[1:] | (g[1:] != g[:-1])
+            first, each = np.flatnonzero(pair), np.flatnonzero(triple)
             w, sizes = np.unique(t[first], return_counts=True)
             rows.append((k, block, w.tobytes(), sizes.astype(np.int32).tobytes(),
                          np.ascontiguousarray(c[first].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(),
-                         np.diff(np.r_[first, len(t)]).astype(np.int32).tobytes(), text[part].astype(np.uint16).tobytes(),
+                         np.diff(np.r_[np.searchsorted(each, first), len(each)]).astype(np.int32).tobytes(), g[each].tobytes(),
+                         np.diff(np.r_[each, len(t)]).astype(np.int32).tobytes(), text[part].astype(np.uint16).tobytes(),
                          learning, about if k == block % shards else None))
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
+        types = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
                                           names=[x.split()[0] for x in BLOCK.split(", ")])
 
@@ -187,33 +198,49 @@ def token_blocks(batches: Iterator[pa.RecordBatch], shards: int, totals: Totals)
 
 
 class Trie:
-    """Words, their counts and contexts of one shard; contexts have keys relative to their word's place."""
+    """Words with their counts, contexts with two values each, what goes before them with one, of one shard.
+
+    A key of a lower level is its parent's place, then its own name relative to the parent.
+    """
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, contexts: np.ndarray, pairs: np.ndarray, ends: np.ndarray,
+                 befores: np.ndarray, triples: np.ndarray):
         self.levels = Levels()
         self.words = EliasFano(words, self.levels)
         self.counts = self.levels.put(counts)
-        self.contexts = EliasFano(keys, self.levels)
-        self.codes = self.levels.put(np.clip(np.rint((values - LEAST) * STEPS), 0, 65535).astype(np.uint16))
+        self.contexts = EliasFano(contexts, self.levels)
+        self.befores = EliasFano(befores, self.levels)
+        self.pairs, self.ends, self.triples = (self.levels.put(
+            np.clip(np.rint((v - LEAST) * STEPS), 0, 65535).astype(np.uint16)) for v in (pairs, ends, triples))
 
     def count(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each word, or -1, and its count."""
         at = self.words.find(words)
         return at, np.where(at >= 0, self.counts[at], 0) if self.words.n else np.zeros(len(words), np.int64)
 
-    def value(self, places: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """Log values; nan where a word has no such context."""
-        out = np.full(len(places), np.nan)
+    @staticmethod
+    def below(level: EliasFano, places: np.ndarray, bits: np.uint64, names: np.ndarray) -> np.ndarray:
+        """Places of names under their parents' places, or -1."""
+        out = np.full(len(places), -1)
         some = np.flatnonzero(places >= 0)
-        at = self.contexts.find((places[some].astype(np.uint64) << CONTEXT_BITS) | contexts[some])
-        hit = at >= 0
-        out[some[hit]] = LEAST + self.codes[at[hit]] / STEPS
+        out[some] = level.find((places[some].astype(np.uint64) << bits) | names[some])
         return out
 
+    @staticmethod
+    def value(codes: np.ndarray, places: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        out = otherwise.astype(float)
+        some = np.flatnonzero(places >= 0)
+        out[some] = LEAST + codes[places[some]] / STEPS
+        return out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_inverse=True)
+
 
 def score_shard(rows: pd.DataFrame, totals: Totals) -> pd.DataFrame:
     """Sums by block and text: model value, base value and number of known tokens."""
-    word, context, times, learned = [], [], [], []
+    word, context, spread, before, times, learned = [], [], [], [], [], []
     for r in rows.itertuples():
         w, n = np.frombuffer(r.words, np.uint64), np.frombuffer(r.sizes, np.int32)
         c = np.zeros((n.sum(), 8), dtype=np.uint8)
@@ -222,37 +249,46 @@ def score_shard(rows: pd.DataFrame, totals: Totals) -> pd.DataFrame:
         learning = np.unpackbits(np.frombuffer(r.learning, np.uint8))
         word.append(np.repeat(w, n))
         context.append(c.view("<u8")[:, 0])
+        spread.append(np.frombuffer(r.spread, np.int32))
+        before.append(np.frombuffer(r.befores, np.uint32))
         times.append(m)
         learned.append(np.add.reduceat(learning[t], np.cumsum(m) - m, dtype=np.int32) if len(m) else m)
-    unique, rank = np.unique(np.concatenate(word), return_inverse=True)
-    key, at = np.unique((rank.astype(np.uint64) << CONTEXT_BITS) | np.concatenate(context), return_inverse=True)
-    del word, context
+    unique, rank = distinct(np.concatenate(word))
+    pair, at_pair = distinct((rank.astype(np.uint64) << CONTEXT_BITS) | np.concatenate(context))
+    spread = np.concatenate(spread)
+    triple, at = distinct((np.repeat(at_pair, spread).astype(np.uint64) << BEFORE_BITS) | np.concatenate(before))
+    del word, context, before, rank, at_pair
     entries = np.concatenate([[0], np.cumsum([len(m) for m in times])])
-    learned = np.concatenate(learned)
+    pair_word = (pair >> CONTEXT_BITS).astype(np.int64)
+    triple_pair = (triple >> BEFORE_BITS).astype(np.int64)
+    triple_word = pair_word[triple_pair]
+    c3 = np.bincount(at, np.concatenate(learned), len(triple))
+    c2 = np.bincount(triple_pair, c3, len(pair))
     often = totals.place(unique)
-    count = np.where(often >= 0, totals.counts[often], np.bincount(rank, learned, len(unique)).astype(np.int64))
-    together = np.bincount(at, learned, len(key)) if len(key) else np.empty(0)
-    del rank, learned
-    known = count > 0
-    # Trie of what was learned: places are those among the known words.
-    place = np.cumsum(known) - 1
-    key_rank = (key >> CONTEXT_BITS).astype(np.int64)
-    prior = PRIOR * (count + 0.5) / totals.mass
-    seen = together > 0
+    count = np.where(often >= 0, totals.counts[often], np.bincount(pair_word, c2, len(unique)).astype(np.int64))
+    del learned
+    # Trie of what was learned: places are those among the known words and pairs.
+    known, met, seen = count > 0, c2 > 0, c3 > 0
+    place, pair_place = np.cumsum(known) - 1, np.cumsum(met) - 1
+    prior = SINGLES * (count + 0.5) / totals.mass
     trie = Trie(unique[known], count[known],
-                (place[key_rank[seen]].astype(np.uint64) << CONTEXT_BITS) | (key[seen] & CONTEXT_MASK),
-                np.log10(together[seen] + prior[key_rank[seen]]))
-    # Every distinct token in context is looked up once.
+                (place[pair_word[met]].astype(np.uint64) << CONTEXT_BITS) | (pair[met] & CONTEXT_MASK),
+                np.log10(PAIRS * c2[met] + prior[pair_word[met]]), np.log10(c2[met] + PAIRS * count[pair_word[met]] + SINGLES),
+                (pair_place[triple_pair[seen]].astype(np.uint64) << BEFORE_BITS) | (triple[seen] & np.uint64(0xFFFFFFFF)),
+                np.log10(c3[seen] + PAIRS * c2[triple_pair[seen]] + prior[triple_word[seen]]))
+    # Every distinct token with what goes before it is looked up once, level by level.
     where, c = trie.count(unique)
-    unseen = np.log10(PRIOR * (c + 0.5) / totals.mass)
-    value = trie.value(where[key_rank], key & CONTEXT_MASK)
-    value = np.where(np.isnan(value), unseen[key_rank], value)
-    value -= np.where(unique == END, 0.0, np.log10(c + PRIOR))[key_rank]
+    at2 = trie.below(trie.contexts, where[pair_word], CONTEXT_BITS, pair & CONTEXT_MASK)
+    at3 = trie.below(trie.befores, at2[triple_pair], BEFORE_BITS, triple & np.uint64(0xFFFFFFFF))
+    numerator = trie.value(trie.pairs, at2, np.log10(SINGLES * (c + 0.5) / totals.mass)[pair_word])
+    ends = np.where(unique == END, 0.0, np.log10(PAIRS * c + SINGLES))[pair_word]
+    ends = np.where(unique[pair_word] == END, 0.0, trie.value(trie.ends, at2, ends))
+    value = trie.value(trie.triples, at3, numerator[triple_pair]) - ends[triple_pair]
     base, found = np.log10(c + 0.5), (c > 0).astype(float)
     texts, sums = [], []
     for i, m in enumerate(times):
         keys = at[entries[i]:entries[i + 1]]
-        words = key_rank[keys]
+        words = triple_word[keys]
         text = np.frombuffer(rows["texts"].iloc[i], np.uint16)
         each = np.repeat(np.arange(len(m)), m)
         total = [np.bincount(text, x[each]) for x in (value[keys], base[words], found[words])] if len(text) else [np.empty(0)] * 3
@@ -276,7 +312,7 @@ def block_scores(rows: pd.DataFrame, totals: Totals) -> pd.DataFrame:
     n = out["n_tokens"].to_numpy(dtype=np.int64)
     return out.assign(
         n_known=np.rint(total[:, 2]).astype(np.int64), train_tokens=totals.tokens,
-        base_score=total[:, 1] - n * np.log10(totals.mass), score=total[:, 0] - np.log10(totals.texts + PRIOR))
+        base_score=total[:, 1] - n * np.log10(totals.mass), score=total[:, 0] - np.log10((1 + PAIRS) * totals.texts + SINGLES))
 
 
 ABOUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64())])

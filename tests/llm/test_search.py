@@ -227,19 +227,21 @@ def test_language_model(docs, corpus, monkeypatch, frequent):
     texts = [(i, [*lower_words(t), None]) for i, t, *_ in corpus]
     learn = [w for i, w in texts if not held(i)]
     single, pair = Counter(x for w in learn for x in w), Counter(p for w in learn for p in zip([0, *w], w))
+    triple = Counter(t for w in learn for t in zip([0, 0, *w], [0, *w], w))
+    a, b = ngram_lm.PAIRS, ngram_lm.SINGLES
+    before = lambda g, h: (len(learn) if h == 0 else pair[g, h]) + a * (len(learn) if h == 0 else single[h]) + b
     mass = sum(single.values()) + 0.5 * (len(single) + 1)
     p = lambda x: (single[x] + 0.5) / mass
     want = []
     for i, w in texts:
         base = sum(math.log10(p(x)) for x in w)
-        score = sum(math.log10((pair[h, x] + ngram_lm.PRIOR * p(x)) / ((single[h] if h != 0 else len(learn)) + ngram_lm.PRIOR))
-                    for h, x in zip([0, *w], w))
+        score = sum(math.log10((triple[g, h, x] + a * pair[h, x] + b * p(x)) / before(g, h)) for g, h, x in zip([0, 0, *w], [0, *w], w))
         want.append((repr(i), held(i), len(w), sum(single[x] > 0 for x in w), sum(single.values()), base, score))
     got = [(repr(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])
            for r in ngram_lm.lm_digest(docs).collect()]
     assert [r[:5] for r in sorted(got)] == [r[:5] for r in sorted(want)]
     for g, w in zip(sorted(got), sorted(want)):
-        assert g[5] == pytest.approx(w[5], abs=1e-6) and g[6] == pytest.approx(w[6], abs=g[2] * 0.5 / ngram_lm.STEPS + 1e-6)
+        assert g[5] == pytest.approx(w[5], abs=1e-6) and g[6] == pytest.approx(w[6], abs=g[2] / ngram_lm.STEPS + 1e-6)
 
 
 def test_empty_and_clashing(docs, empty, clashing):
