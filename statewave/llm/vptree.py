@@ -1,7 +1,8 @@
 """Nearest neighbours by largest inner product, with vantage-point trees per shard.
 
 Rows are dealt to shards by a hash of their id. Each shard builds a tree: an inner node has a
-vantage vector and the median distance to it, a leaf a block of vectors. Inner products become
+vantage vector, of some tried ones that whose distances spread most, is cut at their median and knows the least and largest distance of
+both children; a leaf is a block of vectors. Inner products become
 distances by one more coordinate: with M the largest norm, a row x becomes (x, sqrt(M^2 - |x|^2))
 and a query q becomes (q, 0); then |q' - x'|^2 = |q|^2 + M^2 - 2 <q, x>, so the nearest row is
 the one with the largest product, and the triangle inequality holds.
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from statewave.llm.store import saved
 from statewave.llm.text import plain
 
-LEAF = 512
+LEAF = 64
+#: Rows tried as vantage of a node, and rows that they are tried on.
+TRIED, TRIED_ON = 6, 128
 ROWS_PER_SHARD = 16_384
 QUERIES_PER_BLOCK = 1024
 #: Distances are compared with this much room for rounding, relative to the largest norm.
@@ -66,7 +69,8 @@ class Tree:
             rows = self.order[a:b]
             split = None
             if b - a > LEAF:
-                vantage = rows[rng.integers(b - a)]
+                tried, on = rows[rng.integers(b - a, size=TRIED)], x[rows[rng.integers(b - a, size=TRIED_ON)]]
+                vantage = max(tried, key=lambda v: np.linalg.norm(on - x[v], axis=1).var())
                 d = np.linalg.norm(x[rows] - x[vantage], axis=1)
                 by = np.argsort(d, kind="stable")
                 d = d[by]

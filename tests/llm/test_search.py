@@ -169,6 +169,22 @@ def test_slack_keeps_recall():
     assert len(exact) == 1000 and len(pairs(exact) & pairs(loose)) >= 900
 
 
+def test_trees_prune():
+    """An exact search of clustered vectors leaves part of a shard out, a relaxed one more."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 32))[rng.integers(0, 30, 6000)] + 0.1 * rng.normal(size=(6000, 32))
+    ids, largest = np.arange(len(x)), np.linalg.norm(x, axis=1).max()
+    rest = np.sqrt(np.maximum(largest ** 2 - (x ** 2).sum(axis=1), 0))
+    tree, share = vptree.Tree(np.hstack([x, rest[:, None]])), []
+    best = np.argsort(-(x[:100] @ x.T + np.where(ids[:100, None] == ids, -1e9, 0)), axis=1)[:, :10]
+    for slack, least in ((1.0, 1.0), (0.9, 0.7)):
+        search = vptree.Search(tree, ids, x, ids[:100], x[:100], largest, 10, slack)
+        found = search.run().groupby("query_id")["vec_id"].apply(set)
+        assert np.mean([len(found[q] & set(best[q])) for q in range(100)]) >= 10 * least
+        share.append(search.visited / (100 * len(x)))
+    assert share[1] <= share[0] < 0.7
+
+
 def test_packing(docs, corpus, clashing):
     rows = packing.pack(clashing).toPandas()
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
