@@ -1,132 +1,110 @@
-"""Figures of one session, drawn from bounded aggregates.
-
-Everything collected here is limited by the figure itself: the first seconds of a signal,
-bins of a histogram, columns of a heat map, states of a model.
-"""
+"""Figures of one recording, drawn from the bounded parts of ``session_tables``."""
 
 from __future__ import annotations
 
-from pathlib import Path
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from statewave.operators.blocks import REC
-from statewave.operators.filters import unpack_blocks
 from statewave.operators.scaling import feature_subset
-from statewave.operators.summary import box_stats, histogram, threshold_pivot, unpivot
 from statewave.sinks import svg
+from statewave.sinks.session_tables import GRID
 from statewave.sinks.svg import Chart, colour
 
-TRACE_SEC = 20.0  # length of the raw/filtered trace
-BOUNDARY_SEC = 60.0  # least length of the window figure
-MAX_COLUMNS = 400  # columns of a heat map or a state timeline
 ARROWS = 120
 
 
+@dataclass
+class Session:
+    """What every drawing of a run has in common, and one recording's parts."""
+
+    names: list[str]
+    freqs: np.ndarray
+    fs: float
+    step: int
+    window_sec: float
+    has_emg: bool
+    n_clusters: int
+    top_features: int
+    methods: list[str]
+    manifold_used: str
+    parts: dict[str, pd.DataFrame] = field(default_factory=dict)
+
+    @property
+    def hop(self) -> float:
+        return self.step / self.fs
+
+    def of(self, part: str, **keys) -> pd.DataFrame:
+        """Rows of a part with the given values; without rows, an empty frame."""
+        frame = self.parts.get(part, pd.DataFrame())
+        for name, value in keys.items():
+            frame = frame[frame[name] == value] if len(frame) else frame
+        return frame
+
+
 def _span(values) -> tuple[float, float]:
     values = np.asarray(values, dtype=float)
     return (float(values.min()), float(values.max())) if len(values) else (0.0, 1.0)
 
 
-def _opening(blocks: DataFrame, seconds: float, fs: float) -> pd.DataFrame:
-    head = blocks.filter(F.col("start_idx") < int(seconds * fs))
-    return unpack_blocks(head).filter(F.col("sample_idx") < seconds * fs).orderBy("sample_idx").toPandas()
-
-
-def signal_figures(result, out: Path) -> list[Path]:
-    data, fs = result.preprocess, result.preprocess.fs
-    raw, clean = _opening(data.raw, TRACE_SEC, fs), _opening(data.filtered, TRACE_SEC, fs)
-    t = raw["sample_idx"] / fs
+def signal_figures(x: Session) -> dict[str, str]:
+    opening = {name: x.of(name).iloc[0] for name in ("raw", "clean", "boundary")}
+    t = np.asarray(opening["raw"]["at"]) / x.fs
     panels = []
-    for channel in ["eeg", "emg"] if data.has_emg else ["eeg"]:
-        for name, frame, c in (("raw", raw, 0), ("filtered", clean, 2)):
-            panels.append(Chart(f"{channel.upper()} {name}", _span(t), _span(frame[channel]),
-                                "Time (s)", size=(900, 220)).line(t, frame[channel], colour(c)))
-    paths = [svg.save(panels, out / "signal_comparison.svg")]
-    seconds = max(BOUNDARY_SEC, 3 * result.windows.window_sec)
-    head = _opening(data.filtered, seconds, fs)
-    t = head["sample_idx"] / fs
-    chart = Chart("Window boundaries", _span(t), _span(head["eeg"]), "Time (s)", "EEG", (900, 300))
-    chart.line(t, head["eeg"], colour(0), 0.6)
-    step = result.windows.plan.step / fs
-    for start in np.arange(0, seconds, step):
-        if start <= chart.x1:
-            chart.rule(start, colour(2))
-    return paths + [svg.save([chart], out / "window_boundaries.svg")]
-
-
-def _histograms(table: DataFrame, names: list[str]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    cells = unpivot(table, names, [REC])
-    counts = histogram(cells, ["feature"], "value", 30).toPandas()
-    ends = cells.groupBy("feature").agg(F.min("value").alias("a"), F.max("value").alias("b")).toPandas()
+    for channel in ["eeg", "emg"] if x.has_emg else ["eeg"]:
+        for title, name, c in (("raw", "raw", 0), ("filtered", "clean", 2)):
+            values = np.asarray(opening[name][channel], dtype=float)
+            panels.append(Chart(f"{channel.upper()} {title}", _span(t), _span(values), "Time (s)", size=(900, 220)).line(
+                t, values, colour(c)))
+    head = opening["boundary"]
+    t, values = np.asarray(head["at"]) / x.fs, np.asarray(head["eeg"], dtype=float)
+    chart = Chart("Window boundaries", _span(t), _span(values), "Time (s)", "EEG", (900, 300)).line(t, values, colour(0), 0.6)
+    for start in np.arange(0, chart.x1 + x.hop / 2, x.hop):
+        chart.rule(min(start, chart.x1), colour(2))
+    return {"signal_comparison": svg.page(panels), "window_boundaries": svg.page([chart])}
+
+
+def _histograms(x: Session, part: str, ranges: str, keys: list[str], bins: int) -> dict:
+    """Edges and counts by key."""
     out = {}
-    for row in ends.itertuples():
-        a, b = (row.a - 0.5, row.a + 0.5) if row.a == row.b else (row.a, row.b)
-        n = np.zeros(30)
-        mine = counts[counts["feature"] == row.feature]
+    for row in x.of(ranges).to_dict(orient="records"):
+        a, b = (row["low"] - 0.5, row["low"] + 0.5) if row["low"] == row["high"] else (row["low"], row["high"])
+        n, mine = np.zeros(bins), x.of(part, **{k: row[k] for k in keys})
         n[mine["bin"].astype(int)] = mine["n"]
-        out[row.feature] = (np.linspace(a, b, 31), n)
+        out[tuple(row[k] for k in keys)] = (np.linspace(a, b, bins + 1), n)
     return out
 
 
-def feature_figures(result, out: Path, n_windows: int) -> tuple[list[Path], dict]:
-    f = result.features
-    first = f.spectra.filter("window_index = 0").first()["power"]
-    one = Chart("EEG spectrum of the first window", _span(f.freqs), _span(first), "Frequency (Hz)",
-                "Power").line(f.freqs, first, colour(0))
-    stride = max(1, -(-n_windows // MAX_COLUMNS))
-    cells = f.spectra.select((F.expr(f"window_index div {stride}")).alias("c"),
-                             F.posexplode("power").alias("bin", "p"))
-    rows = -(-len(f.freqs) // 60)
-    grid = cells.groupBy("c", F.expr(f"bin div {rows}").alias("b")).agg(F.avg("p").alias("p")).toPandas()
-    image = np.zeros((int(grid["b"].max()) + 1, int(grid["c"].max()) + 1))
-    image[grid["b"], grid["c"]] = np.log1p(grid["p"])
+def feature_figures(x: Session, hists: dict) -> dict[str, str]:
+    first = np.asarray(x.of("first").iloc[0]["power"], dtype=float)
+    one = Chart("EEG spectrum of the first window", _span(x.freqs), _span(first), "Frequency (Hz)", "Power").line(
+        x.freqs, first, colour(0))
+    grid = x.of("grid")
+    image = np.zeros((int(grid["row"].max()) + 1, int(grid["column"].max()) + 1))
+    image[grid["row"], grid["column"]] = np.log1p(grid["p"])
     heat = svg.heat_map("EEG spectral heat map (log power)", image[::-1], [], [], numbers=False)
-    hists = _histograms(f.raw, f.names)
-    shown = feature_subset(f.names, 8)
-    return [
-        svg.save([one], out / "features_single_spectrum.svg"),
-        svg.save([heat], out / "features_spectrum_heatmap.svg"),
-        svg.save([svg.histogram(n, *hists[n]) for n in shown], out / "features_distributions.svg"),
-    ], hists
-
-
-def _timeline(title: str, states: pd.DataFrame, window_sec: float) -> Chart:
-    """Runs of equal states as boxes: ``start, length, state``."""
-    end = float((states["start"] + states["length"]).max())
-    chart = Chart(title, (0, end * window_sec), (0, float(states["state"].max()) + 1), "Time (s)",
+    shown = feature_subset(x.names, 8)
+    return {"features_single_spectrum": svg.page([one]), "features_spectrum_heatmap": svg.page([heat]),
+            "features_distributions": svg.page([svg.histogram(n, *hists[(n,)]) for n in shown])}
+
+
+def _timeline(title: str, states: pd.DataFrame, stride: int, hop: float) -> Chart:
+    """States of columns of ``stride`` windows as boxes."""
+    states = states.sort_values("column")
+    chart = Chart(title, (0, (states["column"].max() + 1) * stride * hop), (0, float(states["state"].max()) + 1), "Time (s)",
                   "State", (900, 220))
-    for row in states.itertuples():
-        chart.box(row.start * window_sec, (row.start + row.length) * window_sec, row.state,
-                  row.state + 1, colour(row.state))
+    for column, state in zip(states["column"], states["state"]):
+        chart.box(column * stride * hop, (column + 1) * stride * hop, state, state + 1, colour(state))
     return chart
 
 
-def _modes(df: DataFrame, state: str, stride: int) -> pd.DataFrame:
-    """Most frequent state per bin of ``stride`` windows."""
-    counts = df.groupBy(F.expr(f"window_index div {stride}").alias("b"), F.col(state).alias("state")).count()
-    best = counts.groupBy("b").agg(F.max_by("state", F.struct("count", -F.col("state"))).alias("state"))
-    frame = best.orderBy("b").toPandas()
-    return pd.DataFrame({"start": frame["b"] * stride, "length": stride, "state": frame["state"]})
-
-
-def cluster_figures(result, method: str, tables: dict, out: Path, n_windows: int) -> list[Path]:
-    f, k = result.features, result.config.clustering.n_clusters
-    labels = result.alignment.labels.filter(F.col("method") == method)
-    stride = max(1, -(-n_windows // MAX_COLUMNS))
-    hop = result.windows.plan.step / result.preprocess.fs
-    paths = [svg.save([_timeline(f"{method} states", _modes(labels, "aligned_label", stride), hop)],
-                      out / f"{method}_timeline.svg")]
-    names = feature_subset(f.names, 4)
-    joined = f.raw.join(labels.select(REC, "window_index", "aligned_label"), [REC, "window_index"])
-    boxes = box_stats(unpivot(joined, names, ["aligned_label"]), ["feature", "aligned_label"],
-                      "value", n_windows).toPandas()
+def cluster_figures(x: Session, method: str) -> dict[str, str]:
+    k, stride = x.n_clusters, int(x.of("stride").iloc[0]["stride"])
+    out = {f"{method}_timeline": svg.page([_timeline(f"{method} states", x.of("timeline", series=method), stride, x.hop)])}
     panels = []
-    for name in names:
-        mine = boxes[boxes["feature"] == name]
+    for name in feature_subset(x.names, 4):
+        mine = x.of("boxes", feature=name, method=method)
         chart = Chart(f"{name} by state", (0, k), (mine["low"].min(), mine["high"].max()), "State")
         for row in mine.itertuples():
             s = int(row.aligned_label)
@@ -134,29 +112,27 @@ def cluster_figures(result, method: str, tables: dict, out: Path, n_windows: int
             chart.box(s + 0.2, s + 0.8, row.q1, row.q3, colour(s))
             chart.line([s + 0.2, s + 0.8], [row.median] * 2, "#fff", 2)
         panels.append(chart)
-    paths.append(svg.save(panels, out / f"{method}_boxplots.svg"))
-    spectra = tables["spectra"][tables["spectra"]["method"] == method]
-    chart = Chart(f"{method} mean spectra", _span(f.freqs), _span(spectra["power"]), "Frequency (Hz)", "Power")
+    out[f"{method}_boxplots"] = svg.page(panels)
+    spectra = x.of("spectra", method=method)
+    chart = Chart(f"{method} mean spectra", _span(x.freqs), _span(spectra["power"]), "Frequency (Hz)", "Power")
     for label, mine in spectra.groupby("label"):
-        chart.line(f.freqs, mine.sort_values("bin")["power"], colour(label))
-    paths.append(svg.save([chart], out / f"{method}_mean_spectra.svg"))
-    row = tables["metrics"].set_index("method").loc[method]
+        chart.line(x.freqs, mine.sort_values("bin")["power"], colour(label))
+    out[f"{method}_mean_spectra"] = svg.page([chart])
+    row = x.of("metrics", method=method).iloc[0]
     names = ["silhouette", "davies_bouldin", "balance_entropy"]
-    paths.append(svg.save([svg.bars(f"{method} quality", names, [row[n] for n in names])],
-                          out / f"{method}_metrics.svg"))
+    out[f"{method}_metrics"] = svg.page([svg.bars(f"{method} quality", names, [row[n] for n in names])])
+    states = [f"S{i}" for i in range(k)]
     for phase in ("before", "after"):
-        cf = tables[phase][tables[phase]["method"] == method]
-        image = np.zeros((k, k))
-        image[cf["ref_label"], cf["label"]] = cf["n"]
-        states = [f"S{i}" for i in range(k)]
-        paths.append(svg.save([svg.heat_map(f"{method} against reference, {phase} alignment", image,
-                                            states, states, fmt=".0f")],
-                              out / f"{method}_alignment_{phase}.svg"))
-    return paths
-
-
-def explain_figures(result, method: str, tables: dict, hists: dict, out: Path) -> list[Path]:
-    nodes = tables["nodes"][tables["nodes"]["method"] == method].set_index("path")
+        counts, image = x.of(phase, method=method), np.zeros((k, k))
+        if len(counts):
+            image[counts["ref_label"].astype(int), counts["label"].astype(int)] = counts["n"]
+        out[f"{method}_alignment_{phase}"] = svg.page([svg.heat_map(
+            f"{method} against reference, {phase} alignment", image, states, states, fmt=".0f")])
+    return out
+
+
+def explain_figures(x: Session, method: str, hists: dict) -> dict[str, str]:
+    nodes = x.of("nodes", method=method).set_index("path")
     depth = int(nodes["depth"].max())
     chart = Chart(f"{method} decision tree", (0, 1), (-depth - 0.5, 0.5), size=(900, 120 * (depth + 2)))
     chart.items = chart.items[:1]
@@ -167,121 +143,98 @@ def explain_figures(result, method: str, tables: dict, hists: dict, out: Path) -
             low, high = (low, (low + high) / 2) if step == "L" else ((low + high) / 2, high)
         return (low + high) / 2, -float(len(path))
 
-    for path, node in nodes.iterrows():
+    for path in nodes.index:
         if path:
             chart.line(*zip(place(path[:-1]), place(path)), "#999")
     for path, node in nodes.iterrows():
         leaf = node["feature"] is None or pd.isna(node["feature"])
-        text = (f"state {node['predicted_class']} (n={node['n_samples']})" if leaf
-                else f"{node['feature']} <= {node['threshold_raw']:.3g}")
-        chart.text(*place(path), text)
-    paths = [svg.save([chart], out / f"{method}_decision_tree.svg")]
-    top = result.config.explain.top_features_to_plot
-    ranked = tables["importance"][tables["importance"]["method"] == method].head(top)
+        chart.text(*place(path), f"state {int(node['predicted_class'])} (n={int(node['n_samples'])})" if leaf
+                   else f"{node['feature']} <= {node['threshold_raw']:.3g}")
+    ranked = x.of("importance", method=method).sort_values(["importance", "f"], ascending=[False, True]).head(x.top_features)
     shown = list(ranked["feature"])
-    mine = result.explain.thresholds.filter(F.col("method") == method)
-    pivot = threshold_pivot(mine, [], shown).orderBy("cluster").toPandas().set_index("cluster")[shown]
-    paths.append(svg.save([svg.heat_map(f"{method} thresholds", pivot.to_numpy(),
-                                        [f"S{i}" for i in pivot.index], shown, fmt=".3g")],
-                          out / f"{method}_threshold_heatmap.svg"))
-    paths.append(svg.save([svg.bars(f"{method} feature importance", shown, ranked["importance"])],
-                          out / f"{method}_feature_importance.svg"))
-    rules = tables["thresholds"][tables["thresholds"]["method"] == method]
-    panels = [svg.histogram(n, *hists[n], rules[rules["feature"] == n]["threshold_raw"]) for n in shown]
-    return paths + [svg.save(panels, out / f"{method}_threshold_overlays.svg")]
-
-
-def hmm_figures(result, tables: dict, out: Path, n_windows: int) -> list[Path]:
-    paths, hop = [], result.windows.plan.step / result.preprocess.fs
-    stride = max(1, -(-n_windows // MAX_COLUMNS))
-    for model in tables["models"].itertuples():
-        k, name = model.n_states, f"gaussian_hmm_{model.n_states}_state"
-        states = result.hmm.states.filter(F.col("n_states") == k)
-        paths.append(svg.save([_timeline(f"{name} hidden states", _modes(states, "hidden_state", stride), hop)],
-                              out / f"{name}_states.svg"))
-        a = np.array(list(map(list, model.transition)))
-        ids = [f"S{i}" for i in range(k)]
-        paths.append(svg.save([svg.heat_map(f"{name} transitions", a, ids, ids)], out / f"{name}_transitions.svg"))
+    rules = x.of("thresholds", method=method)
+    pivot = rules.pivot_table(index="cluster", columns="feature", values="threshold_raw", aggfunc="first").reindex(columns=shown)
+    return {
+        f"{method}_decision_tree": svg.page([chart]),
+        f"{method}_threshold_heatmap": svg.page([svg.heat_map(
+            f"{method} thresholds", pivot.to_numpy(dtype=float), [f"S{int(i)}" for i in pivot.index], shown, fmt=".3g")]),
+        f"{method}_feature_importance": svg.page([svg.bars(f"{method} feature importance", shown, ranked["importance"])]),
+        f"{method}_threshold_overlays": svg.page([
+            svg.histogram(n, *hists[(n,)], rules[rules["feature"] == n]["threshold_raw"].dropna()) for n in shown])}
+
+
+def _models(x: Session) -> pd.DataFrame:
+    return x.of("models").sort_values("n_states")
+
+
+def hmm_figures(x: Session) -> dict[str, str]:
+    out, stride = {}, int(x.of("stride").iloc[0]["stride"])
+    durations = _histograms(x, "runs", "run_ranges", ["n_states", "state"], 20)
+    for model in _models(x).itertuples():
+        k, name = int(model.n_states), f"gaussian_hmm_{int(model.n_states)}_state"
+        out[f"{name}_states"] = svg.page([_timeline(f"{name} hidden states", x.of("timeline", series=f"hmm{k}"), stride, x.hop)])
+        a, ids = np.array(list(map(list, model.transition)), dtype=float), [f"S{i}" for i in range(k)]
+        out[f"{name}_transitions"] = svg.page([svg.heat_map(f"{name} transitions", a, ids, ids)])
         chart = Chart(f"{name} transition graph", (-1.4, 1.4), (-1.4, 1.4), size=(520, 520))
         chart.items = chart.items[:1]
         spot = [(np.cos(2 * np.pi * i / k), np.sin(2 * np.pi * i / k)) for i in range(k)]
-        for i in range(k):
-            for j in range(k):
-                if i != j and a[i, j] >= 0.05:
-                    chart.arrow(np.array(spot[i]) * 0.95, np.array(spot[j]) * 0.9, "#B80C09", 1 + 4 * a[i, j])
+        for i, j in zip(*np.nonzero((a >= 0.05) & ~np.eye(k, dtype=bool))):
+            chart.arrow(np.array(spot[i]) * 0.95, np.array(spot[j]) * 0.9, "#B80C09", 1 + 4 * a[i, j])
         chart.dots(*zip(*spot), [colour(i) for i in range(k)], 22)
-        for i, (x, y) in enumerate(spot):
-            chart.text(x, y, f"S{i} {a[i, i]:.2f}", "#fff")
-        paths.append(svg.save([chart], out / f"{name}_graph.svg"))
-        runs = result.hmm.runs.filter(F.col("n_states") == k)
-        counts = histogram(runs, ["state"], "duration_sec", 20).toPandas()
-        ends = runs.groupBy("state").agg(F.min("duration_sec").alias("a"), F.max("duration_sec").alias("b")).toPandas()
-        panels = []
-        for row in ends.sort_values("state").itertuples():
-            lo, hi = (row.a - 0.5, row.a + 0.5) if row.a == row.b else (row.a, row.b)
-            n = np.zeros(20)
-            mine = counts[counts["state"] == row.state]
-            n[mine["bin"].astype(int)] = mine["n"]
-            panels.append(svg.histogram(f"State {row.state} duration (s)", np.linspace(lo, hi, 21), n))
-        paths.append(svg.save(panels, out / f"{name}_durations.svg"))
-    m = tables["models"].sort_values("n_states")
+        for i, at in enumerate(spot):
+            chart.text(*at, f"S{i} {a[i, i]:.2f}", "#fff")
+        out[f"{name}_graph"] = svg.page([chart])
+        out[f"{name}_durations"] = svg.page([svg.histogram(f"State {int(s)} duration (s)", *durations[(n, s)])
+                                             for n, s in sorted(durations) if n == k])
+    m = _models(x)
     names = [str(k) for k in m["n_states"]]
-    return paths + [svg.save(
-        [svg.bars("Log likelihood", names, m["log_likelihood"]), svg.bars("BIC", names, m["bic"]),
-         svg.bars("Mean self transition", names, m["mean_self_transition"])],
-        out / "hmm_model_comparison.svg")]
-
-
-def manifold_figures(result, tables: dict, out: Path, n_windows: int, methods: list[str]) -> list[Path]:
-    points = result.manifold.embedding
-    labels = result.alignment.labels.groupBy(REC, "window_index").pivot("method", methods).agg(
-        F.first("aligned_label"))
-    frame = points.join(labels, [REC, "window_index"]).orderBy("window_index").toPandas()
-    x = frame["dim_1"]
-    y = frame["dim_2"] if "dim_2" in frame else np.zeros(len(frame))
-    paths, panels = [], []
-    for method in methods:
-        fills = [colour(s) for s in frame[method]]
-        base = lambda title: Chart(title, _span(x), _span(y), "Dim 1", "Dim 2", (560, 480))
-        scatter = base(f"{method} manifold ({result.manifold.method_used})").dots(x, y, fills)
-        panels.append(scatter)
-        paths.append(svg.save([scatter], out / f"{method}_manifold_scatter.svg"))
-        paths.append(svg.save([base(f"{method} trajectory").line(x, y, "#6D7278", 0.8).dots(x, y, fills, 3)],
-                              out / f"{method}_manifold_trajectory.svg"))
-        chart = base(f"{method} transition arrows").dots(x, y, fills, 2.5)
-        hop = max(len(frame) // ARROWS, 1)
-        for a in range(0, len(frame) - hop, hop):
-            chart.arrow((x[a], y[a]), (x[a + hop], y[a + hop]), "#B80C09", 0.8)
-        paths.append(svg.save([chart], out / f"{method}_manifold_arrows.svg"))
-    return paths + [svg.save(panels, out / "manifold_method_comparison.svg")]
-
-
-def comparison_figures(tables: dict, out: Path) -> list[Path]:
-    m = tables["metrics"]
-    quality = [svg.bars(n, list(m["method"]), m[n])
-               for n in ("silhouette", "davies_bouldin", "balance_entropy", "explain_fidelity")]
+    return out | {"hmm_model_comparison": svg.page([
+        svg.bars("Log likelihood", names, m["log_likelihood"]), svg.bars("BIC", names, m["bic"]),
+        svg.bars("Mean self transition", names, m["mean_self_transition"])])}
+
+
+def manifold_figures(x: Session) -> dict[str, str]:
+    extent, path = x.of("extent").iloc[0], x.of("path").sort_values("column")
+    low, high = (extent["x_low"], extent["y_low"]), (extent["x_high"], extent["y_high"])
+    out, panels = {}, []
+    for method in x.methods:
+        cells = x.of("cells", method=method)
+        at = [a + (cells[c] + 0.5) / n * (b - a) for a, b, c, n in zip(low, high, ("cx", "cy"), GRID)]
+        fills = [colour(s) for s in cells["state"]]
+        base = lambda title: Chart(title, (low[0], high[0]), (low[1], high[1]), "Dim 1", "Dim 2", (560, 480))
+        panels.append(base(f"{method} manifold ({x.manifold_used})").dots(*at, fills))
+        out[f"{method}_manifold_scatter"] = svg.page([panels[-1]])
+        out[f"{method}_manifold_trajectory"] = svg.page([base(f"{method} trajectory").line(
+            path["x"], path["y"], "#6D7278", 0.8).dots(*at, fills, 3)])
+        chart = base(f"{method} transition arrows").dots(*at, fills, 2.5)
+        spots = path[["x", "y"]].to_numpy()
+        hop = max(len(spots) // ARROWS, 1)
+        for a, b in zip(spots[::hop], spots[hop::hop]):
+            chart.arrow(a, b, "#B80C09", 0.8)
+        out[f"{method}_manifold_arrows"] = svg.page([chart])
+    return out | {"manifold_method_comparison": svg.page(panels)}
+
+
+def comparison_figures(x: Session) -> dict[str, str]:
+    m = x.of("metrics").set_index("method").reindex(x.methods)
     chains = []
-    for model in tables["models"].itertuples():
-        ids = [f"S{i}" for i in range(model.n_states)]
-        chains.append(svg.heat_map(f"{model.n_states}-state transitions",
-                                   np.array(list(map(list, model.transition))), ids, ids))
-    s = tables["threshold_summary"].pivot(index="method", columns="feature", values="mean_abs_threshold")
-    return [
-        svg.save(quality, out / "comparison_quality.svg"),
-        svg.save(chains, out / "comparison_transitions.svg"),
-        svg.save([svg.heat_map("Mean absolute thresholds", s.to_numpy(), list(s.index), list(s.columns),
-                               numbers=False)], out / "comparison_thresholds.svg"),
-    ]
-
-
-def session_figures(result, tables: dict, out: Path, n_windows: int, methods: list[str]) -> list[Path]:
-    out.mkdir(parents=True, exist_ok=True)
-    paths = signal_figures(result, out)
-    more, hists = feature_figures(result, out, n_windows)
-    paths += more
-    for method in methods:
-        paths += cluster_figures(result, method, tables, out, n_windows)
-        paths += explain_figures(result, method, tables, hists, out)
-    paths += hmm_figures(result, tables, out, n_windows)
-    paths += manifold_figures(result, tables, out, n_windows, methods)
-    return paths + comparison_figures(tables, out)
+    for model in _models(x).itertuples():
+        ids = [f"S{i}" for i in range(int(model.n_states))]
+        chains.append(svg.heat_map(f"{int(model.n_states)}-state transitions", np.array(list(map(list, model.transition)), dtype=float), ids, ids))
+    s = x.of("threshold_summary").pivot(index="method", columns="feature", values="mean_abs_threshold")
+    return {
+        "comparison_quality": svg.page([svg.bars(n, x.methods, m[n]) for n in (
+            "silhouette", "davies_bouldin", "balance_entropy", "explain_fidelity")]),
+        "comparison_transitions": svg.page(chains),
+        "comparison_thresholds": svg.page([svg.heat_map(
+            "Mean absolute thresholds", s.to_numpy(dtype=float), list(s.index), list(s.columns), numbers=False)])}
+
+
+def session_figures(x: Session) -> dict[str, str]:
+    """Drawings by file name."""
+    hists = _histograms(x, "histograms", "ranges", ["feature"], 30)
+    out = signal_figures(x) | feature_figures(x, hists)
+    for method in x.methods:
+        out |= cluster_figures(x, method) | explain_figures(x, method, hists)
+    out |= hmm_figures(x) | manifold_figures(x) | comparison_figures(x)
+    return {f"figures/{name}.svg": text for name, text in out.items()}

@@ -25,9 +25,8 @@ def plain(value):
     return str(value) if isinstance(value, Path) else value
 
 
-def save_json(payload, path: Path) -> Path:
-    path.write_text(json.dumps(plain(payload), indent=2, ensure_ascii=False), encoding="utf-8")
-    return path
+def json_text(payload) -> str:
+    return json.dumps(plain(payload), indent=2, ensure_ascii=False)
 
 
 def markdown_table(frame: pd.DataFrame) -> str:
@@ -40,8 +39,8 @@ def markdown_table(frame: pd.DataFrame) -> str:
     return "\n".join(f"| {' | '.join(row)} |" for row in zip(*columns))
 
 
-def write_report(path: Path, config: PipelineConfig, metrics: pd.DataFrame, chains: pd.DataFrame,
-                 rules: dict[str, tuple[float, str]], manifold_used: str, runtime: dict) -> Path:
+def report_text(config: PipelineConfig, metrics: pd.DataFrame, chains: pd.DataFrame,
+                rules: dict[str, tuple[float, str]], manifold_used: str, runtime: dict) -> str:
     facts = [
         ("Window length", f"{config.windowing.window_sec:.1f} s"),
         ("Overlap", f"{config.windowing.overlap_sec:.1f} s"),
@@ -59,5 +58,4 @@ def write_report(path: Path, config: PipelineConfig, metrics: pd.DataFrame, chai
     for method, (fidelity, text) in rules.items():
         parts += [f"### {method}", f"- Decision-tree fidelity: {fidelity:.3f}", "", "```text", text,
                   "```", ""]
-    path.write_text("\n".join(parts), encoding="utf-8")
-    return path
+    return "\n".join(parts)

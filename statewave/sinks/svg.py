@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from html import escape
-from pathlib import Path
 
 import numpy as np
 
@@ -84,8 +83,8 @@ class Chart:
         return self
 
 
-def save(charts: list[Chart], path: Path) -> Path:
-    """Stack panels in one file."""
+def page(charts: list[Chart]) -> str:
+    """Panels stacked in one drawing."""
     width, height = max(c.w for c in charts), sum(c.h for c in charts)
     out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}" '
            'font-family="sans-serif" font-size="11"><rect width="100%" height="100%" fill="#fff"/>'
@@ -95,8 +94,7 @@ def save(charts: list[Chart], path: Path) -> Path:
     for c in charts:
         out.append(f'<g transform="translate(0,{y})">' + "".join(c.items) + "</g>")
         y += c.h
-    path.write_text("\n".join(out) + "\n</svg>\n", encoding="utf-8")
-    return path
+    return "\n".join(out) + "\n</svg>\n"
 
 
 def heat_map(title: str, values: np.ndarray, rows: list[str], columns: list[str],

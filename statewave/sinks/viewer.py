@@ -1,7 +1,9 @@
-"""Self-contained interactive session page.
+"""Interactive session page, one per recording, with its epochs in files of their own.
 
-Signals are shown from a min/max pyramid whose finest level is bounded, so the page has the
-same size for an hour and for a year. Epochs are all there.
+The page holds what has a bounded size: min/max pyramids of the signals, states by columns, the
+occupied cells of the embedding, mean spectra. Epochs with their labels, coordinates and spectra
+lie in ``epochs/000000.js`` and so on, ``CHUNK`` to a file, written by Spark in parallel; the page
+loads the files that it shows.
 """
 
 from __future__ import annotations
@@ -9,17 +11,19 @@ from __future__ import annotations
 import base64
 import json
 from html import escape
-from pathlib import Path
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statewave.operators.blocks import REC
-from statewave.operators.filters import unpack_blocks
-from statewave.operators.summary import minmax_pyramid, pyramid_blocks, quantise_column
+from statewave.sinks.figures import Session
+from statewave.sinks.session_tables import GRID
 from statewave.sinks.svg import PALETTE
 
 MAX_BINS = 160
+CHUNK = 2048
 
 
 def spectrum_bins(n: int, limit: int = MAX_BINS) -> np.ndarray:
@@ -27,64 +31,59 @@ def spectrum_bins(n: int, limit: int = MAX_BINS) -> np.ndarray:
     return np.arange(n) if n <= limit else np.unique(np.linspace(0, n - 1, limit, dtype=int))
 
 
-def _levels(result, channel: str) -> dict:
-    samples = unpack_blocks(result.preprocess.raw)
-    sizes = pyramid_blocks(result.preprocess.longest)
-    pyramid = minmax_pyramid(samples, channel, sizes)
-    codes = quantise_column(pyramid, ["low", "high"], channel, samples, 1).orderBy(
-        "block_size", "bin").toPandas()
-    low, high = samples.agg(F.min(channel), F.max(channel)).first()
+def compact(value) -> str:
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":")).replace("</", "<\\/")
 
-    def pack(values) -> str:
-        return base64.b64encode(np.asarray(values, dtype="<i2").tobytes()).decode("ascii")
 
-    return {
-        "title": channel.upper(), "sample_count": result.preprocess.longest,
-        "value_min": low, "value_max": high,
-        "levels": [{"block_size_samples": int(size), "mins_b64": pack(part["low"]),
-                    "maxs_b64": pack(part["high"])}
-                   for size, part in codes.groupby("block_size")],
-    }
-
-
-def session_payload(result, tables: dict, n_windows: int, methods: list[str]) -> dict:
-    data, cut = result.preprocess, result.windows
+def epoch_files(result, methods: list[str]) -> DataFrame:
+    """``recording_id, name, content``: a script for each run of ``CHUNK`` epochs."""
     f = result.features
     keep = spectrum_bins(len(f.freqs))
-    picked = F.transform(F.array(*[F.lit(int(i)) for i in keep]), lambda i: F.round(F.col("power")[i], 6))
-    dims = [c for c in ("dim_1", "dim_2") if c in result.manifold.embedding.columns]
-    labels = result.alignment.labels.groupBy(REC, "window_index").pivot("method", methods).agg(
-        F.first("aligned_label"))
-    epochs = (
-        f.spectra
-        .select(REC, "window_index", picked.alias("power"))
-        .join(result.manifold.embedding, [REC, "window_index"])
-        .join(labels, [REC, "window_index"]).orderBy("window_index").toPandas())
-    starts = epochs["window_index"].to_numpy() * cut.plan.step / data.fs
-    top = max(int(epochs[m].max()) for m in methods) + 1
-    means = {}
-    for m in methods:
-        mine = tables["spectra"][tables["spectra"]["method"] == m].pivot(
-            index="label", columns="bin", values="power").reindex(range(top), fill_value=0.0).to_numpy()
-        means[m] = mine[:, keep].round(6).tolist()
-    return {
-        "session_name": result.output_dir.name,
-        "source_name": result.config.input.filename or result.output_dir.name,
-        "fs": data.fs, "sample_count": data.longest, "duration_sec": data.longest / data.fs,
-        "window_sec": cut.window_sec,
-        "manifold_method": result.manifold.method_used,
-        "epoch_starts_sec": starts.round(6).tolist(),
-        "epoch_centers_sec": (starts + cut.window_sec / 2).round(6).tolist(),
-        "embedding": epochs[dims].round(6).to_numpy().tolist(),
-        "method_order": methods,
-        "default_background_method": result.config.clustering.alignment_reference,
-        "cluster_colors": [PALETTE[i % len(PALETTE)] for i in range(top)],
-        "methods": {m: epochs[m].astype(int).tolist() for m in methods},
-        "spectra": {"freqs": f.freqs[keep].round(6).tolist(),
-                    "epochs": [list(p) for p in epochs["power"]], "cluster_means": means},
-        "signals": {"eeg": _levels(result, "eeg"),
-                    "emg": _levels(result, "emg") if data.has_emg else None},
-    }
+    power = F.transform(F.array(*[F.lit(int(i)) for i in keep]), lambda i: F.round(F.col("power")[i], 6))
+    points = result.manifold.embedding
+    labels = result.alignment.labels.groupBy(REC, "window_index").pivot("method", methods).agg(F.first("aligned_label"))
+    y = F.col("dim_2") if "dim_2" in points.columns else F.lit(0.0)
+    rows = f.spectra.select(REC, "window_index", power.alias("power")).join(
+        points.select(REC, "window_index", F.round("dim_1", 6).alias("x"), F.round(y, 6).alias("y")), [REC, "window_index"]).join(
+        labels, [REC, "window_index"]).withColumn("chunk", F.expr(f"window_index div {CHUNK}"))
+
+    def script(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("window_index")
+        chunk = int(pdf["chunk"].iloc[0])
+        data = {"xy": pdf[["x", "y"]].to_numpy().tolist(), "state": {m: pdf[m].astype(int).tolist() for m in methods},
+                "power": [list(map(float, p)) for p in pdf["power"]]}
+        return pd.DataFrame({REC: [pdf[REC].iloc[0]], "name": [f"epochs/{chunk:06d}.js"],
+                             "content": [f"epochs({chunk},{compact(data)});\n"]})
+
+    return rows.groupBy(REC, "chunk").applyInPandas(script, f"{REC} string, name string, content string")
+
+
+def trace(x: Session, channel: str) -> dict:
+    """One channel's ranges of every pyramid level, as 16-bit codes."""
+    pack = lambda v: base64.b64encode(np.asarray(v, dtype="<i2").tobytes()).decode("ascii")
+    bounds = x.of("channels", channel=channel).iloc[0]
+    steps = x.of("levels", channel=channel).sort_values("block_size")
+    return {"name": channel.upper(), "range": [bounds["low"], bounds["high"]],
+            "zoom": [{"every": int(r.block_size), "floor": pack(r.low), "roof": pack(r.high)} for r in steps.itertuples()]}
+
+
+def page_data(x: Session, title: str, source: str, reference: str) -> dict:
+    size, extent = x.of("size").iloc[0], x.of("extent").iloc[0]
+    keep = spectrum_bins(len(x.freqs))
+    states = {}
+    for m in x.methods:
+        columns = x.of("timeline", series=m).sort_values("column")
+        means = x.of("spectra", method=m).pivot(index="label", columns="bin", values="power")
+        cells = x.of("cells", method=m)
+        states[m] = {"column": columns["state"].astype(int).tolist(),
+                     "mean": {str(int(k)): row.to_numpy(dtype=float)[keep].round(6).tolist() for k, row in means.iterrows()},
+                     "cell": cells[["cx", "cy", "state", "n", "first"]].astype(int).to_numpy().tolist()}
+    return {"title": title, "source": source, "rate": x.fs, "samples": int(size["n_rows"]), "epochs": int(size["n_windows"]),
+            "length": x.window_sec, "hop": x.hop, "chunk": CHUNK, "stride": int(x.of("stride").iloc[0]["stride"]),
+            "space": {"method": x.manifold_used, "grid": GRID, "x": [extent["x_low"], extent["x_high"]],
+                      "y": [extent["y_low"], extent["y_high"]]},
+            "reference": reference, "states": states, "palette": PALETTE, "hz": x.freqs[keep].round(6).tolist(),
+            "traces": [trace(x, c) for c in (["eeg", "emg"] if x.has_emg else ["eeg"])]}
 
 
 PAGE = """<!doctype html>
@@ -107,79 +106,70 @@ canvas{display:block;width:100%;touch-action:none}h2{font-size:14px;margin:0 0 6
 <div class="card" style="flex:1 1 380px"><h2>Selected epoch spectrum</h2>
 <canvas id="spectrum-canvas" height="420"></canvas></div></div>
 <script>
-const S = @PAYLOAD@;
-const $ = id => document.getElementById(id);
-const unpack = text => { const raw = atob(text), bytes = new Uint8Array(raw.length);
-  for (let i = 0; i < raw.length; i++) bytes[i] = raw.charCodeAt(i); return new Int16Array(bytes.buffer); };
-for (const s of Object.values(S.signals)) if (s) for (const l of s.levels) {
-  l.low = unpack(l.mins_b64); l.high = unpack(l.maxs_b64); }
-let method = S.default_background_method, view = [0, S.duration_sec], picked = 0;
-for (const m of S.method_order) $("method").add(new Option(m, m, m === method, m === method));
-$("about").textContent = S.source_name + " - " + S.fs + " Hz, " + S.epoch_starts_sec.length + " epochs" +
-  ", embedding: " + S.manifold_method;
-if (!S.signals.emg) $("emg-card").remove();
-const paint = id => { const c = $(id); c.width = c.clientWidth; const g = c.getContext("2d");
-  g.clearRect(0, 0, c.width, c.height); g.font = "11px sans-serif"; return [g, c.width, c.height]; };
-const colour = i => S.cluster_colors[S.methods[method][i]];
-const firstEpoch = t => { let a = 0, b = S.epoch_starts_sec.length;
-  while (a < b) { const m = (a + b) >> 1; if (S.epoch_starts_sec[m] + S.window_sec < t) a = m + 1; else b = m; } return a; };
-function bands(g, w, h, from, to) { const n = S.epoch_starts_sec.length, x = t => (t - from) / (to - from) * w;
-  for (let i = firstEpoch(from); i < n && S.epoch_starts_sec[i] <= to; i++) { const a = x(S.epoch_starts_sec[i]);
-    g.globalAlpha = i === picked ? 0.55 : 0.2; g.fillStyle = colour(i);
-    g.fillRect(a, 0, Math.max(1, x(S.epoch_starts_sec[i] + S.window_sec) - a), h); } g.globalAlpha = 1; }
-function trace(id, s, from, to) { const [g, w, h] = paint(id); bands(g, w, h, from, to);
-  const span = (to - from) * S.fs; let level = s.levels[0];
-  for (const l of s.levels) if (span / l.block_size_samples >= w * 2) level = l;
-  const b = level.block_size_samples, y = q => h - (q + 32768) / 65535 * (h - 4) - 2;
+const D = @DATA@;
+const el = id => document.getElementById(id), total = D.samples / D.rate, loaded = new Map(), asked = new Set();
+const start = i => i * D.hop, centre = i => start(i) + D.length / 2;
+const codes = text => new Int16Array(Uint8Array.from(atob(text), c => c.charCodeAt(0)).buffer);
+for (const t of D.traces) for (const z of t.zoom) { z.floor = codes(z.floor); z.roof = codes(z.roof); }
+let method = D.reference, from = 0, to = total, chosen = 0;
+function epochs(chunk, data) { loaded.set(chunk, data); draw(); }
+function want(chunk) { if (chunk < 0 || chunk * D.chunk >= D.epochs || asked.has(chunk)) return; asked.add(chunk);
+  const s = document.createElement("script"); s.src = "epochs/" + String(chunk).padStart(6, "0") + ".js"; document.head.append(s); }
+function epoch(i) { const chunk = Math.floor(i / D.chunk), c = loaded.get(chunk), k = i - chunk * D.chunk; want(chunk);
+  return c && { xy: c.xy[k], power: c.power[k], state: c.state[method][k] }; }
+const stateOf = i => { const e = loaded.has(Math.floor(i / D.chunk)) && epoch(i); return e ? e.state : D.states[method].column[Math.floor(i / D.stride)]; };
+const paint = s => D.palette[s % D.palette.length];
+for (const m of Object.keys(D.states)) el("method").add(new Option(m, m, m === method, m === method));
+el("about").textContent = `${D.source} - ${D.rate} Hz, ${D.epochs} epochs, embedding: ${D.space.method}`;
+if (D.traces.length < 2) el("emg-card").remove();
+function sheet(id) { const c = el(id); c.width = c.clientWidth; const g = c.getContext("2d"); g.font = "11px sans-serif"; return { g, w: c.width, h: c.height }; }
+function stripes({ g, w, h }, a, b) {
+  const first = Math.max(0, Math.floor((a - D.length) / D.hop)), last = Math.min(D.epochs - 1, Math.ceil(b / D.hop));
+  const every = Math.max(1, Math.floor((last - first) / (2 * w)));
+  if (last - first < 2 * D.chunk) for (let c = Math.floor(first / D.chunk); c * D.chunk <= last; c++) want(c);
+  for (let i = first; i <= last; i += every) { g.globalAlpha = i === chosen ? 0.55 : 0.2; g.fillStyle = paint(stateOf(i));
+    const left = (start(i) - a) / (b - a) * w; g.fillRect(left, 0, Math.max(1, Math.max(D.length, every * D.hop) / (b - a) * w), h); }
+  g.globalAlpha = 1; }
+function signal(id, t, a, b) { const s = sheet(id), { g, w, h } = s; stripes(s, a, b);
+  const z = t.zoom.findLast(l => (b - a) * D.rate / l.every >= 2 * w) || t.zoom[0], x = k => (k * z.every / D.rate - a) / (b - a) * w, y = v => (1 - (v + 32768) / 65535) * (h - 4) + 2;
   g.strokeStyle = "#12303f"; g.beginPath();
-  const a = Math.max(0, Math.floor(from * S.fs / b)), z = Math.min(level.low.length - 1, Math.ceil(to * S.fs / b));
-  for (let i = a; i <= z; i++) { const x = (i * b / S.fs - from) / (to - from) * w;
-    g.lineTo(x, y(level.low[i])); g.lineTo(x, y(level.high[i])); } g.stroke();
-  g.fillStyle = "#333"; g.fillText(from.toFixed(2) + " s", 4, h - 4); g.fillText(to.toFixed(2) + " s", w - 60, h - 4); }
-let dots = [];
-function scatter() { const [g, w, h] = paint("manifold-canvas"), xs = S.embedding.map(p => p[0]),
-  ys = S.embedding.map(p => p.length > 1 ? p[1] : 0), lo = v => v.reduce((a, b) => Math.min(a, b)), hi = v => v.reduce((a, b) => Math.max(a, b));
-  const fit = (v, a, b, n) => 16 + (v - a) / ((b - a) || 1) * (n - 32), x0 = lo(xs), x1 = hi(xs), y0 = lo(ys), y1 = hi(ys);
-  dots = xs.map((v, i) => [fit(v, x0, x1, w), h - fit(ys[i], y0, y1, h)]);
-  dots.forEach((p, i) => { g.fillStyle = colour(i); g.globalAlpha = 0.75; g.beginPath(); g.arc(p[0], p[1], 3.5, 0, 7); g.fill(); });
-  g.globalAlpha = 1; const p = dots[picked]; if (p) { g.strokeStyle = "#000"; g.lineWidth = 2; g.beginPath(); g.arc(p[0], p[1], 7, 0, 7); g.stroke(); } }
-function spectrum() { const [g, w, h] = paint("spectrum-canvas"), own = S.spectra.epochs[picked],
-  mean = S.spectra.cluster_means[method][S.methods[method][picked]], f = S.spectra.freqs, top = Math.max(...own, ...(mean || [0])) || 1;
-  const draw = (v, c) => { g.strokeStyle = c; g.lineWidth = 1.6; g.beginPath();
-    v.forEach((p, i) => g.lineTo(34 + f[i] / (f[f.length - 1] || 1) * (w - 44), h - 22 - p / top * (h - 34))); g.stroke(); };
-  if (mean) draw(mean, colour(picked)); draw(own, "#12303f");
-  g.fillStyle = "#333"; g.fillText("0 Hz", 30, h - 6); g.fillText(f[f.length - 1].toFixed(1) + " Hz", w - 50, h - 6); }
-function draw() { trace("eeg-canvas", S.signals.eeg, view[0], view[1]);
-  if (S.signals.emg) trace("emg-canvas", S.signals.emg, view[0], view[1]);
-  trace("overview-canvas", S.signals.eeg, 0, S.duration_sec); const [w, h] = [$("overview-canvas").width, 60], g = $("overview-canvas").getContext("2d");
-  g.strokeStyle = "#B80C09"; g.lineWidth = 2; g.strokeRect(view[0] / S.duration_sec * w, 1, Math.max(2, (view[1] - view[0]) / S.duration_sec * w), h - 2);
-  scatter(); spectrum(); $("where").textContent = "Epoch at " + S.epoch_starts_sec[picked].toFixed(2) + " s, " + method + " state " + S.methods[method][picked]; }
-const clampView = (a, b) => { const n = Math.min(Math.max(b - a, 4 / S.fs), S.duration_sec);
-  a = Math.min(Math.max(a, 0), S.duration_sec - n); view = [a, a + n]; draw(); };
-const zoom = (k, at) => clampView(at - (at - view[0]) * k, at + (view[1] - at) * k), middle = () => (view[0] + view[1]) / 2;
-function pick(i, move) { picked = Math.min(Math.max(i, 0), S.epoch_starts_sec.length - 1);
-  const c = S.epoch_centers_sec[picked], n = (view[1] - view[0]) / 2; if (move && (c < view[0] || c > view[1])) clampView(c - n, c + n); else draw(); }
-for (const id of ["eeg-canvas", "emg-canvas"]) { const c = $(id); if (!c) continue; let grab = null;
-  const time = e => view[0] + e.offsetX / c.clientWidth * (view[1] - view[0]);
+  for (let k = Math.max(0, Math.floor(a * D.rate / z.every)); k < z.floor.length && x(k) <= w; k++) { g.lineTo(x(k), y(z.floor[k])); g.lineTo(x(k), y(z.roof[k])); }
+  g.stroke(); g.fillStyle = "#333"; g.fillText(`${a.toFixed(2)} s`, 4, h - 4); g.fillText(`${b.toFixed(2)} s`, w - 60, h - 4); return s; }
+let spots = [];
+function plane() { const { g, w, h } = sheet("manifold-canvas"), [nx, ny] = D.space.grid, put = (u, v) => [12 + u * (w - 24), h - 12 - v * (h - 24)];
+  spots = D.states[method].cell.map(([cx, cy, s, n, i]) => ({ at: put((cx + 0.5) / nx, (cy + 0.5) / ny), s, n, i }));
+  for (const p of spots) { g.globalAlpha = Math.min(1, 0.5 + 0.1 * Math.log2(p.n)); g.fillStyle = paint(p.s); g.beginPath(); g.arc(...p.at, 3, 0, 7); g.fill(); }
+  g.globalAlpha = 1; const e = epoch(chosen); if (!e) return;
+  const rel = (v, [a, b]) => (v - a) / (b - a || 1); g.strokeStyle = "#000"; g.lineWidth = 2; g.beginPath(); g.arc(...put(rel(e.xy[0], D.space.x), rel(e.xy[1], D.space.y)), 7, 0, 7); g.stroke(); }
+function spectrum() { const { g, w, h } = sheet("spectrum-canvas"), e = epoch(chosen); if (!e) return;
+  const mean = D.states[method].mean[e.state] || [], top = Math.max(...e.power, ...mean) || 1, end = D.hz[D.hz.length - 1] || 1;
+  for (const [v, c] of [[mean, paint(e.state)], [e.power, "#12303f"]]) { g.strokeStyle = c; g.lineWidth = 1.6; g.beginPath();
+    v.forEach((p, k) => g.lineTo(34 + D.hz[k] / end * (w - 44), h - 22 - p / top * (h - 34))); g.stroke(); }
+  g.fillStyle = "#333"; g.fillText("0 Hz", 30, h - 6); g.fillText(`${end.toFixed(1)} Hz`, w - 50, h - 6); }
+function draw() { D.traces.forEach((t, k) => signal(k ? "emg-canvas" : "eeg-canvas", t, from, to));
+  const { g, w, h } = signal("overview-canvas", D.traces[0], 0, total); g.strokeStyle = "#B80C09"; g.lineWidth = 2;
+  g.strokeRect(from / total * w, 1, Math.max(2, (to - from) / total * w), h - 2); plane(); spectrum();
+  el("where").textContent = `Epoch at ${start(chosen).toFixed(2)} s, ${method} state ${stateOf(chosen)}`; }
+function show(a, n) { n = Math.min(Math.max(n, 4 / D.rate), total); from = Math.min(Math.max(a, 0), total - n); to = from + n; draw(); }
+const zoom = (k, at) => show(at - (at - from) * k, (to - from) * k), middle = () => (from + to) / 2;
+function choose(i, follow) { chosen = Math.min(Math.max(i, 0), D.epochs - 1); const c = centre(chosen), n = to - from;
+  if (follow && (c < from || c > to)) show(c - n / 2, n); else draw(); }
+for (const id of ["eeg-canvas", "emg-canvas"]) { const c = el(id); if (!c) continue; let held = null;
+  const time = e => from + e.offsetX / c.clientWidth * (to - from);
   c.onwheel = e => { e.preventDefault(); zoom(e.deltaY < 0 ? 0.75 : 1.35, time(e)); };
-  c.onpointerdown = e => { grab = [e.offsetX, ...view]; c.setPointerCapture(e.pointerId); };
-  c.onpointermove = e => { if (grab) { const d = (grab[0] - e.offsetX) / c.clientWidth * (grab[2] - grab[1]); clampView(grab[1] + d, grab[2] + d); } };
-  c.onpointerup = () => { grab = null; }; c.ondblclick = e => pick(firstEpoch(time(e)), false); }
-$("overview-canvas").onclick = e => { const t = e.offsetX / e.target.clientWidth * S.duration_sec, n = (view[1] - view[0]) / 2; clampView(t - n, t + n); };
-$("manifold-canvas").onclick = e => { let best = -1, near = 18 * 18;
-  dots.forEach((p, i) => { const d = (p[0] - e.offsetX) ** 2 + (p[1] - e.offsetY) ** 2; if (d <= near) { near = d; best = i; } }); if (best >= 0) pick(best, true); };
-$("method").onchange = e => { method = e.target.value; draw(); };
-$("zoom-in").onclick = () => zoom(0.75, middle()); $("zoom-out").onclick = () => zoom(1.35, middle());
-$("reset").onclick = () => clampView(0, S.duration_sec);
-$("prev").onclick = () => pick(picked - 1, true); $("next").onclick = () => pick(picked + 1, true);
+  c.onpointerdown = e => { held = { x: e.offsetX, from }; c.setPointerCapture(e.pointerId); };
+  c.onpointermove = e => { if (held) show(held.from + (held.x - e.offsetX) / c.clientWidth * (to - from), to - from); };
+  c.onpointerup = () => { held = null; }; c.ondblclick = e => choose(Math.floor(time(e) / D.hop), false); }
+el("overview-canvas").onclick = e => { const n = to - from; show(e.offsetX / e.target.clientWidth * total - n / 2, n); };
+el("manifold-canvas").onclick = e => { const away = p => (p.at[0] - e.offsetX) ** 2 + (p.at[1] - e.offsetY) ** 2;
+  const near = spots.reduce((a, b) => a && away(a) <= away(b) ? a : b, null); if (near && away(near) <= 324) choose(near.i, true); };
+el("method").onchange = e => { method = e.target.value; draw(); };
+el("zoom-in").onclick = () => zoom(0.75, middle()); el("zoom-out").onclick = () => zoom(1.35, middle());
+el("reset").onclick = () => show(0, total); el("prev").onclick = () => choose(chosen - 1, true); el("next").onclick = () => choose(chosen + 1, true);
 window.onresize = draw; draw();
 </script></body></html>
 """
 
 
-def write_session_view(result, tables: dict, n_windows: int, methods: list[str], path: Path) -> Path:
-    payload = session_payload(result, tables, n_windows, methods)
-    text = json.dumps(payload, ensure_ascii=False, separators=(",", ":")).replace("</", "<\\/")
-    page = PAGE.replace("@TITLE@", escape(str(payload["session_name"]))).replace("@PAYLOAD@", text)
-    path.write_text(page, encoding="utf-8")
-    return path
+def page_text(data: dict) -> str:
+    return PAGE.replace("@TITLE@", escape(str(data["title"]))).replace("@DATA@", compact(data))
