@@ -42,7 +42,7 @@ from statewave.llm.text import doc_bucket, plain
 #: A and B above: the best of 12 pairs on held-out documents.
 PAIRS, SINGLES = 0.01, 2.0
 BYTES_PER_SHARD = 12_000_000
-TOKENS_PER_BLOCK = 1_000_000
+TOKENS_PER_BLOCK = 700_000
 TEXTS_PER_BLOCK = 60_000
 #: A word with more tokens than this is dealt by word and context.
 FREQUENT = 300_000
@@ -138,7 +138,7 @@ def token_blocks(batches: Iterator[pa.RecordBatch], shards: int, totals: Totals)
         serial += 1
         word, count = np.concatenate(words), np.concatenate(counts)
         n = len(count)
-        text = np.repeat(np.arange(n), count + 1)
+        text = np.repeat(np.arange(n, dtype=np.uint16), count + 1)  # at most TEXTS_PER_BLOCK
         ends = np.cumsum(count + 1) - 1
         inner = np.ones(len(text), dtype=bool)
         inner[ends] = False
@@ -152,9 +152,10 @@ def token_blocks(batches: Iterator[pa.RecordBatch], shards: int, totals: Totals)
         context = mix(context + token * np.uint64(0x9E3779B97F4A7C15))
         before = (mix(before + context * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
         context &= CONTEXT_MASK
-        shard = shard_of(np.where(totals.place(token) >= 0, token ^ (context << np.uint64(20)), token), shards)
+        shard = shard_of(np.where(totals.place(token) >= 0, token ^ (context << np.uint64(20)), token), shards).astype(np.int32)
         order = np.lexsort((before, context, token, shard))
         token, context, before, shard, text = token[order], context[order], before[order], shard[order], text[order]
+        del order, inner
         learning = np.packbits(~np.array(held_out, dtype=bool)).tobytes()
         about = [pa.array(ids, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(count + 1, pa.int64())]
         about = pa.RecordBatch.from_arrays(about, names=["doc_id", "held_out", "n_tokens"]).serialize().to_pybytes()

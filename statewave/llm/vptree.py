@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from statewave.llm.store import saved
 from statewave.llm.text import plain
 
-LEAF = 64
+LEAF = 512
 #: Rows tried as vantage of a node, and rows that they are tried on.
 TRIED, TRIED_ON = 6, 128
 ROWS_PER_SHARD = 16_384

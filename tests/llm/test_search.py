@@ -169,8 +169,9 @@ def test_slack_keeps_recall():
     assert len(exact) == 1000 and len(pairs(exact) & pairs(loose)) >= 900
 
 
-def test_trees_prune():
+def test_trees_prune(monkeypatch):
     """An exact search of clustered vectors leaves part of a shard out, a relaxed one more."""
+    monkeypatch.setattr(vptree, "LEAF", 64)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(30, 32))[rng.integers(0, 30, 6000)] + 0.1 * rng.normal(size=(6000, 32))
     ids, largest = np.arange(len(x)), np.linalg.norm(x, axis=1).max()
