@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 
-class _Ward:
+class Ward:
     """Distances from centroids and sizes, so memory stays linear in the rows."""
 
-    def __init__(self, x: np.ndarray):
-        self.centre, self.size = x.copy(), np.ones(len(x))
+    def __init__(self, x: np.ndarray, size: np.ndarray | None = None):
+        self.centre, self.size = x.copy(), np.ones(len(x)) if size is None else size.astype(float)
 
     def row(self, i: int) -> np.ndarray:
         gap = self.centre - self.centre[i]
@@ -22,12 +22,11 @@ class _Ward:
         self.size[j] = total
 
 
-class _Pairwise:
+class Pairwise:
     """Average and complete linkage on a full distance matrix."""
 
-    def __init__(self, x: np.ndarray, method: str):
-        self.d = np.stack([np.sqrt(((x - r) ** 2).sum(axis=1)) for r in x])
-        self.size, self.mean = np.ones(len(x)), method == "average"
+    def __init__(self, d: np.ndarray, method: str, size: np.ndarray | None = None):
+        self.d, self.size, self.mean = d, np.ones(len(d)) if size is None else size.astype(float), method == "average"
 
     def row(self, i: int) -> np.ndarray:
         return self.d[i].copy()
@@ -42,13 +41,12 @@ class _Pairwise:
         self.size[j] += self.size[i]
 
 
-def merges(x: np.ndarray, method: str) -> list[tuple[float, int, int]]:
-    """All merges as (height, row, row), lowest first, by following nearest-neighbour chains."""
-    work = _Ward(x) if method == "ward" else _Pairwise(x, method)
-    alive = np.ones(len(x), dtype=bool)
+def merges_of(work: Ward | Pairwise, n: int) -> list[tuple[float, int, int]]:
+    """All merges of ``n`` clusters as (height, kept, absorbed), lowest first, by nearest-neighbour chains."""
+    alive = np.ones(n, dtype=bool)
     chain: list[int] = []
     out = []
-    for _ in range(len(x) - 1):
+    for _ in range(n - 1):
         if not chain:
             chain.append(int(alive.argmax()))
         while True:
@@ -68,6 +66,55 @@ def merges(x: np.ndarray, method: str) -> list[tuple[float, int, int]]:
     return sorted(out, key=lambda m: m[0])
 
 
+def distances(x: np.ndarray) -> np.ndarray:
+    return np.stack([np.sqrt(((x - r) ** 2).sum(axis=1)) for r in x])
+
+
+def merges(x: np.ndarray, method: str) -> list[tuple[float, int, int]]:
+    """All merges of rows."""
+    return merges_of(Ward(x) if method == "ward" else Pairwise(distances(x), method), len(x))
+
+
+def in_tree_order(clusters: list[tuple], joins: list[tuple[int, int]]) -> list[int]:
+    """Numbers of clusters in the order of the tree that joins them.
+
+    ``clusters`` are sort keys (single rows before merged ones), ``joins`` pairs of clusters, each
+    standing for all it was joined with, lowest first. Of a join's two sides the branches come
+    first, then single clusters, the smaller key first; a join's key is above all before.
+    """
+    top = list(range(len(clusters)))
+    parent = list(range(len(clusters)))
+    children: dict[int, tuple[int, int]] = {}
+    key: dict[int, tuple] = dict(enumerate(clusters))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for step, (i, j) in enumerate(joins):
+        i, j = find(i), find(j)
+        node = len(clusters) + step
+        children[node] = tuple(sorted((top[i], top[j]), key=lambda v: key[v]))
+        key[node] = (2, step)
+        parent[j], top[i] = i, node
+    numbers: list[int] = []
+    stack: list[tuple[int, bool]] = [(top[find(0)], False)]
+    while stack:
+        node, singles = stack.pop()
+        if singles:
+            numbers += [c for c in children[node] if c in range(len(clusters)) and clusters[c][0] == 0]
+        elif node < len(clusters):
+            numbers.append(node)
+        else:
+            stack.append((node, True))
+            stack.extend((c, False) for c in reversed(children[node]) if c >= len(clusters) or clusters[c][0] == 1)
+    out = [0] * len(clusters)
+    for number, c in enumerate(numbers):
+        out[c] = number
+    return out
+
+
 def flat_clusters(x: np.ndarray, k: int, method: str) -> np.ndarray:
     """At most ``k`` clusters, numbered from 0 in dendrogram order."""
     n = len(x)

@@ -1,8 +1,7 @@
-"""Low-dimensional embeddings: PCA from a distributed covariance, diffusion maps, UMAP."""
+"""Low-dimensional embeddings: PCA from a distributed covariance and diffusion maps."""
 
 from __future__ import annotations
 
-import importlib.util
 from dataclasses import dataclass, field
 from typing import Iterator
 
@@ -14,12 +13,10 @@ from pyspark.sql import functions as F
 
 from statewave.config import ManifoldConfig
 from statewave.functions.arrays import list_column, rows_of
+from statewave.operators import kernel
 from statewave.operators.blocks import REC, Blocks, sum_vectors
-from statewave.operators.kmeans import explode_labels, sq_distances
-from statewave.session import cut_lineage
-
-# Largest recording whose full kernel matrix one task may hold.
-MAX_KERNEL_ROWS = 8192
+from statewave.operators.kmeans import explode_labels
+from statewave.session import cut_lineage, maybe_broadcast
 
 
 @dataclass
@@ -103,57 +100,89 @@ def _wide(coords: DataFrame, c: int) -> DataFrame:
         REC, "window_index", *[F.col("row")[i].alias(f"dim_{i + 1}") for i in range(c)])
 
 
-def gaussian_kernel(x: np.ndarray, epsilon: float | None) -> tuple[np.ndarray, float]:
-    """Kernel matrix and its width: given, or the median positive squared distance."""
-    d = sq_distances(x, x)
-    if epsilon is None:
-        positive = d[d > 0]
-        epsilon = float(np.median(positive)) if positive.size else 1.0
-    epsilon = max(epsilon, 1e-6)
-    return np.exp(-d / epsilon), epsilon
-
-
-def diffusion_coordinates(x: np.ndarray, n_components: int, epsilon: float | None):
-    """Coordinates and eigenvalues of the random walk with a Gaussian kernel."""
-    kernel, _ = gaussian_kernel(x, epsilon)
-    root = np.sqrt(np.maximum(kernel.sum(axis=1), 1e-12))
-    # the walk matrix is similar to a symmetric one: same spectrum, rescaled eigenvectors
-    w, v = np.linalg.eigh(kernel / np.outer(root, root))
-    pick = np.argsort(-w, kind="stable")[1: n_components + 1]
-    psi = v[:, pick] / root[:, None]
-    psi = _fixed_signs(psi / np.linalg.norm(psi, axis=0))
-    return psi * w[pick], w[pick]
-
-
-def _one_task(blocks: Blocks, name: str, embed) -> tuple[DataFrame, DataFrame]:
-    """Run ``embed(matrix) -> coordinates, eigenvalues`` on recordings of bounded length."""
+def kernel_row_sums(blocks: Blocks, epsilon: float | None = None) -> DataFrame:
+    """``recording_id, window_index, epsilon, row_sum`` of the diffusion kernel."""
     width = blocks.width
-    longest = blocks.lengths.agg(F.max("n_rows")).first()[0]
-    if longest > MAX_KERNEL_ROWS:
-        raise ValueError(f"{name} takes at most {MAX_KERNEL_ROWS} windows per recording, "
-                         f"got {longest}. Use method 'pca' for longer recordings.")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        x = np.concatenate([np.asarray(v) for v in pdf["x"]]).reshape(-1, width)
-        coords, values = embed(x)
-        return pd.DataFrame({REC: [pdf[REC].iloc[0]], "start_idx": [0], "e": [coords.ravel()],
-                             "eigenvalues": [values]})
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.asarray(pdf["x"].iloc[0]).reshape(-1, width)
+        scale = max(kernel.median_of(x) if epsilon is None else epsilon, 1e-6)
+        sums = kernel.kernel_times(x, [x], [np.ones((len(x), 1))], scale)
+        return pd.DataFrame({REC: [pdf[REC].iloc[0]], "start_idx": [0], "e": [sums.ravel()], "epsilon": [scale]})
+
+    frame = blocks.short().df.select(REC, "x").groupBy(REC).applyInPandas(
+        measure, f"{REC} string, start_idx bigint, e array<double>, epsilon double")
+    if blocks.n_long:
+        long = blocks.long()
+        scales = kernel.widths(long, epsilon)
+        sums = kernel.long_row_sums(long, scales).join(maybe_broadcast(scales, long.n_recordings, 64), REC)
+        frame = frame.unionByName(sums.select(REC, (F.col("block") * blocks.size).alias("start_idx"),
+                                              F.col("row_sum").alias("e"), "epsilon"))
+    return frame.select(REC, "epsilon", "start_idx", F.posexplode("e").alias("at", "row_sum")).select(
+        REC, (F.col("start_idx") + F.col("at")).alias("window_index"), "epsilon", "row_sum")
+
+
+def diffusion(blocks: Blocks, n_components: int, epsilon: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Coordinates of the random walk with a Gaussian kernel, and its eigenvalues, for any length.
+
+    A recording with no more than ``n_components`` windows has as many coordinates as eigenvectors
+    beside the constant one; the others are 0.
+    """
+    c, width = n_components, blocks.width
+
+    def embed(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.asarray(pdf["x"].iloc[0]).reshape(-1, width)
+        psi, values, _ = kernel.local_walk(x, c, epsilon)
+        psi = _fixed_signs(psi / np.maximum(np.linalg.norm(psi, axis=0), 1e-300)) * values
+        out = np.zeros((len(x), c))
+        out[:, :psi.shape[1]] = psi
+        return pd.DataFrame({REC: [pdf[REC].iloc[0]], "start_idx": [0], "e": [out.ravel()], "eigenvalues": [values]})
+
+    frame = cut_lineage(blocks.short().df.select(REC, "x").groupBy(REC).applyInPandas(
+        embed, f"{REC} string, start_idx bigint, e array<double>, eigenvalues array<double>"))
+    coords, eigenvalues = frame.select(REC, "start_idx", "e"), frame.select(REC, "eigenvalues")
+    if blocks.n_long:
+        long, more = long_diffusion(blocks.long(), c, epsilon)
+        coords, eigenvalues = coords.unionByName(long), eigenvalues.unionByName(more)
+    return _wide(coords, c), eigenvalues
+
+
+def long_diffusion(blocks: Blocks, c: int, epsilon: float | None) -> tuple[DataFrame, DataFrame]:
+    """The same for recordings of several blocks, as flat arrays per block."""
+    psi, values = kernel.Walk(blocks, c, epsilon).run()
+    psi = cut_lineage(psi)
+
+    def squares(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in batches:
+            yield list_column([(a.reshape(-1, c) ** 2).sum(axis=0) for a in rows_of(col)])
 
-    return cut_lineage(blocks.df.select(REC, "block", "x").groupBy(REC).applyInPandas(
-        run, f"{REC} string, start_idx bigint, e array<double>, eigenvalues array<double>"))
+    def peaks(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        """Per column: largest size, minus its row, its sign; an array of three for each column."""
+        for col, block in batches:
+            out = []
+            for a, b in zip(rows_of(col), block.to_pylist()):
+                a = a.reshape(-1, c)
+                at = np.abs(a).argmax(axis=0)
+                top = a[at, np.arange(c)]
+                out.append(np.stack([np.abs(top), -(at + b * blocks.size), np.where(top < 0, -1.0, 1.0)], axis=1).ravel())
+            yield list_column(out)
 
+    norms = sum_vectors(psi.select(REC, F.arrow_udf(squares, "array<double>")("psi").alias("v")), "v")
+    each = psi.select(REC, F.arrow_udf(peaks, "array<double>")("psi", "block").alias("p")).select(
+        REC, F.explode(F.expr(f"transform(sequence(0, {c - 1}), k -> struct(k, slice(p, 3 * k + 1, 3) as top))")).alias("p"))
+    signs = each.groupBy(REC, F.col("p.k").alias("k")).agg(F.max("p.top").alias("top")).groupBy(REC).agg(
+        F.sort_array(F.collect_list(F.struct("k", F.col("top")[2].alias("sign")))).alias("signs"))
+    factor = F.expr("""transform(sequence(0, size(stats) - 1),
+        k -> signs[k].sign * eigenvalues[k] / sqrt(greatest(stats[k], 1e-300D)))""")
+    state = norms.join(signs, REC).join(values, REC).select(REC, factor.alias("factor"))
 
-def kernel_row_sums(blocks: Blocks, epsilon: float | None = None) -> DataFrame:
-    """``recording_id, window_index, epsilon, row_sum`` of the diffusion kernel."""
-    def measure(x):
-        kernel, width = gaussian_kernel(x, epsilon)
-        return kernel.sum(axis=1, keepdims=True), np.array([width])
+    def scale(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for col, by in batches:
+            yield list_column([(a.reshape(-1, c) * f).ravel() for a, f in zip(rows_of(col), rows_of(by))])
 
-    frame = _one_task(blocks, "Diffusion map", measure)
-    return _wide(frame, 1).join(
-        frame.select(REC, F.col("eigenvalues")[0].alias("epsilon")), REC).select(
-        REC, "window_index", "epsilon", F.col("dim_1").alias("row_sum"))
+    coords = psi.join(maybe_broadcast(state, blocks.n_recordings, 8 * c + 64), REC).select(
+        REC, (F.col("block") * blocks.size).alias("start_idx"), F.arrow_udf(scale, "array<double>")("psi", "factor").alias("e"))
+    return coords, values
 
 
 def manifold(blocks: Blocks, config: ManifoldConfig | None = None) -> Manifold:
@@ -164,16 +193,6 @@ def manifold(blocks: Blocks, config: ManifoldConfig | None = None) -> Manifold:
         return Manifold("pca", "pca", embedding, values, meta)
     if cfg.method not in ("diffusion", "umap"):
         raise ValueError(f"Unknown manifold method: {cfg.method}")
-    if cfg.method == "umap" and importlib.util.find_spec("umap") is not None:
-        def embed(x):
-            import umap
-
-            reducer = umap.UMAP(n_components=c, random_state=42)
-            return np.asarray(reducer.fit_transform(x), dtype=float), np.empty(0)
-
-        frame = _one_task(blocks, "UMAP", embed)
-        return Manifold("umap", "umap", _wide(frame, c), None, meta)
+    embedding, values = diffusion(blocks, c, cfg.diffusion_epsilon)
     used = "diffusion" if cfg.method == "diffusion" else "diffusion_fallback"
-    epsilon = cfg.diffusion_epsilon
-    frame = _one_task(blocks, "Diffusion map", lambda x: diffusion_coordinates(x, c, epsilon))
-    return Manifold(cfg.method, used, _wide(frame, c), frame.select(REC, "eigenvalues"), meta)
+    return Manifold(cfg.method, used, embedding, values, meta)

@@ -484,3 +484,11 @@ SELECT i AS sample_idx, round(eeg, 6) AS eeg, emg FROM sig WHERE i < 200""",
     "transition_edges": HOPS + """
 SELECT from_state, to_state, n, round(probability, 6) AS probability FROM tr WHERE probability >= 0.3""",
 }
+
+# The same results from recordings cut into many blocks.
+ORACLES |= {many: ORACLES[one] for many, one in {
+    "filter_bandpass_blocks": "filter_bandpass", "filter_notch_blocks": "filter_notch",
+    "lloyd_step_blocks": "lloyd_step", "kmeans_inertia_blocks": "kmeans_inertia",
+    "gmm_em_step_blocks": "gmm_em_step", "hmm_forward_blocks": "hmm_forward_likelihood",
+    "hmm_viterbi_blocks": "hmm_viterbi", "pca_covariance_blocks": "pca_covariance",
+    "diffusion_kernel_blocks": "diffusion_kernel"}.items()}

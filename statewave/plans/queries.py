@@ -34,6 +34,8 @@ MODEL_STAY, MODEL_MOVE = 0.8, 0.1
 # Filters of the per-user filter queries, inside the 5 Hz Nyquist limit of the events.
 QUERY_BAND = (0.5, 4.0)
 QUERY_NOTCH, QUERY_QUALITY = 2.5, 30.0
+# Block sizes of the queries named *_blocks: they run what recordings of many blocks run.
+FEW_ROWS, FEW_STEPS, FEW_SAMPLES = 48, 16, 28
 
 
 def r(column, digits: int = 6):
@@ -56,8 +58,8 @@ def embeddings(spark: SparkSession, d: str) -> DataFrame:
                     *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(EMB)])
 
 
-def embedding_blocks(spark: SparkSession, d: str) -> B.Blocks:
-    return B.feature_blocks(embeddings(spark, d), "window_index", EMB)
+def embedding_blocks(spark: SparkSession, d: str, size: int = B.ROW_BLOCK) -> B.Blocks:
+    return B.feature_blocks(embeddings(spark, d), "window_index", EMB, size)
 
 
 def embedding_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -114,12 +116,12 @@ def signal_by_user(spark, d):
     return rounded(events_signal(spark, d, by="user"), ["eeg"])
 
 
-def _user_filter(spark, d, flt):
+def _user_filter(spark, d, flt, size=B.SIGNAL_BLOCK):
     s = B.cut_lineage(events_signal(spark, d, by="user"))
     lengths = B.cut_lineage(B.recording_lengths(s))
     n, top = lengths.agg(F.count(F.lit(1)), F.max("n_rows")).first()
-    packed = B.cut_lineage(B.signal_blocks(s, lengths, n))
-    out = filters.apply_filters(packed, {"eeg": [flt]}, max(top // B.SIGNAL_BLOCK, 1), B.cut_lineage)
+    packed = B.cut_lineage(B.signal_blocks(s, lengths, n, size))
+    out = filters.apply_filters(packed, {"eeg": [flt]}, max(top // size, 1), B.cut_lineage)
     return out.select(REC, "start_idx", F.posexplode("eeg").alias("i", "v")).select(
         REC, (F.col("start_idx") + F.col("i")).alias("sample_idx"), r("v", 5).alias("eeg"))
 
@@ -132,6 +134,14 @@ def filter_notch(spark, d):
     return _user_filter(spark, d, notch_filter(QUERY_NOTCH, QUERY_QUALITY, FS))
 
 
+def filter_bandpass_blocks(spark, d):
+    return _user_filter(spark, d, bandpass_filter(4, *QUERY_BAND, FS), FEW_SAMPLES)
+
+
+def filter_notch_blocks(spark, d):
+    return _user_filter(spark, d, notch_filter(QUERY_NOTCH, QUERY_QUALITY, FS), FEW_SAMPLES)
+
+
 def signal_preprocess(spark, d):
     s = signal(spark, d)
     lengths = B.cut_lineage(B.recording_lengths(s))
@@ -266,28 +276,36 @@ def _one_step(b: B.Blocks) -> DataFrame:
         "c", F.array(F.lit(0.0)), "stats", nothing).alias("n")).select(REC, "n.c")
 
 
-def lloyd_step(spark, d):
-    b = embedding_blocks(spark, d)
+def lloyd_step(spark, d, size=B.ROW_BLOCK):
+    b = embedding_blocks(spark, d, size)
     return _one_step(b).select(F.posexplode("c").alias("p", "value")).select(
         F.floor(F.col("p") / DIMS).cast("bigint").alias("cluster"),
         (F.col("p") % DIMS).cast("bigint").alias("dim"), r("value").alias("value"))
 
 
-def kmeans_inertia(spark, d):
-    b = embedding_blocks(spark, d)
+def lloyd_step_blocks(spark, d):
+    return lloyd_step(spark, d, FEW_ROWS)
+
+
+def kmeans_inertia(spark, d, size=B.ROW_BLOCK):
+    b = embedding_blocks(spark, d, size)
     fits = _first_rows_model(b).select(REC, F.col("centroids").alias("c"))
     return K.best_restart(b, fits, K.Starts((STATES,), (0,), shared=True)).select(
         r("inertia", 4).alias("inertia"))
 
 
-def _gmm_one_step(spark, d) -> tuple[DataFrame, B.Blocks]:
-    b = embedding_blocks(spark, d)
+def kmeans_inertia_blocks(spark, d):
+    return kmeans_inertia(spark, d, FEW_ROWS)
+
+
+def _gmm_one_step(spark, d, size=B.ROW_BLOCK) -> tuple[DataFrame, B.Blocks]:
+    b = embedding_blocks(spark, d, size)
     cfg = ClusterConfig(n_clusters=STATES, gmm_iterations=1)
     return G.gmm(b, _first_rows_model(b), cfg).model, b
 
 
-def gmm_em_step(spark, d):
-    model, _ = _gmm_one_step(spark, d)
+def gmm_em_step(spark, d, size=B.ROW_BLOCK):
+    model, _ = _gmm_one_step(spark, d, size)
     both = F.arrays_zip(F.col("means").alias("mean"), F.col("variances").alias("variance"))
     return model.select("weights", F.posexplode(both).alias("p", "v")).select(
         F.floor(F.col("p") / DIMS).cast("bigint").alias("component"),
@@ -296,6 +314,10 @@ def gmm_em_step(spark, d):
         r("v.mean").alias("mean"), r("v.variance").alias("variance"))
 
 
+def gmm_em_step_blocks(spark, d):
+    return gmm_em_step(spark, d, FEW_ROWS)
+
+
 def gmm_information_criteria(spark, d):
     model, _ = _gmm_one_step(spark, d)
     return rounded(model.select("log_likelihood", "aic", "bic"), ["log_likelihood", "aic", "bic"], 3)
@@ -364,10 +386,10 @@ def label_relabel(spark, d):
 
 # --- hidden Markov models -----------------------------------------------------------------
 
-def _user_model(spark, d) -> tuple[B.Blocks, DataFrame, M.Family]:
+def _user_model(spark, d, size=B.ROW_BLOCK) -> tuple[B.Blocks, DataFrame, M.Family]:
     raw = B.cut_lineage(events_signal(spark, d, by="user"))
     s = scaling.zscore_signal(raw, ["eeg"], raw.select(REC).distinct().count())
-    b = B.feature_blocks(s, "sample_idx", ["eeg"])
+    b = B.feature_blocks(s, "sample_idx", ["eeg"], size)
     fam = M.Family((STATES,), 1)
     a = np.full((1, STATES, STATES), MODEL_MOVE) + np.eye(STATES) * (MODEL_STAY - MODEL_MOVE)
     p = fam.pack(np.full((1, STATES), 1.0 / STATES), a, np.array(MODEL_MEANS).reshape(1, STATES, 1),
@@ -381,17 +403,25 @@ def hmm_log_emission(spark, d):
         REC, F.col("window_index").alias("sample_idx"), "state", r("log_density").alias("log_density"))
 
 
-def hmm_forward_likelihood(spark, d):
-    b, p, fam = _user_model(spark, d)
+def hmm_forward_likelihood(spark, d, size=B.ROW_BLOCK):
+    b, p, fam = _user_model(spark, d, size)
     return rounded(M.log_likelihood(b, p, fam).drop("n_states"), ["log_likelihood"], 5)
 
 
-def hmm_viterbi(spark, d):
-    b, p, fam = _user_model(spark, d)
+def hmm_forward_blocks(spark, d):
+    return hmm_forward_likelihood(spark, d, FEW_STEPS)
+
+
+def hmm_viterbi(spark, d, size=B.ROW_BLOCK):
+    b, p, fam = _user_model(spark, d, size)
     return M.decode(b, p, fam).select(REC, F.col("window_index").alias("sample_idx"),
                                       F.col("hidden_state").alias("state"))
 
 
+def hmm_viterbi_blocks(spark, d):
+    return hmm_viterbi(spark, d, FEW_STEPS)
+
+
 def _level(spark, d) -> DataFrame:
     """A coarse state per sample of the whole signal."""
     return signal(spark, d).select(REC, "sample_idx", F.when(F.col("eeg") < 20, 0).when(
@@ -435,19 +465,27 @@ def hmm_fit_compare(spark, d):
 
 # --- embeddings ---------------------------------------------------------------------------
 
-def pca_covariance(spark, d):
-    cov = P.covariance(embedding_blocks(spark, d))
+def pca_covariance(spark, d, size=B.ROW_BLOCK):
+    cov = P.covariance(embedding_blocks(spark, d, size))
     return cov.select(F.posexplode("cov").alias("p", "value")).select(
         F.floor(F.col("p") / DIMS).cast("bigint").alias("i"),
         (F.col("p") % DIMS).cast("bigint").alias("j"), r("value", 8).alias("value"))
 
 
+def pca_covariance_blocks(spark, d):
+    return pca_covariance(spark, d, FEW_ROWS)
+
+
 def pca_embedding(spark, d):
     return P.pca(feature_matrix(spark, d), 2)[0]
 
 
-def diffusion_kernel(spark, d):
-    return rounded(P.kernel_row_sums(embedding_blocks(spark, d)).drop(REC), ["epsilon", "row_sum"])
+def diffusion_kernel(spark, d, size=B.ROW_BLOCK):
+    return rounded(P.kernel_row_sums(embedding_blocks(spark, d, size)).drop(REC), ["epsilon", "row_sum"])
+
+
+def diffusion_kernel_blocks(spark, d):
+    return diffusion_kernel(spark, d, FEW_ROWS)
 
 
 def diffusion_embedding(spark, d):
@@ -609,6 +647,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         split_candidates, best_split, f1_thresholds, tree_stump_predictions, tree_stump_fidelity,
         tree_nodes, tree_thresholds, minmax_pyramid, quantised_signal, feature_histograms,
         feature_box_stats, threshold_summary, threshold_pivot, method_metrics, top_windows,
-        signal_opening, window_stride, transition_edges,
+        signal_opening, window_stride, transition_edges, filter_bandpass_blocks,
+        filter_notch_blocks, lloyd_step_blocks, kmeans_inertia_blocks, gmm_em_step_blocks,
+        hmm_forward_blocks, hmm_viterbi_blocks, pca_covariance_blocks, diffusion_kernel_blocks,
     )
 }
