@@ -1,8 +1,9 @@
 """Gaussian kernels of recordings of any length, tile by tile, and the walks they define.
 
-No kernel is ever stored: a pass over a recording computes its distances anew, in tiles of a block
-and a band of blocks, and sums up what the pass asks for. Recordings of one block run the same
-steps within a task.
+No kernel is ever stored: a pass over a recording computes its distances anew, in tiles of two
+groups of blocks, each pair of groups once, and sums up what the pass asks for. Groups grow with
+the recording up to a bound, so a row travels to few tiles however small the blocks are.
+Recordings of one block run the same steps within a task.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from statewave.functions.arrays import list_column, rows_of
 from statewave.operators.blocks import REC, Blocks, sum_vectors
 from statewave.session import cut_lineage, maybe_broadcast
 
-#: Blocks that meet one other block in a task, rows of a tile at a time, bits of a digit.
-BAND, STRIP, DIGIT = 16, 256, 16
+#: Groups of a recording up to 12 * SIDE rows, most rows of a group, parts added up in a task.
+GROUPS, SIDE, BAND = 12, 32768, 16
+#: Rows of a tile at a time, and columns, bits of a digit.
+STRIP, CHUNK, DIGIT = 256, 4096, 16
 #: Columns beside the wanted ones, largest degree, largest spread of one filtering, residual, most filterings.
 EXTRA, DEGREE, SPREAD, RESIDUAL, MOST_ROUNDS = 8, 10, 1e5, 1e-10, 200
 
@@ -59,57 +62,78 @@ def median_of(x: np.ndarray) -> float:
     return float(np.median(d)) if len(d) else 1.0
 
 
-def banded(blocks: Blocks, columns: DataFrame | None, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-           schema: str, state: DataFrame | None = None, state_bytes: int = 64) -> DataFrame:
-    """``fn(one block, a band of blocks)`` for every block and band of its recording.
+def group_blocks(blocks: Blocks) -> int:
+    """Blocks of a group: one side of a tile."""
+    rows = min(SIDE, -(-blocks.max_blocks * blocks.size // GROUPS))
+    return max(1, rows // blocks.size)
 
-    ``columns`` (recording, block, ...) come beside ``x``; ``state`` has a row per recording.
+
+def tiled(blocks: Blocks, columns: DataFrame | None, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+          schema: str, state: DataFrame | None = None, state_bytes: int = 64) -> DataFrame:
+    """``fn(blocks of a group, blocks of the same or a later group)`` for every two groups of a recording.
+
+    ``columns`` (recording, block, ...) come beside ``x``; ``state`` has a row per recording. The
+    number of the group is ``side``.
     """
     df = blocks.df if columns is None else blocks.df.join(columns, [REC, "block"])
     if state is not None:
         df = df.join(maybe_broadcast(state, blocks.n_recordings, state_bytes), REC)
-    last = F.expr(f"int((n_rows - 1) div {blocks.size})")
-    own = df.select("*", F.col("block").cast("int").alias("i"), F.explode(
-        F.sequence(F.lit(0), F.expr(f"int((n_rows - 1) div {blocks.size} div {BAND})"))).alias("band"), F.lit(True).alias("own"))
-    others = df.select("*", F.explode(F.sequence(F.lit(0), last)).alias("i"),
-                       F.expr(f"int(block div {BAND})").alias("band"), F.lit(False).alias("own"))
+    group = group_blocks(blocks)
+    groups = -(-blocks.max_blocks // group)
+    # a tile costs far more than its bytes suggest: ask for tasks by tiles, not by size
+    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(shuffle, min(blocks.n_recordings * groups * (groups + 1) // 2, 1024))
+    dealt = df.withColumn("side", F.expr(f"int(block div {group})")).withColumn("other", F.explode(
+        F.sequence(F.lit(0), F.expr(f"int((n_rows - 1) div {blocks.size} div {group})"))))
+    dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fn(pdf[pdf["own"]].iloc[0], pdf[~pdf["own"]].sort_values("block"))
+        pdf = pdf.sort_values("block")
+        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
+        return fn(pdf[pdf["side"] == i], pdf[pdf["side"] == j])
+
+    return dealt.repartition(tasks, REC, "i", "j").groupBy(REC, "i", "j").applyInPandas(run, schema)
 
-    return own.unionByName(others).groupBy(REC, "i", "band").applyInPandas(run, schema)
 
+def stacked(rows: pd.Series, width: int) -> np.ndarray:
+    return np.concatenate([np.asarray(v, dtype=float) for v in rows]).reshape(-1, width)
 
-def matrices(rows: pd.Series, width: int) -> list[np.ndarray]:
-    return [np.asarray(v, dtype=float).reshape(-1, width) for v in rows]
+
+def chunks(x: np.ndarray) -> list[np.ndarray]:
+    return [x[at:at + CHUNK] for at in range(0, len(x), CHUNK)]
 
 
 def median_distances(blocks: Blocks) -> DataFrame:
     """``recording_id, epsilon``: the median of all positive squared distances, exactly.
 
     The order of positive doubles is that of their bits, so four passes settle the two middle
-    values, 16 bits each, from the numbers of distances by those bits.
+    values, 16 bits each, from the numbers of distances by those bits. Distances between two
+    groups count twice, as those within a group do.
     """
     width, digits = blocks.width, 1 << DIGIT
 
     def count(step: int) -> Callable[[pd.Series, pd.DataFrame], pd.DataFrame]:
-        def run(own: pd.Series, band: pd.DataFrame) -> pd.DataFrame:
-            [x] = matrices([own["x"]], width)
+        def run(own: pd.DataFrame, band: pd.DataFrame) -> pd.DataFrame:
+            one = own.iloc[0]
+            both = one["low"] == one["high"]
             n = np.zeros((2, digits), dtype=np.int64)
-            for _, _, d in strips(x, matrices(band["x"], width)):
+            for _, _, d in strips(stacked(own["x"], width), chunks(stacked(band["x"], width))):
                 bits = d[d > 0].view(np.uint64)
-                for side, prefix in enumerate((own["low"], own["high"])):
+                for side, prefix in enumerate((one["low"], one["high"])[:1 if both else 2]):
                     here = bits if step == 0 else bits[bits >> np.uint64(64 - DIGIT * step) == np.uint64(prefix)]
                     here = (here >> np.uint64(64 - DIGIT * (step + 1))) & np.uint64(digits - 1)
                     n[side] += np.bincount(here.astype(np.int64), minlength=digits)
+            if both:
+                n[1] = n[0]
             side, digit = np.nonzero(n)
-            return pd.DataFrame({REC: own[REC], "side": side, "digit": digit, "n": n[side, digit]})
+            times = 1 if one["side"] == band["side"].iloc[0] else 2
+            return pd.DataFrame({REC: one[REC], "side": side, "digit": digit, "n": times * n[side, digit]})
         return run
 
     zero = F.lit(0).cast("bigint")
     state = blocks.lengths.select(REC, zero.alias("low"), zero.alias("high"), zero.alias("rank_low"), zero.alias("rank_high"))
     for step in range(64 // DIGIT):
-        found = banded(blocks, None, count(step), f"{REC} string, side int, digit bigint, n bigint", state).groupBy(
+        found = tiled(blocks, None, count(step), f"{REC} string, side int, digit bigint, n bigint", state).groupBy(
             REC, "side", "digit").agg(F.sum("n").alias("n"))
         side = Window.partitionBy(REC, "side")  # at most 2^16 digits
         found = found.withColumn("upto", F.sum("n").over(side.orderBy("digit"))).withColumn("total", F.sum("n").over(side))
@@ -132,30 +156,40 @@ def median_distances(blocks: Blocks) -> DataFrame:
     return blocks.lengths.select(REC).join(found, REC, "left").select(REC, F.coalesce("epsilon", F.lit(1.0)).alias("epsilon"))
 
 
-def total_rows(parts: DataFrame) -> DataFrame:
-    """Sums of the flat arrays of each block: ``recording_id, block, v``."""
+def total_rows(parts: DataFrame, groups: int) -> DataFrame:
+    """Sums of the flat arrays of each block, one for each group: ``recording_id, block, v``."""
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[:1].assign(v=[np.sum(np.stack(pdf["v"].to_list()), axis=0)])
 
     schema = f"{REC} string, block bigint, v array<double>"
-    some = parts.withColumn("part", F.expr(f"band div {BAND}")).groupBy(REC, "block", "part").applyInPandas(
-        lambda pdf: add(pdf)[[REC, "block", "part", "v"]], f"{REC} string, block bigint, part bigint, v array<double>")
-    return some.groupBy(REC, "block").applyInPandas(lambda pdf: add(pdf)[[REC, "block", "v"]], schema)
+    if groups > BAND:
+        parts = parts.withColumn("part", F.expr(f"band div {BAND}")).groupBy(REC, "block", "part").applyInPandas(
+            lambda pdf: add(pdf)[[REC, "block", "part", "v"]], f"{REC} string, block bigint, part bigint, v array<double>")
+    return parts.groupBy(REC, "block").applyInPandas(lambda pdf: add(pdf)[[REC, "block", "v"]], schema)
 
 
 def applied(blocks: Blocks, vectors: DataFrame, scales: DataFrame, columns: int) -> DataFrame:
     """``recording_id, block, v``: the kernel times the ``vectors`` of all blocks, row-major."""
     width = blocks.width
 
-    def tile(own: pd.Series, band: pd.DataFrame) -> pd.DataFrame:
-        [x] = matrices([own["x"]], width)
-        out = kernel_times(x, matrices(band["x"], width), matrices(band["v"], columns), own["epsilon"])
-        return pd.DataFrame({REC: [own[REC]], "block": [own["block"]], "band": [own["band"]], "v": [out.ravel()]})
-
-    parts = banded(blocks, vectors, tile, f"{REC} string, block bigint, band int, v array<double>", scales)
-    if blocks.max_blocks <= BAND:  # one band, nothing to add up
-        return parts.select(REC, "block", "v")
-    return total_rows(parts)
+    def tile(own: pd.DataFrame, band: pd.DataFrame) -> pd.DataFrame:
+        epsilon, i, j = own["epsilon"].iloc[0], own["side"].iloc[0], band["side"].iloc[0]
+        x, v = stacked(own["x"], width), stacked(own["v"], columns)
+        ys, us = ([chunks(stacked(band[c], k)) for c, k in (("x", width), ("v", columns))])
+        out, back = np.zeros((len(x), columns)), [np.zeros(u.shape) for u in us]
+        for rows, k, d in strips(x, ys):
+            near = np.exp(np.divide(d, -epsilon, out=d), out=d)
+            out[rows] += near @ us[k]
+            if i != j:
+                back[k] += near.T @ v[rows]
+        found = [(own, j, out)] + ([(band, i, np.concatenate(back))] if i != j else [])
+        return pd.concat([pd.DataFrame({
+            REC: rows[REC], "block": rows["block"], "band": other,
+            "v": [part.ravel() for part in np.split(total, np.cumsum([len(x) // width for x in rows["x"]])[:-1])]})
+            for rows, other, total in found])
+
+    parts = tiled(blocks, vectors, tile, f"{REC} string, block bigint, band int, v array<double>", scales)
+    return total_rows(parts, -(-blocks.max_blocks // group_blocks(blocks)))
 
 
 def widths(blocks: Blocks, epsilon: float | None) -> DataFrame:

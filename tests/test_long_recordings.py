@@ -97,3 +97,13 @@ def test_tree_order():
     clusters = [(0, 4), (1, 0.5, 1), (1, 0.2, 0), (0, 9)]
     assert linkage.in_tree_order(clusters, [(0, 3), (1, 2), (0, 1)]) == [0, 3, 2, 1]
     assert linkage.in_tree_order([(1, 3.0, 0)], []) == [0]
+
+
+def test_tiles_take_few_copies(spark, rng):
+    """However small the blocks, a row travels to a bounded number of tiles, and every pair meets once."""
+    packed_ = packed(spark, {"a": rng.normal(size=(700, 4))}, 4)  # 175 blocks
+    tiles = kernel.tiled(packed_, None, lambda own, band: own.iloc[:1].assign(
+        pairs=len(own) * len(band), rows=len(own) + len(band))[["i", "j", "pairs", "rows"]],
+        "i int, j int, pairs long, rows long").toPandas()
+    assert tiles["rows"].sum() <= 16 * 175
+    assert (tiles["pairs"] * np.where(tiles["i"] == tiles["j"], 1, 2)).sum() == 175 ** 2
