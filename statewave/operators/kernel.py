@@ -2,7 +2,7 @@
 
 No kernel is ever stored: a pass over a recording computes its distances anew, in tiles of two
 groups of blocks, each pair of groups once, and sums up what the pass asks for. Groups grow with
-the recording up to a bound, so a row travels to few tiles however small the blocks are.
+the recording up to a bound and are packed once; a tile reads its two groups where they lie.
 Recordings of one block run the same steps within a task.
 """
 
@@ -20,8 +20,8 @@ from statewave.functions.arrays import list_column, rows_of
 from statewave.operators.blocks import REC, Blocks, sum_vectors
 from statewave.session import cut_lineage, maybe_broadcast
 
-#: Groups of a recording up to 12 * SIDE rows, most rows of a group, parts added up in a task.
-GROUPS, SIDE, BAND = 12, 32768, 16
+#: Groups of a recording up to 12 * SIDE rows, most rows of a group, parts added up in a task, partitions of groups.
+GROUPS, SIDE, BAND, PARTS = 12, 32768, 16, 48
 #: Rows of a tile at a time, and columns, bits of a digit.
 STRIP, CHUNK, DIGIT = 256, 4096, 16
 #: Columns beside the wanted ones, largest degree, largest spread of one filtering, residual, most filterings.
@@ -68,31 +68,58 @@ def group_blocks(blocks: Blocks) -> int:
     return max(1, rows // blocks.size)
 
 
-def tiled(blocks: Blocks, columns: DataFrame | None, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
-          schema: str, state: DataFrame | None = None, state_bytes: int = 64) -> DataFrame:
+def sides(blocks: Blocks) -> DataFrame:
+    """``recording_id, side, blocks, rows, x``: each group packed in one row, kept for all passes."""
+    grouped = blocks.df.groupBy(REC, F.expr(f"int(block div {group_blocks(blocks)})").alias("side")).agg(
+        F.sort_array(F.collect_list(F.struct("block", "x"))).alias("p"))
+    rows = F.transform("p", lambda p: (F.size(p["x"]) / blocks.width).cast("int"))
+    return cut_lineage(dealt(blocks, grouped.select(
+        REC, "side", F.col("p.block").alias("blocks"), rows.alias("rows"), F.flatten("p.x").alias("x"))))
+
+
+def dealt(blocks: Blocks, packed: DataFrame) -> DataFrame:
+    """Groups one to a partition, or a few if there are more than ``PARTS``."""
+    groups = blocks.n_recordings * -(-blocks.max_blocks // group_blocks(blocks))
+    parts = max(1, min(groups, PARTS))
+    return packed.repartitionById(parts, F.expr(f"int(pmod(hash({REC}) + side, {parts}))"))
+
+
+def tiled(blocks: Blocks, columns: DataFrame | None, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
+          state: DataFrame | None = None, state_bytes: int = 64, packed: DataFrame | None = None) -> DataFrame:
     """``fn(blocks of a group, blocks of the same or a later group)`` for every two groups of a recording.
 
-    ``columns`` (recording, block, ...) come beside ``x``; ``state`` has a row per recording. The
-    number of the group is ``side``.
+    ``columns`` (recording, block, v) come beside ``x``; ``state`` has a row per recording. The
+    number of the group is ``side``. Tasks read the two groups of a tile from ``packed``, the ``sides``,
+    where they lie, so no shuffle deals a group to as many places as there are groups.
     """
-    df = blocks.df if columns is None else blocks.df.join(columns, [REC, "block"])
+    width, packed, extra = blocks.width, sides(blocks) if packed is None else packed, []
+    if columns is not None:
+        beside = columns.groupBy(REC, F.expr(f"int(block div {group_blocks(blocks)})").alias("side")).agg(
+            F.sort_array(F.collect_list(F.struct("block", "v"))).alias("p")).select(REC, "side", F.flatten("p.v").alias("v"))
+        packed, extra = dealt(blocks, packed.join(beside, [REC, "side"])), ["v"]
+    names = ["side", "blocks", "rows", "x", *extra]
+    first = packed.select(REC, *[F.col(c).alias(f"{c}_i") for c in names])
+    second = packed.select(F.col(REC).alias("_other"), *[F.col(c).alias(f"{c}_j") for c in names])
+    pairs = first.hint("shuffle_replicate_nl").join(
+        second, (F.col(REC) == F.col("_other")) & (F.col("side_i") <= F.col("side_j"))).drop("_other")
+    known = [] if state is None else [c for c in state.columns if c != REC]
     if state is not None:
-        df = df.join(maybe_broadcast(state, blocks.n_recordings, state_bytes), REC)
-    group = group_blocks(blocks)
-    groups = -(-blocks.max_blocks // group)
-    # a tile costs far more than its bytes suggest: ask for tasks by tiles, not by size
-    shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(shuffle, min(blocks.n_recordings * groups * (groups + 1) // 2, 1024))
-    dealt = df.withColumn("side", F.expr(f"int(block div {group})")).withColumn("other", F.explode(
-        F.sequence(F.lit(0), F.expr(f"int((n_rows - 1) div {blocks.size} div {group})"))))
-    dealt = dealt.withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other")).drop("other")
+        pairs = pairs.join(maybe_broadcast(state, blocks.n_recordings, state_bytes), REC)
+
+    def group(row: dict, s: str) -> pd.DataFrame:
+        ends = np.cumsum(row[f"rows_{s}"])[:-1]
+        cells = {"x": np.split(row[f"x_{s}"], ends * width)}
+        for c in extra:
+            cells[c] = np.split(row[f"{c}_{s}"], ends * (len(row[f"{c}_{s}"]) // np.sum(row[f"rows_{s}"])))
+        return pd.DataFrame({REC: row[REC], "i": row["side_i"], "j": row["side_j"], "side": row[f"side_{s}"],
+                             "block": row[f"blocks_{s}"], **cells, **{c: row[c] for c in known}})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        return fn(pdf[pdf["side"] == i], pdf[pdf["side"] == j])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                yield fn(group(row, "i"), group(row, "j"))
 
-    return dealt.repartition(tasks, REC, "i", "j").groupBy(REC, "i", "j").applyInPandas(run, schema)
+    return pairs.mapInPandas(run, schema)
 
 
 def stacked(rows: pd.Series, width: int) -> np.ndarray:
@@ -103,7 +130,7 @@ def chunks(x: np.ndarray) -> list[np.ndarray]:
     return [x[at:at + CHUNK] for at in range(0, len(x), CHUNK)]
 
 
-def median_distances(blocks: Blocks) -> DataFrame:
+def median_distances(blocks: Blocks, packed: DataFrame | None = None) -> DataFrame:
     """``recording_id, epsilon``: the median of all positive squared distances, exactly.
 
     The order of positive doubles is that of their bits, so four passes settle the two middle
@@ -111,6 +138,7 @@ def median_distances(blocks: Blocks) -> DataFrame:
     groups count twice, as those within a group do.
     """
     width, digits = blocks.width, 1 << DIGIT
+    packed = sides(blocks) if packed is None else packed
 
     def count(step: int) -> Callable[[pd.Series, pd.DataFrame], pd.DataFrame]:
         def run(own: pd.DataFrame, band: pd.DataFrame) -> pd.DataFrame:
@@ -133,7 +161,7 @@ def median_distances(blocks: Blocks) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     state = blocks.lengths.select(REC, zero.alias("low"), zero.alias("high"), zero.alias("rank_low"), zero.alias("rank_high"))
     for step in range(64 // DIGIT):
-        found = tiled(blocks, None, count(step), f"{REC} string, side int, digit bigint, n bigint", state).groupBy(
+        found = tiled(blocks, None, count(step), f"{REC} string, side int, digit bigint, n bigint", state, packed=packed).groupBy(
             REC, "side", "digit").agg(F.sum("n").alias("n"))
         side = Window.partitionBy(REC, "side")  # at most 2^16 digits
         found = found.withColumn("upto", F.sum("n").over(side.orderBy("digit"))).withColumn("total", F.sum("n").over(side))
@@ -168,7 +196,7 @@ def total_rows(parts: DataFrame, groups: int) -> DataFrame:
     return parts.groupBy(REC, "block").applyInPandas(lambda pdf: add(pdf)[[REC, "block", "v"]], schema)
 
 
-def applied(blocks: Blocks, vectors: DataFrame, scales: DataFrame, columns: int) -> DataFrame:
+def applied(blocks: Blocks, packed: DataFrame, vectors: DataFrame, scales: DataFrame, columns: int) -> DataFrame:
     """``recording_id, block, v``: the kernel times the ``vectors`` of all blocks, row-major."""
     width = blocks.width
 
@@ -188,20 +216,20 @@ def applied(blocks: Blocks, vectors: DataFrame, scales: DataFrame, columns: int)
             "v": [part.ravel() for part in np.split(total, np.cumsum([len(x) // width for x in rows["x"]])[:-1])]})
             for rows, other, total in found])
 
-    parts = tiled(blocks, vectors, tile, f"{REC} string, block bigint, band int, v array<double>", scales)
+    parts = tiled(blocks, vectors, tile, f"{REC} string, block bigint, band int, v array<double>", scales, packed=packed)
     return total_rows(parts, -(-blocks.max_blocks // group_blocks(blocks)))
 
 
-def widths(blocks: Blocks, epsilon: float | None) -> DataFrame:
+def widths(blocks: Blocks, packed: DataFrame, epsilon: float | None) -> DataFrame:
     """``recording_id, epsilon`` of recordings of several blocks."""
-    found = median_distances(blocks) if epsilon is None else blocks.lengths.select(REC, F.lit(float(epsilon)).alias("epsilon"))
+    found = median_distances(blocks, packed) if epsilon is None else blocks.lengths.select(REC, F.lit(float(epsilon)).alias("epsilon"))
     return cut_lineage(found.select(REC, F.greatest("epsilon", F.lit(1e-6)).alias("epsilon")))
 
 
-def long_row_sums(blocks: Blocks, scales: DataFrame) -> DataFrame:
+def long_row_sums(blocks: Blocks, packed: DataFrame, scales: DataFrame) -> DataFrame:
     ones = blocks.df.select(REC, "block", F.transform(F.sequence(
         F.lit(1), F.expr(f"int(size(x) / {blocks.width})")), lambda i: F.lit(1.0)).alias("v"))
-    return cut_lineage(applied(blocks, ones, scales, 1).withColumnRenamed("v", "row_sum"))
+    return cut_lineage(applied(blocks, packed, ones, scales, 1).withColumnRenamed("v", "row_sum"))
 
 
 # --- leading eigenvectors -------------------------------------------------------------------
@@ -275,8 +303,9 @@ class Walk:
 
     def __init__(self, blocks: Blocks, wanted: int, epsilon: float | None):
         self.blocks, self.wanted, self.columns = blocks, wanted, wanted + 1 + EXTRA
-        self.scales = widths(blocks, epsilon)
-        self.sums = long_row_sums(blocks, self.scales)
+        self.packed = sides(blocks)
+        self.scales = widths(blocks, self.packed, epsilon)
+        self.sums = long_row_sums(blocks, self.packed, self.scales)
 
     def rooted(self, vectors: DataFrame) -> DataFrame:
         """Vectors divided by the square roots of the row sums."""
@@ -292,7 +321,7 @@ class Walk:
 
     def image(self, vectors: DataFrame) -> DataFrame:
         """The symmetric walk times ``vectors``: one pass over all tiles."""
-        return self.rooted(applied(self.blocks, self.rooted(vectors), self.scales, self.columns))
+        return self.rooted(applied(self.blocks, self.packed, self.rooted(vectors), self.scales, self.columns))
 
     def started(self) -> DataFrame:
         columns = self.columns

@@ -107,3 +107,13 @@ def test_tiles_take_few_copies(spark, rng):
         "i int, j int, pairs long, rows long").toPandas()
     assert tiles["rows"].sum() <= 16 * 175
     assert (tiles["pairs"] * np.where(tiles["i"] == tiles["j"], 1, 2)).sum() == 175 ** 2
+
+
+def test_tiles_need_no_dealing_shuffle(spark, rng):
+    """Two groups meet where they lie: a pass over the packed groups has no shuffle."""
+    packed_ = packed(spark, {"a": rng.normal(size=(700, 4))}, 4)
+    sides = kernel.sides(packed_)
+    assert sides.count() <= 16
+    tiles = kernel.tiled(packed_, None, lambda own, band: own.iloc[:1][["i", "j"]], "i int, j int", packed=sides)
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
