@@ -25,7 +25,7 @@ GROUPS, SIDE, BAND, PARTS = 12, 32768, 16, 48
 #: Rows of a tile at a time, and columns, bits of a digit.
 STRIP, CHUNK, DIGIT = 256, 4096, 16
 #: Columns beside the wanted ones, largest degree, largest spread of one filtering, residual, most filterings.
-EXTRA, DEGREE, SPREAD, RESIDUAL, MOST_ROUNDS = 8, 10, 1e5, 1e-10, 200
+EXTRA, DEGREE, SPREAD, RESIDUAL, MOST_ROUNDS = 24, 10, 1e5, 1e-10, 200
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -151,7 +151,7 @@ def diffusion(blocks: Blocks, n_components: int, epsilon: float | None = None) -
 def long_diffusion(blocks: Blocks, c: int, epsilon: float | None) -> tuple[DataFrame, DataFrame]:
     """The same for recordings of several blocks, as flat arrays per block."""
     psi, values = kernel.Walk(blocks, c, epsilon).run()
-    psi = cut_lineage(psi)
+    psi, size = cut_lineage(psi), blocks.size
 
     def squares(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in batches:
@@ -165,7 +165,7 @@ def long_diffusion(blocks: Blocks, c: int, epsilon: float | None) -> tuple[DataF
                 a = a.reshape(-1, c)
                 at = np.abs(a).argmax(axis=0)
                 top = a[at, np.arange(c)]
-                out.append(np.stack([np.abs(top), -(at + b * blocks.size), np.where(top < 0, -1.0, 1.0)], axis=1).ravel())
+                out.append(np.stack([np.abs(top), -(at + b * size), np.where(top < 0, -1.0, 1.0)], axis=1).ravel())
             yield list_column(out)
 
     norms = sum_vectors(psi.select(REC, F.arrow_udf(squares, "array<double>")("psi").alias("v")), "v")

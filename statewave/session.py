@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of the largest size in bytes that a plan's guess may have.
+GUESS_BITS = 62
+
 
 def get_spark(app: str = "statewave", cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests, benches and the command line.
@@ -36,6 +39,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local
     session without that setting gets a folder of its own.
+
+    A checkpoint keeps the size that the optimizer guessed, and a join's guess is the product of
+    its sides'. In a loop it squares from pass to pass, until the driver spends its time and memory
+    on the digits of one number; a guess beyond any data is therefore dropped.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
@@ -46,7 +53,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("Set spark.checkpoint.dir to a folder shared by all executors.")
             folder = tempfile.mkdtemp(prefix="statewave-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    plan = kept._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes().bit_length() <= GUESS_BITS:
+        return kept
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), kept._jdf.schema(), False), spark)
 
 
 def broadcast_limit(spark: SparkSession) -> int:

@@ -9,6 +9,7 @@ from statewave.functions import linkage
 from statewave.operators import blocks as B
 from statewave.operators import kernel, manifold
 from statewave.operators.hierarchical import hierarchical
+from statewave.session import cut_lineage
 
 
 @pytest.fixture(scope="module")
@@ -117,3 +118,12 @@ def test_tiles_need_no_dealing_shuffle(spark, rng):
     tiles = kernel.tiled(packed_, None, lambda own, band: own.iloc[:1][["i", "j"]], "i int, j int", packed=sides)
     plan = tiles._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_guessed_sizes_stay_small(spark):
+    """Passes that join a state with what was made from it do not square the optimizer's guess of its size."""
+    state = spark.range(4).selectExpr("id", "id as v")
+    for _ in range(8):
+        state = cut_lineage(state.join(state.selectExpr("id", "v as w"), "id").selectExpr("id", "v + w as v"))
+    assert state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+    assert sorted(r.v for r in state.collect()) == [0, 256, 512, 768]
