@@ -17,6 +17,8 @@ REC = "recording_id"
 SIGNAL_BLOCK = 131072
 ROW_BLOCK = 4096
 ROWS_PER_TASK = 16 * ROW_BLOCK
+#: Most blocks of a recording whose models are fitted in a task.
+BLOCKS_PER_FIT = 32
 
 
 def recording_lengths(samples: DataFrame, index: str = "sample_idx") -> DataFrame:
@@ -63,18 +65,42 @@ class Blocks:
     n_recordings: int
     n_long: int
     max_blocks: int
+    fit_rows: int = 0
+    n_vast: int = 0
 
     def short(self) -> "Blocks":
         """Recordings that fit one block: a model sees all of their rows in one task."""
         return Blocks(self.df.filter(F.col("n_rows") <= self.size),
                       self.lengths.filter(F.col("n_rows") <= self.size), self.width, self.size,
-                      self.n_recordings - self.n_long, 0, 1)
+                      self.n_recordings - self.n_long, 0, 1, self.fit_rows)
 
     def long(self) -> "Blocks":
-        """Recordings of several blocks: models are fitted by passes over all blocks."""
+        """Recordings of several blocks."""
         return Blocks(self.df.filter(F.col("n_rows") > self.size),
                       self.lengths.filter(F.col("n_rows") > self.size), self.width, self.size,
-                      self.n_long, self.n_long, self.max_blocks)
+                      self.n_long, self.n_long, self.max_blocks, self.fit_rows, self.n_vast)
+
+    def gathered(self, models: int = 1) -> tuple[DataFrame, int]:
+        """Recordings of several blocks, but at most ``fit_rows`` rows, in one row for each share of
+        their models: ``recording_id, share, x``, and the number of shares.
+
+        An iteration over so few rows costs less than a job, and models do not depend on each other,
+        so a few recordings are dealt to a task for each model.
+        """
+        spark = self.df.sparkSession
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        count = self.n_long - self.n_vast
+        shares = max(1, min(models, -(-tasks // max(count, 1))))
+        whole = self.df.filter((F.col("n_rows") > self.size) & (F.col("n_rows") <= self.fit_rows)).groupBy(REC).agg(
+            F.sort_array(F.collect_list(F.struct("block", "x"))).alias("rows")).select(REC, F.flatten("rows.x").alias("x"))
+        dealt = max(1, min(count * shares, tasks))
+        return whole.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).repartitionById(
+            dealt, F.expr(f"int(pmod(hash({REC}) + share, {dealt}))")).select(REC, "share", "x"), shares
+
+    def vast(self) -> "Blocks":
+        """Recordings of more than ``fit_rows`` rows: models are fitted by passes over all blocks."""
+        return Blocks(self.df.filter(F.col("n_rows") > self.fit_rows), self.lengths.filter(F.col("n_rows") > self.fit_rows),
+                      self.width, self.size, self.n_vast, self.n_vast, self.max_blocks, self.fit_rows, self.n_vast)
 
     def with_state(self, state: DataFrame, row_bytes: int) -> DataFrame:
         """Bring each recording's model state to its blocks.
@@ -86,11 +112,18 @@ class Blocks:
 
 
 def feature_blocks(table: DataFrame, index: str, columns: list[str],
-                   size: int = ROW_BLOCK) -> Blocks:
-    """Pack the feature rows of every recording; ``index`` is dense from 0."""
+                   size: int = ROW_BLOCK, fit_rows: int | None = None) -> Blocks:
+    """Pack the feature rows of every recording; ``index`` is dense from 0.
+
+    ``fit_rows`` is the most rows of a recording that a task fits models to; blocks smaller than usual
+    have no larger tasks.
+    """
+    if fit_rows is None:
+        fit_rows = size * BLOCKS_PER_FIT if size >= ROW_BLOCK else size
     lengths = cut_lineage(recording_lengths(table, index))
-    n, longest, n_long, total, rows = lengths.agg(
+    n, longest, n_long, n_vast, total, rows = lengths.agg(
         F.count(F.lit(1)), F.max("n_rows"), F.sum((F.col("n_rows") > size).cast("int")),
+        F.sum((F.col("n_rows") > fit_rows).cast("int")),
         F.sum(F.ceil(F.col("n_rows") / size)), F.sum("n_rows")).first()
     # fitting costs far more than its bytes suggest: ask for tasks by rows, not by size
     shuffle = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -108,7 +141,7 @@ def feature_blocks(table: DataFrame, index: str, columns: list[str],
         F.flatten(F.col("rows._x")).alias("x"),
     )
     return Blocks(cut_lineage(df), lengths, len(columns), size, n, n_long or 0,
-                  ((longest or 1) - 1) // size + 1)
+                  ((longest or 1) - 1) // size + 1, fit_rows, n_vast or 0)
 
 
 def sum_vectors(parts: DataFrame, vector: str) -> DataFrame:

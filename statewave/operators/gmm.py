@@ -14,9 +14,9 @@ from statewave.config import ClusterConfig
 from statewave.functions.arrays import list_column, rows_of
 from statewave.functions.semiring import logsumexp
 from statewave.operators.blocks import REC, Blocks, sum_vectors
-from statewave.operators.em import run_passes, settle
+from statewave.operators.em import STATE, run_passes, settle, summed
 from statewave.operators.kmeans import explode_labels, sq_distances
-from statewave.session import cut_lineage
+from statewave.session import cut_lineage, maybe_broadcast
 
 # Floors and start offsets of the mixture fit.
 VARIANCE_FLOOR = 1e-6
@@ -128,11 +128,15 @@ def gmm(blocks: Blocks, centroids: DataFrame, config: ClusterConfig | None = Non
                 [list_column(ps), list_column(prevs), list_column(lls)], names=["p", "prev", "aux"])
 
     fit_schema = "struct<p:array<double>, prev:array<double>, aux:array<double>>"
-    short = blocks.short()
-    fits = short.with_state(centroids, row_bytes).select(
+    rows = blocks.short().df.select(REC, "x")
+    if blocks.n_long > blocks.n_vast:
+        rows = rows.unionByName(blocks.gathered()[0].select(REC, "x"))
+    fits = rows.join(maybe_broadcast(centroids, blocks.n_recordings, row_bytes), REC).select(
         REC, F.arrow_udf(whole, fit_schema)("x", "centroids").alias("f")).select(REC, "f.*")
-    if blocks.n_long:
-        fits = fits.unionByName(_by_passes(blocks.long(), centroids, k, tol, iterations, row_bytes))
+    if blocks.n_vast:
+        vast = blocks.vast()
+        starts = centroids.join(maybe_broadcast(vast.lengths.select(REC), vast.n_recordings, 64), REC, "left_semi")
+        fits = fits.unionByName(_by_passes(vast, starts, k, tol, iterations, row_bytes))
     fits = cut_lineage(fits)
 
     def label(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -172,18 +176,9 @@ def _by_passes(blocks: Blocks, centroids: DataFrame, k: int, tol: float, iterati
             yield list_column([start_parameters(c.reshape(k, width), s)
                                for c, s in zip(rows_of(c_col), rows_of(s_col))])
 
-    def answer(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for x_col, p_col in batches:
-            yield list_column([em_sums(x.reshape(-1, width), p, k)
-                               for x, p in zip(rows_of(x_col), rows_of(p_col))])
-
-    def update(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for p_col, a_col, s_col in batches:
-            new = [em_update(p, a, s, k, width, tol, round(s[:k].sum()))
-                   for p, a, s in zip(rows_of(p_col), rows_of(a_col), rows_of(s_col))]
-            yield pa.StructArray.from_arrays(
-                [list_column([n[0] for n in new]), list_column([n[1] for n in new])],
-                names=["p", "aux"])
+    def update(p: np.ndarray, aux: np.ndarray, stat: np.ndarray) -> dict:
+        new, after = em_update(p, aux, stat, k, width, tol, round(stat[:k].sum()))
+        return {"p": new, "prev": p, "aux": after}
 
     sums = F.arrow_udf(begin, "array<double>")
     starts = blocks.with_state(centroids, row_bytes).select(REC, sums("x", "centroids").alias("v"))
@@ -192,11 +187,9 @@ def _by_passes(blocks: Blocks, centroids: DataFrame, k: int, tol: float, iterati
         centroids.join(sum_vectors(starts, "v"), REC).select(REC, p0.alias("p"))
         .withColumn("prev", F.col("p"))
         .withColumn("aux", F.array(F.lit(float("-inf")), F.lit(0.0))))
-    answers = F.arrow_udf(answer, "array<double>")
 
-    def stats_of(current: DataFrame) -> DataFrame:
-        return sum_vectors(blocks.with_state(current.select(REC, "p"), row_bytes).select(
-            REC, answers("x", "p").alias("v")), "v")
+    def step(current: DataFrame) -> DataFrame:
+        rows = blocks.with_state(current.select(REC, "p", "aux"), row_bytes)
+        return summed(rows, ["x", "p"], lambda x, p: em_sums(x.reshape(-1, width), p, k), ["p", "aux"], update, STATE)
 
-    move = F.arrow_udf(update, "struct<p:array<double>, aux:array<double>>")
-    return run_passes(state, stats_of, move, iterations)
+    return run_passes(state, step, iterations)

@@ -1,7 +1,8 @@
 """Gaussian hidden Markov models over the ordered windows of every recording.
 
 All state counts and restarts are fitted together on a leading model axis. A recording of
-one block is fitted where the block lies. For longer ones the forward and backward messages
+one block is fitted where the block lies, one of a few blocks in tasks with a share of the models
+each. For longer ones the forward and backward messages
 cross block borders through ``block_scan``; a pass then needs two small vectors per block.
 """
 
@@ -11,6 +12,7 @@ from dataclasses import dataclass, replace
 from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +21,18 @@ from statewave.config import HMMConfig
 from statewave.functions.arrays import list_column, rows_of
 from statewave.functions.semiring import logsumexp, product
 from statewave.operators.blocks import REC, Blocks, sum_vectors
-from statewave.operators.em import run_passes, settle
+from statewave.operators.em import STATE, run_passes, settle, summed
 from statewave.operators.index import run_lengths
 from statewave.operators.kmeans import Starts, explode_labels, fit_in_block, fit_kmeans, sq_distances
-from statewave.operators.scan import block_scan
-from statewave.session import cut_lineage
+from statewave.operators.scan import FANOUT, block_scan, both_ways
+from statewave.session import cut_lineage, maybe_broadcast
 
 # Numeric floors of the model.
 DENSITY_FLOOR = 1e-12
 PROBABILITY_FLOOR = 1e-300
 MASS_OFFSET = 1e-12
+#: Models whose messages a task holds at a time.
+MODELS_AT_A_TIME = 5
 
 
 @dataclass(frozen=True)
@@ -438,8 +442,10 @@ def hmm_analysis(blocks: Blocks, window_sec: float, config: HMMConfig | None = N
 
     fits = blocks.short().df.select(REC, F.arrow_udf(
         whole, "struct<p:array<double>, ll:array<double>>")("x").alias("f")).select(REC, "f.*")
-    if blocks.n_long:
-        fits = fits.unionByName(_by_passes(blocks.long(), fam, starts, iterations))
+    if blocks.n_long > blocks.n_vast:
+        fits = fits.unionByName(_by_shares(blocks, fam, starts, iterations))
+    if blocks.n_vast:
+        fits = fits.unionByName(_by_passes(blocks.vast(), fam, starts, iterations))
     fits = cut_lineage(fits)
 
     chosen = Family(counts, width)
@@ -542,6 +548,11 @@ def _log_initial(fam: Family):
 
 def _messages(blocks: Blocks, state: DataFrame, fam: Family, row_bytes: int, best: bool = False):
     """Forward messages into every block and, for sums, backward messages out of it."""
+    if not best and blocks.max_blocks <= FANOUT:
+        hops = blocks.with_state(state.select(REC, "p"), row_bytes).select(
+            REC, "block", F.when(F.col("block") == 0, _log_initial(fam)("p")).alias("start"),
+            _transfers(fam, False)("x", "p", "block")["ahead"].alias("m"))
+        return both_ways(hops, (fam.m,), fam.k, "log")
     hops = cut_lineage(blocks.with_state(state.select(REC, "p"), row_bytes).select(
         REC, "block", "n_rows", F.when(F.col("block") == 0, _log_initial(fam)("p")).alias("start"),
         _transfers(fam, best)("x", "p", "block").alias("t")).select(
@@ -560,6 +571,41 @@ def _messages(blocks: Blocks, state: DataFrame, fam: Family, row_bytes: int, bes
         back.withColumnRenamed("carry", "leave"), [REC, "block"])
 
 
+def _by_shares(blocks: Blocks, fam: Family, starts: Starts, iterations: int) -> DataFrame:
+    """Recordings that are fitted in tasks, a share of the models in each, a few at a time."""
+    width = blocks.width
+    rows, shares = blocks.gathered(fam.m)
+
+    def some(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x_col, share in batches:
+            ps, lls = [], []
+            for x, i in zip(rows_of(x_col), share.to_pylist()):
+                parts = [np.zeros_like(v) for v in fam.unpack(np.zeros(fam.size))]
+                ll = np.full(fam.m, np.nan)
+                mine = list(range(i, fam.m, shares))
+                for at in range(0, len(mine), MODELS_AT_A_TIME):
+                    own = mine[at:at + MODELS_AT_A_TIME]
+                    sub = replace(fam, ks=tuple(fam.ks[m] for m in own))
+                    p, ll[own] = fit_whole(x.reshape(-1, width), sub, Starts(
+                        sub.ks, tuple(starts.seeds[m] for m in own), starts.shared), iterations)
+                    pi, a, mu, var = sub.unpack(p)
+                    k = sub.k
+                    parts[0][own, :k], parts[2][own, :k], parts[3][own, :k] = pi, mu, var
+                    parts[1][own, :k, :k] = a
+                ps.append(fam.pack(*parts))
+                lls.append(ll)
+            yield pa.StructArray.from_arrays([list_column(ps), list_column(lls)], names=["p", "ll"])
+
+    def collect(pdf: pd.DataFrame) -> pd.DataFrame:
+        # models that another share fits are zeros in p and NaN in ll
+        p, ll = np.sum(np.stack(pdf["p"].to_list()), axis=0), np.stack(pdf["ll"].to_list())
+        return pd.DataFrame({REC: pdf[REC].iloc[:1].to_list(), "p": [p], "ll": [ll[np.arange(fam.m) % shares, np.arange(fam.m)]]})
+
+    fits = rows.select(REC, "share", F.arrow_udf(some, "struct<p:array<double>, ll:array<double>>")("x", "share").alias("f"))
+    return fits.select(REC, "share", "f.*").groupBy(REC).applyInPandas(
+        lambda pdf: collect(pdf.sort_values("share")), f"{REC} string, p array<double>, ll array<double>")
+
+
 def _by_passes(blocks: Blocks, fam: Family, starts: Starts, iterations: int) -> DataFrame:
     width, row_bytes = blocks.width, 8 * fam.size + 64
     centers = cut_lineage(fit_kmeans(blocks, starts, 50))
@@ -598,44 +644,31 @@ def _by_passes(blocks: Blocks, fam: Family, starts: Starts, iterations: int) ->
         .withColumn("aux", F.concat(F.array_repeat(F.lit(float("-inf")), fam.m),
                                     F.array_repeat(F.lit(0.0), fam.m))))
 
-    def answer(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        for x_col, p_col, b_col, n_col, e_col, l_col in batches:
-            out = []
-            for x, p, b, n, e, l in zip(rows_of(x_col), rows_of(p_col), b_col.to_pylist(),
-                                        n_col.to_pylist(), rows_of(e_col), rows_of(l_col)):
-                enter, mass = _unit(e.reshape(fam.m, fam.k))
-                leave = _unit(l.reshape(fam.m, fam.k))[0]
-                x = x.reshape(-1, width)
-                stat = block_sums(x, p, fam, fam.unpack(p)[0] if b == 0 else enter, leave, b == 0)
-                # the log mass up to the last row is the likelihood; other blocks add nothing
-                whole = (mass if b else 0.0) + stat[-fam.m:]
-                stat[-fam.m:] = whole if (n - 1) // blocks_size == b else 0.0
-                out.append(stat)
-            yield list_column(out)
-
-    def move(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for p_col, a_col, s_col in batches:
-            new = [update(p, a, s, fam) for p, a, s in
-                   zip(rows_of(p_col), rows_of(a_col), rows_of(s_col))]
-            yield pa.StructArray.from_arrays(
-                [list_column([v[0] for v in new]), list_column([v[1] for v in new])],
-                names=["p", "aux"])
-
-    blocks_size = blocks.size
-    answers = F.arrow_udf(answer, "array<double>")
-
-    def stats_of(current: DataFrame) -> DataFrame:
-        return sum_vectors(
-            blocks.with_state(current.select(REC, "p"), row_bytes)
-            .join(_messages(blocks, current, fam, row_bytes), [REC, "block"])
-            .select(REC, answers("x", "p", "block", "n_rows", "enter", "leave").alias("v")), "v")
-
-    done = run_passes(state, stats_of, F.arrow_udf(
-        move, "struct<p:array<double>, aux:array<double>>"), iterations)
-    done = cut_lineage(done)
+    def answer(x, p, b, n, e, l) -> np.ndarray:
+        enter, mass = _unit(e.reshape(fam.m, fam.k))
+        leave = _unit(l.reshape(fam.m, fam.k))[0]
+        stat = block_sums(x.reshape(-1, width), p, fam, fam.unpack(p)[0] if b == 0 else enter, leave, b == 0)
+        # the log mass up to the last row is the likelihood; other blocks add nothing
+        whole = (mass if b else 0.0) + stat[-fam.m:]
+        stat[-fam.m:] = whole if (n - 1) // blocks_size == b else 0.0
+        return stat
+
+    def move(p: np.ndarray, aux: np.ndarray, stat: np.ndarray) -> dict:
+        new, after = update(p, aux, stat, fam)
+        return {"p": new, "prev": p, "aux": after}
+
+    blocks_size, message_bytes = blocks.size, 16 * fam.m * fam.k + 64
+
+    def over(current: DataFrame, carried: list[str], finish, schema: str) -> DataFrame:
+        """A pass over all blocks of the recordings that are still open."""
+        messages = _messages(blocks, current, fam, row_bytes)
+        rows = blocks.with_state(current.select(REC, *carried), row_bytes).join(
+            maybe_broadcast(messages, blocks.n_recordings * blocks.max_blocks, message_bytes), [REC, "block"])
+        return summed(rows, ["x", "p", "block", "n_rows", "enter", "leave"], answer, carried, finish, schema)
+
+    done = cut_lineage(run_passes(state, lambda now: over(now, ["p", "aux"], move, STATE), iterations))
     # likelihood under the final parameters
-    last = stats_of(done).select(REC, F.slice("stats", -fam.m, fam.m).alias("ll"))
-    return done.select(REC, "p").join(last, REC)
+    return over(done, ["p"], lambda p, stat: {"p": p, "ll": stat[-fam.m:]}, "p array<double>, ll array<double>")
 
 
 def log_emissions(blocks: Blocks, params: DataFrame, fam: Family) -> DataFrame:

@@ -1,7 +1,7 @@
 """K-means with many restarts.
 
 A recording that fits one block is fitted where the block lies, in one pass and without a
-shuffle. Longer recordings take one pass over all of their blocks per iteration: centres
+shuffle. One of a few blocks is gathered in tasks that fit a share of the models each. Longer recordings take one pass over all of their blocks per iteration: centres
 live in a small state table with one row per recording; every restart (and every
 state count a hidden Markov model wants to try) is a slice of the same array, so all of
 them share each pass. Rows never leave their block: a pass returns sums per block, Spark
@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from typing import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -23,6 +24,7 @@ from statewave.config import ClusterConfig
 from statewave.functions.arrays import list_column, rows_of
 from statewave.functions.draws import own_streams, shared_stream, spare_rows
 from statewave.operators.blocks import REC, Blocks, sum_vectors
+from statewave.operators.em import any_of, summed
 from statewave.session import cut_lineage
 
 RTOL, ATOL = 1e-5, 1e-8
@@ -204,12 +206,16 @@ def recentre(c: np.ndarray, done: np.ndarray, stat: np.ndarray, fills: dict[int,
     return fresh, flags, empty
 
 
-def fit_in_block(x: np.ndarray, starts: Starts, iterations: int) -> np.ndarray:
-    """All models for a recording whose rows are all here, same draws and steps."""
+def fit_in_block(x: np.ndarray, starts: Starts, iterations: int, only: list[int] | None = None) -> np.ndarray:
+    """All models (or ``only`` some) for a recording whose rows are all here, same draws and steps."""
     n, rngs = len(x), [np.random.default_rng(s) for s in starts.seeds]
     seeds = []
     for m, k in enumerate(starts.ks):
         rng = rngs[0] if starts.shared else rngs[m]
+        if only is not None and m not in only:
+            if starts.shared:  # the next model's draws follow on those of this one
+                rng.integers(n), rng.random(k - 1)
+            continue
         chosen = [int(rng.integers(n))]
         while len(chosen) < k:
             mass = sq_distances(x, x[chosen]).min(axis=1)
@@ -219,6 +225,9 @@ def fit_in_block(x: np.ndarray, starts: Starts, iterations: int) -> np.ndarray:
                 # all rows coincide with a centre: a shared stream draws by equal weights, as before
                 chosen.append(int(rng.choice(n, p=np.full(n, 1 / n)) if starts.shared else rng.integers(n)))
         seeds.append(x[chosen])
+    if only is not None:
+        rngs = [rngs[m] for m in only]
+        starts = Starts(tuple(starts.ks[m] for m in only), tuple(starts.seeds[m] for m in only), starts.shared)
     c, prev, done = np.concatenate(seeds), None, np.zeros(len(starts.ks))
     for _ in range(iterations):
         stat = lloyd_sums(x, c, prev, starts)
@@ -334,10 +343,32 @@ def fit_kmeans(blocks: Blocks, starts: Starts, iterations: int) -> DataFrame:
             yield list_column([fit_in_block(x.reshape(-1, width), starts, iterations).ravel()
                                for x in rows_of(x_col)])
 
-    short = blocks.short().df.select(REC, F.arrow_udf(whole, "array<double>")("x").alias("c"))
-    if not blocks.n_long:
-        return short
-    return short.unionByName(_fit_by_passes(blocks.long(), starts, iterations))
+    fits = blocks.short().df.select(REC, F.arrow_udf(whole, "array<double>")("x").alias("c"))
+    if blocks.n_long > blocks.n_vast:
+        fits = fits.unionByName(_fit_by_shares(blocks, starts, iterations))
+    if blocks.n_vast:
+        fits = fits.unionByName(_fit_by_passes(blocks.vast(), starts, iterations))
+    return fits
+
+
+def _fit_by_shares(blocks: Blocks, starts: Starts, iterations: int) -> DataFrame:
+    """Recordings that are fitted in tasks, a share of the models in each."""
+    width, models = blocks.width, len(starts.ks)
+    rows, shares = blocks.gathered(models)
+
+    def some(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for x_col, share in batches:
+            yield list_column([fit_in_block(x.reshape(-1, width), starts, iterations, list(range(i, models, shares))).ravel()
+                               for x, i in zip(rows_of(x_col), share.to_pylist())])
+
+    def collect(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.empty((sum(starts.ks), width))
+        for i, c in zip(pdf["share"], pdf["c"]):
+            out[[s for m in range(i, models, shares) for s in starts.slots(m)]] = np.asarray(c).reshape(-1, width)
+        return pd.DataFrame({REC: pdf[REC].iloc[:1].to_list(), "c": [out.ravel()]})
+
+    return rows.select(REC, "share", F.arrow_udf(some, "array<double>")("x", "share").alias("c")).groupBy(
+        REC).applyInPandas(collect, f"{REC} string, c array<double>")
 
 
 def _count_between(column: str, low: int, high: int) -> Column:
@@ -357,37 +388,38 @@ def _fit_by_passes(blocks: Blocks, starts: Starts, iterations: int) -> DataFrame
              zeros.alias("spent"))
     finished = None
     move = _recentre(starts, width)
+
+    def answer(x: np.ndarray, c: np.ndarray, prev: np.ndarray) -> np.ndarray:
+        return lloyd_sums(x.reshape(-1, width), c.reshape(-1, width), prev.reshape(-1, width) if len(prev) else None, starts)
+
+    def finish(c: np.ndarray, prev: np.ndarray, done: np.ndarray, spent: np.ndarray, stat: np.ndarray) -> dict:
+        fresh, flags, empty = recentre(c.reshape(-1, width), done, stat, {}, starts)
+        return {"c": fresh.ravel(), "prev": c, "done": flags, "spent": spent, "was": done,
+                "holes": np.array(empty, dtype=float), "stats": stat if empty else np.empty(0)}
+
+    carried = ["c", "prev", "done", "spent"]
+    schema = ", ".join(f"{c} array<double>" for c in [*carried, "was", "holes", "stats"])
+    still = F.expr("exists(done, d -> d = 0)")
     for _ in range(iterations):
-        active = state
-        parts = blocks.with_state(active.select(REC, "c", "prev"), row_bytes).select(
-            REC, _lloyd(starts, width)("x", "c", "prev").alias("v"))
-        stats = active.join(sum_vectors(parts, "v"), REC)
-        step = stats.select(
-            REC, F.col("c").alias("prev"), "spent", F.col("done").alias("was"), "stats",
-            move("c", "done", "stats", nothing).alias("n"),
-        ).select(REC, "prev", "spent", "was", "stats", "n.*")
-        step = cut_lineage(step)
-        left, holes = step.agg(
-            F.sum(F.expr("exists(done, d -> d = 0)").cast("int")),
-            F.sum(F.size("holes"))).first()
+        step = cut_lineage(summed(blocks.with_state(state, row_bytes), ["x", "c", "prev"], answer, carried, finish, schema))
+        left, settled, holes = any_of(step, still, ~still, F.size("holes") > 0)
         if holes:
             fill = _fill_rows(blocks, step, starts)
             counts = [_count_between("holes", o, o + k) for o, k in zip(starts.offsets, starts.ks)]
-            step = cut_lineage(
-                step.join(fill, REC, "left").select(
-                    REC, "prev", "holes", "spent",
-                    move("prev", "was", "stats", F.coalesce("fill", nothing)).alias("n"))
-                .select(REC, "prev", F.zip_with("spent", F.array(*counts), lambda a, b: a + b)
-                        .alias("spent"), "n.c", "n.done"))
-            left = step.agg(F.sum(F.expr("exists(done, d -> d = 0)").cast("int"))).first()[0]
-        step = step.select(REC, "c", "prev", "done", "spent")
-        still = F.expr("exists(done, d -> d = 0)")
-        settled = step.filter(~still)
-        finished = settled if finished is None else finished.unionByName(settled)
-        state = step.filter(still)
+            filled = step.where("size(holes) > 0").join(fill, REC).select(
+                REC, "prev", F.zip_with("spent", F.array(*counts), lambda a, b: a + b).alias("spent"),
+                move("prev", "was", "stats", F.coalesce("fill", nothing)).alias("n"))
+            step = cut_lineage(step.where("size(holes) = 0").select(REC, *carried).unionByName(
+                filled.select(REC, "n.c", "prev", "n.done", "spent")))
+            left, settled = any_of(step, still, ~still)
+        step = step.select(REC, *carried)
+        if settled:
+            gone = step.filter(~still)
+            finished = gone if finished is None else finished.unionByName(gone)
+        state = step.filter(still) if settled else step
         if not left:
             break
-    return finished.unionByName(state).select(REC, "c")
+    return (state if finished is None else finished.unionByName(state)).select(REC, "c")
 
 
 @dataclass

@@ -67,3 +67,28 @@ def _scan(level: DataFrame, lead, dim: int, algebra: str, n: int, fanout: int) -
     entry = _scan(coarse, lead, dim, algebra, -(-(n - 1) // fanout) + 1, fanout).select(
         REC, F.col("block").alias("run"), F.col("carry").alias("carry_in"))
     return runs.join(entry, [REC, "run"]).groupBy(REC, "run").applyInPandas(walk, schema)
+
+
+def both_ways(elements: DataFrame, lead: tuple[int, ...], dim: int, algebra: str) -> DataFrame:
+    """``recording_id, block, enter, leave``: states that enter every block from both sides.
+
+    As two calls of ``block_scan``, for recordings of at most ``FANOUT`` blocks. ``elements`` has
+    ``recording_id, block, start, m``; the way back uses the transposed matrices and begins with zeros.
+    """
+    matrix, vector = (*lead, dim, dim), (*lead, dim)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        hops = [np.asarray(m).reshape(matrix) for m in pdf["m"]]
+        state, enter = np.asarray(pdf["start"].iloc[0], dtype=float).reshape(vector), []
+        for m in hops:
+            enter.append(state.ravel())
+            state = product(state, m, algebra)
+        state, leave = np.zeros(vector), []
+        for m in hops[::-1]:
+            leave.append(state.ravel())
+            state = product(state, np.swapaxes(m, -1, -2), algebra)
+        return pd.DataFrame({REC: pdf[REC], "block": pdf["block"], "enter": enter, "leave": leave[::-1]})
+
+    return elements.groupBy(REC).applyInPandas(
+        walk, f"{REC} string, block bigint, enter array<double>, leave array<double>")
