@@ -20,7 +20,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,7 @@ SEPARATOR = 0
 PIECES_PER_GROUP = 50_000
 #: Words whose ids a task keeps; beyond it, it starts anew.
 CACHED_WORDS = 1_000_000
-WORDS_PER_CALL = 30
+WORDS_PER_CALL = 120
 RUN_CHARS = 500_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -93,14 +93,21 @@ class CachedEncoder:
 
     def in_groups(self, words: list[str]) -> None:
         groups = [words[i:i + WORDS_PER_CALL] for i in range(0, len(words), WORDS_PER_CALL)]
+        good: list[bytes] = []
+        codes, sizes, odd = [], [], []
         for group, code in zip(groups, self.tokenizer.encode_batch_fast(
                 [" ".join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(code.ids, dtype="<u4")
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(group):
-                self.add([w.encode() for w in group], ids, np.diff(last, prepend=-1))
+                good += [w.encode() for w in group]
+                codes.append(ids)
+                sizes.append(np.diff(last, prepend=-1))
             else:
-                self.one_by_one(group)
+                odd += group
+        if good:
+            self.add(good, np.concatenate(codes), np.concatenate(sizes))
+        self.one_by_one(odd)
 
     def learn(self, words: list[bytes]) -> None:
         """Words none of which is known."""
@@ -135,16 +142,22 @@ class CachedEncoder:
         total = int(ends[-1]) if len(ends) else 0
         return self.ids[np.arange(total) + np.repeat(self.first[at] - (ends - size), size)]
 
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Places of words, -1 for those not known."""
+        return np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         lists = [text.encode().split() for text in texts]  # bytes split at ASCII white space only
         words = list(chain.from_iterable(lists))
-        unknown = [w for w in dict.fromkeys(words) if w not in self.place]
-        if len(self.place) + len(unknown) > CACHED_WORDS and self.place:
-            self.clear()
-            unknown = list(dict.fromkeys(words))
-        if unknown:
+        at = self.places(words)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unknown = list(dict.fromkeys(map(words.__getitem__, new.tolist())))
+            if len(self.place) + len(unknown) > CACHED_WORDS and self.place:
+                self.clear()
+                unknown, new = list(dict.fromkeys(words)), np.arange(len(words))
             self.learn(unknown)
-        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
+            at[new] = self.places([words[i] for i in new.tolist()])
         ends = np.cumsum([0, *map(len, lists)])
         sizes = np.concatenate([[0], np.cumsum(self.size[at])])[ends]
         return np.split(self.gather(at), sizes[1:-1])
