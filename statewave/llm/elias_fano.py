@@ -15,6 +15,8 @@ import numpy as np
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
 ZEROS = (8 - BYTE_BITS.sum(axis=1)).astype(np.int64)
 ZERO_PLACE = np.array([[*np.flatnonzero(row == 0), *[8] * 8][:8] for row in BYTE_BITS])
+#: Numbers that are looked up together: what a search keeps is several times their size.
+AT_A_TIME = 1 << 16
 
 
 class Levels:
@@ -73,9 +75,15 @@ class EliasFano:
         return out.view("<u8")[:, 0]
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Place of each wanted number, or -1: its successor, found by halving its bucket, must be it."""
-        if not self.n:
-            return np.full(len(wanted), -1)
+        """Place of each wanted number, or -1, some at a time."""
+        out = np.full(len(wanted), -1)
+        if self.n:
+            for at in range(0, len(wanted), AT_A_TIME):
+                out[at:at + AT_A_TIME] = self._find(wanted[at:at + AT_A_TIME])
+        return out
+
+    def _find(self, wanted: np.ndarray) -> np.ndarray:
+        """The successor of a number, found by halving its bucket, must be it."""
         high = np.minimum((wanted >> self.low_bits).astype(np.int64), self.top + 1)
         low = wanted & ((np.uint64(1) << self.low_bits) - np.uint64(1))
         a, b = self.bucket_start(high), self.bucket_start(np.minimum(high + 1, self.top + 1))
