@@ -8,11 +8,15 @@ runs, so a task sees at most ``fanout`` matrices however long a recording is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from statewave.functions.arrays import list_column, rows_of
 from statewave.functions.semiring import product
 from statewave.operators.blocks import REC
 
@@ -38,18 +42,29 @@ def block_scan(elements: DataFrame, lead: tuple[int, ...], dim: int, algebra: st
 def _scan(level: DataFrame, lead, dim: int, algebra: str, n: int, fanout: int) -> DataFrame:
     matrix, vector = (*lead, dim, dim), (*lead, dim)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        first = pdf["carry_in" if "carry_in" in pdf else "start"].iloc[0]
-        state, out = np.asarray(first, dtype=float).reshape(vector), []
-        for m in pdf["m"]:
-            out.append(state.ravel())
-            state = product(state, np.asarray(m).reshape(matrix), algebra)
-        return pd.DataFrame({REC: pdf[REC], "block": pdf["block"], "carry": out})
+    def along(keys: list[str], first: str):
+        """Rows sorted by keys and place, any number of runs in a task: a run's state is carried on."""
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key = state = None
+            for batch in batches:
+                out = []
+                names = zip(*(batch.column(k).to_pylist() for k in keys))
+                for name, begin, m in zip(names, rows_of(batch.column(first)), rows_of(batch.column("m"))):
+                    if name != key:
+                        key, state = name, begin.reshape(vector)
+                    out.append(state.ravel())
+                    state = product(state, m.reshape(matrix), algebra)
+                yield pa.RecordBatch.from_arrays([batch.column(REC), batch.column("block"), list_column(out)],
+                                                 names=[REC, "block", "carry"])
+        return walk
+
+    def walked(rows: DataFrame, keys: list[str], first: str) -> DataFrame:
+        return rows.select(*keys, "block", "at", first, "m").repartition(*keys).sortWithinPartitions(*keys, "at").mapInArrow(
+            along(keys, first), schema)
 
     schema = f"{REC} string, block bigint, carry array<double>"
     if n <= fanout:
-        return level.groupBy(REC).applyInPandas(walk, schema)
+        return walked(level, [REC], "start")
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
@@ -66,7 +81,7 @@ def _scan(level: DataFrame, lead, dim: int, algebra: str, n: int, fanout: int) -
         multiply, f"{REC} string, block bigint, at bigint, start array<double>, m array<double>")
     entry = _scan(coarse, lead, dim, algebra, -(-(n - 1) // fanout) + 1, fanout).select(
         REC, F.col("block").alias("run"), F.col("carry").alias("carry_in"))
-    return runs.join(entry, [REC, "run"]).groupBy(REC, "run").applyInPandas(walk, schema)
+    return walked(runs.join(entry, [REC, "run"]), [REC, "run"], "carry_in")
 
 
 def both_ways(elements: DataFrame, lead: tuple[int, ...], dim: int, algebra: str) -> DataFrame:
