@@ -41,9 +41,11 @@ from statewave.llm.text import doc_bucket, plain
 
 #: A and B above: the best of 12 pairs on held-out documents.
 PAIRS, SINGLES = 0.01, 2.0
-BYTES_PER_SHARD = 12_000_000
+BYTES_PER_SHARD = 9_000_000
 TOKENS_PER_BLOCK = 700_000
-TEXTS_PER_BLOCK = 60_000
+TEXTS_PER_BLOCK = 32_000
+#: A text's number in its block has this bit if the text is held out.
+HELD_OUT = np.uint16(1 << 15)
 #: A word with more tokens than this is dealt by word and context.
 FREQUENT = 300_000
 END, BEGINNING = np.uint64(1), np.uint64(2)
@@ -52,7 +54,7 @@ CONTEXT_MASK = (np.uint64(1) << CONTEXT_BITS) - np.uint64(1)
 #: Log values are kept in steps of 1/STEPS above LEAST.
 LEAST, STEPS = -24.0, 1500.0
 BLOCK = ("shard int, block bigint, words binary, sizes binary, contexts binary, spread binary, befores binary, times binary, texts binary, "
-         "learning binary, about binary")
+         "about binary")
 SUM = np.dtype([("model", "<f4"), ("base", "<f8"), ("known", "<u4")])
 SUMS = "block bigint, texts binary, sums binary, about binary"
 
@@ -138,7 +140,8 @@ def token_blocks(batches: Iterator[pa.RecordBatch], shards: int, totals: Totals)
         serial += 1
         word, count = np.concatenate(words), np.concatenate(counts)
         n = len(count)
-        text = np.repeat(np.arange(n, dtype=np.uint16), count + 1)  # at most TEXTS_PER_BLOCK
+        number = np.arange(n, dtype=np.uint16) | np.where(np.array(held_out, dtype=bool), HELD_OUT, np.uint16(0))  # at most TEXTS_PER_BLOCK
+        text = np.repeat(number, count + 1)
         ends = np.cumsum(count + 1) - 1
         inner = np.ones(len(text), dtype=bool)
         inner[ends] = False
@@ -156,7 +159,6 @@ def token_blocks(batches: Iterator[pa.RecordBatch], shards: int, totals: Totals)
         order = np.lexsort((before, context, token, shard))
         token, context, before, shard, text = token[order], context[order], before[order], shard[order], text[order]
         del order, inner
-        learning = np.packbits(~np.array(held_out, dtype=bool)).tobytes()
         about = [pa.array(ids, pa.int64()), pa.array(held_out, pa.bool_()), pa.array(count + 1, pa.int64())]
         about = pa.RecordBatch.from_arrays(about, names=["doc_id", "held_out", "n_tokens"]).serialize().to_pybytes()
         cut = np.searchsorted(shard, np.arange(shards + 1))
@@ -172,9 +174,9 @@ def token_blocks(batches: Iterator[pa.RecordBatch], shards: int, totals: Totals)
             rows.append((k, block, w.tobytes(), sizes.astype(np.int32).tobytes(),
                          np.ascontiguousarray(c[first].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(),
                          np.diff(np.r_[np.searchsorted(each, first), len(each)]).astype(np.int32).tobytes(), g[each].tobytes(),
-                         np.diff(np.r_[each, len(t)]).astype(np.int32).tobytes(), text[part].astype(np.uint16).tobytes(),
-                         learning, about if k == block % shards else None))
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 9]
+                         np.diff(np.r_[each, len(t)]).astype(np.int32).tobytes(), text[part].tobytes(),
+                         about if k == block % shards else None))
+        types = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)],
                                           names=[x.split()[0] for x in BLOCK.split(", ")])
 
@@ -247,13 +249,12 @@ def score_shard(rows: pd.DataFrame, totals: Totals) -> pd.DataFrame:
         c = np.zeros((n.sum(), 8), dtype=np.uint8)
         c[:, :5] = np.frombuffer(r.contexts, np.uint8).reshape(-1, 5)
         m, t = np.frombuffer(r.times, np.int32), np.frombuffer(r.texts, np.uint16)
-        learning = np.unpackbits(np.frombuffer(r.learning, np.uint8))
         word.append(np.repeat(w, n))
         context.append(c.view("<u8")[:, 0])
         spread.append(np.frombuffer(r.spread, np.int32))
         before.append(np.frombuffer(r.befores, np.uint32))
         times.append(m)
-        learned.append(np.add.reduceat(learning[t], np.cumsum(m) - m, dtype=np.int32) if len(m) else m)
+        learned.append(np.add.reduceat(t < HELD_OUT, np.cumsum(m) - m, dtype=np.int32) if len(m) else m)
     unique, rank = distinct(np.concatenate(word))
     pair, at_pair = distinct((rank.astype(np.uint64) << CONTEXT_BITS) | np.concatenate(context))
     spread = np.concatenate(spread)
@@ -290,7 +291,7 @@ def score_shard(rows: pd.DataFrame, totals: Totals) -> pd.DataFrame:
     for i, m in enumerate(times):
         keys = at[entries[i]:entries[i + 1]]
         words = triple_word[keys]
-        text = np.frombuffer(rows["texts"].iloc[i], np.uint16)
+        text = np.frombuffer(rows["texts"].iloc[i], np.uint16) & ~HELD_OUT
         each = np.repeat(np.arange(len(m)), m)
         total = [np.bincount(text, x[each]) for x in (value[keys], base[words], found[words])] if len(text) else [np.empty(0)] * 3
         there = np.unique(text)
