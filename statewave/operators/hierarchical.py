@@ -3,7 +3,8 @@
 Every round finds each cluster's nearest one, tile by tile, and merges all pairs that are nearest
 to each other. Ward, average and complete linkage are reducible: a merge brings no cluster nearer
 to a third one, so these are the merges of the one-by-one order. A recording whose clusters fit one block is
-finished in a task; one of no more rows needs no round.
+finished in a task; one of no more rows needs no round. Equal rows are merged before the first round, all at
+once: of rows at distance 0 only two would be nearest to each other, so a round would merge two of them.
 
 Ward keeps a centre and a size per cluster. Average and complete linkage keep all rows and take
 cluster distances from theirs, so a round costs all distances of a recording and no memory for them.
@@ -15,16 +16,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewave.config import ClusterConfig
 from statewave.functions.linkage import Pairwise, Ward, flat_clusters, in_tree_order, merges_of
 from statewave.operators.blocks import REC, Blocks
-from statewave.operators.kernel import strips
+from statewave.operators.kernel import chunks, strips
 from statewave.session import cut_lineage, maybe_broadcast
 
 METHODS = ("ward", "average", "complete")
+#: Pieces of a recording up to PIECES * PIECE_BLOCKS blocks of clusters, most blocks of a piece.
+PIECES, PIECE_BLOCKS = 24, 4
+#: Most tasks of a round for each of the session's shuffle partitions.
+TASKS = 4
 MERGES = f"{REC} string, height double, kept bigint, absorbed bigint"
 
 
@@ -56,13 +61,29 @@ def points_of(blocks: Blocks) -> DataFrame:
         REC, row.alias("cluster"), row.alias("row"), F.lit(1.0).alias("weight"), "x")
 
 
+def equal_rows(points: DataFrame, method: str) -> tuple[DataFrame, DataFrame]:
+    """Points after all merges of equal rows, and these merges, at height 0."""
+    same = points.groupBy(REC, "x").agg(F.min("cluster").alias("kept"), F.count("*").alias("n"))
+    pairs = cut_lineage(points.join(same.where("n > 1"), [REC, "x"]).where("cluster != kept").select(
+        REC, F.lit(0.0).alias("height"), "kept", F.col("cluster").alias("absorbed")))
+    if method != "ward":
+        return merged(points, pairs, method), pairs
+    return same.select(REC, F.col("kept").alias("cluster"), F.col("kept").alias("row"),
+                       F.col("n").cast("double").alias("weight"), "x"), pairs
+
+
+def groups_for(rows: Column, size: int) -> Column:
+    """Number of pieces of a recording of so many rows, apart from its larger clusters."""
+    return F.least(F.ceil(rows * 2 / size), F.greatest(F.lit(PIECES), F.ceil(rows / (PIECE_BLOCKS * size))))
+
+
 def pieces_of(points: DataFrame, size: int) -> DataFrame:
     """Points packed by whole clusters, about ``size`` to a piece; larger clusters have pieces of their own.
 
     ``recording_id, piece, split, cluster, weight, x`` with arrays and a flat x.
     """
     sizes = points.groupBy(REC, "cluster").agg(F.count("*").alias("n"))
-    totals = points.groupBy(REC).agg(F.ceil(F.count("*") * 2 / size).alias("groups"))
+    totals = points.groupBy(REC).agg(groups_for(F.count("*"), size).alias("groups"))
     sizes = sizes.join(totals, REC).withColumn("split", F.col("n") > size)
     piece = F.when(F.col("split"), F.concat_ws(":", F.lit("s"), "cluster", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / size)))).otherwise(
         F.concat_ws(":", F.lit("g"), F.pmod(F.xxhash64("cluster"), F.col("groups"))))
@@ -73,26 +94,54 @@ def pieces_of(points: DataFrame, size: int) -> DataFrame:
 
 
 class Tile:
-    """Two pieces of one recording (or one and itself) and the distances of their clusters."""
+    """Two pieces of one recording (or one and itself)."""
 
-    def __init__(self, pdf: pd.DataFrame, method: str, width: int):
+    def __init__(self, pdf: pd.DataFrame, width: int):
         pdf = pdf.sort_values("piece")
         self.recording, self.same, self.split = pdf[REC].iloc[0], len(pdf) == 1, bool(pdf["split"].any())
         first, last = pdf.iloc[0], pdf.iloc[-1]
-        (self.a, na, wa, xa, at), (self.b, nb, wb, xb, bt) = (self.clusters(r, width) for r in (first, last))
+        (self.a, self.na, self.wa, self.xa, _), (self.b, self.nb, self.wb, self.xb, self.starts) = (
+            self.clusters(r, width) for r in (first, last))
+
+    def between(self, method: str) -> np.ndarray:
+        """Sums of the distances between the rows of clusters, or the largest of them."""
         total = np.zeros((len(self.a), len(self.b)))
         gather = np.maximum if method == "complete" else np.add
-        of = np.repeat(np.arange(len(self.a)), na)
-        for rows, _, d in strips(xa, [xb]):
-            d = np.maximum(d, 0.0)
-            if method != "ward":
-                d = gather.reduceat(np.sqrt(d), bt, axis=1)
-            gather.at(total, of[rows], d)
-        if method == "ward":
-            total = np.sqrt(2 * total * (wa[:, None] * wb) / (wa[:, None] + wb))
-        if self.same:
-            total = np.triu(total, 1) + np.triu(total, 1).T
-        self.total, self.sizes, self.count = total, na.astype(np.int64), na[:, None] * nb
+        of = np.repeat(np.arange(len(self.a)), self.na)
+        for rows, _, d in strips(self.xa, [self.xb]):
+            d = gather.reduceat(np.sqrt(np.maximum(d, 0.0, out=d), out=d), self.starts, axis=1)
+            here = of[rows]
+            d = gather.reduceat(d, np.flatnonzero(np.r_[True, here[1:] != here[:-1]]), axis=0)
+            part = total[here[0]:here[-1] + 1]
+            gather(part, d, out=part)
+        return np.triu(total, 1) + np.triu(total, 1).T if self.same else total
+
+    def nearest_ward(self) -> pd.DataFrame:
+        """The nearest cluster of each one by the squared Ward distance, of equal ones the first by name."""
+        n, m = len(self.a), len(self.b)
+        row_d, row_at, col_d, col_at = np.full(n, np.inf), np.zeros(n, dtype=int), np.full(m, np.inf), np.zeros(m, dtype=int)
+        parts = chunks(self.xb)
+        begin = np.cumsum([0] + [len(p) for p in parts])
+        for rows, k, d in strips(self.xa, parts):
+            cols = slice(begin[k], begin[k + 1])
+            if self.same and cols.stop <= rows.start + 1:
+                continue  # each pair once
+            np.maximum(d, 0.0, out=d)
+            wa, wb = self.wa[rows, None], self.wb[cols]
+            d *= 2 * wa
+            d *= wb
+            d /= wa + wb
+            if self.same and cols.start < rows.stop:
+                d[np.arange(rows.start, rows.stop)[:, None] >= np.arange(cols.start, cols.stop)] = np.inf
+            for low, at, axis, mine, off in ((row_d, row_at, 1, rows, cols.start), (col_d, col_at, 0, cols, rows.start)):
+                best = d.argmin(axis=axis)
+                value = np.take_along_axis(d, np.expand_dims(best, axis), axis).ravel()
+                less = np.flatnonzero(value < low[mine])
+                low[mine][less], at[mine][less] = value[less], best[less] + off
+        mine, other = np.concatenate([self.a, self.b]), np.concatenate([self.b[row_at], self.a[col_at]])
+        out = pd.DataFrame({REC: self.recording, "cluster": pd.Series(mine, dtype="Int64"), "d": np.concatenate([row_d, col_d]),
+                            "low": np.minimum(mine, other), "high": np.maximum(mine, other)})
+        return out[np.isfinite(out["d"])]
 
     @staticmethod
     def clusters(piece: pd.Series, width: int) -> tuple[np.ndarray, ...]:
@@ -103,26 +152,35 @@ class Tile:
                 np.asarray(piece["x"], dtype=float).reshape(-1, width), start)
 
 
-def tiled(pieces: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``fn(two pieces)`` for every pair of pieces of a recording, and for each one alone."""
+def tiled(pieces: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, tiles: int) -> DataFrame:
+    """``fn(two pieces)`` for every pair of pieces of a recording, and for each one alone.
+
+    A tile costs far more than its bytes suggest: tasks are asked for by the number of ``tiles``, not by size.
+    """
+    tasks = max(1, min(tiles, TASKS * int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     every = pieces.groupBy(REC).agg(F.collect_list("piece").alias("pieces"))
     rows = pieces.join(every, REC).withColumn("other", F.explode("pieces")).drop("pieces")
-    return rows.withColumns({"i": F.least("piece", "other"), "j": F.greatest("piece", "other")}).drop("other").groupBy(
-        REC, "i", "j").applyInPandas(fn, schema)
+    return rows.withColumns({"i": F.least("piece", "other"), "j": F.greatest("piece", "other")}).drop("other").repartition(
+        tasks, REC, "i", "j").groupBy(REC, "i", "j").applyInPandas(fn, schema)
 
 
-def nearest(pieces: DataFrame, sizes: DataFrame, method: str, width: int) -> DataFrame:
-    """``recording_id, cluster, best``: each cluster's nearest pair (d, low, high), ties by names."""
+def nearest(pieces: DataFrame, sizes: DataFrame, method: str, width: int, tiles: int) -> DataFrame:
+    """``recording_id, cluster, best``: each cluster's nearest pair (d, low, high), ties by names.
+
+    ``d`` is squared for Ward linkage: roots of different numbers may be equal, and both sides of a pair must agree.
+    """
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        tile = Tile(pdf, method, width)
-        a, b, d = tile.a, tile.b, tile.total
+        tile = Tile(pdf, width)
+        if method == "ward":
+            return tile.nearest_ward()
+        a, b, d = tile.a, tile.b, tile.between(method)
         low, high = np.minimum(a[:, None], b), np.maximum(a[:, None], b)
         if tile.split:  # parts of the distances of a cluster in several pieces
             i, j = np.nonzero(low != high)
             return pd.DataFrame({REC: tile.recording, "cluster": pd.Series([None] * len(i), dtype="Int64"),
                                  "d": d[i, j], "low": low[i, j], "high": high[i, j]})
         if method == "average":
-            d = d / tile.count
+            d = d / (tile.na[:, None] * tile.nb)
         if tile.same:
             np.fill_diagonal(d, np.inf)
         i, j = np.arange(len(a)), np.arange(len(b))
@@ -132,7 +190,7 @@ def nearest(pieces: DataFrame, sizes: DataFrame, method: str, width: int) -> Dat
                             "d": d[rows], "low": low[rows], "high": high[rows]})
         return out[np.isfinite(out["d"])]
 
-    found = tiled(pieces, best, f"{REC} string, cluster bigint, d double, low bigint, high bigint")
+    found = tiled(pieces, best, f"{REC} string, cluster bigint, d double, low bigint, high bigint", tiles)
     if method != "ward":
         found = cut_lineage(found)
         size = lambda side: sizes.select(REC, F.col("cluster").alias(side), F.col("n").alias(f"n_{side}"))
@@ -162,18 +220,23 @@ def merged(points: DataFrame, pairs: DataFrame, method: str) -> DataFrame:
 
 def all_merges(blocks: Blocks, method: str) -> DataFrame:
     """``recording_id, height, kept, absorbed`` of every merge; a cluster is named by its first row."""
-    points, done = cut_lineage(points_of(blocks)), None
-    width, size = blocks.width, blocks.size
+    points, done = equal_rows(cut_lineage(points_of(blocks)), method)
+    points, width, size = cut_lineage(points), blocks.width, blocks.size
+    height = F.sqrt("best.d") if method == "ward" else F.col("best.d")
     while True:
-        sizes = cut_lineage(points.groupBy(REC, "cluster").agg(F.count("*").alias("n")))
-        many = cut_lineage(sizes.groupBy(REC).agg(F.count("*").alias("clusters")).where(F.col("clusters") > size).select(REC))
-        if many.isEmpty():
+        sizes = points.groupBy(REC, "cluster").agg(F.count("*").alias("n"))
+        sizes = sizes if method == "ward" else cut_lineage(sizes)
+        many = cut_lineage(sizes.groupBy(REC).agg(F.count("*").alias("clusters"), F.sum("n").alias("rows")).where(
+            F.col("clusters") > size))
+        groups = groups_for(F.col("rows"), size)
+        tiles = many.agg(F.sum(groups * (groups + 1) / 2)).first()[0]
+        if tiles is None:
             break
-        active = points.join(many, REC, "left_semi")
-        best = nearest(pieces_of(active, size), sizes, method, width)
+        active = points.join(many.select(REC), REC, "left_semi")
+        best = nearest(pieces_of(active, size), sizes, method, width, int(tiles))
         pairs = cut_lineage(best.groupBy(REC, "best").agg(F.count("*").alias("n")).where("n = 2").select(
-            REC, F.col("best.d").alias("height"), F.col("best.low").alias("kept"), F.col("best.high").alias("absorbed")))
-        done = pairs if done is None else done.unionByName(pairs)
+            REC, height.alias("height"), F.col("best.low").alias("kept"), F.col("best.high").alias("absorbed")))
+        done = done.unionByName(pairs)
         points = cut_lineage(merged(points, pairs, method))
     return done.unionByName(finished(points, method, width, size))
 
@@ -197,9 +260,9 @@ def finished(points: DataFrame, method: str, width: int, size: int) -> DataFrame
         return points.groupBy(REC).applyInPandas(centres, MERGES)
 
     def parts(pdf: pd.DataFrame) -> pd.DataFrame:
-        tile = Tile(pdf, method, width)
+        tile = Tile(pdf, width)
         return pd.DataFrame({REC: [tile.recording], "same": [tile.same], "a": [tile.a.tobytes()], "b": [tile.b.tobytes()],
-                             "n": [tile.sizes.tobytes()], "d": [tile.total.tobytes()]})
+                             "n": [tile.na.astype(np.int64).tobytes()], "d": [tile.between(method).tobytes()]})
 
     def assemble(pdf: pd.DataFrame) -> pd.DataFrame:
         tiles = [(same, *(np.frombuffer(v, np.int64) for v in more), np.frombuffer(d)) for same, *more, d in zip(
@@ -215,7 +278,9 @@ def finished(points: DataFrame, method: str, width: int, size: int) -> DataFrame
         return rows(pdf[REC].iloc[0], clusters, Pairwise(d / np.outer(size, size) if method == "average" else d, method, size))
 
     schema = f"{REC} string, same boolean, a binary, b binary, n binary, d binary"
-    return tiled(pieces_of(points, size), parts, schema).groupBy(REC).applyInPandas(assemble, MERGES)
+    groups = groups_for(F.col("rows"), size)
+    tiles = points.groupBy(REC).agg(F.count("*").alias("rows")).agg(F.sum(groups * (groups + 1) / 2)).first()[0] or 1
+    return tiled(pieces_of(points, size), parts, schema, int(tiles)).groupBy(REC).applyInPandas(assemble, MERGES)
 
 
 def roots_of(pointers: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from statewave.session import cut_lineage, maybe_broadcast
 #: Groups of a recording up to 12 * SIDE rows, most rows of a group, parts added up in a task, partitions of groups.
 GROUPS, SIDE, BAND, PARTS = 12, 32768, 16, 48
 #: Rows of a tile at a time, and columns, bits of a digit.
-STRIP, CHUNK, DIGIT = 256, 4096, 16
+STRIP, CHUNK, DIGIT = 128, 1024, 16
 #: Columns beside the wanted ones, largest degree, largest spread of one filtering, residual, most filterings.
 EXTRA, DEGREE, SPREAD, RESIDUAL, MOST_ROUNDS = 24, 10, 1e5, 1e-10, 200
 
@@ -31,8 +31,18 @@ EXTRA, DEGREE, SPREAD, RESIDUAL, MOST_ROUNDS = 24, 10, 1e5, 1e-10, 200
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Squared distances; near rows from their differences, so equal rows have distance 0."""
     nx, ny = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
-    d = nx[:, None] + ny - 2 * (x @ y.T)
-    i, j = np.nonzero(d <= 1e-6 * (nx[:, None] + ny))
+    d = x @ y.T
+    d *= -2.0
+    d += nx[:, None]
+    d += ny
+    if not d.size:
+        return d
+    near = 1e-6 * (np.fmax.reduce(nx) + np.fmax.reduce(ny))  # of all pairs, so most strips need no search
+    if not np.fmin.reduce(d, axis=None) <= near:
+        return d
+    i, j = np.nonzero(d <= near)
+    close = d[i, j] <= 1e-6 * (nx[i] + ny[j])
+    i, j = i[close], j[close]
     for at in range(0, len(i), 1 << 18):
         a, b = i[at:at + (1 << 18)], j[at:at + (1 << 18)]
         gap = x[a] - y[b]
