@@ -30,10 +30,12 @@ from __future__ import annotations
 import json
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -57,12 +59,14 @@ WORTHWHILE = 32
 #: Texts are encoded in runs of about so many bytes; words whose ids a task keeps.
 RUN_BYTES = 4_000_000
 CACHED_WORDS = 1_000_000
-WORDS_PER_CALL = 30
+WORDS_PER_CALL = 120
 
 MAGIC = b"IDSRPR01"
 #: magic, write task, ids of the same task before, documents, ids, symbols, terminals, rules, rounds, bytes a symbol
 HEADER = struct.Struct("<8s9Q")
 SPACE = byte_set(32, range(9, 14))
+#: ASCII marks that the tokenizer parts from letters before them, whatever they are (an apostrophe may begin a unit).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LETTERS, STOPS = byte_set(range(65, 91), range(97, 123)), byte_set(44, 46)
 
 
@@ -72,7 +76,7 @@ class Encoder:
     The tokenizer splits at white space and drops it, and between an ASCII letter and a full stop
     or comma, so a text's ids are those of the parts between. Each part that is new to the task is
     encoded by the tokenizer, parts of letters only many at a time: each is one unit for it, whose
-    last id alone is that of a word end.
+    last id alone is that of a word end. Letters with ASCII marks after them are two units, the letters and the marks.
     """
 
     def __init__(self, path: str):
@@ -94,13 +98,31 @@ class Encoder:
     def encoded(self, words: list[str]) -> list[list[int]]:
         return [c.ids for c in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def add(self, words: list[bytes], ids: list[np.ndarray], size: list[np.ndarray]) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.ids = np.concatenate([self.ids, *ids])
+        self.size = np.concatenate([self.size, *size])
+
     def learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        letters = [i for i, w in enumerate(texts) if w.isascii() and w.isalpha() or w.isalpha() and w.lower().isalpha()]
+        """Words none of which is known."""
+        letters, alone, parts = [], [], []
+        for raw in words:
+            word = raw.decode()
+            if word.isalpha() and (word.isascii() or word.lower().isalpha()):
+                letters.append(word)
+                continue
+            core = word.rstrip(MARKS)
+            if len(core) < len(word) and core.isalpha() and (
+                    core.isascii() or unicodedata.normalize("NFC", core.lower()).isalpha()):
+                parts.append((raw, core, word[len(core):]))
+            else:
+                alone.append(word)
+        for new, at in ((letters, 1), (alone, 2)):  # letters before the marks, and these
+            known = set(new)
+            new += [w for w in dict.fromkeys(p[at] for p in parts) if w not in known and w.encode() not in self.place]
         groups = [letters[i:i + WORDS_PER_CALL] for i in range(0, len(letters), WORDS_PER_CALL)]
-        alone = sorted(set(range(len(words))).difference(letters))
         ids, size, order = [], [], []
-        for group, code in zip(groups, self.encoded([" ".join([texts[i] for i in g]) for g in groups])):
+        for group, code in zip(groups, self.encoded([" ".join(g) for g in groups])):
             code = np.array(code, dtype="<u4")
             last = np.flatnonzero(self.ends[code])
             if len(last) == len(group):
@@ -109,30 +131,41 @@ class Encoder:
                 order += group
             else:
                 alone += group
-        for i, code in zip(alone, self.encoded([texts[i] for i in alone])):
-            ids.append(np.array(code, dtype="<u4"))
-            size.append(np.array([len(code)]))
-            order.append(i)
-        self.place.update(zip([words[i] for i in order], range(len(self.place), len(self.place) + len(order))))
-        self.ids = np.concatenate([self.ids, *ids])
-        self.size = np.concatenate([self.size, *size])
+        if alone:
+            codes = self.encoded(alone)
+            ids.append(np.array([i for c in codes for i in c], dtype="<u4"))
+            size.append(np.array([len(c) for c in codes]))
+        self.add([w.encode() for w in order + alone], ids, size)
+        if parts:
+            at = np.array([[self.place[core.encode()], self.place[rest.encode()]] for _, core, rest in parts])
+            self.add([raw for raw, _, _ in parts], [self.gather(at.ravel())], [self.size[at].sum(axis=1)])
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        """Ids of known words one after the other."""
+        first, size = (np.cumsum(self.size) - self.size)[at], self.size[at]
+        ends = np.cumsum(size)
+        return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)]
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first row, end row, ids one after the other with an end id each, ids per row) for runs of rows."""
         for row, end, words in cut_column(column, RUN_BYTES, SPACE, lower=False, ends_after=(LETTERS, STOPS)):
             values = words.values.to_pylist()
-            unknown = [w for w in values if w not in self.place]
+            at = self.places(values)
+            unknown = np.flatnonzero(at < 0)
             if len(self.place) + len(unknown) > CACHED_WORDS and len(unknown) < len(values):
                 self.forget()
-                unknown = values
-            if unknown:
-                self.learn(unknown)
-            at = np.fromiter(map(self.place.__getitem__, values), dtype=np.int64, count=len(values))
-            first = np.cumsum(self.size) - self.size
-            size, first = self.size[at][words.code], first[at][words.code]
-            total = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(words.counts)])]
-            ids = self.ids[np.arange(total[-1]) + np.repeat(first - (np.cumsum(size) - size), size)]
-            yield row, end, np.insert(ids, total[1:], END_ID), np.diff(total) + 1
+                unknown = np.arange(len(values))
+            if len(unknown):
+                new = [values[i] for i in unknown.tolist()]
+                self.learn(new)
+                at[unknown] = self.places(new)
+            at = at[words.code]
+            total = np.concatenate([[0], np.cumsum(self.size[at])])[np.concatenate([[0], np.cumsum(words.counts)])]
+            yield row, end, np.insert(self.gather(at), total[1:], END_ID), np.diff(total) + 1
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Places of words, -1 for those not known."""
+        return np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
 
 @cache

@@ -1,8 +1,10 @@
-"""What the word cache of the packing operator is asked for."""
+"""What the word caches of the packing operator and of the token files are asked for."""
 
+import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from statewave.llm import packing
+from statewave.llm import packing, repair
 
 
 class Counting(dict):
@@ -38,3 +40,19 @@ def test_words_beyond_the_cache(monkeypatch):
     for pair in zip(texts, texts[1:]):
         want = [tokenizer.encode(t, add_special_tokens=False).ids for t in pair]
         assert [ids.tolist() for ids in encoder.encode(list(pair))] == want
+
+
+def test_token_files_look_up_a_known_word_once():
+    """Letters with marks after them are taken from the ids of both, any other word as the tokenizer has it."""
+    encoder, tokenizer = (repair.Encoder(repair.default_tokenizer()), Tokenizer.from_file(repair.default_tokenizer()))
+    texts = ["naïve*** naïve &&& ok&&& ok!! Ö. it's don't' abc'*** x$$$y <|endoftext|> a<|endoftext|> 12.5% É** क़*** é###",
+             "", "ÉÉ.*** ***", "ok&&& Straße#*# straße a's. ΣΣ### İ## ﬁ$$ ok#'s"]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, repair.END_ID] for t in texts]
+    asked = []
+    encoder.encoded = lambda words, _encoded=encoder.encoded: asked.extend(words) or _encoded(words)
+    for _ in range(2):
+        encoder.place = Counting(encoder.place)
+        (_, _, ids, counts), = encoder.encode(pa.array(texts))
+        assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert 0 < encoder.place.asked <= len(set(" ".join(texts).split())) + 2  # the tokenizer's cuts make two parts more
+    assert "ok&&&" not in asked and "naïve***" not in asked
