@@ -140,6 +140,26 @@ def chunks(x: np.ndarray) -> list[np.ndarray]:
     return [x[at:at + CHUNK] for at in range(0, len(x), CHUNK)]
 
 
+def digits_of(d: np.ndarray, step: int, prefix: int) -> np.ndarray:
+    """How often each digit number ``step`` follows the digits ``prefix`` in the bits of positive numbers.
+
+    Doubles are compared as numbers, so only those with the prefix are taken out.
+    """
+    shift = 64 - DIGIT * (step + 1)
+    if step == 0:
+        n = np.bincount((d.view(np.uint64) >> np.uint64(shift)).view(np.int64).ravel(), minlength=1 << DIGIT)
+        n[0] -= d.size - np.count_nonzero(d)
+        n[0x7FF8:] = 0  # neither a number nor positive
+        return n
+    low, high = np.array([prefix, prefix + 1], dtype=np.uint64) << np.uint64(shift + DIGIT)
+    low, high = np.maximum(low, np.uint64(1)).view(float), high.view(float)
+    here = d >= low
+    if high == high:  # above the last numbers there is no bound
+        here &= d < high
+    bits = d[here].view(np.uint64) >> np.uint64(shift)
+    return np.bincount((bits & np.uint64((1 << DIGIT) - 1)).view(np.int64), minlength=1 << DIGIT)
+
+
 def median_distances(blocks: Blocks, packed: DataFrame | None = None) -> DataFrame:
     """``recording_id, epsilon``: the median of all positive squared distances, exactly.
 
@@ -155,12 +175,10 @@ def median_distances(blocks: Blocks, packed: DataFrame | None = None) -> DataFra
             one = own.iloc[0]
             both = one["low"] == one["high"]
             n = np.zeros((2, digits), dtype=np.int64)
+            prefixes = [one["low"], one["high"]][:1 if both else 2]
             for _, _, d in strips(stacked(own["x"], width), chunks(stacked(band["x"], width))):
-                bits = d[d > 0].view(np.uint64)
-                for side, prefix in enumerate((one["low"], one["high"])[:1 if both else 2]):
-                    here = bits if step == 0 else bits[bits >> np.uint64(64 - DIGIT * step) == np.uint64(prefix)]
-                    here = (here >> np.uint64(64 - DIGIT * (step + 1))) & np.uint64(digits - 1)
-                    n[side] += np.bincount(here.astype(np.int64), minlength=digits)
+                for side, prefix in enumerate(prefixes):
+                    n[side] += digits_of(d, step, int(prefix))
             if both:
                 n[1] = n[0]
             side, digit = np.nonzero(n)

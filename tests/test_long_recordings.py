@@ -127,3 +127,13 @@ def test_guessed_sizes_stay_small(spark):
         state = cut_lineage(state.join(state.selectExpr("id", "v as w"), "id").selectExpr("id", "v + w as v"))
     assert state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
     assert sorted(r.v for r in state.collect()) == [0, 256, 512, 768]
+
+
+def test_digits_of_positive_numbers():
+    """A pass takes out only the numbers that have its prefix; the counts are those of their bits."""
+    d = np.array([[0.0, 5e-324, 1e-300, 1.0, 1.0 + 2**-40], [np.inf, 3.5, np.nan, 1.7e308, 1.0 + 2**-52]])
+    bits = d[d > 0].view(np.uint64)
+    for step in range(4):
+        for prefix in {int(b) >> (64 - 16 * step) if step else 0 for b in bits}:
+            here = [int(b) >> (48 - 16 * step) & 0xFFFF for b in bits if not step or int(b) >> (64 - 16 * step) == prefix]
+            assert (kernel.digits_of(d, step, prefix) == np.bincount(here, minlength=1 << 16)).all()
