@@ -1,25 +1,36 @@
 """Shallow decision trees and per-state thresholds that explain a labelling.
 
-A tree grows level by level for all recordings and methods at once. Each level bins every
-feature value by its node's candidate thresholds and counts classes per bin; a running sum
-over at most ``threshold_candidates`` bins then prices every split.
+A tree grows level by level for all recordings and methods at once. Each level packs the values
+of a node's feature, sorted and with their classes, into an array for each batch of rows; the arrays
+of a feature meet in one task, or in one for each bucket of values if the node is large, where its
+candidate thresholds and the classes left of them are read off.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statewave.config import ExplainConfig
+from statewave.functions.splits import bucket_part, join_parts, left_counts, run_starts
+from statewave.operators import quantiles
 from statewave.operators.blocks import REC
-from statewave.operators.quantiles import split_candidates
-from statewave.session import cut_lineage
+from statewave.session import cut_lineage, maybe_broadcast
 
 NODE = [REC, "method", "path"]
+#: Most rows of a node whose values of a feature meet in one task.
+GROUP_ROWS = 1 << 20
+#: Most buckets that the values of a larger node's feature are dealt to.
+BUCKETS = 256
+NODE_BYTES = 256
 
 
 @dataclass
@@ -41,25 +52,134 @@ def _class_counts(k: int) -> list[Column]:
     return [F.sum((F.col("label") == c).cast("bigint")).alias(f"c{c}") for c in range(k)]
 
 
+def _packer(cuts: dict[tuple, list[np.ndarray]], k: int) -> Callable:
+    """Arrow batches of rows to sorted values with classes, one array for each node, feature and bucket."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = np.zeros(batch.num_rows, dtype=np.int64)
+            for name in NODE:
+                c = batch.column(name).dictionary_encode()
+                code = code * len(c.dictionary) + c.indices.to_numpy()
+            _, first, node = np.unique(code, return_index=True, return_inverse=True)
+            names = [batch.column(c).take(pa.array(first)) for c in NODE]
+            large = {i: cuts[key] for i, key in enumerate(zip(*[c.to_pylist() for c in names])) if key in cuts} if cuts else {}
+            label = pc.fill_null(batch.column("label"), k).to_numpy(zero_copy_only=False)
+            label = np.where((label < 0) | (label > k), k, label).astype(np.int32)
+            cells = batch.column("x").flatten()
+            x = cells.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(batch.num_rows, -1)
+            there = cells.is_valid().to_numpy(zero_copy_only=False).reshape(x.shape) if cells.null_count else None
+            for f in range(x.shape[1]):
+                rows = slice(None) if there is None else np.flatnonzero(there[:, f])
+                v, at, l = x[rows, f] + 0.0, node[rows], label[rows]  # -0.0 becomes 0.0
+                order = np.lexsort((l, v, at))
+                v, at, l = v[order], at[order], l[order]
+                start = run_starts(at, v, l)
+                weight = np.diff(np.append(start, len(v))).astype(np.int32)
+                v, at, l = v[start], at[start], l[start]
+                bucket = np.full(len(v), -1, dtype=np.int32)
+                for i, by in large.items():
+                    own = slice(*np.searchsorted(at, [i, i + 1]))
+                    bucket[own] = np.searchsorted(by[f], v[own], side="left")
+                group = run_starts(at, bucket)
+                ends = pa.array(np.append(group, len(v)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [*[c.take(pa.array(at[group])) for c in names], pa.array(np.full(len(group), f, dtype=np.int32)),
+                     pa.array(bucket[group]), *[pa.ListArray.from_arrays(ends, pa.array(c)) for c in (v, l, weight)]],
+                    names=[*NODE, "f", "bucket", "v", "label", "weight"])
+
+    return pack
+
+
+def _unpacked(table: pa.Table) -> list[np.ndarray]:
+    return [table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("v", "label", "weight")]
+
+
+def _answer(key: tuple, thresholds: np.ndarray, left: np.ndarray) -> pa.Table:
+    columns = {c: pa.array([v.as_py()] * len(thresholds), v.type) for c, v in zip([*NODE, "f"], key)}
+    columns |= {"threshold": pa.array(thresholds)} | {f"l{c}": pa.array(left[:, c]) for c in range(left.shape[1])}
+    return pa.table(columns)
+
+
+def _large_cuts(rows: DataFrame) -> dict[tuple, list[np.ndarray]]:
+    """Rough quantiles of every feature of each node that is too large for one task.
+
+    They decide where a value is dealt to, not what is found, and one stands for ``GROUP_ROWS / 2`` rows or more.
+    """
+    sizes = rows.groupBy(*NODE).count().filter(F.col("count") > GROUP_ROWS)
+    n = sizes.count()
+    if not n:
+        return {}
+    width = rows.select(F.size("x")).first()[0]
+    probs = [i / BUCKETS for i in range(1, BUCKETS)]
+    found = rows.join(maybe_broadcast(sizes, n, NODE_BYTES), NODE).groupBy(*NODE, "count").agg(
+        *[F.percentile_approx(F.col("x")[i], probs, 1000).alias(f"q{i}") for i in range(width)])
+    cuts = {}
+    for r in found.toLocalIterator():
+        step = max(1, int(BUCKETS * GROUP_ROWS // (2 * r["count"])))
+        each = [np.unique(np.array(r[f"q{i}"] or [], dtype=float)[step - 1::step]) for i in range(width)]
+        cuts[tuple(r[c] for c in NODE)] = [q[~np.isnan(q)] for q in each]
+    return cuts
+
+
+def _large_counts(packed: DataFrame, kinds: str, found: str, k: int, limit: int) -> DataFrame:
+    """``binned_counts`` of nodes whose values are dealt to buckets."""
+    keys = [*NODE, "f", "bucket"]
+    every = W.partitionBy(*NODE, "f")  # at most BUCKETS rows
+    before = every.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    ranks = packed.groupBy(*keys).agg(
+        F.sum(F.aggregate("weight", F.lit(0).cast("bigint"), lambda s, w: s + w)).alias("n")).select(
+        *[F.col(c).alias(f"of_{c}") for c in keys], F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
+        F.sum("n").over(every).alias("total"))
+
+    def part(key: tuple, mine: pa.Table, rank: pa.Table) -> pa.Table:
+        total = rank.column("total")[0].as_py()
+        got = bucket_part(*_unpacked(mine), k, limit, rank.column("offset")[0].as_py(), total)
+        return pa.table({c: pa.array([v.as_py()], v.type) for c, v in zip(keys, key)}
+                        | {"total": pa.array([total]), "distinct": pa.array([got["distinct"]])}
+                        | {c: pa.array([got[c]], pa.list_(kind)) for c, kind in (
+                            ("ranks", pa.int64()), ("found", pa.float64()), ("kept", pa.float64()),
+                            ("lefts", pa.int64()), ("classes", pa.int64()))})
+
+    def close(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        arrays = {c: [v.values.to_numpy() for v in table.column(c)]
+                  for c in ("ranks", "found", "kept", "lefts", "classes")}
+        parts = [dict(zip(arrays, p)) | {"distinct": d.as_py()}
+                 for d, *p in zip(table.column("distinct"), *arrays.values())]
+        return _answer(key, *join_parts(parts, k, limit, table.column("total")[0].as_py()))
+
+    parts = packed.groupBy(*keys).cogroup(ranks.groupBy(*[f"of_{c}" for c in keys])).applyInArrow(
+        part, f"{kinds}, bucket int, total bigint, distinct bigint, ranks array<bigint>, found array<double>, "
+              "kept array<double>, lefts array<bigint>, classes array<bigint>")
+    return parts.groupBy(*NODE, "f").applyInArrow(close, found)
+
+
 def binned_counts(rows: DataFrame, k: int, limit: int, max_rows: int) -> DataFrame:
     """Class counts left of every candidate: ``NODE, f, threshold, l0 .. l{k-1}``.
 
-    ``rows`` has ``NODE, window_index, label, x``; ``f`` is the feature's position in ``x``.
+    ``rows`` has ``NODE, window_index, label, x``; ``f`` is the feature's position in ``x``. Up to ``limit``
+    distinct values give the midpoints between neighbours, more give the distinct quantiles from 5 % to 95 %.
+    ``max_rows`` is the counted size of the largest group. Values that are null lie right of every candidate.
     """
-    cells = rows.select(*NODE, "label", F.posexplode("x").alias("f", "value"))
-    keys = [*NODE, "f"]
-    candidates = split_candidates(cells, keys, "value", limit, max_rows)
-    bins = cells.join(candidates, keys).groupBy(
-        *keys, F.expr("size(filter(thresholds, t -> t < value))").alias("bin")
-    ).agg(F.first("thresholds").alias("thresholds"), *_class_counts(k))
-    # bins may be empty: one packed row per group carries the sparse bins to every threshold
-    packed = bins.groupBy(*keys).agg(
-        F.first("thresholds").alias("thresholds"),
-        F.collect_list(F.struct("bin", *[f"c{c}" for c in range(k)])).alias("bins"))
-    grid = packed.select(*keys, "bins", F.posexplode("thresholds").alias("at", "threshold"))
-    upto = [F.expr(f"aggregate(filter(bins, b -> b.bin <= at), 0L, (s, b) -> s + b.c{c})")
-            .alias(f"l{c}") for c in range(k)]
-    return grid.select(*keys, "threshold", *upto)
+    rows = rows.dropna(subset=NODE)
+    cuts = _large_cuts(rows) if max_rows > GROUP_ROWS else {}
+    weighted = max_rows <= quantiles.BUFFER_ROWS
+    types = dict(rows.dtypes)
+    kinds = ", ".join(f"{c} {types[c]}" for c in NODE) + ", f int"
+    found = f"{kinds}, threshold double, " + ", ".join(f"l{c} bigint" for c in range(k))
+    packed = rows.select(*NODE, "label", "x").mapInArrow(
+        _packer(cuts, k), f"{kinds}, bucket int, v array<double>, label array<int>, weight array<int>")
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        return _answer(key, *left_counts(*_unpacked(table), k, limit, weighted))
+
+    packed = cut_lineage(packed) if cuts else packed  # read three times
+    out = packed.filter("bucket < 0").groupBy(*NODE, "f").applyInArrow(whole, found)
+    return out if not cuts else out.unionByName(
+        _large_counts(packed.filter("bucket >= 0"), kinds, found, k, limit))
 
 
 def node_counts(rows: DataFrame, k: int) -> DataFrame:
@@ -160,6 +280,7 @@ def explain(raw: DataFrame, scaled: DataFrame, scaler: DataFrame, columns: list[
         # a row stays where its tree stopped growing; only the deepest paths may split
         frontier = rows.filter(F.length("path") == depth)
         nodes = cut_lineage(node_counts(frontier, k))
+        n_nodes = nodes.count()
         all_nodes.append(nodes)
         if depth == cfg.max_depth and depth > 0:
             break
@@ -172,7 +293,7 @@ def explain(raw: DataFrame, scaled: DataFrame, scaler: DataFrame, columns: list[
             if cfg.max_depth == 0:
                 break
         else:
-            live = frontier.join(open_nodes.select(*NODE), NODE, "left_semi")
+            live = frontier.join(maybe_broadcast(open_nodes.select(*NODE), n_nodes, NODE_BYTES), NODE, "left_semi")
             candidates = binned_counts(live, k, cfg.threshold_candidates, max_rows)
         splits = cut_lineage(
             best_splits(candidates, open_nodes, k, cfg.min_samples_leaf).filter("gain > 0"))
@@ -181,7 +302,7 @@ def explain(raw: DataFrame, scaled: DataFrame, scaler: DataFrame, columns: list[
             break
         side = F.when(F.expr("x[f] <= threshold"), "L").otherwise("R")
         rows = cut_lineage(
-            rows.join(splits.select(*NODE, "f", "threshold"), NODE, "left")
+            rows.join(maybe_broadcast(splits.select(*NODE, "f", "threshold"), n_nodes, NODE_BYTES), NODE, "left")
             .withColumn("path", F.when(F.col("f").isNotNull(), F.concat("path", side))
                         .otherwise(F.col("path")))
             .select(REC, "window_index", "method", "label", "x", "path"))
