@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statewave.config import ClusterConfig, ExplainConfig, FeatureConfig, FilterConfig, HMMConfig
 from statewave.functions.iir import bandpass_filter, notch_filter
 from statewave.operators import (align, blocks as B, explain as X, features as FT, filters, gmm as G,
                                  hierarchical as H, hmm as M, index, kmeans as K, manifold as P,
-                                 metrics, quantiles, scaling, summary, timedomain, windows)
+                                 metrics, scaling, summary, timedomain, windows)
 from statewave.sources.csv import pair_channels
 from statewave.sources.events import EVENT_FS, events_signal
 
@@ -510,11 +511,10 @@ def _root_counts(spark, d):
 
 
 def split_candidates(spark, d):
-    e = embeddings(spark, d)
-    cells = summary.unpivot(e, EMB, ["window_index"])
-    found = quantiles.split_candidates(cells, ["feature"], "value", 32, e.count())
-    return found.select("feature", F.posexplode("thresholds").alias("i", "t")).select(
-        "feature", F.col("i").cast("bigint").alias("i"), r("t").alias("threshold"))
+    _, counts = _root_counts(spark, d)
+    order = W.partitionBy("f").orderBy("threshold")  # at most 32 rows
+    return counts.select(F.concat(F.lit("d"), "f").alias("feature"),
+                         (F.row_number().over(order) - 1).cast("bigint").alias("i"), r("threshold").alias("threshold"))
 
 
 def best_split(spark, d):

@@ -35,3 +35,8 @@ def test_matches_sql(spark, tools, name):
     module, con = tools
     result = module.compare(spark, con, FOLDER, name, QUERIES[name], ORACLES[name])
     assert result.startswith("ok") and "types" not in result, result
+
+
+def test_candidates_make_no_record_of_a_value(spark):
+    plan = QUERIES["split_candidates"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Expand" not in plan
