@@ -115,8 +115,8 @@ def kernel_row_sums(blocks: Blocks, epsilon: float | None = None) -> DataFrame:
     if blocks.n_long:
         long = blocks.long()
         packed = kernel.sides(long)
-        scales = kernel.widths(long, packed, epsilon)
-        sums = kernel.long_row_sums(long, packed, scales).join(maybe_broadcast(scales, long.n_recordings, 64), REC)
+        scales, sums = kernel.scales_and_sums(long, packed, epsilon)
+        sums = sums.join(maybe_broadcast(scales, long.n_recordings, 64), REC)
         frame = frame.unionByName(sums.select(REC, (F.col("block") * blocks.size).alias("start_idx"),
                                               F.col("row_sum").alias("e"), "epsilon"))
     return frame.select(REC, "epsilon", "start_idx", F.posexplode("e").alias("at", "row_sum")).select(

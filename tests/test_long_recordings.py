@@ -137,3 +137,88 @@ def test_digits_of_positive_numbers():
         for prefix in {int(b) >> (64 - 16 * step) if step else 0 for b in bits}:
             here = [int(b) >> (48 - 16 * step) & 0xFFFF for b in bits if not step or int(b) >> (64 - 16 * step) == prefix]
             assert (kernel.digits_of(d, step, prefix) == np.bincount(here, minlength=1 << 16)).all()
+
+
+def counted(monkeypatch, name):
+    """Calls of a step of the kernel module, as a list that grows."""
+    calls, step = [], getattr(kernel, name)
+    monkeypatch.setattr(kernel, name, lambda *a, **k: (calls.append(name), step(*a, **k))[1])
+    return calls
+
+
+def test_row_sums_take_few_passes(spark, rng, monkeypatch):
+    """The exact median and the sums take two passes over all pairs, after a look at some."""
+    tables = {"a": rng.normal(size=(500, 4)), "b": rng.normal(size=(303, 4)) * 3}  # odd numbers of positive distances
+    tables["a"][100:110] = tables["a"][50]
+    tiles = counted(monkeypatch, "tiled")
+    got = manifold.kernel_row_sums(packed(spark, tables, 96)).toPandas()
+    assert len(tiles) <= 3
+    for name in "ab":
+        k, epsilon = plain_kernel(tables[name])
+        part = got[got["recording_id"] == name].sort_values("window_index")
+        np.testing.assert_allclose(part["epsilon"], epsilon, rtol=1e-13)
+        np.testing.assert_allclose(part["row_sum"], k.sum(1), rtol=1e-12)
+
+
+def walk_of(spark, clumps):
+    out = manifold.diffusion(packed(spark, {"a": clumps["a"], "b": clumps["b"]}, 150), 2)
+    return out[0].orderBy("recording_id", "window_index").toPandas(), {r["recording_id"]: r["eigenvalues"] for r in out[1].collect()}
+
+
+def held_against_plain(found, clumps):
+    got, values = found
+    for name in "ab":
+        k, _ = plain_kernel(clumps[name])
+        w, v = np.linalg.eig(k / k.sum(1, keepdims=True))
+        order = np.argsort(-w.real)[1:3]
+        np.testing.assert_allclose(values[name], w.real[order], atol=1e-10)
+        have = got[got["recording_id"] == name][["dim_1", "dim_2"]].to_numpy()
+        np.testing.assert_allclose(np.abs(have), np.abs(v.real[:, order] * w.real[order]), atol=1e-8)
+
+
+def test_walk_takes_few_passes(spark, clumps, monkeypatch):
+    """Landmarks steer the search, so few images under the whole walk are needed."""
+    images = counted(monkeypatch, "applied")
+    found = walk_of(spark, clumps)
+    assert len(images) <= 6
+    held_against_plain(found, clumps)
+
+
+def test_walk_with_poor_landmarks(spark, clumps, monkeypatch):
+    """Landmarks that say little, and brackets that miss, cost passes and not exactness."""
+    monkeypatch.setattr(kernel, "RIDGE", 1e3, raising=False)
+    monkeypatch.setattr(kernel, "NARROW", 0.0, raising=False)
+    tiles = counted(monkeypatch, "tiled")
+    held_against_plain(walk_of(spark, clumps), clumps)
+    assert len(tiles) > 10
+
+
+def test_given_width(spark, clumps):
+    got = manifold.kernel_row_sums(packed(spark, {"b": clumps["b"]}, 64), 7.5).orderBy("window_index").toPandas()
+    assert (got["epsilon"] == 7.5).all()
+    np.testing.assert_allclose(got["row_sum"], plain_kernel(clumps["b"], 7.5)[0].sum(1), rtol=1e-12)
+
+
+@pytest.mark.parametrize("factor", [1.0, -0.3])
+def test_products_of_near_rows(rng, factor):
+    """Distances come out of one product with the norms; near rows are still taken from their differences."""
+    x = rng.normal(size=(300, 4)) + 1e4
+    y = np.concatenate([x[:5], x[:5] + 1e-7, rng.normal(size=(1200, 4)) * 1e4])
+    want = factor * ((x[:, None] - y[None]) ** 2).sum(-1)
+    got, zeros = np.empty(want.shape), 0
+    for rows, k, d, n in kernel.products(x, kernel.chunks(y), factor):
+        got[rows, k * kernel.CHUNK:k * kernel.CHUNK + d.shape[1]] = d
+        zeros += n
+    assert zeros == 5 and (got[range(5), range(5)] == 0).all()
+    np.testing.assert_allclose(got, want, rtol=1e-8)
+
+
+def test_bracket_holds_the_median(rng):
+    """The bins hold the median of all numbers, drawn or not, also if most are equal; too few numbers give none."""
+    for numbers in (rng.gamma(3.0, size=200001), np.where(rng.random(200001) < 0.9, 2.0, 5.0)):
+        found = kernel.bracket_of(rng.choice(numbers, 4000))
+        assert found["low"] <= np.median(numbers) < found["high"] and 0 < found["bins"] <= (1 << kernel.BINS) + 1
+        bits = int(np.median(numbers).view(np.uint64)) >> found["shift"]
+        assert 0 <= bits - found["base"] < found["bins"]
+    assert kernel.bracket_of(rng.gamma(3.0, size=20)) is None
+    assert kernel.bracket_of(np.zeros(0)) is None
