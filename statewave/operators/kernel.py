@@ -28,7 +28,7 @@ STRIP, CHUNK, DIGIT = 128, 1024, 16
 #: Columns beside the wanted ones, largest degree, largest spread of one filtering, residual, most filterings.
 EXTRA, DEGREE, SPREAD, RESIDUAL, MOST_ROUNDS = 24, 10, 1e5, 1e-10, 200
 #: Fewest and most pairs drawn to bracket a median, bits of the number of its bins, largest width of the bin it is in.
-FEW_DRAWN, DRAWN, BINS, NARROW = 1 << 16, 1 << 20, 17, 1e-6
+FEW_DRAWN, DRAWN, BINS, NARROW = 1 << 18, 1 << 20, 14, 1e-6
 #: Fewest and most landmarks, rows for each of them, what is added to their kernel's diagonal.
 FEW_MARKS, MARKS, ROWS_A_MARK, RIDGE = 256, 1536, 12, 1e-8
 #: Columns beside the wanted ones at the start, most corrections of the wanted ones, columns of a panel.
@@ -350,7 +350,7 @@ def brackets(blocks: Blocks, packed: DataFrame) -> DataFrame:
         i, j = int(own["i"].iloc[0]), int(own["j"].iloc[0])
         random = np.random.Generator(np.random.PCG64([13, i, j]))
         share = len(x) * len(y) * (1 if i == j else 2) / n ** 2
-        count = int(np.ceil(share * min(DRAWN, max(FEW_DRAWN, 16 * n))))
+        count = int(np.ceil(share * min(DRAWN, max(FEW_DRAWN, 64 * n))))
         gap = x[random.integers(0, len(x), count)] - y[random.integers(0, len(y), count)]
         d = np.einsum("ij,ij->i", gap, gap)
         return pd.DataFrame({REC: own[REC].iloc[:1], "v": [d[d > 0]]})
